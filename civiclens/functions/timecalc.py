@@ -53,14 +53,16 @@ def year_month(ts) -> Column:
     return F.date_format(_c(ts), "yyyy-MM")
 
 
-# The five accepted date layouts, tried in this order; the time
-# part of the last two is discarded.  1/2/2024 therefore reads as January 2.
+# The five accepted date layouts (ISO, month/day/year,
+# day/month/year, ISO with time, month/day/year with time), tried in this
+# order; the time part of the last two is discarded, so 1/2/2024 reads as
+# January 2.  Single-letter fields accept one or two digits, as strptime does.
 DATE_FORMATS = (
-    "yyyy-MM-dd",
+    "yyyy-M-d",
     "M/d/yyyy",
     "d/M/yyyy",
-    "yyyy-MM-dd HH:mm:ss",
-    "M/d/yyyy HH:mm:ss",
+    "yyyy-M-d H:m:s",
+    "M/d/yyyy H:m:s",
 )
 
 

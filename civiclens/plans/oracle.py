@@ -45,3 +45,77 @@ def with_requests(*ctes: str) -> str:
 NOW = "(SELECT max(date_created) FROM requests)"
 OPEN = "status_type IS DISTINCT FROM 'Solved'"
 SOLVED = "coalesce(status_type = 'Solved', false)"
+
+
+def _render(ts: str, layout: str) -> str:
+    y, m, d = f"CAST(year({ts}) AS VARCHAR)", f"CAST(month({ts}) AS VARCHAR)", f"CAST(day({ts}) AS VARCHAR)"
+    iso, hms = f"strftime({ts}, '%Y-%m-%d')", f"strftime({ts}, '%H:%M:%S')"
+    return f"""CASE WHEN {ts} IS NULL THEN NULL
+      WHEN {layout} = 1 THEN {iso}
+      WHEN {layout} = 2 THEN {m} || '/' || {d} || '/' || {y}
+      WHEN {layout} = 3 THEN {d} || '/' || {m} || '/' || {y}
+      WHEN {layout} = 4 THEN {iso} || ' ' || {hms}
+      WHEN {layout} = 5 THEN {m} || '/' || {d} || '/' || {y} || ' ' || {hms}
+      WHEN {layout} = 6 THEN '  ' || {iso} || ' '
+      ELSE 'not a date' END"""
+
+
+RAW_CTE = f"""
+raw AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    CASE WHEN l_linenumber = 7 AND status_type = 'Unresolved' THEN NULL ELSE service_request_id END
+      AS "Service Request ID",
+    CASE WHEN l_linenumber = 3 THEN NULL WHEN l_linenumber = 4 THEN ''
+         ELSE ' REF' || CAST(l_orderkey AS VARCHAR) || ' ' END AS "Reference Number",
+    CASE WHEN l_linenumber = 6 AND electoral_district = 'ALGERIA' THEN NULL
+         WHEN l_linenumber = 5 AND electoral_district = 'BRAZIL' THEN ''
+         ELSE service_type END AS "Service Type",
+    {_render('date_created', 'l_linenumber')} AS "Date Created",
+    {_render('date_closed', '(((l_linenumber + 2) % 7) + 1)')} AS "Date Closed",
+    electoral_district AS "Electoral District",
+    neighbourhood AS "Neighbourhood",
+    service_level_1 AS "Service Level 1",
+    CASE WHEN l_linenumber = 2 THEN '   ' ELSE service_level_2 END AS "Service Level 2",
+    CASE WHEN l_linenumber <= 3 THEN ' ' || status_type || ' ' END AS "Service Level 3",
+    CAST(NULL AS VARCHAR) AS "Service Level 4",
+    CASE WHEN l_linenumber = 1 THEN electoral_district END AS "Service Level 5",
+    status_type AS "Status Type",
+    first_call_resolution AS "First call resolution"
+  FROM requests)"""
+
+
+def parse_date_sql(col: str) -> str:
+    s = f"trim(CAST({col} AS VARCHAR))"
+    fmts = ["%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y %H:%M:%S"]
+    tries = ", ".join(f"try_strptime({s}, '{f}')" for f in fmts)
+    return f"CAST(coalesce({tries}) AS DATE)"
+
+
+def _present(c: str) -> str:
+    return f"nullif(trim({c}), '')"
+
+
+DESCRIPTION_SQL = ("nullif(concat_ws(' > ', " + ", ".join(
+    _present(f'"Service Level {i}"') for i in range(1, 6)) + "), '')")
+LOCATION_SQL = """nullif(concat_ws(', ', trim("Electoral District"), trim("Neighbourhood")), '')"""
+
+CLEAN_CTE = f"""
+clean AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    trim("Service Request ID") AS service_request_id,
+    CASE WHEN "Reference Number" IS NULL OR "Reference Number" = '' THEN NULL
+         ELSE trim("Reference Number") END AS ref_number,
+    trim("Service Type") AS service_type,
+    {DESCRIPTION_SQL} AS description,
+    CAST({parse_date_sql('"Date Created"')} AS TIMESTAMP) AS created_at,
+    CAST({parse_date_sql('"Date Closed"')} AS TIMESTAMP) AS resolved_at,
+    {LOCATION_SQL} AS location
+  FROM raw
+  WHERE "Service Request ID" IS NOT NULL AND "Service Request ID" <> ''
+    AND "Service Type" IS NOT NULL AND "Service Type" <> ''
+    AND {parse_date_sql('"Date Created"')} IS NOT NULL),
+loaded AS (
+  SELECT * EXCLUDE (rk), l_orderkey * 8 + l_linenumber AS id FROM (
+    SELECT *, row_number() OVER (PARTITION BY service_request_id
+                                 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rk
+    FROM clean) WHERE rk = 1)"""
