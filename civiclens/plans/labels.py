@@ -166,7 +166,7 @@ def q_simple(spark, sf_dir):
 @register("lbl_shorten", f"""
 WITH st AS (SELECT DISTINCT CASE WHEN vec_id % 2 = 0 THEN concat_ws(' ', d.lang, 'service', d.source)
                    ELSE concat_ws(' ', upper(d.lang), 'requests and', d.source) END AS service_type
-            FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)
+            FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id)
 SELECT service_type, {s_shorten('service_type', 3)} AS short3, {s_shorten('service_type', 2)} AS short2 FROM st""")
 def q_shorten(spark, sf_dir):
     from civiclens.functions.text import shorten
