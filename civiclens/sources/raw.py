@@ -37,8 +37,8 @@ def render_date(ts, layout_no) -> F.Column:
             .otherwise(F.lit("not a date")))
 
 
-def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = requests(spark, sf_dir)
+def raw_requests(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    r = requests(spark, sf_dir, lineitem)
     ln = F.col("l_linenumber")
     sid = F.when((ln == 7) & (F.col("status_type") == "Unresolved"), F.lit(None)).otherwise(
         F.col("service_request_id"))

@@ -34,10 +34,15 @@ from civiclens.functions import columns as C
 from civiclens.sources.tables import read_table
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem",
-                    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                     "l_returnflag", "l_linestatus", "l_shipdate"])
+LINEITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                    "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def requests(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """``lineitem`` may be a streaming frame: the dimension joins are then
+    stream-static joins and the result is a streaming request frame."""
+    li = (lineitem.select(*LINEITEM_COLUMNS) if lineitem is not None
+          else read_table(spark, sf_dir, "lineitem", LINEITEM_COLUMNS))
     orders = read_table(spark, sf_dir, "orders",
                         ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"])
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_brand"])
@@ -78,6 +83,10 @@ def materialize(df: DataFrame, path: str) -> None:
     Later scans prune partitions on ``date_created`` ranges (recent-window
     operators touch one or two months) and read only referenced columns.
     """
+    # Month plus a hash salt as the shuffle key: a month holding a third of
+    # all rows still spreads over ``salt`` tasks (and files).
+    salt = 64
     (df.withColumn("created_month", F.date_format(C.CREATED, "yyyy-MM"))
-       .repartition("created_month")
+       .withColumn("_salt", F.pmod(F.xxhash64(*C.ROW_ORDER), F.lit(salt)))
+       .repartition("created_month", "_salt").drop("_salt")
        .write.mode("overwrite").partitionBy("created_month").parquet(path))
