@@ -16,8 +16,8 @@ Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("rankings", "analytics", "ingest", "vectors", "labels", "products",
-            "reports", "points", "streams")
+_MODULES = ("rankings", "analytics", "ingest", "vectors", "labels", "products", "points",
+            "reports", "streams")
 
 
 def register(name: str, sql: str | None = None):
