@@ -66,8 +66,22 @@ DATE_FORMATS = (
 )
 
 
+# Shapes of the five layouts.  A string of one shape can only be parsed by
+# the layouts of that shape, so testing the shape first gives the same
+# first-match result with a single parse attempt per value (failed parse
+# attempts are expensive: each one raises inside the JVM).
+_ISO = r"^\d{4}-\d{1,2}-\d{1,2}$"
+_MDY = r"^\d{1,2}/\d{1,2}/\d{4}$"
+_ISO_T = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"
+_MDY_T = r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$"
+
+
 def parse_date(col) -> Column:
     """First layout that parses wins; blanks and garbage become null."""
     s = F.trim(_c(col).cast("string"))
-    attempts = [F.to_date(F.try_to_timestamp(s, F.lit(fmt))) for fmt in DATE_FORMATS]
-    return F.when(s == "", F.lit(None).cast("date")).otherwise(F.coalesce(*attempts))
+    iso, mdy, dmy, iso_t, mdy_t = DATE_FORMATS[0], DATE_FORMATS[1], DATE_FORMATS[2], \
+        DATE_FORMATS[3], DATE_FORMATS[4]
+    return (F.when(s.rlike(_ISO), F.try_to_date(s, iso))
+             .when(s.rlike(_MDY), F.coalesce(F.try_to_date(s, mdy), F.try_to_date(s, dmy)))
+             .when(s.rlike(_ISO_T), F.to_date(F.try_to_timestamp(s, F.lit(iso_t))))
+             .when(s.rlike(_MDY_T), F.to_date(F.try_to_timestamp(s, F.lit(mdy_t)))))
