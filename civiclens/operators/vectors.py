@@ -247,35 +247,49 @@ def assign(queries: DataFrame, top_cents: DataFrame, sub_cents: DataFrame, sizes
     cand_par_pos = np.asarray([par_index.get(p, -1) for p in s_par.tolist()])
     cand &= cand_par_pos >= 0
 
+    # Parent position of every sub-centroid, and per parent whether it has
+    # any candidate pair; all per-query work below is array arithmetic.
+    n_par = len(t_ids)
+    par_has_cand = np.zeros(n_par, dtype=bool)
+    if cand.any():
+        par_has_cand[np.unique(cand_par_pos[cand])] = True
+    special_ok = np.asarray([(p not in has_children) and ((p, 0) in nonempty) for p in t_ids.tolist()],
+                            dtype=bool)
+
     def run(it):
         for pdf in it:
             ok, q, qn = _queries(pdf, vec)
             qids = pdf[id_col].to_numpy()[ok]
-            res = {"p": [], "c": [], "ps": [], "cs": [], "q": []}
-            if len(t_ids) and len(qids):
-                ts = _cos_batch(q, qn, tm, tn)
-                ss = _cos_batch(q, qn, sm, sn)
-                best = np.argmax(ts, axis=1)
-                for i in range(len(qids)):
-                    bp = t_ids[best[i]]
-                    if bp not in has_children and (bp, 0) in nonempty:
-                        res["q"].append(qids[i]); res["p"].append(bp); res["c"].append(0)
-                        res["ps"].append(ts[i, best[i]]); res["cs"].append(0.0)
-                        continue
-                    if not cand.any():
-                        continue
-                    idx = np.nonzero(cand)[0]
-                    psim = ts[i, cand_par_pos[idx]]
-                    csim = ss[i, idx]
-                    order = np.lexsort((s_ids[idx], -csim, s_par[idx], -psim))
-                    k = idx[order[0]]
-                    res["q"].append(qids[i]); res["p"].append(s_par[k]); res["c"].append(s_ids[k])
-                    res["ps"].append(ts[i, cand_par_pos[k]]); res["cs"].append(ss[i, k])
-            yield pd.DataFrame({id_col: np.asarray(res["q"], dtype=np.int64),
-                                "parent_cluster_id": np.asarray(res["p"], dtype=np.int64),
-                                "child_cluster_id": np.asarray(res["c"], dtype=np.int64),
-                                "parent_similarity": np.round(np.asarray(res["ps"], dtype=float), digits),
-                                "child_similarity": np.round(np.asarray(res["cs"], dtype=float), digits)})
+            empty = pd.DataFrame({id_col: np.zeros(0, np.int64), "parent_cluster_id": np.zeros(0, np.int64),
+                                  "child_cluster_id": np.zeros(0, np.int64),
+                                  "parent_similarity": np.zeros(0), "child_similarity": np.zeros(0)})
+            if not n_par or not len(qids):
+                yield empty
+                continue
+            ts = _cos_batch(q, qn, tm, tn)                      # queries x parents
+            ss = _cos_batch(q, qn, sm, sn)                      # queries x sub-centroids
+            rows = np.arange(len(qids))
+            best = np.argmax(ts, axis=1)                        # first max = lowest id
+            special = special_ok[best]
+            # best parent among those with a candidate pair (ties -> lowest id)
+            masked = np.where(par_has_cand[None, :], ts, -np.inf)
+            bp = np.argmax(masked, axis=1)
+            found = par_has_cand[bp]
+            # best candidate child of that parent (ties -> lowest child id;
+            # sub-centroids are sorted by (parent, child))
+            child_ok = cand[None, :] & (cand_par_pos[None, :] == bp[:, None])
+            cs = np.where(child_ok, ss, -np.inf)
+            bc = np.argmax(cs, axis=1)
+            keep = special | found
+            par = np.where(special, t_ids[best], s_par[bc] if len(s_par) else 0)
+            chi = np.where(special, 0, s_ids[bc] if len(s_ids) else 0)
+            psim = np.where(special, ts[rows, best], ts[rows, bp])
+            csim = np.where(special, 0.0, ss[rows, bc] if ss.shape[1] else 0.0)
+            yield pd.DataFrame({id_col: qids[keep].astype(np.int64),
+                                "parent_cluster_id": np.asarray(par)[keep].astype(np.int64),
+                                "child_cluster_id": np.asarray(chi)[keep].astype(np.int64),
+                                "parent_similarity": np.round(psim[keep], digits),
+                                "child_similarity": np.round(np.asarray(csim, dtype=float)[keep], digits)})
     schema = (f"{id_col} long, parent_cluster_id long, child_cluster_id long, "
               "parent_similarity double, child_similarity double")
     return queries.select(id_col, vec).mapInPandas(run, schema)
