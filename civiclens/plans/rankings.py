@@ -164,4 +164,7 @@ SELECT 'Geographic Hotspots', row_number() OVER (ORDER BY volume DESC, neighbour
        'top_category: ' || top_category
 FROM geo""")
 def q_top_combined(spark, sf_dir):
-    return R.top_combined(_req(spark, sf_dir))
+    """The five rankings share one scan: the request frame is pruned to the
+    five columns they read and cached (recomputed from lineage if lost)."""
+    cols = ["service_level_1", "date_created", "date_closed", "status_type", "neighbourhood"]
+    return R.top_combined(_req(spark, sf_dir).select(*cols).cache())
