@@ -244,3 +244,9 @@ SELECT service_request_id, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM r
 WHERE {OPEN} OR date_closed IS NULL""")
 def q_flt_open_or_unclosed(spark, sf_dir):
     return _req(spark, sf_dir).filter(is_open_or_unclosed()).select(C.REQUEST_ID, *KEYS)
+
+
+@register("ing_location", with_requests(RAW_CTE) + f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {LOCATION_SQL} AS location FROM raw""")
+def q_location(spark, sf_dir):
+    return _raw(spark, sf_dir).select(*KEYS, I.location().alias("location"))

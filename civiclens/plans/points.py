@@ -249,3 +249,26 @@ def q_sink_geojson(spark, sf_dir):
     back = files.read_geojson(spark, path, line_delimited=True)
     return back.select("feature_idx", F.col("properties")["Electoral District"].alias("district"),
                        F.col("properties")["volume"].alias("volume"), "geometry")
+
+
+@register("src_geojson")
+def q_src_geojson(spark, sf_dir):
+    """A FeatureCollection document built from the district table (one
+    feature per district, a bounded set) is written and read back with the
+    multi-line GeoJSON reader, then exploded into features."""
+    import os
+    from civiclens.sources import files
+    nation = read_table(spark, sf_dir, "nation")
+    def feature(r):
+        return F.struct(F.lit("Feature").alias("type"),
+                        F.create_map(F.lit("electoral_district"), r["n_name"]).alias("properties"),
+                        F.struct(F.lit("Point").alias("type"),
+                                 F.array(r["n_regionkey"].cast("double"),
+                                         r["n_nationkey"].cast("double")).alias("coordinates")).alias("geometry"))
+    rows = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")))
+    doc = nation.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"),
+                                        F.transform(rows, feature).alias("features"))).alias("value"))
+    path = files.scratch_path(spark, "geo_doc/" + os.path.basename(sf_dir.rstrip("/")))
+    doc.write.mode("overwrite").text(path)
+    return files.read_geojson(spark, path).select(
+        "feature_idx", G.district_of().alias("district"), "geometry")

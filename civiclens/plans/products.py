@@ -62,3 +62,14 @@ def q_cluster_labels(spark, sf_dir):
     a = V.assign(pts.withColumnRenamed("id", "query_id"), top_centroids(pts), sub_centroids(pts), pair_sizes(pts))
     lt = L.label_table(cluster_rows(spark, sf_dir), L.memberships(members_base(spark, sf_dir)))
     return V.with_labels(a, lt.select("level", "parent_cluster_id", "cluster_id", "label"), pair_sizes(pts))
+
+
+@register("cat_many")
+def q_cat_many(spark, sf_dir):
+    """Three products loaded at once over one cached request frame (an
+    unknown id is skipped); their row counts stacked."""
+    configure(spark)
+    prods = PR.load_many(spark, sf_dir, ["geographic_hot_spots", "no_such_product", "fcr_by_category"])
+    frames = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(pid).alias("product_id"), "rows")
+              for pid, df in prods.items()]
+    return frames[0].unionByName(frames[1])

@@ -245,3 +245,48 @@ ORDER BY request_count DESC, "group" LIMIT 10""")
 def q_priority_top_volume(spark, sf_dir):
     configure(spark)
     return P.priority_top(P.priority(requests(spark, sf_dir)), "request_count").select("group", "request_count")
+
+
+@register("met_value", _MS + " SELECT metric, value, unit FROM pm")
+def q_met_value(spark, sf_dir):
+    return parsed(spark, sf_dir).select("metric", "value", "unit")
+
+
+@register("met_type", _MS + " SELECT metric, metric_type FROM pm")
+def q_met_type(spark, sf_dir):
+    return parsed(spark, sf_dir).select("metric", "metric_type")
+
+
+@register("met_category", _MS + " SELECT metric, category FROM pm")
+def q_met_category(spark, sf_dir):
+    return parsed(spark, sf_dir).select("metric", "category")
+
+
+@register("met_trend", _MS + " SELECT metric, trend FROM pm")
+def q_met_trend(spark, sf_dir):
+    return parsed(spark, sf_dir).select("metric", "trend")
+
+
+@register("met_label", _MS + """
+SELECT metric, CASE WHEN metric_type = 'growth' THEN CASE WHEN value <> 0 THEN printf('%+.1f%% Growth', value) ELSE 'Growth Rate' END
+            WHEN metric_type = 'volume' THEN CASE WHEN value <> 0 THEN CAST(CAST(value AS BIGINT) AS VARCHAR) || ' ' || coalesce(unit, 'Items') ELSE 'Volume' END
+            WHEN metric_type = 'percentage' THEN CASE WHEN value <> 0 THEN printf('%.1f%%', value) ELSE 'Percentage' END
+            ELSE 'Metric' END AS label FROM pm""")
+def q_met_label(spark, sf_dir):
+    return parsed(spark, sf_dir).select("metric", "label")
+
+
+@register("rep_growth_gap", _RECON + """,
+r2 AS (SELECT *, row_number() OVER (ORDER BY abs(growth) DESC, category) AS rk FROM gr),
+a AS (SELECT max(growth) FILTER (WHERE rk = 1) AS top_growth, max(category) FILTER (WHERE rk = 1) AS top_category,
+             max(growth) FILTER (WHERE rk = 2) AS second_growth, max(category) FILTER (WHERE rk = 2) AS second_category
+      FROM r2 WHERE rk <= 2)
+SELECT top_category, second_category, abs(top_growth) - abs(second_growth) AS gap,
+       CASE WHEN second_growth IS NULL THEN NULL
+            WHEN abs(top_growth) - abs(second_growth) > 30 THEN 'significantly higher'
+            WHEN abs(top_growth) - abs(second_growth) > 15 THEN 'notably higher' ELSE 'somewhat higher' END AS gap_band
+FROM a""")
+def q_growth_gap(spark, sf_dir):
+    b = RP.growth_bands(RP.growth_reconcile(parsed(spark, sf_dir)))
+    return b.select("top_category", "second_category",
+                    (F.abs("top_growth") - F.abs("second_growth")).alias("gap"), "gap_band")
