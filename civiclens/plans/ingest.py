@@ -14,7 +14,7 @@ from civiclens.operators import sampling as S
 from civiclens.plans.oracle import (CLEAN_CTE, DESCRIPTION_SQL, LOCATION_SQL, OPEN, RAW_CTE,
                                     parse_date_sql, with_requests)
 from civiclens.plans.registry import register
-from civiclens.session import configure
+from civiclens.session import checkpoint_dir, configure
 from civiclens.sources import files
 from civiclens.sources.raw import raw_requests
 from civiclens.sources.requests import requests
@@ -41,14 +41,25 @@ def as_ts(df, cols=("created_at", "resolved_at")):
     return df
 
 
+def staged_raw(spark, sf_dir):
+    """Raw rows as they would land in storage: derived by Spark from the
+    tables, then written once (reliable checkpoint in the shared folder).
+    Without the stage Catalyst pushes the cleaning filter into the joins and
+    evaluates the rendering and parsing chain twice per row."""
+    checkpoint_dir(spark)
+    return _raw(spark, sf_dir).checkpoint(eager=True)
+
+
 def cleaned(spark, sf_dir):
-    return as_ts(I.clean(_raw(spark, sf_dir), keep=KEYS))
+    return as_ts(I.clean(staged_raw(spark, sf_dir), keep=KEYS))
 
 
 def loaded(spark, sf_dir):
-    """raw -> clean -> first-wins de-dupe, with a serial-like integer id."""
+    """The ``requests`` table: raw -> clean -> first-wins de-dupe, with a
+    serial-like integer id; written once, since sampling and reduction read
+    it several times (count, rank, semi join)."""
     first = I.dedupe_first(cleaned(spark, sf_dir), "service_request_id", KEYS)
-    return first.withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return first.withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber")).checkpoint(eager=True)
 
 
 _REQ_COLS = ("service_request_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, service_type, "
