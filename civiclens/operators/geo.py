@@ -73,14 +73,14 @@ def district_of(props: str = "properties"):
 def enrich_features(features: DataFrame, geo: DataFrame) -> DataFrame:
     """Left-preserving lookup of district metrics into each feature.
 
-    ``geo`` has one row per district (bounded by the number of districts),
-    so it is broadcast; volume/unresolved as int, p90 as float, null when the
-    district is unknown.  Columns ``has_district``/``updated`` give the
+    ``geo`` has one row per district; the planner (AQE) broadcasts it after
+    measuring it, so no size is assumed here.  volume/unresolved as int, p90
+    as float, null when the district is unknown.  Columns ``has_district``/``updated`` give the
     reference's two counters via a later ``agg`` or ``observe``.
     """
     m = geo.select(F.col("electoral_district").alias("_d"), "volume", "unresolved", "slow_p90")
     f = features.withColumn("_d", district_of())
-    j = f.join(F.broadcast(m), "_d", "left")
+    j = f.join(m, "_d", "left")
     return j.select("feature_idx", F.col("_d").alias("district"),
                     F.col("volume").cast("int").alias("volume"),
                     F.col("unresolved").cast("int").alias("unresolved"),

@@ -169,6 +169,9 @@ RANKING_TYPES = ("Volume (Last 30 Days)", "Worst P90 Time-to-Close", "Backlog Ag
 
 def top_combined(df: DataFrame, k: int = 10, as_of=None) -> DataFrame:
     """The five rankings stacked into one long table (``set_union``)."""
+    # One "now" for all five rankings: the same scalar subquery expression
+    # everywhere, so Spark evaluates it once for the whole union.
+    as_of = resolve_as_of(df, as_of)
     d = lambda c: F.col(c).cast("double")
     none_d = F.lit(None).cast("double")
     none_s = F.lit(None).cast("string")

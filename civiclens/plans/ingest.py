@@ -89,8 +89,7 @@ def q_src_filtered(spark, sf_dir):
 @register("src_raw_by_type", with_requests(RAW_CTE) + """
 SELECT * FROM raw WHERE "Service Type" = 'SMALL Brand#4'""")
 def q_src_raw_by_type(spark, sf_dir):
-    return (
-        _raw(spark, sf_dir).filter(F.col("`Service Type`") == "SMALL Brand#4"))
+    return filtered(_raw(spark, sf_dir), {"`Service Type`": "SMALL Brand#4"})
 
 
 @register("src_cached")
