@@ -446,3 +446,34 @@ def q_priority_by_district(spark, sf_dir):
     """The parameters at work: district grouping, median, open-count bubbles, 7 days."""
     return P.priority(_req(spark, sf_dir), group_by=C.DISTRICT, time_metric="median",
                       bubble_metric="open_count", last_n_days=7)
+
+
+@register("agg_geo_top_volume", with_requests(_GEO) + """
+SELECT *, round_even((volume - unresolved) / volume * 100.0, 1) AS resolution_rate FROM gm
+ORDER BY volume DESC, electoral_district LIMIT 5""")
+def q_geo_top_volume(spark, sf_dir):
+    return G.geo_top5(G.geo_metrics(_req(spark, sf_dir)), "volume")
+
+
+@register("agg_geo_top_p90", with_requests(_GEO) + """
+SELECT *, round_even((volume - unresolved) / volume * 100.0, 1) AS resolution_rate FROM gm
+WHERE slow_p90 IS NOT NULL ORDER BY slow_p90 DESC, electoral_district LIMIT 5""")
+def q_geo_top_p90(spark, sf_dir):
+    return G.geo_top5(G.geo_metrics(_req(spark, sf_dir)), "slow_p90")
+
+
+@register("agg_priority_distribution", with_requests(_PRIO, """
+th AS (SELECT median(request_count) AS vt, median(time_to_close_days) AS tt FROM pq),
+pc AS (SELECT CASE WHEN time_to_close_days IS NULL THEN 'Unknown'
+            WHEN request_count >= vt AND time_to_close_days >= tt THEN 'High Priority (Systemic)'
+            WHEN request_count >= vt OR time_to_close_days >= tt THEN 'Medium Priority'
+            ELSE 'Low Priority' END AS priority_category FROM pq, th)""") + """
+SELECT priority_category, count(*) AS groups FROM pc GROUP BY 1""")
+def q_priority_distribution(spark, sf_dir):
+    return P.priority_distribution(P.categorize(P.priority(_req(spark, sf_dir))))
+
+
+@register("agg_fcr_min_volume", with_requests(_FCR) + "SELECT * FROM fr WHERE total_requests >= 6700")
+def q_fcr_min_volume(spark, sf_dir):
+    """The ``min_volume`` parameter at work (categories below it dropped)."""
+    return FC.fcr_rate(_req(spark, sf_dir), min_volume=6700)
