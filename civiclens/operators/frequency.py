@@ -110,9 +110,12 @@ def latest_share(df: DataFrame, group: str = C.LEVEL1) -> DataFrame:
     last = long.select(F.max("Time")).scalar()
     cur = long.filter(F.col("Time") == last)
     w = Window.partitionBy()
+    share = F.col("frequency") / F.sum("frequency").over(w) * 100.0
     return cur.select(
         "Time", group, F.col("frequency").alias("value"),
-        rnd(F.col("frequency") / F.sum("frequency").over(w) * 100.0, 1).alias("share_pct"),
+        rnd(share, 1).alias("share_pct"),
+        # the dashboard's whole-number share rounds half up
+        F.floor(share + F.lit(0.5)).alias("share_pct_whole"),
         (F.row_number().over(Window.orderBy(F.desc("frequency"), F.asc(group))) == 1)
         .alias("is_top"))
 

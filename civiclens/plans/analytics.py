@@ -306,6 +306,7 @@ def q_seasonality_peaks(spark, sf_dir):
 @register("agg_latest_share", with_requests(_LONG) + """
 SELECT "Time", service_level_1, frequency AS value,
        round_even(frequency / sum(frequency) OVER () * 100.0, 1) AS share_pct,
+       CAST(floor(frequency / sum(frequency) OVER () * 100.0 + 0.5) AS BIGINT) AS share_pct_whole,
        row_number() OVER (ORDER BY frequency DESC, service_level_1) = 1 AS is_top
 FROM lg WHERE "Time" = (SELECT max("Time") FROM lg)""")
 def q_latest_share(spark, sf_dir):

@@ -12,7 +12,17 @@ from civiclens.operators import geo as G
 from civiclens.operators import points as PT
 from civiclens.operators import priority as P
 from civiclens.operators import rankings as R
-from civiclens.plans.oracle import NOW, OPEN, days, with_requests
+from civiclens.plans.oracle import NOW, OPEN, SOLVED, days, with_requests
+
+_PRIO_CTE = f"""
+pb AS (SELECT * FROM requests WHERE service_level_1 IS NOT NULL),
+pq AS (SELECT service_level_1 AS "group", count(*) AS request_count,
+              round_even(quantile_cont(CASE WHEN {SOLVED} AND {days('date_closed', 'date_created')} >= 0
+                                       THEN {days('date_closed', 'date_created')} END, 0.9), 6) AS time_to_close_days
+       FROM pb GROUP BY 1)"""
+_UNRES_CTE = f"""
+u AS (SELECT *, {days(NOW, 'date_created')} AS age FROM requests
+      WHERE {OPEN} OR date_closed IS NULL)"""
 from civiclens.plans.registry import register
 from civiclens.plans.vectors import points as vpoints
 from civiclens.session import configure
@@ -197,26 +207,55 @@ def q_tbl_facets(spark, sf_dir):
     return PT.facets(_req(spark, sf_dir), [C.STATUS, C.FCR, C.LEVEL1])
 
 
-@register("agg_kpi_rollups", with_requests(f"""
-pq AS (SELECT service_level_1 AS g, count(*) AS request_count FROM requests WHERE service_level_1 IS NOT NULL GROUP BY 1),
-geo AS (SELECT electoral_district AS d, count(*) AS volume FROM requests WHERE electoral_district IS NOT NULL GROUP BY 1)""") + """
-SELECT (SELECT count(*) FROM pq) AS groups, (SELECT sum(request_count) FROM pq) AS total_requests,
-       (SELECT arg_min(g, (-request_count, g)) FROM pq) AS top_group,
-       (SELECT count(*) FROM geo) AS districts,
-       (SELECT arg_min(d, (-volume, d)) FROM geo) AS busiest_district""")
+@register("agg_kpi_rollups", with_requests(_PRIO_CTE, _UNRES_CTE, """
+pc AS (SELECT pq.*, CASE WHEN time_to_close_days IS NULL THEN 'Unknown'
+            WHEN request_count >= vt AND time_to_close_days >= tt THEN 'High Priority (Systemic)'
+            WHEN request_count >= vt OR time_to_close_days >= tt THEN 'Medium Priority'
+            ELSE 'Low Priority' END AS priority_category
+       FROM pq, (SELECT median(request_count) AS vt, median(time_to_close_days) AS tt FROM pq)),
+bl AS (SELECT service_level_1, count(age) AS total_unresolved FROM u WHERE service_level_1 IS NOT NULL GROUP BY 1),
+geo AS (SELECT electoral_district AS d, count(*) AS volume,
+               quantile_cont(CASE WHEN coalesce(status_type = 'Solved', false)
+                                   AND floor((epoch_us(date_closed) - epoch_us(date_created)) / 86400000000.0) >= 0
+                              THEN floor((epoch_us(date_closed) - epoch_us(date_created)) / 86400000000.0) END, 0.9) AS p90
+        FROM requests WHERE electoral_district IS NOT NULL GROUP BY 1)""") + """
+SELECT (SELECT count(*) FILTER (WHERE contains(priority_category, 'High')) FROM pc) AS high_priority_count,
+       (SELECT sum(request_count) FROM pc) AS total_requests,
+       (SELECT CAST(floor(avg(time_to_close_days) + 0.5) AS BIGINT) FROM pc) AS avg_time_to_close,
+       (SELECT sum(total_unresolved) FROM bl) AS backlog_total_unresolved,
+       (SELECT arg_min(service_level_1, (-total_unresolved, service_level_1)) FROM bl) AS backlog_top_category,
+       (SELECT max(total_unresolved) FROM bl) AS backlog_top_value,
+       (SELECT arg_min(d, (-volume, d)) FROM geo) AS highest_volume_district,
+       (SELECT max(volume) FROM geo) AS highest_volume,
+       (SELECT arg_min(d, (-p90, d)) FROM geo WHERE p90 IS NOT NULL) AS slowest_p90_district,
+       (SELECT round_even(max(p90), 6) FROM geo) AS slowest_p90,
+       (SELECT count(*) FROM geo) AS total_districts""")
 def q_kpi(spark, sf_dir):
-    """KPI tiles from the priority and geographic products (1-row frames,
-    combined with a join on a constant key)."""
+    """Dashboard KPI tiles from three products.  Each product is one row per
+    group; each tile set is a 1-row aggregate; the three 1-row frames are
+    joined on a constant key."""
+    from civiclens.operators import backlog as B
     r = _req(spark, sf_dir)
-    pq = P.priority(r)
-    a = pq.agg(F.count(F.lit(1)).alias("groups"), F.sum("request_count").alias("total_requests"),
-               F.min_by("group", F.struct(-F.col("request_count"), F.col("group"))).alias("top_group"),
-               F.lit(1).alias("_k"))
+    pc = P.categorize(P.priority(r))
+    a = pc.agg(F.count_if(F.col("priority_category").contains("High")).alias("high_priority_count"),
+               F.sum("request_count").alias("total_requests"),
+               F.floor(F.avg("time_to_close_days") + F.lit(0.5)).alias("avg_time_to_close"))
+    bl = B.backlog_level1(r)
+    b = bl.agg(F.sum("total_unresolved").alias("backlog_total_unresolved"),
+               F.min_by(C.LEVEL1, F.struct(-F.col("total_unresolved"), F.col(C.LEVEL1)))
+               .alias("backlog_top_category"),
+               F.max("total_unresolved").alias("backlog_top_value"))
     g = G.geo_metrics(r)
-    b = g.agg(F.count(F.lit(1)).alias("districts"),
-              F.min_by("electoral_district", F.struct(-F.col("volume"), F.col("electoral_district")))
-              .alias("busiest_district"), F.lit(1).alias("_k"))
-    return a.join(b, "_k").drop("_k")
+    k = F.col("electoral_district")
+    c = g.agg(F.min_by(k, F.struct(-F.col("volume"), k)).alias("highest_volume_district"),
+              F.max("volume").alias("highest_volume"),
+              F.min_by(k, F.when(F.col("slow_p90").isNotNull(), F.struct(-F.col("slow_p90"), k)))
+              .alias("slowest_p90_district"),
+              F.max("slow_p90").alias("slowest_p90"),
+              F.count(F.lit(1)).alias("total_districts"))
+    one = F.lit(1)
+    return (a.withColumn("_k", one).join(b.withColumn("_k", one), "_k")
+             .join(c.withColumn("_k", one), "_k").drop("_k"))
 
 
 @register("sink_csv")
