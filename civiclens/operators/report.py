@@ -97,15 +97,35 @@ def backlog_top15_by_l1(ranked: DataFrame, k: int = 15) -> DataFrame:
     return t.groupBy("service_level_1").agg(F.sum("unresolved_count").alias("shown_unresolved"))
 
 
+# The wording that replaces numbers in report text.
+PCT_TOKEN = r"\d+\.?\d*%"
+REQUEST_COUNT = r"\d+ requests?"
+
+
+def _pct_band(p):
+    v = F.regexp_replace(p, "%", "").cast("double")
+    return (F.when(v > 50, F.lit("substantial growth")).when(v > 20, F.lit("moderate growth"))
+             .otherwise(F.lit("notable growth")))
+
+
 def qualitative(text_col: str = "text"):
-    """Numbers replaced by words: percentages by size band, request counts
-    and other digits masked (value-dependent replacement via transform)."""
+    """Numbers replaced by words: every percentage by its own band, request
+    counts by "significant volume", other digits removed, spaces collapsed.
+
+    The value-dependent replacement splits the text at the percentages and
+    interleaves the pieces with each match's band (array functions, no UDF).
+    """
     t = F.col(text_col)
-    pct = F.regexp_extract_all(t, F.lit(r"(\d+\.?\d*)%"), 1)
-    words = F.transform(pct, lambda p: F.when(p.cast("double") > 50, "a majority")
-                        .when(p.cast("double") > 20, "a significant portion").otherwise("a portion"))
-    first = F.try_element_at(words, F.lit(1))
-    masked = F.regexp_replace(t, r"\d+\.?\d*%", "[share]")
-    masked = F.regexp_replace(masked, r"\d+\s+requests?", "many requests")
-    masked = F.regexp_replace(masked, r"\d+", "several")
-    return F.when(first.isNotNull(), F.regexp_replace(masked, r"\[share\]", first)).otherwise(masked)
+    pcts = F.regexp_extract_all(t, F.lit(PCT_TOKEN), 0)
+    pieces = F.split(t, PCT_TOKEN, -1)
+    tail = F.transform(pcts, lambda p, i: F.concat(_pct_band(p), F.element_at(pieces, i + 2)))
+    out = F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
+    out = F.regexp_replace(out, REQUEST_COUNT, "significant volume")
+    out = F.regexp_replace(out, r"\d+", "")
+    out = F.trim(F.regexp_replace(F.trim(out), r"\s+", " "))
+    return F.regexp_replace(out, r"[,\s]+\.", ".")
+
+
+def qualitative_kept(col: str = "qualitative"):
+    """The report keeps a rewritten sentence only when longer than 30 chars."""
+    return F.length(F.col(col)) > 30

@@ -231,11 +231,23 @@ def q_last15(spark, sf_dir):
     return RP.last_periods(FQ.frequency_pivot(requests(spark, sf_dir)))
 
 
-@register("rep_qualitative")
+_BAND = ("CASE WHEN CAST(replace(pcts[i], '%', '') AS DOUBLE) > 50 THEN 'substantial growth' "
+         "WHEN CAST(replace(pcts[i], '%', '') AS DOUBLE) > 20 THEN 'moderate growth' ELSE 'notable growth' END")
+
+
+@register("rep_qualitative", """
+WITH p AS (SELECT doc_id, regexp_extract_all(text, '\\d+\\.?\\d*%') AS pcts,
+                  string_split_regex(text, '\\d+\\.?\\d*%') AS pieces FROM documents),
+j AS (SELECT doc_id, pieces[1] || array_to_string(list_transform(generate_series(1, len(pcts)),
+                                                   lambda i: """ + _BAND + """ || pieces[i + 1]), '') AS s FROM p),
+r AS (SELECT doc_id, regexp_replace(regexp_replace(s, '\\d+ requests?', 'significant volume', 'g'),
+                                    '\\d+', '', 'g') AS s FROM j)
+SELECT doc_id, regexp_replace(trim(regexp_replace(trim(s), '\\s+', ' ', 'g')), '[,\\s]+\\.', '.', 'g')
+       AS qualitative FROM r""")
 def q_qualitative(spark, sf_dir):
-    """Numbers masked in every conversation turn (whole texts)."""
-    c = read_table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", RP.qualitative("text").alias("text"))
+    """Numbers turned into words in every document (whole texts)."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return d.select("doc_id", RP.qualitative("text").alias("qualitative"))
 
 
 @register("agg_priority_top_volume", with_requests(f"""
