@@ -62,7 +62,7 @@ s AS (SELECT *, {days(NOW, 'date_created')} AS age FROM requests WHERE status_ty
 p AS (SELECT service_level_1, service_level_2, count(service_request_id) AS unresolved_count,
              round_even(avg(age), 6) AS avg_age_days
       FROM s WHERE service_level_1 IS NOT NULL AND service_level_2 IS NOT NULL GROUP BY 1, 2)""") + """
-SELECT *, sum(unresolved_count) OVER (PARTITION BY service_level_1) AS level1_total FROM p""")
+SELECT *, CAST(sum(unresolved_count) OVER (PARTITION BY service_level_1) AS BIGINT) AS level1_total FROM p""")
 def q_backlog_ranked(spark, sf_dir):
     return B.backlog_ranked(_req(spark, sf_dir))
 
@@ -70,7 +70,7 @@ def q_backlog_ranked(spark, sf_dir):
 @register("jn_total_lookup", with_requests(_STRICT, """
 p AS (SELECT service_level_1, service_level_2, count(service_request_id) AS unresolved_count
       FROM s WHERE service_level_1 IS NOT NULL AND service_level_2 IS NOT NULL GROUP BY 1, 2),
-t AS (SELECT service_level_1, sum(unresolved_count) AS level1_total FROM p GROUP BY 1)""") + """
+t AS (SELECT service_level_1, CAST(sum(unresolved_count) AS BIGINT) AS level1_total FROM p GROUP BY 1)""") + """
 SELECT p.service_level_1, p.service_level_2, p.unresolved_count, t.level1_total
 FROM p JOIN t ON p.service_level_1 = t.service_level_1""")
 def q_total_lookup(spark, sf_dir):
@@ -243,7 +243,7 @@ def q_frequency_long(spark, sf_dir):
 
 
 @register("agg_frequency_pivot", with_requests(_LONG) + """
-SELECT * FROM (PIVOT lg ON service_level_1 USING coalesce(sum(frequency), 0) GROUP BY "Time")""")
+SELECT * FROM (PIVOT lg ON service_level_1 USING coalesce(CAST(sum(frequency) AS BIGINT), 0) GROUP BY "Time")""")
 def q_frequency_pivot(spark, sf_dir):
     return FQ.frequency_pivot(_req(spark, sf_dir))
 
@@ -252,7 +252,7 @@ def q_frequency_pivot(spark, sf_dir):
 m AS (SELECT count(DISTINCT "Time") AS n FROM lg)""") + """
 SELECT service_level_1, round_even(sum(frequency) / max(m.n), 2) AS mean_frequency,
        CASE WHEN count(*) < max(m.n) THEN 0 ELSE min(frequency) END AS min_frequency,
-       max(frequency) AS max_frequency, sum(frequency) AS total_requests
+       max(frequency) AS max_frequency, CAST(sum(frequency) AS BIGINT) AS total_requests
 FROM lg, m GROUP BY 1""")
 def q_frequency_stats(spark, sf_dir):
     return FQ.frequency_stats(_req(spark, sf_dir))
@@ -364,7 +364,7 @@ def q_geo_top_unresolved(spark, sf_dir):
 feat AS (SELECT n_nationkey AS feature_idx,
                 CASE WHEN n_regionkey = 0 THEN '' ELSE n_name END AS k1,
                 CASE WHEN n_regionkey = 1 THEN NULL ELSE n_name END AS k2 FROM nation)""") + """
-SELECT f.feature_idx, coalesce(nullif(f.k1, ''), nullif(f.k2, '')) AS district,
+SELECT CAST(f.feature_idx AS BIGINT) AS feature_idx, coalesce(nullif(f.k1, ''), nullif(f.k2, '')) AS district,
        CAST(g.volume AS INTEGER) AS volume, CAST(g.unresolved AS INTEGER) AS unresolved,
        CAST(g.slow_p90 AS DOUBLE) AS slow_p90,
        coalesce(nullif(f.k1, ''), nullif(f.k2, '')) IS NOT NULL AS has_district,
@@ -426,7 +426,8 @@ def q_priority_top_time(spark, sf_dir):
 
 
 @register("agg_priority_summary", with_requests(_PRIO) + """
-SELECT count(*) AS groups, sum(request_count) AS total_requests, sum(open_count) AS total_open,
+SELECT count(*) AS groups, CAST(sum(request_count) AS BIGINT) AS total_requests,
+       CAST(sum(open_count) AS BIGINT) AS total_open,
        round_even(median(time_to_close_days), 6) AS median_time,
        round_even(avg(time_to_close_days), 6) AS mean_time, max(time_to_close_days) AS max_time FROM pq""")
 def q_priority_summary(spark, sf_dir):

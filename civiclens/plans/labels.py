@@ -138,7 +138,8 @@ def q_label_table(spark, sf_dir):
 
 
 @register("top_k_per_group", _MEMBERS + """
-SELECT level, parent_cluster_id, cluster_id, service_type, count, type_rank FROM tc WHERE type_rank <= 3""")
+SELECT level, parent_cluster_id, cluster_id, service_type, count, CAST(type_rank AS INTEGER) AS type_rank
+FROM tc WHERE type_rank <= 3""")
 def q_top_k_per_group(spark, sf_dir):
     return L.top_types(L.memberships(members_base(spark, sf_dir))).select(
         "level", "parent_cluster_id", "cluster_id", "service_type", "count",
@@ -204,7 +205,8 @@ def q_keywords(spark, sf_dir):
 
 
 @register("rank_clusters", _MEMBERS + """
-SELECT *, row_number() OVER (PARTITION BY level, parent_cluster_id ORDER BY size DESC, cluster_id) AS rank FROM cl""")
+SELECT *, CAST(row_number() OVER (PARTITION BY level, parent_cluster_id ORDER BY size DESC, cluster_id) AS INTEGER)
+       AS rank FROM cl""")
 def q_rank_clusters(spark, sf_dir):
     return L.rank_clusters(cluster_rows(spark, sf_dir))
 

@@ -220,9 +220,9 @@ geo AS (SELECT electoral_district AS d, count(*) AS volume,
                               THEN floor((epoch_us(date_closed) - epoch_us(date_created)) / 86400000000.0) END, 0.9) AS p90
         FROM requests WHERE electoral_district IS NOT NULL GROUP BY 1)""") + """
 SELECT (SELECT count(*) FILTER (WHERE contains(priority_category, 'High')) FROM pc) AS high_priority_count,
-       (SELECT sum(request_count) FROM pc) AS total_requests,
+       (SELECT CAST(sum(request_count) AS BIGINT) FROM pc) AS total_requests,
        (SELECT CAST(floor(avg(time_to_close_days) + 0.5) AS BIGINT) FROM pc) AS avg_time_to_close,
-       (SELECT sum(total_unresolved) FROM bl) AS backlog_total_unresolved,
+       (SELECT CAST(sum(total_unresolved) AS BIGINT) FROM bl) AS backlog_total_unresolved,
        (SELECT arg_min(service_level_1, (-total_unresolved, service_level_1)) FROM bl) AS backlog_top_category,
        (SELECT max(total_unresolved) FROM bl) AS backlog_top_value,
        (SELECT arg_min(d, (-volume, d)) FROM geo) AS highest_volume_district,

@@ -217,7 +217,7 @@ p AS (SELECT service_level_1, service_level_2, count(service_request_id) AS unre
              round_even(avg(age), 6) AS avg_age_days
       FROM s WHERE service_level_1 IS NOT NULL AND service_level_2 IS NOT NULL GROUP BY 1, 2),
 t AS (SELECT * FROM p ORDER BY unresolved_count DESC, avg_age_days DESC, service_level_1, service_level_2 LIMIT 15)""") + """
-SELECT service_level_1, sum(unresolved_count) AS shown_unresolved FROM t GROUP BY 1""")
+SELECT service_level_1, CAST(sum(unresolved_count) AS BIGINT) AS shown_unresolved FROM t GROUP BY 1""")
 def q_backlog_l1(spark, sf_dir):
     configure(spark)
     return RP.backlog_top15_by_l1(B.backlog_ranked(requests(spark, sf_dir)))

@@ -101,7 +101,7 @@ def q_cosine(spark, sf_dir):
 
 
 _SIMS = f"""
-sims AS (SELECT p.id AS query_id, c.cluster_id, {_cos('p.embedding', 'c.centroid')} AS s
+sims AS (SELECT p.id AS query_id, CAST(c.cluster_id AS BIGINT) AS cluster_id, {_cos('p.embedding', 'c.centroid')} AS s
          FROM pts p, c1v c)"""
 
 
