@@ -53,12 +53,27 @@ def rows_of(pdf):
     return cols, sorted(out, key=repr)
 
 
+# Spark simple type names -> DuckDB type names (for the schema check).
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+          "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "float": "FLOAT"}
+
+
+def schema_diff(sdf, con, sql: str) -> dict:
+    s = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+         for f in sdf.schema.fields}
+    d = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return {k: (s.get(k), d.get(k)) for k in set(s) | set(d) if s.get(k) != d.get(k)}
+
+
 def compare(spark, name: str, builder, sql: str | None, sf_dir: str, con=None):
     sdf = builder(spark, sf_dir)
     spdf = sdf.toPandas()
     if sql is None:
         return True, f"rows-only {len(spdf)}"
     con = con or duck(sf_dir)
+    types = schema_diff(sdf, con, sql)
+    if types:
+        return False, f"column types differ: {types}"
     opdf = con.execute(sql).df()
     sc, sr = rows_of(spdf)
     oc, orr = rows_of(opdf)
