@@ -27,13 +27,18 @@ def frequency_long(df: DataFrame, group: str = C.LEVEL1) -> DataFrame:
 def frequency_pivot(df: DataFrame, group: str = C.LEVEL1,
                     values: Sequence[str] | None = None) -> DataFrame:
     """Month rows x category columns, missing cells 0, no calendar densify
-    (a month without any row is absent, T14).  Passing ``values`` saves the
-    job Spark otherwise runs to discover them."""
-    ym = year_month(C.CREATED)
-    base = df.filter(F.col(C.CREATED).isNotNull() & F.col(group).isNotNull())
-    g = base.groupBy(ym.alias("Time"))
-    p = g.pivot(group, list(values)) if values is not None else g.pivot(group)
-    wide = p.count()
+    (a month without any row is absent, T14).
+
+    The fact rows are aggregated once into the long form (months x
+    categories, small) and cached; the category list (when not given) is
+    read from that small frame and the pivot runs on it, so the fact table
+    is scanned once instead of once for value discovery and once more for
+    the pivot.
+    """
+    long = frequency_long(df, group).cache()
+    if values is None:
+        values = [r[0] for r in long.select(group).distinct().orderBy(group).collect()]
+    wide = long.groupBy("Time").pivot(group, list(values)).agg(F.sum("frequency"))
     cats = [c for c in wide.columns if c != "Time"]
     return wide.na.fill(0, cats).orderBy("Time")
 
