@@ -42,10 +42,12 @@ def _sub_means(pts: DataFrame, vec: str) -> DataFrame:
     return g.select("top_cluster_id", "sub_cluster_id", vector_to_array("_m").alias("centroid"), "size")
 
 
-def _assign_sub(pts: DataFrame, cents: dict, vec: str, id_col: str) -> DataFrame:
-    """Nearest sub-centroid (squared Euclidean) within each point's parent."""
-    mats = {p: (np.asarray([c for _, c in sorted(v)], dtype=np.float64),
-                np.asarray([s for s, _ in sorted(v)])) for p, v in cents.items()}
+def _assign_sub(pts: DataFrame, cents: dict, vec: str, id_col: str,
+                keep_vec: bool = False) -> DataFrame:
+    """Nearest sub-centroid (squared Euclidean) within each point's parent;
+    ``cents`` maps parent -> {sub id: centroid} (at most k1*k2 entries)."""
+    mats = {p: (np.asarray([v[k] for k in sorted(v)], dtype=np.float64), np.asarray(sorted(v)))
+            for p, v in cents.items()}
 
     def run(it):
         for pdf in it:
@@ -59,47 +61,91 @@ def _assign_sub(pts: DataFrame, cents: dict, vec: str, id_col: str) -> DataFrame
                 m, ids = mats[p]
                 d = (x * x).sum(1)[:, None] - 2 * x @ m.T + (m * m).sum(1)[None, :]
                 sub[rows] = ids[np.argmin(d, axis=1)]
-            yield pd.DataFrame({id_col: pdf[id_col], "top_cluster_id": tops, "sub_cluster_id": sub})
-    return pts.select(id_col, "top_cluster_id", vec).mapInPandas(
-        run, f"{id_col} long, top_cluster_id int, sub_cluster_id int")
+            out = {id_col: pdf[id_col], "top_cluster_id": tops, "sub_cluster_id": sub}
+            if keep_vec:
+                out[vec] = pdf[vec]
+            yield pd.DataFrame(out)
+    schema = f"{id_col} long, top_cluster_id int, sub_cluster_id int"
+    if keep_vec:
+        schema += f", {vec} array<float>"
+    return pts.select(id_col, "top_cluster_id", vec).mapInPandas(run, schema)
+
+
+def _collect_means(pts: DataFrame, vec: str) -> dict:
+    """{parent: {sub: mean}}; at most k1*k2 rows reach the driver."""
+    out: dict = {}
+    for r in _sub_means(pts, vec).collect():
+        out.setdefault(r["top_cluster_id"], {})[r["sub_cluster_id"]] = np.asarray(r["centroid"])
+    return out
+
+
+def _seed_means(big: DataFrame, k2: int, seed: int, vec: str, id_col: str,
+                oversample: int = 8) -> dict:
+    """k-means++ start per parent over a hash sample of about
+    ``oversample * k2`` points of that parent (Bernoulli with probability
+    oversample*k2/n), so about k1*oversample*k2 rows reach the driver
+    whatever the data size; seeding itself is numpy on that sample."""
+    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    cand = big.filter(u < F.lit(float(oversample * k2)) / F.col("_n")).select(
+        "top_cluster_id", id_col, vec)
+    groups: dict = {}
+    for r in cand.collect():
+        groups.setdefault(r["top_cluster_id"], []).append((r[id_col], r[vec]))
+    cents: dict = {}
+    for p, pts in groups.items():
+        pts.sort(key=lambda t: t[0])
+        x = np.asarray([v for _, v in pts], dtype=np.float64)
+        rng = np.random.default_rng(seed + int(p))
+        chosen = [int(rng.integers(len(x)))]
+        d2 = ((x - x[chosen[0]]) ** 2).sum(1)
+        while len(chosen) < min(k2, len(x)):
+            tot = d2.sum()
+            nxt = int(rng.choice(len(x), p=d2 / tot)) if tot > 0 else int(rng.integers(len(x)))
+            chosen.append(nxt)
+            d2 = np.minimum(d2, ((x - x[nxt]) ** 2).sum(1))
+        cents[p] = {k: x[i] for k, i in enumerate(chosen)}
+    return cents
 
 
 def fit_sub(points: DataFrame, k2: int = 10, max_iter: int = 100, seed: int = 42,
-            vec: str = "embedding", id_col: str = "id", tol: float = 0.0) -> DataFrame:
-    """Sub-clusters inside every top cluster at once.
-
-    Parents with fewer than ``k2`` points keep everything in sub-cluster 0.
-    Start: each point goes to sub-cluster ``hash(id, seed) mod k2`` (random
-    partition start); then Lloyd rounds: means per (parent, sub) via
-    ``Summarizer`` (partial aggregation, so a hot parent is combined
-    map-side), nearest mean per point.  A sub-cluster that empties keeps its
-    previous mean.  Stops when no point moves or after ``max_iter`` rounds.
+            vec: str = "embedding", id_col: str = "id", tol: float = 1e-6):
+    """Sub-clusters inside every top cluster at once; returns
+    (assignments(id, top, sub), centroid table).
+
+    Parents with fewer than ``k2`` points keep everything in sub-cluster 0
+    (centroid = their mean).  Start: k-means++ seeds drawn per parent from a
+    small hash sample (``_seed_means``).  Each Lloyd round is
+    one scan of the points: assign every point to the nearest current mean
+    of its parent (Arrow batches, numpy) and aggregate the new means from
+    that output with ``Summarizer`` (partial aggregation, so a hot parent is
+    combined map-side).  A sub-cluster that empties keeps its previous mean.
+    Stops when no mean moves more than ``tol`` or after ``max_iter`` rounds.
     """
     spark = points.sparkSession
     checkpoint_dir(spark)
-    counts = points.groupBy("top_cluster_id").agg(F.count(F.lit(1)).alias("_n"))
+    counts = points.groupBy("top_cluster_id").agg(F.count(F.lit(1)).alias("_n"))  # k1 rows
     base = (points.select(id_col, "top_cluster_id", vec).join(F.broadcast(counts), "top_cluster_id")
                   .checkpoint(eager=True))
     small = F.col("_n") < k2
-    start = F.when(small, F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(k2)).cast("int"))
-    cur = base.withColumn("sub_cluster_id", start).select(id_col, "top_cluster_id", "sub_cluster_id")
-    cur = cur.checkpoint(eager=True)
-    cents: dict = {}
+    big = base.filter(~small)
+    cents = _seed_means(big, k2, seed, vec, id_col)
     for _ in range(max_iter):
-        pts = base.join(cur, [id_col, "top_cluster_id"])
-        for r in _sub_means(pts.filter(~small), vec).collect():  # <= k1*k2 rows
-            cents.setdefault(r["top_cluster_id"], {})[r["sub_cluster_id"]] = r["centroid"]
-        table = {p: [(s, c) for s, c in v.items()] for p, v in cents.items()}
-        nxt = _assign_sub(base.filter(~small), table, vec, id_col).unionByName(
-            base.filter(small).select(id_col, "top_cluster_id", F.lit(0).alias("sub_cluster_id")))
-        nxt = nxt.checkpoint(eager=True)
-        moved = (nxt.alias("a").join(cur.alias("b"), [id_col, "top_cluster_id"])
-                    .filter(F.col("a.sub_cluster_id") != F.col("b.sub_cluster_id")).count())
-        cur = nxt
-        if moved <= tol:
+        new = _collect_means(_assign_sub(big, cents, vec, id_col, keep_vec=True), vec)
+        shift = 0.0
+        for p, subs in new.items():
+            for k, c in subs.items():
+                shift = max(shift, float(np.linalg.norm(c - cents.get(p, {}).get(k, c + np.inf))))
+        for p, subs in new.items():
+            cents.setdefault(p, {}).update(subs)
+        if shift <= tol:
             break
-    return cur
+    final = _assign_sub(big, cents, vec, id_col, keep_vec=True).unionByName(
+        base.filter(small).select(id_col, "top_cluster_id", F.lit(0).alias("sub_cluster_id"), vec))
+    final = final.checkpoint(eager=True)
+    sub_cents = _sub_means(final, vec).select(
+        F.col("top_cluster_id").alias("parent_cluster_id"), F.col("sub_cluster_id").alias("cluster_id"),
+        "centroid", "size")
+    return final.select(id_col, "top_cluster_id", "sub_cluster_id"), sub_cents
 
 
 def hierarchical(points: DataFrame, k1: int = 25, k2: int = 10, seed: int = 42,
@@ -108,10 +154,7 @@ def hierarchical(points: DataFrame, k1: int = 25, k2: int = 10, seed: int = 42,
     (assignments(id, top, sub), top centroids, sub centroids)."""
     top, top_cents = fit_top(points, k1, seed, max_iter, vec, id_col)
     pts = points.select(id_col, vec).join(top, id_col)
-    sub = fit_sub(pts, k2, max_iter, seed, vec, id_col)
-    sub_cents = _sub_means(pts.join(sub.drop("top_cluster_id"), id_col), vec).select(
-        F.col("top_cluster_id").alias("parent_cluster_id"), F.col("sub_cluster_id").alias("cluster_id"),
-        "centroid", "size")
+    sub, sub_cents = fit_sub(pts, k2, max_iter, seed, vec, id_col)
     return sub, top_cents, sub_cents
 
 
