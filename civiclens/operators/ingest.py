@@ -34,6 +34,24 @@ def require_columns(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -
     return df
 
 
+def column_report(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
+    """One row per required column: whether it exists and how many rows hold
+    a value (one aggregate over the table; missing columns count null)."""
+    have = set(df.columns)
+    present = [c for c in required if c in have]
+    counts = df.agg(*[F.count(q(c)).alias(f"c{i}") for i, c in enumerate(present)]) if present else None
+    rows = []
+    for c in required:
+        if c in have:
+            rows.append(F.struct(F.lit(c).alias("column"), F.lit(True).alias("present"),
+                                 F.col(f"c{present.index(c)}").alias("non_null_rows")))
+        else:
+            rows.append(F.struct(F.lit(c).alias("column"), F.lit(False).alias("present"),
+                                 F.lit(None).cast("long").alias("non_null_rows")))
+    base = counts if counts is not None else df.sparkSession.range(1)
+    return base.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def required_rows(df: DataFrame, subset: Sequence[str] = REQUIRED_VALUES) -> DataFrame:
     """Rows with all required values non-null (``dropna(subset)``)."""
     return df.dropna(subset=list(subset))

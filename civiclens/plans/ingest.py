@@ -110,12 +110,13 @@ def q_src_csv(spark, sf_dir):
     return files.read_csv(spark, path, schema)
 
 
-@register("ing_required_columns", "SELECT CAST(NULL AS VARCHAR) AS missing_column WHERE false")
+@register("ing_required_columns", with_requests(RAW_CTE) + """
+SELECT 'Service Request ID' AS "column", true AS present, count("Service Request ID") AS non_null_rows FROM raw UNION ALL SELECT 'Reference Number' AS "column", true AS present, count("Reference Number") AS non_null_rows FROM raw UNION ALL SELECT 'Service Type' AS "column", true AS present, count("Service Type") AS non_null_rows FROM raw UNION ALL SELECT 'Date Created' AS "column", true AS present, count("Date Created") AS non_null_rows FROM raw UNION ALL SELECT 'Date Closed' AS "column", true AS present, count("Date Closed") AS non_null_rows FROM raw UNION ALL SELECT 'Electoral District' AS "column", true AS present, count("Electoral District") AS non_null_rows FROM raw UNION ALL SELECT 'Neighbourhood' AS "column", true AS present, count("Neighbourhood") AS non_null_rows FROM raw""")
 def q_required_columns(spark, sf_dir):
-    raw = _raw(spark, sf_dir)
-    miss = I.missing_columns(raw)
-    return raw.limit(0).select(F.lit(None).cast("string").alias("missing_column")).unionByName(
-        spark.createDataFrame([(m,) for m in miss], "missing_column string"))
+    """Required-column check of the raw rows: presence and filled rows per
+    column (``require_columns`` raises on a missing one)."""
+    raw = I.require_columns(_raw(spark, sf_dir))
+    return I.column_report(raw)
 
 
 @register("ing_required_rows", with_requests(RAW_CTE) + """

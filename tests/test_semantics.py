@@ -84,3 +84,13 @@ def test_parse_date_layouts(spark):
     d = dt.date
     assert got == [d(2024, 1, 2), d(2024, 1, 2), d(2024, 2, 13), d(2024, 1, 2), d(2024, 1, 2),
                    d(2024, 1, 2), None, None, None]
+
+
+def test_required_columns_report_and_error(spark):
+    import pytest
+    from civiclens.operators import ingest as I
+    df = spark.createDataFrame([("1", None), (None, "x")], "`Service Request ID` string, `Service Type` string")
+    rep = {r.column: (r.present, r.non_null_rows) for r in I.column_report(df).collect()}
+    assert rep["Service Request ID"] == (True, 1) and rep["Date Created"] == (False, None)
+    with pytest.raises(I.MissingColumnsError):
+        I.require_columns(df)
