@@ -53,17 +53,6 @@ def geo_top5(geo: DataFrame, by: str = "volume", k: int = 5) -> DataFrame:
     return top_k(g, k, [F.desc(by), F.asc("electoral_district")])
 
 
-def read_geojson(spark, path: str) -> DataFrame:
-    """FeatureCollection -> one row per feature with its index, properties as
-    map<string,string> and the geometry kept as JSON text."""
-    raw = spark.read.option("multiLine", True).json(path)
-    feats = raw.select(F.posexplode("features").alias("feature_idx", "f"))
-    return feats.select(
-        "feature_idx",
-        F.from_json(F.to_json("f.properties"), "map<string,string>").alias("properties"),
-        F.to_json("f.geometry").alias("geometry"))
-
-
 def district_of(props: str = "properties"):
     """First non-empty of the three district property names."""
     vals = [F.nullif(F.col(props)[k], F.lit("")) for k in DISTRICT_KEYS]

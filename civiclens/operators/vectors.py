@@ -204,14 +204,14 @@ def ranked(queries: DataFrame, cents: DataFrame, id_col: str = "query_id", vec:
             ok, q, qn = _queries(pdf, vec)
             qids = pdf[id_col].to_numpy()[ok]
             s = _cos_batch(q, qn, m, mn)
-            out = []
-            for i in range(len(qids)):
-                order = np.lexsort((ids, -s[i]))
-                out.append(pd.DataFrame({id_col: qids[i], cid: ids[order],
-                                         "similarity": np.round(s[i][order], digits),
-                                         "rank": np.arange(1, len(order) + 1)}))
-            yield (pd.concat(out) if out else
-                   pd.DataFrame({id_col: [], cid: [], "similarity": [], "rank": []}))
+            k = len(ids)
+            # ids are ascending, so a stable sort on -similarity breaks ties
+            # by the lower id
+            order = np.argsort(-s, axis=1, kind="stable") if k else np.zeros((len(qids), 0), int)
+            yield pd.DataFrame({id_col: np.repeat(qids, k).astype(np.int64),
+                                cid: ids[order].reshape(-1).astype(np.int64) if k else np.zeros(0, np.int64),
+                                "similarity": np.round(np.take_along_axis(s, order, 1).reshape(-1), digits),
+                                "rank": np.tile(np.arange(1, k + 1), len(qids)).astype(np.int64)})
     schema = f"{id_col} long, {cid} long, similarity double, rank long"
     return queries.select(id_col, vec).mapInPandas(run, schema)
 
