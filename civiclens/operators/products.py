@@ -16,7 +16,7 @@ from civiclens.operators import frequency as FQ
 from civiclens.operators import geo as G
 from civiclens.operators import priority as P
 from civiclens.operators import rankings as R
-from civiclens.sources.requests import requests
+from civiclens.sources.requests import fact_requests
 
 
 @dataclass(frozen=True)
@@ -67,13 +67,13 @@ def load(spark: SparkSession, sf_dir: str, product_id: str, reqs: DataFrame | No
     p = CATALOG.get(product_id)
     if p is None:
         return None
-    df = p.build(reqs if reqs is not None else requests(spark, sf_dir))
+    df = p.build(reqs if reqs is not None else fact_requests(spark, sf_dir))
     return df.filter(p.predicate) if p.predicate else df
 
 
 def load_many(spark: SparkSession, sf_dir: str, ids) -> dict[str, DataFrame]:
     """Several products over one cached request frame; unknown ids skipped."""
-    reqs = requests(spark, sf_dir).cache()
+    reqs = fact_requests(spark, sf_dir).cache()
     out = {}
     for i in ids:
         df = load(spark, sf_dir, i, reqs)

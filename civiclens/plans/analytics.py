@@ -14,13 +14,13 @@ from civiclens.operators import priority as P
 from civiclens.plans.oracle import NOW, OPEN, SOLVED, days, with_requests
 from civiclens.plans.registry import register
 from civiclens.session import configure
-from civiclens.sources.requests import requests
+from civiclens.sources.requests import fact_requests
 from civiclens.sources.tables import read_table
 
 
 def _req(spark, sf_dir):
     configure(spark)
-    return requests(spark, sf_dir)
+    return fact_requests(spark, sf_dir)
 
 
 # ---------------------------------------------------------------- backlog

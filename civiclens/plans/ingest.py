@@ -17,14 +17,14 @@ from civiclens.plans.registry import register
 from civiclens.session import checkpoint_dir, configure
 from civiclens.sources import files
 from civiclens.sources.raw import raw_requests
-from civiclens.sources.requests import requests
+from civiclens.sources.requests import fact_requests
 
 KEYS = list(C.ROW_ORDER)
 
 
 def _req(spark, sf_dir):
     configure(spark)
-    return requests(spark, sf_dir)
+    return fact_requests(spark, sf_dir)
 
 
 def _raw(spark, sf_dir):

@@ -26,7 +26,7 @@ u AS (SELECT *, {days(NOW, 'date_created')} AS age FROM requests
 from civiclens.plans.registry import register
 from civiclens.plans.vectors import points as vpoints
 from civiclens.session import configure
-from civiclens.sources.requests import requests
+from civiclens.sources.requests import fact_requests
 from civiclens.sources.tables import read_table
 
 KEYS = list(C.ROW_ORDER)
@@ -35,7 +35,7 @@ _K = "service_request_id, l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 def _req(spark, sf_dir):
     configure(spark)
-    return requests(spark, sf_dir)
+    return fact_requests(spark, sf_dir)
 
 
 @register("prj_age_days", with_requests() + f"SELECT {_K}, {days(NOW, 'date_created')} AS age_days FROM requests")

@@ -6,12 +6,12 @@ from civiclens.operators import rankings as R
 from civiclens.plans.oracle import NOW, OPEN, SOLVED, days, with_requests
 from civiclens.plans.registry import register
 from civiclens.session import configure
-from civiclens.sources.requests import requests
+from civiclens.sources.requests import fact_requests
 
 
 def _req(spark, sf_dir):
     configure(spark)
-    return requests(spark, sf_dir)
+    return fact_requests(spark, sf_dir)
 
 
 @register("top_volume", with_requests(f"""

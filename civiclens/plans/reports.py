@@ -19,13 +19,13 @@ from civiclens.operators import report as RP
 from civiclens.plans.oracle import NOW, with_requests
 from civiclens.plans.registry import register
 from civiclens.session import configure
-from civiclens.sources.requests import requests
+from civiclens.sources.requests import fact_requests
 from civiclens.sources.tables import read_table
 
 
 def metric_strings(spark, sf_dir):
     configure(spark)
-    t = R.trending_counts(requests(spark, sf_dir)).withColumn("g", R.growth_rate())
+    t = R.trending_counts(fact_requests(spark, sf_dir)).withColumn("g", R.growth_rate())
     cat = F.initcap(F.lower(F.col(C.LEVEL1)))
     s1 = t.select(F.format_string("%s%% growth in %s", F.col("g").cast("string"), cat).alias("metric"),
                   F.lit(1).alias("_row"))
@@ -205,7 +205,7 @@ SELECT *, round_even(request_count / sum(request_count) OVER () * 100.0, 2) AS s
     "WITH requests AS", "WITH requests AS", 1))
 def q_top15(spark, sf_dir):
     configure(spark)
-    pq = (requests(spark, sf_dir).filter(F.col(C.DISTRICT).isNotNull()).groupBy(F.col(C.DISTRICT).alias("group"))
+    pq = (fact_requests(spark, sf_dir).filter(F.col(C.DISTRICT).isNotNull()).groupBy(F.col(C.DISTRICT).alias("group"))
           .agg(F.count(F.lit(1)).alias("request_count")))
     return RP.top15(pq, "request_count", "group")
 
@@ -220,7 +220,7 @@ t AS (SELECT * FROM p ORDER BY unresolved_count DESC, avg_age_days DESC, service
 SELECT service_level_1, CAST(sum(unresolved_count) AS BIGINT) AS shown_unresolved FROM t GROUP BY 1""")
 def q_backlog_l1(spark, sf_dir):
     configure(spark)
-    return RP.backlog_top15_by_l1(B.backlog_ranked(requests(spark, sf_dir)))
+    return RP.backlog_top15_by_l1(B.backlog_ranked(fact_requests(spark, sf_dir)))
 
 
 @register("rep_last15")
@@ -228,7 +228,7 @@ def q_last15(spark, sf_dir):
     """Last 15 months of the frequency pivot, first five category columns
     (rows-only: the column set depends on the data's categories)."""
     configure(spark)
-    return RP.last_periods(FQ.frequency_pivot(requests(spark, sf_dir)))
+    return RP.last_periods(FQ.frequency_pivot(fact_requests(spark, sf_dir)))
 
 
 _BAND = ("CASE WHEN CAST(replace(pcts[i], '%', '') AS DOUBLE) > 50 THEN 'substantial growth' "
@@ -256,7 +256,7 @@ SELECT service_level_1 AS "group", count(*) AS request_count FROM pb GROUP BY 1
 ORDER BY request_count DESC, "group" LIMIT 10""")
 def q_priority_top_volume(spark, sf_dir):
     configure(spark)
-    return P.priority_top(P.priority(requests(spark, sf_dir)), "request_count").select("group", "request_count")
+    return P.priority_top(P.priority(fact_requests(spark, sf_dir)), "request_count").select("group", "request_count")
 
 
 @register("met_value", _MS + " SELECT metric, value, unit FROM pm")
