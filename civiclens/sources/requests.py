@@ -80,21 +80,22 @@ def requests(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None
     )
 
 
-def materialize(df: DataFrame, path: str, salt: int = 8) -> None:
+def materialize(df: DataFrame, path: str) -> None:
     """Write the fact table once, partitioned by creation month.
 
-    Month plus a hash salt is the shuffle key, so a month holding a third of
-    all rows still spreads over ``salt`` tasks (and files); within a file the
-    rows share one month, so Parquet min/max statistics on ``date_created``
-    let time-window filters skip row groups.
+    The ``rebalance`` hint lets AQE size the write: a month holding a third
+    of all rows is split over several tasks (skewed rebalance partitions are
+    split), small months are coalesced, so file sizes follow the data rather
+    than a fixed salt.  Within a file the rows share one month, so Parquet
+    min/max statistics on ``date_created`` let time-window filters skip row
+    groups.
     """
     (df.withColumn("created_month", F.date_format(C.CREATED, "yyyy-MM"))
-       .withColumn("_salt", F.pmod(F.xxhash64(*C.ROW_ORDER), F.lit(salt)))
-       .repartition("created_month", "_salt").drop("_salt")
+       .hint("rebalance", "created_month")
        .write.mode("overwrite").partitionBy("created_month").parquet(path))
 
 
-def fact_requests(spark: SparkSession, sf_dir: str, salt: int = 8) -> DataFrame:
+def fact_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request table as the reference stores it: derived from the base
     tables once per session, written under the shared checkpoint folder, and
     read back by every query (no five-table join per query)."""
@@ -102,7 +103,7 @@ def fact_requests(spark: SparkSession, sf_dir: str, salt: int = 8) -> DataFrame:
     key = hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()
     path = os.path.join(checkpoint_dir(spark), "civiclens", "facts", key)
     if not os.path.exists(os.path.join(path, "_SUCCESS")) and not _exists(spark, path):
-        materialize(requests(spark, sf_dir), path, salt)
+        materialize(requests(spark, sf_dir), path)
     return spark.read.parquet(path).drop("created_month")
 
 
