@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclens.sources.requests import requests
+from civiclens.sources.requests import fact_requests, requests
 
 # Raw column headers.
 RAW_COLUMNS = ("Service Request ID", "Reference Number", "Service Type", "Date Created",
@@ -38,7 +38,9 @@ def render_date(ts, layout_no) -> F.Column:
 
 
 def raw_requests(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
-    r = requests(spark, sf_dir, lineitem)
+    """Batch: rendered from the materialized request table.  Streaming: from
+    arriving line items joined to the (static) dimension tables."""
+    r = requests(spark, sf_dir, lineitem) if lineitem is not None else fact_requests(spark, sf_dir)
     ln = F.col("l_linenumber")
     sid = F.when((ln == 7) & (F.col("status_type") == "Unresolved"), F.lit(None)).otherwise(
         F.col("service_request_id"))
