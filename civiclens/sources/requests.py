@@ -95,12 +95,36 @@ def materialize(df: DataFrame, path: str) -> None:
        .write.mode("overwrite").partitionBy("created_month").parquet(path))
 
 
+# Bump when the derivation in ``requests`` changes, so a table written by an
+# older version in a persistent shared folder is not reused.
+FACT_VERSION = 2
+_BASE_TABLES = ("lineitem", "orders", "part", "customer", "nation")
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Derivation version plus size and modification time of each base file
+    (Hadoop FileSystem, so it works on any shared storage)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    parts = [str(FACT_VERSION), os.path.abspath(sf_dir)]
+    for t in _BASE_TABLES:
+        p = jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{t}.parquet"))
+        fs = p.getFileSystem(conf)
+        total, newest = 0, 0
+        for st in fs.listStatus(p):
+            total += st.getLen()
+            newest = max(newest, st.getModificationTime())
+        parts.append(f"{t}:{total}:{newest}")
+    return hashlib.md5("|".join(parts).encode()).hexdigest()
+
+
 def fact_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request table as the reference stores it: derived from the base
-    tables once per session, written under the shared checkpoint folder, and
-    read back by every query (no five-table join per query)."""
+    tables once, written under the shared checkpoint folder, and read back by
+    every query (no five-table join per query).  Keyed by a fingerprint of
+    the derivation version and the base files."""
     from civiclens.session import checkpoint_dir
-    key = hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()
+    key = _fingerprint(spark, sf_dir)
     path = os.path.join(checkpoint_dir(spark), "civiclens", "facts", key)
     if not os.path.exists(os.path.join(path, "_SUCCESS")) and not _exists(spark, path):
         materialize(requests(spark, sf_dir), path)
