@@ -45,7 +45,9 @@ def resolve_as_of(df: DataFrame, as_of=None, col: str = CREATED) -> Column:
         return as_of_max(df, col)
     if isinstance(as_of, Column):
         return as_of
-    return F.lit(as_of).cast("timestamp_ntz")
+    if hasattr(as_of, "isoformat"):  # datetime: text keeps it free of time zones
+        as_of = as_of.isoformat(sep=" ")
+    return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
 def year_month(ts) -> Column:

@@ -26,7 +26,7 @@ u AS (SELECT *, {days(NOW, 'date_created')} AS age FROM requests
 from civiclens.plans.registry import register
 from civiclens.plans.vectors import points as vpoints
 from civiclens.session import configure
-from civiclens.sources.requests import fact_requests
+from civiclens.sources.requests import fact_requests, latest_created
 from civiclens.sources.tables import read_table
 
 KEYS = list(C.ROW_ORDER)
@@ -94,7 +94,8 @@ def q_category_fallback(spark, sf_dir):
 SELECT {_K} FROM requests WHERE date_created >= {NOW} - INTERVAL 90 DAY""")
 def q_time_range(spark, sf_dir):
     r = _req(spark, sf_dir)
-    return r.filter(F.col(C.CREATED) >= minus_days(resolve_as_of(r), 90)).select(C.REQUEST_ID, *KEYS)
+    now = resolve_as_of(r, latest_created(spark, sf_dir))
+    return r.filter(F.col(C.CREATED) >= minus_days(now, 90)).select(C.REQUEST_ID, *KEYS)
 
 
 _GEO = f"""
@@ -134,7 +135,7 @@ tc AS (SELECT neighbourhood, service_level_1 AS top_category FROM (
 SELECT v.neighbourhood, v.volume, t.top_category FROM vol v JOIN tc t ON v.neighbourhood = t.neighbourhood""")
 def q_hotspot_inner(spark, sf_dir):
     r = _req(spark, sf_dir)
-    now = resolve_as_of(r)
+    now = resolve_as_of(r, latest_created(spark, sf_dir))
     rc = r.filter((F.col(C.CREATED) >= minus_days(now, 30)) & F.col(C.NEIGHBOURHOOD).isNotNull())
     vol = rc.groupBy(C.NEIGHBOURHOOD).agg(F.count(F.lit(1)).alias("volume"))
     top = R.mode_by_group(rc, C.NEIGHBOURHOOD, C.LEVEL1, "top_category")

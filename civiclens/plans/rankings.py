@@ -6,7 +6,7 @@ from civiclens.operators import rankings as R
 from civiclens.plans.oracle import NOW, OPEN, SOLVED, days, with_requests
 from civiclens.plans.registry import register
 from civiclens.session import configure
-from civiclens.sources.requests import fact_requests
+from civiclens.sources.requests import fact_requests, latest_created
 
 
 def _req(spark, sf_dir):
@@ -21,7 +21,7 @@ g AS (SELECT service_level_1 AS category, count(*) AS volume FROM requests
 SELECT category, volume, round_even(volume / sum(volume) OVER () * 100.0, 2) AS pct_of_total
 FROM g ORDER BY volume DESC, category LIMIT 10""")
 def q_top_volume(spark, sf_dir):
-    return R.top_volume(_req(spark, sf_dir))
+    return R.top_volume(_req(spark, sf_dir), as_of=latest_created(spark, sf_dir))
 
 
 _CLOSED_DAYS = f"""
@@ -77,7 +77,7 @@ t AS (SELECT category, recent_volume, previous_volume,
 @register("top_trending", with_requests(_TREND) + """
 SELECT * FROM t WHERE previous_volume >= 5 ORDER BY absolute_change DESC, category LIMIT 10""")
 def q_top_trending(spark, sf_dir):
-    return R.top_trending(_req(spark, sf_dir))
+    return R.top_trending(_req(spark, sf_dir), as_of=latest_created(spark, sf_dir))
 
 
 @register("jn_trend_outer", with_requests(f"""
@@ -91,7 +91,7 @@ SELECT coalesce(r.category, p.category) AS category,
 FROM r FULL OUTER JOIN p ON r.category = p.category""")
 def q_jn_trend_outer(spark, sf_dir):
     """Single-pass conditional counts; the oracle is the two-count outer join."""
-    return R.trending_counts(_req(spark, sf_dir)).withColumnRenamed(
+    return R.trending_counts(_req(spark, sf_dir), as_of=latest_created(spark, sf_dir)).withColumnRenamed(
         "service_level_1", "category")
 
 
@@ -113,7 +113,7 @@ hot AS (SELECT v.neighbourhood, v.volume,
 @register("top_geo_hotspots", with_requests(_HOT) + """
 SELECT * FROM hot ORDER BY volume DESC, neighbourhood LIMIT 10""")
 def q_top_geo_hotspots(spark, sf_dir):
-    return R.top_geo_hotspots(_req(spark, sf_dir))
+    return R.top_geo_hotspots(_req(spark, sf_dir), as_of=latest_created(spark, sf_dir))
 
 
 _COMBINED = with_requests(
@@ -167,4 +167,5 @@ def q_top_combined(spark, sf_dir):
     """The five rankings share one scan: the request frame is pruned to the
     five columns they read and cached (recomputed from lineage if lost)."""
     cols = ["service_level_1", "date_created", "date_closed", "status_type", "neighbourhood"]
-    return R.top_combined(_req(spark, sf_dir).select(*cols).cache())
+    return R.top_combined(_req(spark, sf_dir).select(*cols).cache(),
+                          as_of=latest_created(spark, sf_dir))

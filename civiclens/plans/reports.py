@@ -19,13 +19,14 @@ from civiclens.operators import report as RP
 from civiclens.plans.oracle import NOW, with_requests
 from civiclens.plans.registry import register
 from civiclens.session import configure
-from civiclens.sources.requests import fact_requests
+from civiclens.sources.requests import fact_requests, latest_created
 from civiclens.sources.tables import read_table
 
 
 def metric_strings(spark, sf_dir):
     configure(spark)
-    t = R.trending_counts(fact_requests(spark, sf_dir)).withColumn("g", R.growth_rate())
+    t = R.trending_counts(fact_requests(spark, sf_dir), as_of=latest_created(spark, sf_dir)).withColumn(
+        "g", R.growth_rate())
     cat = F.initcap(F.lower(F.col(C.LEVEL1)))
     s1 = t.select(F.format_string("%s%% growth in %s", F.col("g").cast("string"), cat).alias("metric"),
                   F.lit(1).alias("_row"))

@@ -118,14 +118,42 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.md5("|".join(parts).encode()).hexdigest()
 
 
+def fact_path(spark: SparkSession, sf_dir: str) -> str:
+    from civiclens.session import checkpoint_dir
+    return os.path.join(checkpoint_dir(spark), "civiclens", "facts", _fingerprint(spark, sf_dir))
+
+
+def latest_created(spark: SparkSession, sf_dir: str):
+    """max(date_created) read from the newest month folder only.
+
+    Month folders are listed from storage metadata (one entry per month);
+    only the newest non-empty month is scanned.  The value comes back as a
+    Python datetime so callers can use it as a literal: unlike a scalar
+    subquery, a literal bound reaches the Parquet scan and skips row groups
+    of older months.
+    """
+    fact_requests(spark, sf_dir)
+    root = fact_path(spark, sf_dir)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    months = sorted((st.getPath().getName()[len("created_month="):] for st in fs.listStatus(p)
+                     if st.getPath().getName().startswith("created_month=")
+                     and "__HIVE_DEFAULT_PARTITION__" not in st.getPath().getName()), reverse=True)
+    for m in months:
+        v = spark.read.parquet(os.path.join(root, f"created_month={m}")).agg(
+            F.max(C.CREATED)).first()[0]
+        if v is not None:
+            return v
+    return None
+
+
 def fact_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request table as the reference stores it: derived from the base
     tables once, written under the shared checkpoint folder, and read back by
     every query (no five-table join per query).  Keyed by a fingerprint of
     the derivation version and the base files."""
-    from civiclens.session import checkpoint_dir
-    key = _fingerprint(spark, sf_dir)
-    path = os.path.join(checkpoint_dir(spark), "civiclens", "facts", key)
+    path = fact_path(spark, sf_dir)
     if not os.path.exists(os.path.join(path, "_SUCCESS")) and not _exists(spark, path):
         materialize(requests(spark, sf_dir), path)
     return spark.read.parquet(path).drop("created_month")
