@@ -14,7 +14,7 @@ from civiclens.operators import priority as P
 from civiclens.plans.oracle import NOW, OPEN, SOLVED, days, with_requests
 from civiclens.plans.registry import register
 from civiclens.session import configure
-from civiclens.sources.requests import fact_requests
+from civiclens.sources.requests import fact_requests, latest_created
 from civiclens.sources.tables import read_table
 
 
@@ -41,7 +41,7 @@ SELECT ['0-7 days', '8-14 days', '15-30 days', '31-60 days', '61-90 days', '91-1
         '181-365 days', '1-2 years', '2+ years'][o + 1] AS age_bin, service_level_1, count(*) AS count
 FROM b WHERE o IS NOT NULL GROUP BY o, service_level_1""")
 def q_backlog_hist(spark, sf_dir):
-    return B.backlog_hist(_req(spark, sf_dir))
+    return B.backlog_hist(_req(spark, sf_dir), as_of=latest_created(spark, sf_dir))
 
 
 @register("agg_backlog_level1", with_requests(_UNRES) + """
@@ -51,7 +51,7 @@ SELECT service_level_1, count(age) AS total_unresolved,
        round_even(count(*) FILTER (WHERE age > 90) / count(age) * 100.0, 2) AS pct_over_90_days
 FROM u WHERE service_level_1 IS NOT NULL GROUP BY 1""")
 def q_backlog_level1(spark, sf_dir):
-    return B.backlog_level1(_req(spark, sf_dir))
+    return B.backlog_level1(_req(spark, sf_dir), as_of=latest_created(spark, sf_dir))
 
 
 _STRICT = f"""
@@ -64,7 +64,7 @@ p AS (SELECT service_level_1, service_level_2, count(service_request_id) AS unre
       FROM s WHERE service_level_1 IS NOT NULL AND service_level_2 IS NOT NULL GROUP BY 1, 2)""") + """
 SELECT *, CAST(sum(unresolved_count) OVER (PARTITION BY service_level_1) AS BIGINT) AS level1_total FROM p""")
 def q_backlog_ranked(spark, sf_dir):
-    return B.backlog_ranked(_req(spark, sf_dir))
+    return B.backlog_ranked(_req(spark, sf_dir), as_of=latest_created(spark, sf_dir))
 
 
 @register("jn_total_lookup", with_requests(_STRICT, """
@@ -76,7 +76,7 @@ FROM p JOIN t ON p.service_level_1 = t.service_level_1""")
 def q_total_lookup(spark, sf_dir):
     """Group total mapped back onto the pairs by a partitioned window; the
     oracle uses the reference's join form."""
-    return B.backlog_ranked(_req(spark, sf_dir)).select(
+    return B.backlog_ranked(_req(spark, sf_dir), as_of=latest_created(spark, sf_dir)).select(
         C.LEVEL1, C.LEVEL2, "unresolved_count", "level1_total")
 
 
@@ -85,7 +85,7 @@ SELECT service_level_1, count(service_request_id) AS unresolved_count,
        round_even(avg(age), 6) AS avg_age_days
 FROM s WHERE service_level_1 IS NOT NULL GROUP BY 1""")
 def q_backlog_ranked_l1(spark, sf_dir):
-    return B.backlog_ranked_l1(_req(spark, sf_dir))
+    return B.backlog_ranked_l1(_req(spark, sf_dir), as_of=latest_created(spark, sf_dir))
 
 
 @register("agg_backlog_rollup", with_requests(_STRICT) + """
@@ -94,7 +94,7 @@ SELECT service_level_1, service_level_2, CAST(grouping(service_level_1, service_
 FROM s WHERE service_level_1 IS NOT NULL AND service_level_2 IS NOT NULL
 GROUP BY ROLLUP (service_level_1, service_level_2)""")
 def q_backlog_rollup(spark, sf_dir):
-    return B.backlog_rollup(_req(spark, sf_dir))
+    return B.backlog_rollup(_req(spark, sf_dir), as_of=latest_created(spark, sf_dir))
 
 
 @register("agg_backlog_totals", with_requests(_STRICT) + """
@@ -102,14 +102,14 @@ SELECT count(*) AS total_unresolved, count(DISTINCT service_level_1) AS n_level1
        count(DISTINCT service_level_2) AS n_level2, round_even(avg(age), 6) AS avg_age_days,
        max(age) AS oldest_age_days, min(age) AS newest_age_days FROM s""")
 def q_backlog_totals(spark, sf_dir):
-    return B.backlog_totals(_req(spark, sf_dir))
+    return B.backlog_totals(_req(spark, sf_dir), as_of=latest_created(spark, sf_dir))
 
 
 @register("agg_age_stats", with_requests(_UNRES) + """
 SELECT min(age) AS min_age_days, max(age) AS max_age_days, round_even(avg(age), 6) AS avg_age_days,
        round_even(median(age), 6) AS median_age_days FROM u""")
 def q_age_stats(spark, sf_dir):
-    return B.age_stats(_req(spark, sf_dir))
+    return B.age_stats(_req(spark, sf_dir), as_of=latest_created(spark, sf_dir))
 
 
 @register("agg_status_counts", with_requests() + """

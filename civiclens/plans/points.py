@@ -41,7 +41,8 @@ def _req(spark, sf_dir):
 @register("prj_age_days", with_requests() + f"SELECT {_K}, {days(NOW, 'date_created')} AS age_days FROM requests")
 def q_age_days(spark, sf_dir):
     r = _req(spark, sf_dir)
-    return r.select(C.REQUEST_ID, *KEYS, floor_days(resolve_as_of(r), C.CREATED).alias("age_days"))
+    now = resolve_as_of(r, latest_created(spark, sf_dir))
+    return r.select(C.REQUEST_ID, *KEYS, floor_days(now, C.CREATED).alias("age_days"))
 
 
 @register("prj_age_or_duration", with_requests() + f"""
@@ -50,7 +51,8 @@ SELECT * FROM (SELECT {_K}, CASE WHEN {OPEN} THEN {days(NOW, 'date_created')}
 WHERE age_days >= 0""")
 def q_age_or_duration(spark, sf_dir):
     r = _req(spark, sf_dir)
-    return R.age_or_duration(r, resolve_as_of(r)).select(C.REQUEST_ID, *KEYS, "age_days")
+    return R.age_or_duration(r, resolve_as_of(r, latest_created(spark, sf_dir))).select(
+        C.REQUEST_ID, *KEYS, "age_days")
 
 
 @register("prj_recent_flag", with_requests() + f"""
@@ -241,7 +243,7 @@ def q_kpi(spark, sf_dir):
     a = pc.agg(F.count_if(F.col("priority_category").contains("High")).alias("high_priority_count"),
                F.sum("request_count").alias("total_requests"),
                F.floor(F.avg("time_to_close_days") + F.lit(0.5)).alias("avg_time_to_close"))
-    bl = B.backlog_level1(r)
+    bl = B.backlog_level1(r, as_of=latest_created(spark, sf_dir))
     b = bl.agg(F.sum("total_unresolved").alias("backlog_total_unresolved"),
                F.min_by(C.LEVEL1, F.struct(-F.col("total_unresolved"), F.col(C.LEVEL1)))
                .alias("backlog_top_category"),

@@ -55,7 +55,7 @@ s AS (SELECT service_level_1 AS category,
       FROM a GROUP BY 1 HAVING count(*) FILTER (WHERE age >= 0) >= 10)""") + """
 SELECT * FROM s ORDER BY p90_age_days DESC, category LIMIT 10""")
 def q_top_backlog_age(spark, sf_dir):
-    return R.top_backlog_age(_req(spark, sf_dir))
+    return R.top_backlog_age(_req(spark, sf_dir), as_of=latest_created(spark, sf_dir))
 
 
 _TREND = f"""

@@ -221,7 +221,8 @@ t AS (SELECT * FROM p ORDER BY unresolved_count DESC, avg_age_days DESC, service
 SELECT service_level_1, CAST(sum(unresolved_count) AS BIGINT) AS shown_unresolved FROM t GROUP BY 1""")
 def q_backlog_l1(spark, sf_dir):
     configure(spark)
-    return RP.backlog_top15_by_l1(B.backlog_ranked(fact_requests(spark, sf_dir)))
+    return RP.backlog_top15_by_l1(B.backlog_ranked(fact_requests(spark, sf_dir),
+                                                   as_of=latest_created(spark, sf_dir)))
 
 
 @register("rep_last15")
