@@ -51,6 +51,17 @@ def hashing_encoder(df: DataFrame, text_col: str, out_col: str = "embedding",
     return out.withColumn(out_col, vec).drop("_txt", "_tok", "_tf", "_nv")
 
 
+_WORKER_MODELS: dict = {}
+
+
+def worker_model(name: str, factory: Callable[[], object]):
+    """Load a model once per Python worker process and reuse it across
+    batches and tasks (call inside ``encode``)."""
+    if name not in _WORKER_MODELS:
+        _WORKER_MODELS[name] = factory()
+    return _WORKER_MODELS[name]
+
+
 def pandas_encoder(df: DataFrame, text_col: str, encode: Callable[[list[str]], np.ndarray],
                    out_col: str = "embedding") -> DataFrame:
     """Plug-in encoder: ``encode`` (a batch of texts -> 2-D array) runs on
@@ -58,12 +69,13 @@ def pandas_encoder(df: DataFrame, text_col: str, encode: Callable[[list[str]], n
     so each worker loads once."""
     @F.pandas_udf(ArrayType(FloatType()))
     def _enc(texts: pd.Series) -> pd.Series:
-        mask = texts.notna()
-        out = pd.Series([None] * len(texts), dtype=object)
+        mask = texts.notna().to_numpy()
+        vals = [None] * len(texts)
         if mask.any():
             vecs = np.asarray(encode(texts[mask].tolist()), dtype=np.float32)
-            out[mask.values] = list(vecs)
-        return out
+            for j, i in enumerate(np.nonzero(mask)[0]):
+                vals[i] = vecs[j]
+        return pd.Series(vals, dtype=object)
     return df.withColumn(out_col, _enc(F.col(text_col)))
 
 

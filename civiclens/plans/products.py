@@ -73,3 +73,23 @@ def q_cat_many(spark, sf_dir):
     frames = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(pid).alias("product_id"), "rows")
               for pid, df in prods.items()]
     return frames[0].unionByName(frames[1])
+
+
+@register("sim_assign_text")
+def q_assign_text(spark, sf_dir):
+    """The prediction path for a batch of texts: every conversation turn is
+    encoded (default hashing encoder, 64 dims to match the stored vectors),
+    assigned to a parent and child cluster with the non-empty fallback, and
+    given the cluster labels and record count."""
+    from civiclens.operators import labels as L
+    from civiclens.plans.labels import cluster_rows, members_base
+    from civiclens.plans.vectors import pair_sizes, points, sub_centroids, top_centroids
+    from civiclens.sources.tables import read_table
+    conv = read_table(spark, sf_dir, "conversations")
+    q = V.hashing_encoder(conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"),
+                          "text", dim=64)
+    pts = points(spark, sf_dir)
+    a = V.assign(q, top_centroids(pts), sub_centroids(pts), pair_sizes(pts))
+    lt = L.label_table(cluster_rows(spark, sf_dir), L.memberships(members_base(spark, sf_dir)))
+    return V.low_confidence(V.with_labels(a, lt.select("level", "parent_cluster_id", "cluster_id", "label"),
+                                          pair_sizes(pts)))

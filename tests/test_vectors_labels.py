@@ -67,3 +67,15 @@ def test_shorten_rules(spark):
     df = spark.createDataFrame([(s, m) for s, m, _ in cases], "s string, m int")
     got = [r.x for r in df.select(shorten(F.col("s"), 3).alias("x")).collect()]
     assert got == [x for _, _, x in cases]
+
+
+def test_pandas_encoder_and_worker_model(spark):
+    calls = []
+
+    def encode(texts):
+        model = V.worker_model("len-model", lambda: calls.append(1) or (lambda t: [float(len(t)), 1.0]))
+        return np.asarray([model(t) for t in texts], dtype=np.float32)
+
+    df = spark.createDataFrame([("ab",), (None,), ("abcd",)], "text string")
+    out = [r.embedding for r in V.pandas_encoder(df, "text", encode).collect()]
+    assert out[0] == [2.0, 1.0] and out[1] is None and out[2] == [4.0, 1.0]
