@@ -88,8 +88,12 @@ def _seed_means(big: DataFrame, k2: int, seed: int, vec: str, id_col: str,
     u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     cand = big.filter(u < F.lit(float(oversample * k2)) / F.col("_n")).select(
         "top_cluster_id", id_col, vec)
+    from civiclens.operators.vectors import MAX_CENTROIDS
+    rows = cand.take(MAX_CENTROIDS + 1)  # expected about k1 * oversample * k2
+    if len(rows) > MAX_CENTROIDS:
+        raise ValueError("seed sample larger than MAX_CENTROIDS; lower oversample")
     groups: dict = {}
-    for r in cand.collect():
+    for r in rows:
         groups.setdefault(r["top_cluster_id"], []).append((r[id_col], r[vec]))
     cents: dict = {}
     for p, pts in groups.items():
