@@ -192,43 +192,43 @@ def q_every_nth(spark, sf_dir):
 def _reduce_sql(where: str, order: str) -> str:
     return with_requests(RAW_CTE, CLEAN_CTE, f"""
 ranked AS (SELECT id, created_at, row_number() OVER (ORDER BY {order}) AS rn FROM loaded {where})""") + """
-SELECT id, created_at FROM ranked WHERE rn <= (SELECT floor(count(*) * 30.0 / 100.0) FROM loaded)"""
+SELECT id, created_at FROM ranked WHERE rn <= (SELECT floor(count(*) * 50.0 / 100.0) FROM loaded)"""
 
 
 @register("red_oldest", _reduce_sql("WHERE created_at IS NOT NULL", "created_at ASC, id ASC"))
 def q_red_oldest(spark, sf_dir):
-    return S.reduce_ids(loaded(spark, sf_dir), "oldest", 30)
+    return S.reduce_ids(loaded(spark, sf_dir), "oldest", 50)
 
 
 @register("red_newest", _reduce_sql("WHERE created_at IS NOT NULL", "created_at DESC, id ASC"))
 def q_red_newest(spark, sf_dir):
-    return S.reduce_ids(loaded(spark, sf_dir), "newest", 30)
+    return S.reduce_ids(loaded(spark, sf_dir), "newest", 50)
 
 
 @register("red_random", _reduce_sql("", "md5(CAST(id AS VARCHAR) || '42'), id"))
 def q_red_random(spark, sf_dir):
-    return S.reduce_ids(loaded(spark, sf_dir), "random", 30)
+    return S.reduce_ids(loaded(spark, sf_dir), "random", 50)
 
 
 @register("red_keep", with_requests(RAW_CTE, CLEAN_CTE, """
 ranked AS (SELECT id, row_number() OVER (ORDER BY created_at ASC, id ASC) AS rn FROM loaded
            WHERE created_at IS NOT NULL),
-gone AS (SELECT id FROM ranked WHERE rn <= (SELECT floor(count(*) * 30.0 / 100.0) FROM loaded))""") + """
+gone AS (SELECT id FROM ranked WHERE rn <= (SELECT floor(count(*) * 50.0 / 100.0) FROM loaded))""") + """
 SELECT * FROM loaded WHERE id NOT IN (SELECT id FROM gone)""")
 def q_red_keep(spark, sf_dir):
     ld = loaded(spark, sf_dir)
-    return S.reduce_keep(ld, S.reduce_ids(ld, "oldest", 30))
+    return S.reduce_keep(ld, S.reduce_ids(ld, "oldest", 50))
 
 
 @register("red_preview", with_requests(RAW_CTE, CLEAN_CTE, """
 ranked AS (SELECT id, row_number() OVER (ORDER BY created_at DESC, id ASC) AS rn FROM loaded
            WHERE created_at IS NOT NULL),
-gone AS (SELECT id FROM ranked WHERE rn <= (SELECT floor(count(*) * 30.0 / 100.0) FROM loaded))""") + """
+gone AS (SELECT id FROM ranked WHERE rn <= (SELECT floor(count(*) * 50.0 / 100.0) FROM loaded))""") + """
 SELECT id, service_type, created_at, (SELECT count(*) FROM gone) AS would_delete
 FROM loaded WHERE id IN (SELECT id FROM gone) ORDER BY created_at, id LIMIT 10""")
 def q_red_preview(spark, sf_dir):
     ld = loaded(spark, sf_dir)
-    return S.reduce_preview(ld, S.reduce_ids(ld, "newest", 30))
+    return S.reduce_preview(ld, S.reduce_ids(ld, "newest", 50))
 
 
 @register("st_table_stats", with_requests(RAW_CTE, CLEAN_CTE) + """

@@ -177,10 +177,10 @@ WITH pr AS (SELECT vec_id AS request_id, label AS top_cluster_id, CAST(vec_id %
 
 
 @register("pts_capped", _PRJ + """
-SELECT * FROM pr WHERE top_cluster_id IN (0, 1, 2, 3, 4) AND z_2d IS NOT NULL ORDER BY request_id LIMIT 100""")
+SELECT * FROM pr WHERE top_cluster_id IN (0, 1, 2, 3, 4) AND z_2d IS NOT NULL ORDER BY request_id LIMIT 2500""")
 def q_pts_capped(spark, sf_dir):
     allowed = spark.createDataFrame([(i,) for i in range(5)], "top_cluster_id int")
-    return PT.capped_points(projected(spark, sf_dir), allowed, cap=100, need_z=True)
+    return PT.capped_points(projected(spark, sf_dir), allowed, cap=2500, need_z=True)
 
 
 @register("pts_domain", _PRJ + """

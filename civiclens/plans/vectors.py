@@ -207,9 +207,9 @@ def q_stats(spark, sf_dir):
 
 
 @register("prj_level1_ids", _CLUSTERS + """
-SELECT DISTINCT cluster_id FROM cl WHERE level = 1 ORDER BY cluster_id LIMIT 5""")
+SELECT DISTINCT cluster_id FROM cl WHERE level = 1 ORDER BY cluster_id LIMIT 25""")
 def q_level1_ids(spark, sf_dir):
-    return V.level1_ids(cluster_table(spark, sf_dir), limit=5)
+    return V.level1_ids(cluster_table(spark, sf_dir), limit=25)
 
 
 @register("jn_upsert", _CLUSTERS + """,
@@ -242,10 +242,10 @@ def upsert(old, new, keys=("cluster_id", "parent_cluster_id", "level")):
 
 @register("jn_semi_points", _CLUSTERS + """
 SELECT id, top_cluster_id, sub_cluster_id FROM pts
-WHERE top_cluster_id IN (SELECT cluster_id FROM cl WHERE level = 1 ORDER BY cluster_id LIMIT 5)""")
+WHERE top_cluster_id IN (SELECT cluster_id FROM cl WHERE level = 1 ORDER BY cluster_id LIMIT 25)""")
 def q_semi_points(spark, sf_dir):
     pts = points(spark, sf_dir)
-    keep = V.level1_ids(cluster_table(spark, sf_dir), limit=5).withColumnRenamed("cluster_id", "top_cluster_id")
+    keep = V.level1_ids(cluster_table(spark, sf_dir), limit=25).withColumnRenamed("cluster_id", "top_cluster_id")
     return pts.join(F.broadcast(keep), "top_cluster_id", "left_semi").select(
         "id", "top_cluster_id", "sub_cluster_id")
 
@@ -328,14 +328,14 @@ def q_emb_merge(spark, sf_dir):
 @register("km_fit")
 def q_km_fit(spark, sf_dir):
     pts = points(spark, sf_dir)
-    assigned, _ = K.fit_top(pts.drop("top_cluster_id", "sub_cluster_id"), k=10, seed=42, max_iter=20)
+    assigned, _ = K.fit_top(pts.drop("top_cluster_id", "sub_cluster_id"), k=25, seed=42, max_iter=100)
     return assigned
 
 
 @register("km_hierarchical")
 def q_km_hier(spark, sf_dir):
     pts = points(spark, sf_dir).drop("top_cluster_id", "sub_cluster_id")
-    assigned, _, _ = K.hierarchical(pts, k1=10, k2=3, seed=42, max_iter=10)
+    assigned, _, _ = K.hierarchical(pts, k1=25, k2=10, seed=42, max_iter=100)
     return assigned
 
 
