@@ -50,7 +50,7 @@ def cached_snapshot(spark: SparkSession, build, root: str, ttl_hours: int = SNAP
     Only folder names are listed on the driver (Hadoop FileSystem API), the
     data itself is written and read by executors.
     """
-    now = now or dt.datetime.utcnow()
+    now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(root)

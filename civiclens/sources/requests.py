@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,11 +155,15 @@ def fact_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     every query (no five-table join per query).  Keyed by a fingerprint of
     the derivation version and the base files."""
     path = fact_path(spark, sf_dir)
-    if not os.path.exists(os.path.join(path, "_SUCCESS")) and not _exists(spark, path):
-        materialize(requests(spark, sf_dir), path)
+    with _WRITE_LOCK:  # one writer per driver process, even with threaded callers
+        if not os.path.exists(os.path.join(path, "_SUCCESS")) and not _exists(spark, path):
+            materialize(requests(spark, sf_dir), path)
     return spark.read.parquet(path).drop("created_month")
 
 
+_WRITE_LOCK = threading.Lock()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
