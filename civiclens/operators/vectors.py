@@ -102,9 +102,21 @@ def centroids(points: DataFrame, keys: list[str], vec: str = "embedding",
 
 
 def cluster_sizes(points: DataFrame, top: str = "top_cluster_id", sub: str = "sub_cluster_id",
-                  k1: int | None = None, k2: int | None = None) -> DataFrame:
+                  k1: int | None = None, k2: int | None = None,
+                  vec: str | None = None) -> DataFrame:
     """Cluster table rows: level 1 per top id, level 2 per (top, sub); with
-    ``k1``/``k2`` every id in range appears, size 0 when empty."""
+    ``k1``/``k2`` every id in range appears, size 0 when empty.  With ``vec``
+    each row also carries its centroid (null for an empty cluster)."""
+    if vec is not None:
+        base = cluster_sizes(points, top, sub, k1, k2)
+        c1 = centroids(points, [top]).select(F.col(top).cast("int").alias("cluster_id"),
+                                             F.lit(1).alias("level"), "centroid")
+        c2 = centroids(points, [top, sub]).select(F.col(sub).cast("int").alias("cluster_id"),
+                                                  F.col(top).cast("int").alias("parent_cluster_id"),
+                                                  F.lit(2).alias("level"), "centroid")
+        l1 = base.filter(F.col("level") == 1).join(c1, ["cluster_id", "level"], "left")
+        l2 = base.filter(F.col("level") == 2).join(c2, ["cluster_id", "parent_cluster_id", "level"], "left")
+        return l1.unionByName(l2)
     l1 = points.groupBy(F.col(top).alias("cluster_id")).agg(F.count(F.lit(1)).alias("size"))
     l2 = points.groupBy(F.col(top).alias("parent_cluster_id"), F.col(sub).alias("cluster_id")) \
                .agg(F.count(F.lit(1)).alias("size"))

@@ -9,6 +9,7 @@ from civiclens.operators import vectors as V
 from civiclens.plans.oracle import with_requests
 from civiclens.plans.registry import register
 from civiclens.session import configure
+from civiclens.sources.requests import fact_requests
 
 
 @register("cat_load", with_requests("""
@@ -39,16 +40,27 @@ def q_sum_profile(spark, sf_dir):
 
 @register("sum_all")
 def q_sum_all(spark, sf_dir):
-    """Every catalogued product profiled in one job each over one cached
-    request frame; a table of (product, rows, columns)."""
+    """Every catalogued product profiled over one cached request frame: a
+    table of (product, status, rows, columns); a product whose plan fails
+    to build is reported as failed instead of stopping the run."""
     configure(spark)
-    prods = PR.load_many(spark, sf_dir, list(PR.CATALOG))
-    frames = [df.agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(pid).alias("product_id"), "rows", F.lit(len(df.columns)).alias("columns"))
-        for pid, df in prods.items()]
+    reqs = fact_requests(spark, sf_dir).cache()
+    frames, failed = [], []
+    for pid in PR.CATALOG:
+        try:
+            df = PR.load(spark, sf_dir, pid, reqs)
+            frames.append(df.agg(F.count(F.lit(1)).alias("rows")).select(
+                F.lit(pid).alias("product_id"), F.lit("ok").alias("status"), "rows",
+                F.lit(len(df.columns)).alias("columns")))
+        except Exception as e:  # noqa: BLE001 - reported as a row
+            failed.append((pid, f"failed: {type(e).__name__}"))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
+    if failed:
+        out = out.unionByName(spark.createDataFrame(
+            [(p, st, None, None) for p, st in failed],
+            "product_id string, status string, rows long, columns int"))
     return out
 
 

@@ -79,3 +79,13 @@ def test_pandas_encoder_and_worker_model(spark):
     df = spark.createDataFrame([("ab",), (None,), ("abcd",)], "text string")
     out = [r.embedding for r in V.pandas_encoder(df, "text", encode).collect()]
     assert out[0] == [2.0, 1.0] and out[1] is None and out[2] == [4.0, 1.0]
+
+
+def test_cluster_sizes_with_centroids(spark):
+    df = spark.createDataFrame([(1, 0, 0, [1.0, 0.0]), (2, 0, 0, [3.0, 0.0]), (3, 1, 1, [0.0, 2.0])],
+                               "id long, top_cluster_id int, sub_cluster_id int, embedding array<float>")
+    rows = {(r.level, r.parent_cluster_id, r.cluster_id): (r["size"], r.centroid)
+            for r in V.cluster_sizes(df, k1=2, k2=2, vec="embedding").collect()}
+    assert rows[(1, None, 0)] == (2, [2.0, 0.0])
+    assert rows[(2, 0, 1)] == (0, None)                          # empty cluster, no centroid
+    assert rows[(2, 1, 1)] == (1, [0.0, 2.0])
