@@ -55,3 +55,17 @@ def test_dedupe_first_wins(spark, rows):
     got = {r.service_request_id: r.o for r in I.dedupe_first(df, "service_request_id", ["o"]).collect()}
     exp = pd.DataFrame(data, columns=["k", "o", "p"]).sort_values("o", kind="stable").drop_duplicates("k")
     assert got == dict(zip(exp["k"], exp["o"]))
+
+
+def test_share_cut_with_a_hot_date_is_exact_and_balanced(spark):
+    from civiclens.session import checkpoint_dir
+    checkpoint_dir(spark)
+    n = 3000
+    rows = [(i, dt.datetime(2024, 1, 1) if i % 3 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(days=i % 97 + 1))
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, created_at timestamp_ntz")
+    ids = sorted(r.id for r in S.reduce_ids(df, "oldest", 50).collect())
+    exp = sorted(i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))[: n // 2])
+    assert ids == exp
+    keyed = df.repartitionByRange(8, "created_at", "id").groupBy(F.spark_partition_id().alias("p")).count()
+    assert max(r["count"] for r in keyed.collect()) < n / 3       # the hot date is split
