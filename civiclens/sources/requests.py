@@ -155,13 +155,19 @@ def fact_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     every query (no five-table join per query).  Keyed by a fingerprint of
     the derivation version and the base files."""
     path = fact_path(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, path)
     with _WRITE_LOCK:  # one writer per driver process, even with threaded callers
-        if not os.path.exists(os.path.join(path, "_SUCCESS")) and not _exists(spark, path):
-            materialize(requests(spark, sf_dir), path)
-    return spark.read.parquet(path).drop("created_month")
+        if key not in _READERS:
+            if not os.path.exists(os.path.join(path, "_SUCCESS")) and not _exists(spark, path):
+                materialize(requests(spark, sf_dir), path)
+            # one reader per application: its file index (the listing of the
+            # month folders) is built once and shared by every later query
+            _READERS[key] = spark.read.parquet(path).drop("created_month")
+    return _READERS[key]
 
 
 _WRITE_LOCK = threading.Lock()
+_READERS: dict = {}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
