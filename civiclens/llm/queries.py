@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclens.llm import chat, lines, quality
+from civiclens.llm import chat, lines, mixing, packing, quality, search, sharding, simhash
 from civiclens.llm.common import table
 from civiclens.session import configure
 
@@ -114,3 +114,87 @@ def op10(spark, sf_dir):
     return lines.dedup_lines(docs).select(
         "doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"),
         F.md5("text").alias("text_md5"))
+
+
+_MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS k
+           FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank
+      FROM d GROUP BY source),
+w AS (SELECT *, 1 + (rank - 1) % 3 AS weight, sum(source_size) OVER () AS budget FROM s),
+l AS (SELECT *, (budget - coalesce(sum(source_size * 3) OVER (ORDER BY source_size * 3 / weight, rank
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(weight) OVER (ORDER BY source_size * 3 / weight, rank
+                   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT *, least(weight * (SELECT min(level) FROM l WHERE level <= source_size * 3 / weight),
+                      (source_size * 3)::DOUBLE) AS target FROM l),
+c AS (SELECT d.*, rank, weight, source_size, target,
+             sum(size) OVER (PARTITION BY rank ORDER BY k, doc_id, size
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, (epoch * source_size + upto)::DOUBLE / weight AS finish FROM c, range(0, 3) r(epoch)),
+q AS (SELECT *, sum(size) OVER (ORDER BY finish, rank, epoch, k, doc_id, size
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS served FROM e),
+n AS (SELECT doc_id, k, size, rank, count(*) AS copies FROM q
+      WHERE served <= (SELECT max(budget) FROM t) GROUP BY ALL)
+SELECT c.doc_id, c.size, c.source_size, c.target, (c.size * coalesce(n.copies, 0))::BIGINT AS taken
+FROM c LEFT JOIN n ON c.rank = n.rank AND c.k = n.k AND c.doc_id = n.doc_id AND c.size = n.size"""
+
+
+@query("op2_source_mixing", _MIX_SQL)
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target",
+                                   (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op5_bfd_packing")
+def op5(spark, sf_dir):
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    packed = packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
+_SHARD_SQL = r"""
+WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
+             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
+           FROM documents),
+b AS (SELECT *, lpad(bin(h), 60, '0') AS bits FROM d),
+p AS (SELECT b.*, depth, left(bits, depth) AS shard FROM b, range(0, 61) r(depth)),
+s AS (SELECT depth, shard, sum(n_bytes) AS total FROM p GROUP BY ALL),
+f AS (SELECT doc_id, n_bytes, bits, min(p.depth) AS depth FROM p JOIN s ON p.depth = s.depth AND p.shard = s.shard
+      WHERE total <= 1048576 GROUP BY ALL)
+SELECT doc_id, n_bytes, left(bits, depth) AS shard, depth::INTEGER AS depth FROM f"""
+
+
+@query("op8_extendible_shards", _SHARD_SQL)
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return sharding.shard(docs).select("doc_id", "n_bytes", "shard", "depth")
+
+
+@query("op1_simhash_pigeonring")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return simhash.cluster(docs).select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"),
+                                        "component_id")
+
+
+_SEARCH_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+t AS (SELECT vec_id, unnest(v) AS w, generate_subscripts(v, 1) AS term FROM v),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, sum(q.w * r.w)::BIGINT AS score FROM t q JOIN t r USING (term)
+      WHERE q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM k WHERE rank <= 10"""
+
+
+@query("op7_exact_top_k", _SEARCH_SQL)
+def op7(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return search.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
