@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclens.llm import chat, lines, mixing, packing, quality, search, sharding, simhash
+from civiclens.llm import chat, lines, mixing, packing, quality, search, sharding, simhash, toxicity
 from civiclens.llm.common import table
 from civiclens.session import configure
 
@@ -198,3 +198,17 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM k WHERE rank <= 10"""
 def op7(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return search.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+@query("op9_toxicity_cnn")
+def op9(spark, sf_dir):
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(fold != 1)
+    model = toxicity.train(docs.join(labels, "doc_id"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", (fold == 1).alias("held_out"), "score",
+        (F.col("score") >= toxicity.DECISION).cast("int").alias("predicted"),
+        toxicity.threshold(model, F.col("lang")).alias("lang_threshold"),
+        (F.col("score") >= toxicity.threshold(model, F.col("lang"))).cast("int").alias("predicted_by_lang"))
