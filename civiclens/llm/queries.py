@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclens.llm import chat, lines, mixing, packing, quality, search, sharding, simhash, toxicity
+from civiclens.llm import chat, lines, lm, mixing, packing, quality, search, sharding, simhash, toxicity
 from civiclens.llm.common import table
 from civiclens.session import configure
 
@@ -212,3 +212,13 @@ def op9(spark, sf_dir):
         (F.col("score") >= toxicity.DECISION).cast("int").alias("predicted"),
         toxicity.threshold(model, F.col("lang")).alias("lang_threshold"),
         (F.col("score") >= toxicity.threshold(model, F.col("lang"))).cast("int").alias("predicted_by_lang"))
+
+
+@query("op4_maxent_lm")
+def op4(spark, sf_dir):
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", remainder == 2)
+    model, counts = lm.train(docs.filter(~F.col("held_out")))
+    return lm.score(docs, model, counts).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
+        "base_score", "score")
