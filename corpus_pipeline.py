@@ -7,8 +7,9 @@ kept; all but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from civiclens.llm import lines, quality
+from civiclens.llm import lines, mixing, packing, quality, simhash
 from civiclens.llm.common import saved, table
 from civiclens.session import configure
 
@@ -19,13 +20,39 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; every document stays."""
-    return lines.dedup_lines(docs).select(*docs.columns)
+    """Boilerplate lines go; every document stays, n_chars follows its text."""
+    out = lines.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays."""
+    return simhash.dedup(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of the sources takes it."""
+    return mixing.repeat(mixing.mix(docs), docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2048 tokens, with their ids."""
+    return packing.pack(packing.pieces(docs, tokenizer_path()))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources to target weights", source_mix),
+    ("packing", packing_stage),
 ]
 
 #: The near-duplicate hashes and the tokenizer have no SQL counterpart.
