@@ -45,9 +45,9 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: i
     """Per source: rank, weight, source_size, rows, target.
 
     Targets share the words of all sources by weight.  Raising one level for
-    all, a source is full at ``epochs`` times its size; sorted by the level at
-    which they fill, the sources before the final level are exactly the full
-    ones, so two running sums give it.
+    all, a source is full at ``epochs`` times its size.  Sorted by the level at
+    which they fill, the final level is the first one that does not fill its
+    source when those before it are full; later ones of that kind are lower.
     """
     stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     ranked = stats.select("*", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))).alias("rank"))
@@ -61,7 +61,7 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: i
     budget = F.sum("source_size").over(everything)
     level = (budget - F.coalesce(F.sum(cap).over(before), F.lit(0))) / F.sum("weight").over(onward)
     levels = ranked.select("*", F.when(level <= cap / F.col("weight"), level).alias("level"), budget.alias("budget"))
-    final = F.min("level").over(everything)
+    final = F.max("level").over(everything)
     return (levels.select("source", "rank", "weight", "source_size", "rows", "budget", final.alias("level"))
             .select("*", F.least(F.col("weight") * F.col("level"), cap.cast("double")).alias("target")))
 
