@@ -24,15 +24,26 @@ STOP_WORDS = (
 NON_WORD = r"[^\p{L}\p{N}_]+"
 
 
+# The characters that Python's ``str.strip`` and ``str.split``
+# take for white space.
+SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+          + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(col) -> Column:
+    """Text without white space at its ends (``str.strip``)."""
+    return F.btrim(_c(col), F.lit(SPACES))
+
+
 def words(col) -> Column:
     """Whitespace-separated words (``str.split()``); empty array for blank."""
-    t = F.trim(_c(col))
+    t = strip(col)
     return F.when(t.isNull() | (t == ""), F.array().cast("array<string>")).otherwise(
-        F.split(t, r"\s+"))
+        F.split(t, f"[{SPACES}]+"))
 
 
 def is_connector(w: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civiclens.functions.columns import CREATED
+from civiclens.functions.text import strip
 
 MICROS_PER_DAY = 86_400_000_000
 
@@ -80,7 +81,7 @@ _MDY_T = r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$"
 
 def parse_date(col) -> Column:
     """First layout that parses wins; blanks and garbage become null."""
-    s = F.trim(_c(col).cast("string"))
+    s = strip(_c(col).cast("string"))
     iso, mdy, dmy, iso_t, mdy_t = DATE_FORMATS[0], DATE_FORMATS[1], DATE_FORMATS[2], \
         DATE_FORMATS[3], DATE_FORMATS[4]
     return (F.when(s.rlike(_ISO), F.try_to_date(s, iso))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiclens.session import checkpoint_dir
@@ -81,17 +81,20 @@ def _collect_means(pts: DataFrame, vec: str) -> dict:
 
 def _seed_means(big: DataFrame, k2: int, seed: int, vec: str, id_col: str,
                 oversample: int = 8) -> dict:
-    """k-means++ start per parent over a hash sample of about
-    ``oversample * k2`` points of that parent (Bernoulli with probability
-    oversample*k2/n), so about k1*oversample*k2 rows reach the driver
-    whatever the data size; seeding itself is numpy on that sample."""
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    cand = big.filter(u < F.lit(float(oversample * k2)) / F.col("_n")).select(
-        "top_cluster_id", id_col, vec)
-    from civiclens.operators.vectors import MAX_CENTROIDS
-    rows = cand.take(MAX_CENTROIDS + 1)  # expected about k1 * oversample * k2
-    if len(rows) > MAX_CENTROIDS:
-        raise ValueError("seed sample larger than MAX_CENTROIDS; lower oversample")
+    """k-means++ start per parent over its ``oversample * k2`` points with the
+    smallest id hash, whatever the parent's size: k1 * oversample * k2 rows
+    reach the driver.
+
+    A threshold on the 64-bit hash leaves about four times as many points per
+    parent; only those are ranked, so no parent is sorted whole.
+    """
+    want = oversample * k2
+    h = F.xxhash64(F.col(id_col), F.lit(seed + 1))
+    share = (h.cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
+    near = big.filter(share < F.lit(4.0 * want + 100.0) / F.col("_n"))
+    order = Window.partitionBy("top_cluster_id").orderBy(h, id_col)
+    rows = (near.select("top_cluster_id", id_col, vec, F.row_number().over(order).alias("_rank"))
+            .filter(F.col("_rank") <= want).collect())
     groups: dict = {}
     for r in rows:
         groups.setdefault(r["top_cluster_id"], []).append((r[id_col], r[vec]))
@@ -118,7 +121,7 @@ def fit_sub(points: DataFrame, k2: int = 10, max_iter: int = 100, seed: int = 42
 
     Parents with fewer than ``k2`` points keep everything in sub-cluster 0
     (centroid = their mean).  Start: k-means++ seeds drawn per parent from a
-    small hash sample (``_seed_means``).  Each Lloyd round is
+    bounded hash sample (``_seed_means``).  Each Lloyd round is
     one scan of the points: assign every point to the nearest current mean
     of its parent (Arrow batches, numpy) and aggregate the new means from
     that output with ``Summarizer`` (partial aggregation, so a hot parent is

@@ -29,16 +29,14 @@ def frequency_pivot(df: DataFrame, group: str = C.LEVEL1,
     """Month rows x category columns, missing cells 0, no calendar densify
     (a month without any row is absent, T14).
 
-    The fact rows are aggregated once into the long form (months x
-    categories, small) and cached; the category list (when not given) is
-    read from that small frame and the pivot runs on it, so the fact table
-    is scanned once instead of once for value discovery and once more for
-    the pivot.
+    ``values`` names the columns, and the fact table is scanned once.  Without
+    it Spark looks the categories up first, at most
+    ``spark.sql.pivotMaxValues`` of them.
     """
-    long = frequency_long(df, group).cache()
-    if values is None:
-        values = [r[0] for r in long.select(group).distinct().orderBy(group).collect()]
-    wide = long.groupBy("Time").pivot(group, list(values)).agg(F.sum("frequency"))
+    long = frequency_long(df, group)
+    grouped = long.groupBy("Time")
+    grouped = grouped.pivot(group, list(values)) if values else grouped.pivot(group)
+    wide = grouped.agg(F.sum("frequency"))
     cats = [c for c in wide.columns if c != "Time"]
     return wide.na.fill(0, cats).orderBy("Time")
 

@@ -82,13 +82,14 @@ def enrich_features(features: DataFrame, geo: DataFrame) -> DataFrame:
 def features_to_json(enriched: DataFrame) -> DataFrame:
     """One GeoJSON Feature per row as JSON text (line-delimited GeoJSON);
     metrics are added to the properties only for matched features."""
-    props = F.when(
-        F.col("updated"),
-        F.map_concat(F.map_filter("properties", lambda k, v: ~k.isin("volume", "unresolved", "slow_p90")),
-                     F.create_map(F.lit("volume"), F.col("volume").cast("string"),
-                                  F.lit("unresolved"), F.col("unresolved").cast("string"),
-                                  F.lit("slow_p90"), F.col("slow_p90").cast("string"))),
-    ).otherwise(F.col("properties"))
+    # Metrics go in as numbers: their JSON object is appended to the text of the
+    # other properties.
+    rest = F.to_json(F.map_filter("properties", lambda k, v: ~k.isin("volume", "unresolved", "slow_p90")))
+    metrics = F.to_json(F.struct("volume", "unresolved", "slow_p90"), {"ignoreNullFields": "false"})
+    merged = F.concat(F.expr("left(_rest, length(_rest) - 1)"), F.when(F.col("_rest") == "{}", "").otherwise(","),
+                      F.substring("_metrics", 2, 1 << 30))
+    enriched = enriched.withColumn("_rest", rest).withColumn("_metrics", metrics)
+    props = F.parse_json(F.when(F.col("updated"), merged).otherwise(F.to_json("properties")))
     return enriched.select("feature_idx", F.to_json(F.struct(
         F.lit("Feature").alias("type"), props.alias("properties"),
         F.parse_json(F.col("geometry")).alias("geometry"))).alias("value"))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civiclens.functions.text import strip
 from civiclens.functions.timecalc import parse_date
 
 # Columns a raw file must carry.
@@ -63,7 +64,7 @@ def q(name: str) -> F.Column:
 
 def _present(c: F.Column) -> F.Column:
     """Trimmed text, null when null or blank."""
-    return F.nullif(F.trim(c.cast("string")), F.lit(""))
+    return F.nullif(strip(c.cast("string")), F.lit(""))
 
 
 def description(levels: Sequence[str] = LEVEL_COLUMNS) -> F.Column:
@@ -73,7 +74,7 @@ def description(levels: Sequence[str] = LEVEL_COLUMNS) -> F.Column:
 
 def location(district: str = "Electoral District", hood: str = "Neighbourhood") -> F.Column:
     """District and neighbourhood (trimmed, nulls skipped) joined with ', '."""
-    return F.nullif(F.concat_ws(", ", F.trim(q(district)), F.trim(q(hood))), F.lit(""))
+    return F.nullif(F.concat_ws(", ", strip(q(district)), strip(q(hood))), F.lit(""))
 
 
 def clean(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -86,9 +87,9 @@ def clean(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     ref = q("Reference Number").cast("string")
     out = raw.filter(ok).select(
         *[F.col(k) for k in keep],
-        F.trim(sid.cast("string")).alias("service_request_id"),
-        F.when(ref.isNull() | (ref == ""), F.lit(None)).otherwise(F.trim(ref)).alias("ref_number"),
-        F.trim(stype.cast("string")).alias("service_type"),
+        strip(sid.cast("string")).alias("service_request_id"),
+        F.when(ref.isNull() | (ref == ""), F.lit(None)).otherwise(strip(ref)).alias("ref_number"),
+        strip(stype.cast("string")).alias("service_type"),
         description().alias("description"),
         parse_date(q("Date Created")).alias("created_at"),
         parse_date(q("Date Closed")).alias("resolved_at"),

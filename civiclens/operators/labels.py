@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiclens.functions.ranking import rnd, top_k
-from civiclens.functions.text import is_simple, keyword_tokens, meaningful, shorten, words
+from civiclens.functions.text import is_simple, keyword_tokens, meaningful, shorten, strip, words
 
 CLUSTER_KEYS = ("level", "parent_cluster_id", "cluster_id")
 
@@ -130,7 +130,7 @@ def type_distribution(reqs: DataFrame, top: str = "top_cluster_id", sub: str = "
 def apply_label_updates(clusters: DataFrame, updates: DataFrame) -> DataFrame:
     """Labels from a label file merged on (cluster, parent null-safe, level);
     blank and "EMPTY" labels skipped; ``updated`` marks changed rows."""
-    u = updates.filter(F.col("label").isNotNull() & (F.trim(F.col("label")) != "")
+    u = updates.filter(F.col("label").isNotNull() & (strip("label") != "")
                        & (F.col("label") != "EMPTY")).select(
         *[F.col(k).alias("_u_" + k) for k in CLUSTER_KEYS], F.col("label").alias("_new"))
     cond = None

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civiclens.functions.text import strip
+
 # Extraction patterns, in priority order.
 PCT = r"([+-]?\d+\.?\d*)\s*%"
 REQUESTS = r"(\d+)\s*requests?"
@@ -70,7 +72,7 @@ def metric_type(text: Column) -> Column:
 def category(text: Column) -> Column:
     expr = None
     for p in CATEGORY_PATTERNS:
-        raw = F.trim(F.regexp_extract(text, p, 1))
+        raw = strip(F.regexp_extract(text, p, 1))
         c = F.regexp_replace(raw, CATEGORY_TAIL, "")
         ok = text.rlike(p) & (F.length(c) > 3)
         expr = F.when(ok, c) if expr is None else expr.when(ok, c)
@@ -87,23 +89,44 @@ def trend(text: Column) -> Column:
                 .when(text.contains("-") & ~text.startswith("-"), F.lit("down")))
 
 
+def one_decimal(value: Column) -> Column:
+    """Text with one decimal, rounded half to even on the exact binary value.
+
+    ``20 * |value|`` is 16 and 4 times it, both exact; the error of their sum is
+    exact as well, so the comparison with the odd integer that marks the half
+    way point is exact.
+    """
+    a = F.abs(value)
+    k = F.floor(a * 10)
+    big, small = a * 16, a * 4
+    total = big + small
+    rest = total - big
+    error = (big - (total - rest)) + (small - rest)
+    past = (total - (k * 2 + 1)) + error
+    tenths = k + F.when((past > 0) | ((past == 0) & (k % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def label(text: Column, mtype: Column, value: Column, unit: Column) -> Column:
     nz = value.isNotNull() & (value != 0)
-    other = F.initcap(F.trim(F.regexp_replace(
+    # What is taken out of the text of a metric of unknown type.
+    other = F.initcap(strip(F.regexp_replace(
         F.regexp_replace(text, r"\d+\.?\d*\s*%?", ""),
         r"(?i)\b(in|with|shows|has|is|requests?|growth|increase|decrease)\b", "")))
-    return (F.when(mtype == "growth", F.when(nz, F.format_string("%+.1f%% Growth", value))
+    return (F.when(mtype == "growth", F.when(nz, F.concat(
+        F.when(value < 0, "-").otherwise("+"), one_decimal(value), F.lit("% Growth")))
                    .otherwise(F.lit("Growth Rate")))
              .when(mtype == "volume", F.when(nz, F.concat_ws(" ", value.cast("long").cast("string"),
                                                            F.coalesce(unit, F.lit("Items"))))
                    .otherwise(F.lit("Volume")))
-             .when(mtype == "percentage", F.when(nz, F.format_string("%.1f%%", value))
+             .when(mtype == "percentage", F.when(nz, F.concat(
+                 F.when(value < 0, "-").otherwise(""), one_decimal(value), F.lit("%")))
                    .otherwise(F.lit("Percentage")))
              .otherwise(F.when(other != "", other).otherwise(F.lit("Metric"))))
 
 
 def parse(df: DataFrame, col: str = "metric") -> DataFrame:
-    t = F.col(col)
+    t = strip(col)
     v, u = value_unit(t)
     out = df.select("*", v.alias("value"), u.alias("unit"), metric_type(t).alias("metric_type"),
                     category(t).alias("category"), trend(t).alias("trend"))

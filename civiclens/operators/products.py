@@ -51,8 +51,9 @@ CATALOG: dict[str, Product] = {p.product_id: p for p in (
     Product("time_to_close", "Time-to-close histogram with percentiles", CL.close_product,
             order=("service_level_1", "time_bin")),
     Product("top10", "Five top-10 rankings", R.top_combined, order=("ranking_type", "rank")),
-    Product("top10_volume", "Top categories by recent volume", R.top_volume,
-            predicate="volume > 0", order=("category",)),
+    *(Product(pid, f"The '{kind}' ranking", R.top_combined, predicate=f"ranking_type = '{kind}'", order=("rank",))
+      for pid, kind in zip(("top10_volume_30d", "top10_worst_p90_time", "top10_backlog_age", "top10_trending_up",
+                            "top10_geographic_hotspots"), R.RANKING_TYPES, strict=True)),
 )}
 
 
@@ -72,8 +73,9 @@ def load(spark: SparkSession, sf_dir: str, product_id: str, reqs: DataFrame | No
 
 
 def load_many(spark: SparkSession, sf_dir: str, ids) -> dict[str, DataFrame]:
-    """Several products over one cached request frame; unknown ids skipped."""
-    reqs = fact_requests(spark, sf_dir).cache()
+    """Several products over the materialized request table, whose scans keep
+    their own pruning and pushdown; unknown ids skipped."""
+    reqs = fact_requests(spark, sf_dir)
     out = {}
     for i in ids:
         df = load(spark, sf_dir, i, reqs)

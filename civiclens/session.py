@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -21,12 +20,12 @@ def get_spark(master: str | None = None, app_name: str = "civiclens",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings the library assumes.
 
-    On a cluster ``master`` is left to spark-submit; locally it defaults to
-    ``local[*]``.  The Spark UI stays off: nothing here needs a web server.
+    A master is set only when the caller passes one: spark-submit's choice
+    stands otherwise.  The Spark UI stays off: nothing here needs a web server.
     """
     builder = SparkSession.builder.appName(app_name)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or "local[*]")
+    if master:
+        builder = builder.master(master)
     for k, v in _REQUIRED_CONF.items():
         builder = builder.config(k, v)
     builder = (builder
@@ -51,8 +50,9 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a scratch folder is created
-    and registered; on a cluster the configured shared folder is always used.
+    Only when the setting is absent and the master is local (tests) a scratch
+    folder is created and registered.  On a cluster a folder of this machine
+    would be out of the executors' reach, so a missing setting is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -64,6 +64,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir()
     if existing:
         return existing
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="civiclens-ckpt-")
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)

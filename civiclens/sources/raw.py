@@ -21,7 +21,8 @@ RAW_COLUMNS = ("Service Request ID", "Reference Number", "Service Type", "Date C
 
 
 def render_date(ts, layout_no) -> F.Column:
-    """Text of a timestamp in layout 1..7 (7 = garbage, 6 = padded ISO)."""
+    """Text of a timestamp in layout 1..7 (7 = garbage, 6 = ISO between tab,
+    spaces and a line end)."""
     y = F.year(ts).cast("string")
     m = F.month(ts).cast("string")
     d = F.dayofmonth(ts).cast("string")
@@ -33,7 +34,7 @@ def render_date(ts, layout_no) -> F.Column:
             .when(layout_no == 3, F.concat_ws("/", d, m, y))
             .when(layout_no == 4, F.concat_ws(" ", iso, hms))
             .when(layout_no == 5, F.concat(F.concat_ws("/", m, d, y), F.lit(" "), hms))
-            .when(layout_no == 6, F.concat(F.lit("  "), iso, F.lit(" ")))
+            .when(layout_no == 6, F.concat(F.lit("\t  "), iso, F.lit(" \r\n")))
             .otherwise(F.lit("not a date")))
 
 
@@ -44,15 +45,15 @@ def raw_requests(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None =
     ln = F.col("l_linenumber")
     sid = F.when((ln == 7) & (F.col("status_type") == "Unresolved"), F.lit(None)).otherwise(
         F.col("service_request_id"))
-    stype = (F.when((ln == 6) & (F.col("electoral_district") == "ALGERIA"), F.lit(None))
-              .when((ln == 5) & (F.col("electoral_district") == "BRAZIL"), F.lit(""))
+    stype = (F.when((ln == 6) & (F.col("electoral_district") == "NATION_0"), F.lit(None))
+              .when((ln == 5) & (F.col("electoral_district") == "NATION_1"), F.lit(""))
               .otherwise(F.col("service_type")))
     closed_layout = ((ln + F.lit(2)) % F.lit(7)) + F.lit(1)
     return r.select(
         *[F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
         sid.alias("Service Request ID"),
         F.when(ln == 3, F.lit(None)).when(ln == 4, F.lit(""))
-         .otherwise(F.concat(F.lit(" REF"), F.col("l_orderkey").cast("string"), F.lit(" ")))
+         .otherwise(F.concat(F.lit(" REF"), F.col("l_orderkey").cast("string"), F.lit("\n")))
          .alias("Reference Number"),
         stype.alias("Service Type"),
         render_date(F.col("date_created"), ln).alias("Date Created"),

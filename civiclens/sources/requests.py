@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civiclens.functions import columns as C
-from civiclens.sources.tables import read_table
+from civiclens.sources.tables import path_exists, read_table, storage, table_path
 
 
 LINEITEM_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
@@ -102,15 +102,13 @@ FACT_VERSION = 2
 _BASE_TABLES = ("lineitem", "orders", "part", "customer", "nation")
 
 
-def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Derivation version plus size and modification time of each base file
     (Hadoop FileSystem, so it works on any shared storage)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parts = [str(FACT_VERSION), os.path.abspath(sf_dir)]
+    fs, folder = storage(spark, sf_dir)
+    parts = [str(FACT_VERSION), fs.makeQualified(folder).toString()]
     for t in _BASE_TABLES:
-        p = jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{t}.parquet"))
-        fs = p.getFileSystem(conf)
+        fs, p = storage(spark, table_path(sf_dir, t))
         total, newest = 0, 0
         for st in fs.listStatus(p):
             total += st.getLen()
@@ -121,7 +119,7 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
 
 def fact_path(spark: SparkSession, sf_dir: str) -> str:
     from civiclens.session import checkpoint_dir
-    return os.path.join(checkpoint_dir(spark), "civiclens", "facts", _fingerprint(spark, sf_dir))
+    return os.path.join(checkpoint_dir(spark), "civiclens", "facts", fingerprint(spark, sf_dir))
 
 
 def latest_created(spark: SparkSession, sf_dir: str):
@@ -135,9 +133,7 @@ def latest_created(spark: SparkSession, sf_dir: str):
     """
     fact_requests(spark, sf_dir)
     root = fact_path(spark, sf_dir)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, p = storage(spark, root)
     months = sorted((st.getPath().getName()[len("created_month="):] for st in fs.listStatus(p)
                      if st.getPath().getName().startswith("created_month=")
                      and "__HIVE_DEFAULT_PARTITION__" not in st.getPath().getName()), reverse=True)
@@ -158,7 +154,7 @@ def fact_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, path)
     with _WRITE_LOCK:  # one writer per driver process, even with threaded callers
         if key not in _READERS:
-            if not os.path.exists(os.path.join(path, "_SUCCESS")) and not _exists(spark, path):
+            if not path_exists(spark, os.path.join(path, "_SUCCESS")):
                 materialize(requests(spark, sf_dir), path)
             # one reader per application: its file index (the listing of the
             # month folders) is built once and shared by every later query
@@ -168,9 +164,3 @@ def fact_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WRITE_LOCK = threading.Lock()
 _READERS: dict = {}
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -27,8 +27,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     return df.select(*columns) if columns else df
 
 
+def storage(spark: SparkSession, path: str):
+    """(file system, path) of any storage Spark can read."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = storage(spark, path)
+    return fs.exists(p)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = storage(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def register_views(spark: SparkSession, sf_dir: str) -> None:
     """Expose every table as a temp view for ``spark.sql``."""
     for name in TABLES:
-        if os.path.exists(table_path(sf_dir, name)):
+        if path_exists(spark, table_path(sf_dir, name)):
             read_table(spark, sf_dir, name).createOrReplaceTempView(name)

@@ -1,7 +1,7 @@
 """Structured Streaming versions of the three incremental behaviours.
 
-All three read the table files as a file stream (``pathGlobFilter`` picks
-one table out of the data folder), write to a sink under the shared
+All three read a table as a file stream (its folder of part files, or the one
+file picked out of the data folder by ``pathGlobFilter``), write to a sink under the shared
 checkpoint folder and run with ``availableNow`` so a test drives them to
 completion; on a cluster the same jobs run with a processing-time trigger.
 """
@@ -19,14 +19,17 @@ from civiclens.operators import ingest as I
 from civiclens.operators import vectors as V
 from civiclens.session import checkpoint_dir
 from civiclens.sources.raw import raw_requests
+from civiclens.sources.tables import is_folder, path_exists, table_path
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    schema = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    path = table_path(sf_dir, name)
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    if is_folder(spark, path):
+        return r.parquet(path)
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def _run_dir(spark: SparkSession, job: str) -> str:
@@ -62,12 +65,9 @@ def ingest_batch(batch: DataFrame, batch_id: int, target: str) -> None:
     folder.  Rewriting ``batch=<id>`` on a retry keeps it idempotent."""
     spark = batch.sparkSession
     cleaned = I.clean(batch, keep=list(ROW_ORDER))
-    existing = None
-    try:
-        prior = spark.read.parquet(target)
-        existing = prior.filter(F.col("batch") < batch_id).select("service_request_id")
-    except Exception:  # noqa: BLE001 - no earlier batch written yet
-        existing = None
+    earlier = [os.path.join(target, f"batch={n}") for n in range(batch_id)]
+    written = [p for p in earlier if path_exists(spark, os.path.join(p, "_SUCCESS"))]
+    existing = spark.read.parquet(*written).select("service_request_id") if written else None
     first = I.dedupe_first(cleaned, "service_request_id", list(ROW_ORDER), existing=existing)
     first.write.mode("overwrite").parquet(os.path.join(target, f"batch={batch_id}"))
 

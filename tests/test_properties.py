@@ -42,7 +42,7 @@ def test_first_n_equals_sort_and_take(spark, keys, pct):
     rows = [(i, k) for i, k in enumerate(keys)]
     df = spark.createDataFrame(rows, "id long, k long")
     n = int(len(rows) * pct / 100)
-    got = sorted(r.id for r in S.first_n(df, n, ["k", "id"]).collect())
+    got = sorted(r.id for r in S.first_n(df, n, [F.col("k"), F.col("id")]).collect())
     exp = sorted(i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))[:n])
     assert got == exp
 
