@@ -12,8 +12,9 @@ UNRESOLVED = "Unresolved"
 
 
 def is_unresolved_strict(status: str = STATUS) -> Column:
-    """status = 'Unresolved' (null is not unresolved)."""
-    return F.coalesce(F.col(status) == F.lit(UNRESOLVED), F.lit(False))
+    """status = 'Unresolved', for filters and conditions (null: not unresolved,
+    as a filter or ``when`` drops it; the plain equality reaches the scan)."""
+    return F.col(status) == F.lit(UNRESOLVED)
 
 
 def is_open(status: str = STATUS) -> Column:
@@ -28,9 +29,9 @@ def is_open_or_unclosed(status: str = STATUS, closed: str = CLOSED) -> Column:
 
 def is_closed(status: str = STATUS, closed: str = CLOSED) -> Column:
     """status = 'Solved' AND closed date present."""
-    return F.coalesce(F.col(status) == F.lit(SOLVED), F.lit(False)) & F.col(closed).isNotNull()
+    return is_solved(status) & F.col(closed).isNotNull()
 
 
 def is_solved(status: str = STATUS) -> Column:
-    """status = 'Solved' (null is not solved)."""
-    return F.coalesce(F.col(status) == F.lit(SOLVED), F.lit(False))
+    """status = 'Solved', for filters and conditions (null: not solved)."""
+    return F.col(status) == F.lit(SOLVED)

@@ -47,14 +47,24 @@ def close_percentiles(df: DataFrame, group: str = C.LEVEL1) -> DataFrame:
 
 
 def close_product(df: DataFrame, group: str = C.LEVEL1) -> DataFrame:
-    """Histogram left-joined with the per-category percentiles
-    (``jn_hist_percentiles``).  Both sides come from one cached scan when
-    the caller caches ``df``; the percentile side is one row per category."""
-    h = close_hist(df, group)
-    p = close_percentiles(df, group).withColumnRenamed("count", "total_count")
-    return (h.join(p, group, "left")
-             .select(group, "time_bin", F.col("count").alias("bin_count"), "total_count",
-                     "median", "p75", "p90", "mean", "min", "max"))
+    """Histogram with the per-category percentiles (``jn_hist_percentiles``)
+    from one scan: rows are counted per (category, day), and bins as well as
+    exact percentiles (weighted by the counts) follow from that small frame."""
+    t = F.col("time_to_close_days")
+    days = (closed_with_days(df).filter(F.col(group).isNotNull())
+            .groupBy(group, t).agg(F.count(F.lit(1)).alias("_n")))
+    bins = (F.struct(bin_label(t, CLOSE_EDGES, CLOSE_LABELS).alias("time_bin"), F.col("_n")))
+    s = days.groupBy(group).agg(
+        F.sum("_n").alias("total_count"),
+        F.percentile(t, F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)), F.col("_n")).alias("_q"),
+        (F.sum(t * F.col("_n")) / F.sum("_n")).alias("_mean"), F.min(t).alias("min"), F.max(t).alias("max"),
+        F.collect_list(bins).alias("_bins"))
+    s = s.select(group, "total_count", rnd(F.col("_q")[0], 1).alias("median"), rnd(F.col("_q")[1], 1).alias("p75"),
+                 rnd(F.col("_q")[2], 1).alias("p90"), rnd("_mean", 1).alias("mean"), "min", "max",
+                 F.explode("_bins").alias("_b"))
+    keys = [group, "_b.time_bin", "total_count", "median", "p75", "p90", "mean", "min", "max"]
+    return (s.groupBy(*keys).agg(F.sum("_b._n").alias("bin_count"))
+             .select(group, "time_bin", "bin_count", "total_count", "median", "p75", "p90", "mean", "min", "max"))
 
 
 def close_overall(df: DataFrame) -> DataFrame:

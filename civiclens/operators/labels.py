@@ -12,22 +12,34 @@ CLUSTER_KEYS = ("level", "parent_cluster_id", "cluster_id")
 
 
 def memberships(reqs: DataFrame, top: str = "top_cluster_id", sub: str = "sub_cluster_id") -> DataFrame:
-    """Each request once in its level-1 cluster and once in its level-2 one."""
-    base = reqs.filter(F.col(top).isNotNull())
-    l1 = base.select(F.lit(1).alias("level"), F.lit(None).cast("int").alias("parent_cluster_id"),
-                     F.col(top).cast("int").alias("cluster_id"), "service_type", "description")
-    l2 = base.filter(F.col(sub).isNotNull()).select(
-        F.lit(2).alias("level"), F.col(top).cast("int").alias("parent_cluster_id"),
-        F.col(sub).cast("int").alias("cluster_id"), "service_type", "description")
-    return l1.unionByName(l2)
+    """Counts per cluster and service type: rows, rows with a description and
+    their words, for each request's level-1 cluster and its level-2 one.
+
+    The words are counted where the texts are read and one scan is aggregated
+    by (top, sub, type); both levels are sums over that small frame, so no text
+    and no row is carried twice.
+    """
+    described = F.col("description").isNotNull() & (F.col("description") != "")
+    base = (reqs.filter(F.col(top).isNotNull())
+            .groupBy(F.col(top).cast("int").alias("_top"), F.col(sub).cast("int").alias("_sub"), "service_type")
+            .agg(F.count(F.lit(1)).alias("rows"), F.count_if(described).alias("described"),
+                 F.sum(F.when(described, F.size(words("description")))).alias("desc_words")))
+    level1 = F.struct(F.lit(1).alias("level"), F.lit(None).cast("int").alias("parent_cluster_id"),
+                      F.col("_top").alias("cluster_id"))
+    level2 = F.struct(F.lit(2).alias("level"), F.col("_top").alias("parent_cluster_id"),
+                      F.col("_sub").alias("cluster_id"))
+    both = base.select(F.explode(F.when(F.col("_sub").isNull(), F.array(level1)).otherwise(F.array(level1, level2)))
+                       .alias("_c"), "service_type", "rows", "described", "desc_words")
+    return both.groupBy("_c.level", "_c.parent_cluster_id", "_c.cluster_id", "service_type").agg(
+        *[F.sum(x).alias(x) for x in ("rows", "described", "desc_words")])
 
 
 def type_counts(members: DataFrame) -> DataFrame:
-    """(cluster, service type) counts over non-empty types, ranked inside the
-    cluster by count desc then type (T15); the window runs over aggregated
+    """(cluster, service type) counts over non-empty types (``members`` as made
+    by ``memberships``), ranked inside the cluster by count desc then type (T15); the window runs over aggregated
     pairs, at most the number of distinct types per cluster."""
     t = members.filter(F.col("service_type").isNotNull() & (F.col("service_type") != ""))
-    c = t.groupBy(*CLUSTER_KEYS, "service_type").agg(F.count(F.lit(1)).alias("count"))
+    c = t.select(*CLUSTER_KEYS, "service_type", F.col("rows").alias("count"))
     w = Window.partitionBy(*CLUSTER_KEYS).orderBy(F.desc("count"), F.asc("service_type"))
     return c.withColumn("type_rank", F.row_number().over(w))
 
@@ -39,27 +51,21 @@ def top_types(members: DataFrame, k: int = 3) -> DataFrame:
 def cluster_profile(members: DataFrame) -> DataFrame:
     """Per cluster: examples, typed rows, top two types and counts, number of
     distinct types, top-3 text, dominance %, average description words."""
-    tc = type_counts(members)
-    desc_words = F.size(words("description"))
-    has_desc = F.col("description").isNotNull() & (F.col("description") != "")
-    base = members.groupBy(*CLUSTER_KEYS).agg(
-        F.count(F.lit(1)).alias("examples"),
-        F.count_if(F.col("service_type").isNotNull() & (F.col("service_type") != "")).alias("typed"),
-        F.try_divide(F.sum(F.when(has_desc, desc_words)), F.count_if(has_desc)).alias("avg_desc_words"))
-    tops = tc.groupBy(*CLUSTER_KEYS).agg(
+    typed = F.col("service_type").isNotNull() & (F.col("service_type") != "")
+    order = Window.partitionBy(*CLUSTER_KEYS).orderBy(F.desc(typed), F.desc("rows"), F.asc("service_type"))
+    ranked = members.select("*", typed.alias("_typed"), F.when(typed, F.row_number().over(order)).alias("type_rank"))
+    shown = F.struct("type_rank", F.format_string("%s (%d)", F.col("service_type"), F.col("rows")).alias("txt"))
+    prof = ranked.groupBy(*CLUSTER_KEYS).agg(
+        F.sum("rows").alias("examples"),
+        F.coalesce(F.sum(F.when(F.col("_typed"), F.col("rows"))), F.lit(0)).alias("typed"),
+        F.try_divide(F.sum("desc_words"), F.sum("described")).alias("avg_desc_words"),
         F.max(F.when(F.col("type_rank") == 1, F.col("service_type"))).alias("top_type"),
-        F.max(F.when(F.col("type_rank") == 1, F.col("count"))).alias("top_count"),
+        F.max(F.when(F.col("type_rank") == 1, F.col("rows"))).alias("top_count"),
         F.max(F.when(F.col("type_rank") == 2, F.col("service_type"))).alias("second_type"),
-        F.count(F.lit(1)).alias("n_types"),
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("type_rank") <= 3, F.struct(
-                "type_rank", F.format_string("%s (%d)", F.col("service_type"), F.col("count"))
-                .alias("txt"))))),
-            lambda s: s["txt"]), ", ").alias("top_service_types"))
-    cond = [base[k].eqNullSafe(tops[k]) for k in CLUSTER_KEYS]  # parent is null at level 1
-    j = base.join(tops, cond, "left").select(
-        *[base[c] for c in base.columns], *[tops[c] for c in tops.columns if c not in CLUSTER_KEYS])
-    return j.withColumn("dominance_pct", F.try_divide(F.col("top_count"), F.col("typed")) * 100.0)
+        F.nullif(F.count("type_rank"), F.lit(0)).alias("n_types"),
+        F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("type_rank") <= 3, shown))),
+                                          lambda x: x["txt"]), ", "), F.lit("")).alias("top_service_types"))
+    return prof.withColumn("dominance_pct", F.try_divide(F.col("top_count"), F.col("typed")) * 100.0)
 
 
 def simple_label(top_type, pct) -> F.Column:

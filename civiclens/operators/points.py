@@ -12,7 +12,7 @@ def capped_points(points: DataFrame, allowed: DataFrame, cap: int = 12000, id_co
                   need_z: bool = False, only_cluster: int | None = None) -> DataFrame:
     """Points of the allowed top clusters ordered by id, at most ``cap`` (the
     cap is the feature: a plot shows that many points)."""
-    p = points.join(F.broadcast(allowed.select("top_cluster_id").distinct()), "top_cluster_id", "left_semi")
+    p = points.join(allowed.select("top_cluster_id").distinct(), "top_cluster_id", "left_semi")
     if need_z:
         p = p.filter(F.col("z_2d").isNotNull())
     if only_cluster is not None:

@@ -8,7 +8,7 @@ once and inlined; nothing is collected to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiclens.functions import columns as C
@@ -139,7 +139,6 @@ def mode_by_group(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
 def _mode(counts: DataFrame, group: str, value: str, out: str) -> DataFrame:
     # Highest count wins; among equal counts the smallest value: rank inside
     # each group (few values per group after aggregation).
-    from pyspark.sql import Window
     w = Window.partitionBy(group).orderBy(F.desc("_n"), F.asc(value))
     return (counts.withColumn("_r", F.row_number().over(w))
                   .filter(F.col("_r") == 1)
@@ -153,10 +152,12 @@ def top_geo_hotspots(df: DataFrame, days: int = LAST_N_DAYS, k: int = 10, as_of=
     now = resolve_as_of(df, as_of)
     recent = df.filter((F.col(C.CREATED) >= minus_days(now, days)) & F.col(area).isNotNull())
     pair = recent.groupBy(area, group).agg(F.count(F.lit(1)).alias("_n"))
-    vol = pair.groupBy(area).agg(F.sum("_n").alias("volume"))
-    top_cat = _mode(pair.filter(F.col(group).isNotNull()), area, group, "top_category")
-    hot = (vol.withColumn("pct_of_total", share_pct("volume"))
-              .join(top_cat, area, "left"))
+    # Within an area's pairs: the total, and the category that comes first.
+    voted = F.struct(F.when(F.col(group).isNotNull(), -F.col("_n")), F.col(group))
+    vol = pair.groupBy(area).agg(F.sum("_n").alias("volume"),
+                                 F.min(F.when(F.col(group).isNotNull(), voted)).alias("_first"))
+    hot = vol.select(area, "volume", F.col("_first")[group].alias("top_category"),
+                     share_pct("volume").alias("pct_of_total"))
     return top_k(hot, k, [F.desc("volume"), F.asc(area)]).select(
         F.col(area).alias("neighbourhood"), "volume", "pct_of_total",
         F.coalesce(F.col("top_category"), F.lit("N/A")).alias("top_category"))
@@ -169,38 +170,61 @@ RANKING_TYPES = ("Volume (Last 30 Days)", "Worst P90 Time-to-Close", "Backlog Ag
 
 def top_combined(df: DataFrame, k: int = 10, as_of=None) -> DataFrame:
     """The five rankings stacked into one long table (``set_union``)."""
-    # One "now" for all five rankings: the same scalar subquery expression
-    # everywhere, so Spark evaluates it once for the whole union.
-    as_of = resolve_as_of(df, as_of)
+    # Three scans: one aggregate of all rows gives the two age rankings, one of
+    # the last two windows gives volume and trend, one the hotspots.  Every
+    # ranking then runs over rows of one per category.
+    now = resolve_as_of(df, as_of)
     d = lambda c: F.col(c).cast("double")
-    none_d = F.lit(None).cast("double")
-    none_s = F.lit(None).cast("string")
-
-    def block(r: DataFrame, name: str, order, cat, m1, n1, m2, n2, m3, n3) -> DataFrame:
-        return with_rank(r, order).select(
-            F.lit(name).alias("ranking_type"), F.col("rank").cast("long").alias("rank"),
-            F.col(cat).alias("category"),
-            m1.alias("primary_metric"), F.lit(n1).alias("primary_metric_name"),
-            m2.alias("secondary_metric"), F.lit(n2).alias("secondary_metric_name"),
-            m3.alias("tertiary_metric"), n3.alias("tertiary_metric_name"))
-
-    vol = block(top_volume(df, k=k, as_of=as_of), RANKING_TYPES[0],
-                [F.desc("volume"), F.asc("category")], "category",
-                d("volume"), "volume", d("pct_of_total"), "pct_of_total", none_d, none_s)
-    p90 = block(top_worst_p90(df, k=k), RANKING_TYPES[1],
-                [F.desc("p90_days"), F.asc("category")], "category",
-                d("p90_days"), "p90_days", d("median_days"), "median_days",
-                d("request_count"), F.lit("request_count"))
-    back = block(top_backlog_age(df, k=k, as_of=as_of), RANKING_TYPES[2],
-                 [F.desc("p90_age_days"), F.asc("category")], "category",
-                 d("p90_age_days"), "p90_age_days", d("avg_age_days"), "avg_age_days",
-                 d("open_count"), F.lit("open_count"))
-    trend = block(top_trending(df, k=k, as_of=as_of), RANKING_TYPES[3],
-                  [F.desc("absolute_change"), F.asc("category")], "category",
-                  d("absolute_change"), "absolute_change", d("growth_rate"), "growth_rate",
-                  d("recent_volume"), F.lit("recent_volume"))
-    geo = block(top_geo_hotspots(df, k=k, as_of=as_of), RANKING_TYPES[4],
-                [F.desc("volume"), F.asc("neighbourhood")], "neighbourhood",
-                d("volume"), "volume", d("pct_of_total"), "pct_of_total", none_d,
-                F.concat(F.lit("top_category: "), F.col("top_category")))
-    return vol.unionByName(p90).unionByName(back).unionByName(trend).unionByName(geo)
+
+    def block(n: int, metrics, keep, order) -> Column:
+        """One ranking's row of a category: metrics as (column, name) pairs."""
+        cells = {}
+        for place, (value, name) in zip(("primary", "secondary", "tertiary"), metrics, strict=True):
+            cells[f"{place}_metric"], cells[f"{place}_metric_name"] = value, name
+        return F.struct(F.lit(RANKING_TYPES[n]).alias("ranking_type"), F.col(C.LEVEL1).alias("category"),
+                        keep.alias("keep"), order.cast("double").alias("order"),
+                        *[v.alias(k) for k, v in cells.items()])
+
+    def ranked(stats: DataFrame, *blocks: Column) -> DataFrame:
+        rows = stats.select(F.explode(F.array(*blocks)).alias("r")).select("r.*").filter("keep")
+        w = Window.partitionBy("ranking_type").orderBy(F.desc("order"), F.asc("category"))
+        return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
+    duration = floor_days(C.CLOSED, C.CREATED)
+    closed = F.when(is_solved() & (duration >= 0), duration)
+    age = F.when(is_open(), floor_days(now, C.CREATED)).otherwise(duration)
+    valid = F.when(age >= 0, age)
+    ages = df.filter(F.col(C.LEVEL1).isNotNull()).groupBy(C.LEVEL1).agg(
+        rnd(F.percentile(closed, F.lit(0.9)), 1).alias("p90_days"), rnd(F.median(closed), 1).alias("median_days"),
+        F.count(closed).alias("request_count"), rnd(F.percentile(valid, F.lit(0.9)), 1).alias("p90_age_days"),
+        rnd(F.avg(valid), 1).alias("avg_age_days"), F.count(valid).alias("total_count"),
+        F.count_if(is_open()).alias("open_count"))
+    by_age = ranked(
+        ages,
+        block(1, [(d("p90_days"), F.lit("p90_days")), (d("median_days"), F.lit("median_days")),
+                  (d("request_count"), F.lit("request_count"))],
+              F.col("request_count") >= MIN_REQUESTS, F.col("p90_days")),
+        block(2, [(d("p90_age_days"), F.lit("p90_age_days")), (d("avg_age_days"), F.lit("avg_age_days")),
+                  (d("open_count"), F.lit("open_count"))],
+              F.col("total_count") >= MIN_REQUESTS, F.col("p90_age_days")))
+    counts = trending_counts(df, as_of=now).select(
+        "*", share_pct("recent_volume").alias("pct"), growth_rate().alias("growth"),
+        (F.col("recent_volume") - F.col("previous_volume")).alias("change"))
+    by_count = ranked(
+        counts,
+        block(0, [(d("recent_volume"), F.lit("volume")), (d("pct"), F.lit("pct_of_total")), (none_d, none_s)],
+              F.col("recent_volume") > 0, F.col("recent_volume")),
+        block(3, [(d("change"), F.lit("absolute_change")), (d("growth"), F.lit("growth_rate")),
+                  (d("recent_volume"), F.lit("recent_volume"))],
+              F.col("previous_volume") >= MIN_PREVIOUS, F.col("change")))
+    hot = top_geo_hotspots(df, k=k, as_of=now)
+    geo = with_rank(hot, [F.desc("volume"), F.asc("neighbourhood")]).select(
+        F.lit(RANKING_TYPES[4]).alias("ranking_type"), F.col("rank"), F.col("neighbourhood").alias("category"),
+        d("volume").alias("primary_metric"), F.lit("volume").alias("primary_metric_name"),
+        d("pct_of_total").alias("secondary_metric"), F.lit("pct_of_total").alias("secondary_metric_name"),
+        none_d.alias("tertiary_metric"), F.concat(F.lit("top_category: "), F.col("top_category"))
+        .alias("tertiary_metric_name"))
+    names = geo.columns
+    out = by_age.select(*names).unionByName(by_count.select(*names)).unionByName(geo)
+    return out.withColumn("rank", F.col("rank").cast("long"))

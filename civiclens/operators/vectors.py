@@ -30,9 +30,9 @@ def embedding_text(service_type: str = "service_type", description: str = "descr
 
 
 def pending(df: DataFrame, id_col: str = "id", vec: str = "embedding", limit: int | None = None):
-    """Rows still lacking a vector, by id (a ``limit`` here is a batch size)."""
-    out = df.filter(F.col(vec).isNull()).orderBy(id_col)
-    return out.limit(limit) if limit else out
+    """Rows still lacking a vector; with ``limit`` (a batch size) the first by id."""
+    out = df.filter(F.col(vec).isNull())
+    return out.orderBy(id_col).limit(limit) if limit else out
 
 
 def hashing_encoder(df: DataFrame, text_col: str, out_col: str = "embedding",
@@ -91,15 +91,15 @@ def merge_vectors(target: DataFrame, vectors: DataFrame, id_col: str = "id",
 # ---------------------------------------------------------------- centroids
 def centroids(points: DataFrame, keys: list[str], vec: str = "embedding",
               digits: int | None = 6) -> DataFrame:
-    """Mean vector per cluster key.  ``posexplode`` feeds a partial hash
-    aggregate keyed by (cluster, position): the exploded rows are never
-    materialized and a hot cluster is combined map-side."""
-    e = points.select(*keys, F.posexplode(vec).alias("_pos", "_v"))
-    avg = F.avg(F.col("_v").cast("double"))
-    g = e.groupBy(*keys, "_pos").agg((rnd(avg, digits) if digits is not None else avg).alias("_m"))
-    return (g.groupBy(*keys)
-             .agg(F.array_sort(F.collect_list(F.struct("_pos", "_m"))).alias("_s"))
-             .select(*keys, F.transform("_s", lambda s: s["_m"]).alias("centroid")))
+    """Mean vector per cluster key: one aggregate whose partial state is a
+    vector per cluster, so a hot cluster is combined map-side."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    means = (points.filter(F.col(vec).isNotNull()).select(*keys, array_to_vector(F.col(vec)).alias("_v"))
+             .groupBy(*keys).agg(Summarizer.mean(F.col("_v")).alias("_m")))
+    mean = vector_to_array("_m")
+    return means.select(*keys, (F.transform(mean, lambda x: rnd(x, digits)) if digits is not None else mean)
+                        .alias("centroid"))
 
 
 def cluster_sizes(points: DataFrame, top: str = "top_cluster_id", sub: str = "sub_cluster_id",

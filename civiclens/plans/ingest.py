@@ -111,17 +111,19 @@ def q_src_raw_by_type(spark, sf_dir):
     return filtered(_raw(spark, sf_dir), {"`Service Type`": "SMALL Brand#4"})
 
 
-@register("src_cached")
+@register("src_cached", with_requests() + f"SELECT {_REQ_COLS} FROM requests")
 def q_src_cached(spark, sf_dir):
     """Snapshot of the request table, reused while younger than 24 h."""
     root = files.scratch_path(spark, "snapshots/" + os.path.basename(sf_dir.rstrip("/")))
     return files.cached_snapshot(spark, lambda: _req(spark, sf_dir), root)
 
 
-@register("src_csv")
+@register("src_csv", with_requests(RAW_CTE) + """
+SELECT * REPLACE (nullif("Reference Number", '') AS "Reference Number", nullif("Service Type", '') AS "Service Type")
+FROM raw""")
 def q_src_csv(spark, sf_dir):
     """Raw rows written as CSV (the source format) and read back with an
-    explicit schema."""
+    explicit schema; an empty value is a missing one there."""
     raw = _raw(spark, sf_dir)
     path = files.scratch_path(spark, "raw_csv/" + os.path.basename(sf_dir.rstrip("/")))
     files.write_csv(raw, path)

@@ -233,6 +233,19 @@ def q_type_dist(spark, sf_dir):
     return L.type_distribution(members_base(spark, sf_dir))
 
 
+@register("jn_label_not_found", """
+SELECT 1 AS level, CAST(NULL AS INTEGER) AS parent_cluster_id, 1000 + label AS cluster_id, 'moved' AS label
+FROM (SELECT DISTINCT CAST(label AS INTEGER) AS label FROM embeddings)""")
+def q_label_not_found(spark, sf_dir):
+    """Rows of a label file whose cluster the table does not have: the file
+    names every cluster once as it is and once under a number out of use."""
+    ids = points(spark, sf_dir).select("top_cluster_id").distinct()
+    upd = ids.select(F.explode(F.array(F.lit(0), F.lit(1000))).alias("_by"), "top_cluster_id").select(
+        F.lit(1).alias("level"), F.lit(None).cast("int").alias("parent_cluster_id"),
+        (F.col("_by") + F.col("top_cluster_id")).cast("int").alias("cluster_id"), F.lit("moved").alias("label"))
+    return L.labels_not_found(cluster_rows(spark, sf_dir), upd)
+
+
 @register("jn_label_update", _LABELS + """,
 upd AS (SELECT level, parent_cluster_id, cluster_id, label FROM lt
         WHERE label IS NOT NULL AND trim(label) <> '' AND label <> 'EMPTY')

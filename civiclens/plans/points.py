@@ -23,7 +23,8 @@ pq AS (SELECT service_level_1 AS "group", count(*) AS request_count,
 _UNRES_CTE = f"""
 u AS (SELECT *, {days(NOW, 'date_created')} AS age FROM requests
       WHERE {OPEN} OR date_closed IS NULL)"""
-from civiclens.plans.registry import register
+from civiclens.plans import analytics  # noqa: F401 - its oracle of the geographic product
+from civiclens.plans.registry import ORACLES, register
 from civiclens.plans.vectors import points as vpoints
 from civiclens.session import configure
 from civiclens.sources.requests import fact_requests, latest_created
@@ -261,7 +262,10 @@ def q_kpi(spark, sf_dir):
              .join(c.withColumn("_k", one), "_k").drop("_k"))
 
 
-@register("sink_csv")
+_GEO_SQL = ORACLES["agg_geo_metrics"]
+
+
+@register("sink_csv", _GEO_SQL)
 def q_sink_csv(spark, sf_dir):
     """A product written as one CSV (small product) and read back."""
     import os
@@ -272,7 +276,10 @@ def q_sink_csv(spark, sf_dir):
     return files.read_csv(spark, path, "electoral_district string, volume long, unresolved long, slow_p90 double")
 
 
-@register("sink_geojson")
+@register("sink_geojson", f"""
+SELECT n_nationkey::BIGINT AS feature_idx, n_name AS district, g.volume, g.unresolved, g.slow_p90,
+       n_regionkey::DOUBLE AS x, n_nationkey::DOUBLE AS y
+FROM nation LEFT JOIN ({_GEO_SQL}) g ON n_name = g.electoral_district""")
 def q_sink_geojson(spark, sf_dir):
     """Enriched district features written as line-delimited GeoJSON and read
     back with the GeoJSON source (``src_geojson``)."""
@@ -289,11 +296,16 @@ def q_sink_geojson(spark, sf_dir):
     path = files.scratch_path(spark, "geo/" + os.path.basename(sf_dir.rstrip("/")))
     G.write_geojson_lines(G.enrich_features(feats, G.geo_metrics(r)), path)
     back = files.read_geojson(spark, path, line_delimited=True)
-    return back.select("feature_idx", F.col("properties")["Electoral District"].alias("district"),
-                       F.col("properties")["volume"].alias("volume"), "geometry")
+    prop = F.col("properties")
+    at = [F.get_json_object("geometry", f"$.coordinates[{i}]").cast("double") for i in (0, 1)]
+    return back.select("feature_idx", prop["Electoral District"].alias("district"),
+                       prop["volume"].cast("long").alias("volume"), prop["unresolved"].cast("long").alias("unresolved"),
+                       prop["slow_p90"].cast("double").alias("slow_p90"), at[0].alias("x"), at[1].alias("y"))
 
 
-@register("src_geojson")
+@register("src_geojson", """
+SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS feature_idx, n_name AS district,
+       n_regionkey::DOUBLE AS x, n_nationkey::DOUBLE AS y FROM nation""")
 def q_src_geojson(spark, sf_dir):
     """A FeatureCollection document built from the district table (one
     feature per district, a bounded set) is written and read back with the
@@ -312,5 +324,6 @@ def q_src_geojson(spark, sf_dir):
                                         F.transform(rows, feature).alias("features"))).alias("value"))
     path = files.scratch_path(spark, "geo_doc/" + os.path.basename(sf_dir.rstrip("/")))
     doc.write.mode("overwrite").text(path)
+    at = [F.get_json_object("geometry", f"$.coordinates[{i}]").cast("double") for i in (0, 1)]
     return files.read_geojson(spark, path).select(
-        "feature_idx", G.district_of().alias("district"), "geometry")
+        "feature_idx", G.district_of().alias("district"), at[0].alias("x"), at[1].alias("y"))

@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 from civiclens.operators import products as PR
 from civiclens.operators import vectors as V
 from civiclens.plans.oracle import with_requests
-from civiclens.plans.registry import register
+from civiclens.plans import analytics, rankings  # noqa: F401 - their oracles of the products
+from civiclens.plans.registry import ORACLES, register
 from civiclens.session import configure
 from civiclens.sources.requests import fact_requests
 
 
+@register("cat_slice", f"SELECT * FROM ({ORACLES['top_combined']}) WHERE ranking_type = 'Trending Up'")
+def q_cat_slice(spark, sf_dir):
+    """A catalogued slice: one ranking out of the combined table."""
+    configure(spark)
+    return PR.load(spark, sf_dir, "top10_trending_up")
+
+
 @register("cat_load", with_requests("""
 f AS (SELECT service_level_1 AS category,
              count(*) FILTER (WHERE first_call_resolution = 'Yes') AS fcr_yes,
@@ -38,7 +46,28 @@ def q_sum_profile(spark, sf_dir):
     return prof.select("row_count", F.get_json_object("row_json", "$.Time").alias("last_period"))
 
 
-@register("sum_all")
+# The oracle of each catalogued product, and the number of its columns.
+_PRODUCT_SQL = {
+    "backlog_distribution": ("agg_backlog_hist", 3), "backlog_level1_summary": ("agg_backlog_level1", 7),
+    "backlog_ranked_list": ("agg_backlog_ranked", 5), "fcr_by_category": ("agg_fcr", 5),
+    "frequency_over_time": ("agg_frequency_pivot", 7), "geographic_hot_spots": ("agg_geo_metrics", 4),
+    "priority_quadrant": ("agg_priority_category", 8), "seasonality_heatmap": ("agg_seasonality", 13),
+    "time_to_close": ("agg_close_product", 10), "top10": ("top_combined", 9),
+}
+_SLICES = {"top10_volume_30d": "Volume (Last 30 Days)", "top10_worst_p90_time": "Worst P90 Time-to-Close",
+           "top10_backlog_age": "Backlog Age", "top10_trending_up": "Trending Up",
+           "top10_geographic_hotspots": "Geographic Hotspots"}
+
+
+def _rows_sql(pid):
+    if pid in _SLICES:
+        return f"(SELECT count(*) FROM ({ORACLES['top_combined']}) WHERE ranking_type = '{_SLICES[pid]}')"
+    return f"(SELECT count(*) FROM ({ORACLES[_PRODUCT_SQL[pid][0]]}))"
+
+
+@register("sum_all", " UNION ALL ".join(
+    f"SELECT '{p}' AS product_id, 'ok' AS status, {_rows_sql(p)} AS rows, {_PRODUCT_SQL.get(p, (0, 9))[1]} AS columns"
+    for p in [*_PRODUCT_SQL, *_SLICES]))
 def q_sum_all(spark, sf_dir):
     """Every catalogued product profiled over the request table: a
     table of (product, status, rows, columns); a product whose plan fails
@@ -76,7 +105,8 @@ def q_cluster_labels(spark, sf_dir):
     return V.with_labels(a, lt.select("level", "parent_cluster_id", "cluster_id", "label"), pair_sizes(pts))
 
 
-@register("cat_many")
+@register("cat_many", " UNION ALL ".join(
+    f"SELECT '{p}' AS product_id, {_rows_sql(p)} AS rows" for p in ("geographic_hot_spots", "fcr_by_category")))
 def q_cat_many(spark, sf_dir):
     """Three products loaded at once over the request table (an
     unknown id is skipped); their row counts stacked."""

@@ -30,7 +30,8 @@ def q_str_ingest(spark, sf_dir):
     return out
 
 
-@register("str_embed")
+@register("str_embed", """
+SELECT doc_id, 64 AS dims FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
 def q_str_embed(spark, sf_dir):
     configure(spark)
     return jobs.run_embed(spark, sf_dir).select("doc_id", F.size("embedding").alias("dims"))

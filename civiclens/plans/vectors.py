@@ -96,7 +96,7 @@ def q_cosine(spark, sf_dir):
     """Each vector against its own top-cluster centroid (an equi-join)."""
     pts = points(spark, sf_dir)
     c = top_centroids(pts).withColumnRenamed("cluster_id", "top_cluster_id")
-    return pts.join(F.broadcast(c), "top_cluster_id").select(
+    return pts.join(c, "top_cluster_id").select(
         "id", "top_cluster_id", F.bround(cosine("embedding", "centroid"), 6).alias("cosine"))
 
 
@@ -246,24 +246,24 @@ WHERE top_cluster_id IN (SELECT cluster_id FROM cl WHERE level = 1 ORDER BY clus
 def q_semi_points(spark, sf_dir):
     pts = points(spark, sf_dir)
     keep = V.level1_ids(cluster_table(spark, sf_dir), limit=25).withColumnRenamed("cluster_id", "top_cluster_id")
-    return pts.join(F.broadcast(keep), "top_cluster_id", "left_semi").select(
+    return pts.join(keep, "top_cluster_id", "left_semi").select(
         "id", "top_cluster_id", "sub_cluster_id")
 
 
-@register("jn_anti_prune", """
-WITH pr AS (SELECT vec_id AS request_id,
+@register("jn_anti_prune", _CLUSTERS + """,
+pr AS (SELECT vec_id AS request_id,
                    CASE WHEN vec_id % 7 = 0 THEN NULL ELSE label END AS top_cluster_id FROM embeddings)
-SELECT request_id, top_cluster_id FROM pr WHERE top_cluster_id IS NULL OR top_cluster_id IN (1, 2, 3)""")
+SELECT request_id, top_cluster_id FROM pr WHERE top_cluster_id IS NULL
+   OR top_cluster_id IN (SELECT cluster_id FROM cl WHERE level = 1 ORDER BY cluster_id LIMIT 3)""")
 def q_anti_prune(spark, sf_dir):
     """Projected rows outside the kept clusters go; rows without a cluster stay."""
     e = read_table(spark, sf_dir, "embeddings")
     pr = e.select(F.col("vec_id").alias("request_id"),
                   F.when(F.pmod("vec_id", F.lit(7)) == 0, F.lit(None)).otherwise(F.col("label"))
                   .alias("top_cluster_id"))
-    kept = pr.sparkSession.createDataFrame([(1,), (2,), (3,)], "top_cluster_id int")
-    outside = pr.filter(F.col("top_cluster_id").isNotNull()).join(F.broadcast(kept), "top_cluster_id",
-                                                                 "left_anti")
-    return pr.join(outside.select("request_id"), "request_id", "left_anti")
+    kept = V.level1_ids(cluster_table(spark, sf_dir), limit=3).select(F.col("cluster_id").alias("kept_id"))
+    inside = pr.join(kept, pr.top_cluster_id == kept.kept_id, "left")
+    return inside.filter(F.col("kept_id").isNotNull() | F.col("top_cluster_id").isNull()).select(*pr.columns)
 
 
 @register("red_clear", """
@@ -297,7 +297,9 @@ def q_embedding_text(spark, sf_dir):
     return _doc_table(spark, sf_dir).select("id", V.embedding_text().alias("text"))
 
 
-@register("emb_batch")
+@register("emb_batch", """
+SELECT conv_id, turn, 384 AS dims, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+FROM conversations""")
 def q_emb_batch(spark, sf_dir):
     """Default hashing encoder over every conversation turn (whole texts)."""
     c = read_table(spark, sf_dir, "conversations")
@@ -312,17 +314,20 @@ def V_norm(c):
 
 
 @register("emb_merge", """
-SELECT d.doc_id AS id, e.embedding IS NULL AS was_pending FROM documents d
-LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
+SELECT d.doc_id AS id, e.embedding IS NULL AS was_pending, 64 AS dims,
+       CASE WHEN e.embedding IS NULL THEN 1.0
+            ELSE round_even(sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))), 4)
+       END AS norm
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
 def q_emb_merge(spark, sf_dir):
     """Pending documents get vectors from the encoder (64 dims to match the
     stored ones) and are merged back by id; afterwards no vector is missing."""
     docs = _doc_table(spark, sf_dir)
     todo = V.pending(docs).withColumn("_t", V.embedding_text())
     new = V.hashing_encoder(todo.select("id", "_t"), "_t", dim=64).select("id", "embedding")
-    merged = V.merge_vectors(docs, new)
-    return merged.join(docs.select("id", F.col("embedding").isNull().alias("was_pending")), "id").filter(
-        F.col("embedding").isNotNull()).select("id", "was_pending")
+    marked = docs.withColumn("was_pending", F.col("embedding").isNull())
+    return V.merge_vectors(marked, new).filter(F.col("embedding").isNotNull()).select(
+        "id", "was_pending", F.size("embedding").alias("dims"), F.bround(V_norm("embedding"), 4).alias("norm"))
 
 
 @register("km_fit")

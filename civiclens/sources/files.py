@@ -21,8 +21,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """CSV with a header; an explicit schema avoids the inference pass."""
-    r = spark.read.option("header", True)
+    """CSV with a header; an explicit schema avoids the inference pass.  Values
+    may hold line ends, so a file is read by one task; writers make many files."""
+    r = (spark.read.option("header", True).option("multiLine", True)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if schema is not None:
         return r.schema(schema).csv(path)
     return r.option("inferSchema", True).csv(path)
@@ -32,7 +34,8 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """Product sink.  ``single_file`` (one CSV for a small product) coalesces
     to one partition; never use it for row-level tables."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    (out.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) -> None:

@@ -59,12 +59,12 @@ def test_catalog_smoke(spark, req):
 
 
 def test_fact_table_written_once_and_equal_to_derivation(spark):
-    from civiclens.sources.requests import _fingerprint, fact_requests
+    from civiclens.sources.requests import fact_requests, fingerprint
     a = fact_requests(spark, SF)
     files_a = sorted(a.inputFiles())
     b = fact_requests(spark, SF)
     assert sorted(b.inputFiles()) == files_a                  # reused, not rewritten
-    assert _fingerprint(spark, SF) == _fingerprint(spark, SF)
+    assert fingerprint(spark, SF) == fingerprint(spark, SF)
     derived = requests(spark, SF)
     assert a.columns == derived.columns
     assert a.exceptAll(derived).count() == 0 and derived.exceptAll(a).count() == 0
