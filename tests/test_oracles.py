@@ -2,15 +2,15 @@
 
 import pytest
 
+from civiclens.plans import registry
 from tests.oracle_tools import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"km_fit", "km_hierarchical", "prj_2d", "src_csv", "src_cached"}
+SLOW = {"km_fit", "km_hierarchical", "prj_2d"}
 
 
 def _names():
-    import __spark_entry__ as E
-    return sorted(E.queries())
+    return sorted(registry.queries())
 
 
 @pytest.fixture(scope="module")
@@ -20,10 +20,9 @@ def con():
 
 @pytest.mark.parametrize("name", _names())
 def test_query_matches_oracle(spark, con, name):
-    import __spark_entry__ as E
     if name in SLOW:
-        pytest.skip("rows-only / iterative; covered by the sf0.01 harness")
-    ok, msg = compare(spark, name, E.queries()[name], E.oracle_sql().get(name), SF, con)
+        pytest.skip("iterative; see test_scale_rules and test_clusters")
+    ok, msg = compare(spark, name, registry.queries()[name], registry.oracle_sql().get(name), SF, con)
     assert ok, msg
 
 
