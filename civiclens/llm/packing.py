@@ -14,7 +14,10 @@ windows; very long texts become many full windows.
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,47 +27,59 @@ from pyspark.sql import functions as F
 #: Tokens of a window and the id that ends a document (fixed values).
 WINDOW = 2048
 END = 1
-#: Distinct words whose ids a Python worker remembers (memory only).
-CACHE_WORDS = 200_000
-
 PIECE = "doc_id long, doc_tokens long, start long, length long, ids binary"
 
 
-class WordTokenizer:
-    """Ids of a text from a tokenizer file, with the ids of frequent words kept.
+#: How the byte-level pre-tokenizer splits a text, and the bytes that stand for
+#: themselves in its vocabulary (fixed values); the others take the characters
+#: from 256 on, in order.
+PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+
+class FileTokenizer:
+    """Ids of texts by a byte-level tokenizer file.
 
-    The byte-level pre-tokenizer never joins a space to what stands before it,
-    so a single space between two other characters is a place where a text may
-    be cut without changing its ids.  Text around longer runs of white space
-    stays in one part.
+    The file is read by ``tokenizers``.  Its vocabulary, as merge ranks, feeds
+    ``tiktoken``, which applies the same merges about four times as fast;
+    ``check`` holds the one against the other.  Strings of special tokens in a
+    text are ordinary text.
     """
 
     def __init__(self, path: str):
-        import os
-        import re
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-        self.odd = re.compile(r" \s|\s ").search
-        self.cut = re.compile(r"(?<=\S) (?=\S)").split
-
-    def parts(self, text: str) -> list[str]:
-        pieces = self.cut(text) if self.odd(text) else text.split(" ")
-        return [pieces[0], *[" " + p for p in pieces[1:]]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        known = self.known
-        split = [self.parts(t) for t in texts]
-        fresh = list({p for ps in split for p in ps if p not in known})
-        new = {p: np.asarray(e.ids, "<u4").tobytes()
-               for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True)}
-        if len(known) + len(new) <= CACHE_WORDS:
-            known.update(new)
-        rest = new.get
-        return [b"".join([known.get(p) or rest(p, b"") for p in ps]) for ps in split]
+        self.exact = Tokenizer.from_file(path)
+        self.exact.encode_special_tokens = True
+        special = {t.content for t in self.exact.get_added_tokens_decoder().values() if t.special}
+        others = iter(range(256, 512))
+        byte_of = {chr(b if b in PRINTED else next(others)): b for b in range(256)}
+        ranks = {bytes(byte_of[c] for c in token): i
+                 for token, i in self.exact.get_vocab().items() if token not in special}
+        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.blank = re.compile(r"\s{1000}").search
+
+    def slow_ids(self, text: str) -> list[int]:
+        return self.exact.encode(text, add_special_tokens=False).ids
+
+    def ids(self, text: str) -> list[int]:
+        """Long runs of white space would exhaust the other library's matcher."""
+        return self.slow_ids(text) if self.blank(text) else self.fast.encode_ordinary(text)
+
+    def check(self, text: str) -> None:
+        if self.ids(text) != self.slow_ids(text):
+            raise ValueError("the tokenizer file is not byte-level BPE with ids in merge order")
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        return np.array(self.ids(text), "<u4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str) -> FileTokenizer:
+    """One tokenizer for all tasks of a worker."""
+    return FileTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
@@ -74,14 +89,14 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END
     mark = np.asarray([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordTokenizer(tokenizer)
+        coder = tokenizer_of(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids_of = coder.encode([x or "" for x in part.column(1).to_pylist()])
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), ids_of, strict=True):
-                    ids += mark
+                part, rows = batch.slice(at, 256), []
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                coder.check(texts[0])
+                for doc, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                    ids = coder.encode(text) + mark
                     n = len(ids) // 4
                     rows += [(doc, n, s, min(window, n - s), ids[4 * s:4 * (s + window)])
                              for s in range(0, n, window)]

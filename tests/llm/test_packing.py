@@ -15,24 +15,27 @@ TEXTS = [None, "", " ", "  two  spaces ", "a\n b", "a \nb", "tab\t x", "é ü 
          "it's John's 'll we'll 12 345", "\x1c a \x85 b", "😀 😀😀", prose(20_000), "nospace" * 3000]
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+TOKENIZER.encode_special_tokens = True
+
+
 def ids(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids
 
 
-def test_word_cache_gives_the_tokenizers_ids():
-    coder = P.WordTokenizer(PATH)
-    for _ in range(2):
-        got = coder.encode([t or "" for t in TEXTS])
-        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids(t) for t in TEXTS]
+def test_ids_are_the_tokenizer_files():
+    coder = P.FileTokenizer(PATH)
+    for t in [*TEXTS, " " * 5000 + "x", "\n" * 3000]:
+        coder.check(t or "")
+        assert np.frombuffer(coder.encode(t or ""), "<u4").tolist() == ids(t)
 
 
-def test_word_cache_on_random_white_space():
+def test_ids_of_random_texts():
     r = random.Random(1)
-    texts = ["".join(r.choice(" \n\tab'1.é ") for _ in range(r.randrange(40))) for _ in range(500)]
-    coder = P.WordTokenizer(PATH)
-    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [ids(t) for t in texts]
+    coder = P.FileTokenizer(PATH)
+    for _ in range(3000):
+        t = "".join(r.choice(" \n\tab'1.é\x85\xa0日_%’ſt s") if r.random() < .8 else chr(r.randrange(1, 0x3000)) for _ in range(r.randrange(40)))
+        assert coder.ids(t) == ids(t)
 
 
 def test_every_id_lies_in_one_piece_and_windows_have_no_gaps(spark):
