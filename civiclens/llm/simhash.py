@@ -142,7 +142,7 @@ def direct_links(keys: DataFrame, distance: int, segments: int) -> DataFrame:
 def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of the fingerprints of one key, compared in
     blocks; only rows that are still in different trees give a link."""
-    parent = np.arange(len(fps))
+    fps, parent = fps.astype(np.int64).view(np.uint64), np.arange(len(fps))
 
     def root(x: int) -> int:
         while parent[x] != x:

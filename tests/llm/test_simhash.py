@@ -85,7 +85,7 @@ def test_ring_condition_never_loses_a_pair():
 def test_forest_in_blocks(monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 16)
     rng = np.random.default_rng(0)
-    fps = np.unique(rng.integers(0, 2 ** 9, 150))
+    fps = np.unique(rng.integers(0, 2 ** 9, 150) | (rng.integers(0, 2, 150) << 63))
     links = S.forest(fps, 2)
     want = roots(fps.tolist(), 2)
     assert len(links) == len(fps) - len(set(want.values()))
