@@ -17,14 +17,15 @@ from civiclens.session import checkpoint_dir
 
 
 def fit_top(points: DataFrame, k: int = 25, seed: int = 42, max_iter: int = 100,
-            vec: str = "embedding", id_col: str = "id"):
-    """``pyspark.ml`` k-means on the vectors; returns (assignments, centroids).
-    Labels equal the reference's only up to a permutation (different solver)."""
+            vec: str = "embedding", id_col: str = "id", restarts: int = 5):
+    """``pyspark.ml`` k-means on the vectors, the best of ``restarts`` starts by
+    within-cluster cost; returns (assignments, centroids).  Labels equal the reference's only up to a permutation (different solver)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
     data = points.select(id_col, array_to_vector(F.col(vec)).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features",
-                   predictionCol="top_cluster_id").fit(data)
+    models = [KMeans(k=k, seed=seed + n, maxIter=max_iter, featuresCol="features",
+                     predictionCol="top_cluster_id").fit(data) for n in range(restarts)]
+    model = min(models, key=lambda m: m.summary.trainingCost)
     assigned = model.transform(data).select(id_col, F.col("top_cluster_id").cast("int"))
     spark = points.sparkSession
     cents = spark.createDataFrame(

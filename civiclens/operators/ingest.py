@@ -97,6 +97,15 @@ def clean(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return out.filter(F.col("created_at").isNotNull())
 
 
+def clean_counts(raw: DataFrame) -> DataFrame:
+    """What ``clean`` accepts and why it skips the rest, in one aggregate."""
+    sid, stype = q("Service Request ID").cast("string"), q("Service Type").cast("string")
+    named = F.coalesce((sid != "") & (stype != ""), F.lit(False))
+    dated = parse_date(q("Date Created")).isNotNull()
+    return raw.agg(F.count(F.lit(1)).alias("total"), F.count_if(named & dated).alias("accepted"),
+                   F.count_if(~named).alias("skipped_missing"), F.count_if(named & ~dated).alias("skipped_date"))
+
+
 def dedupe_first(df: DataFrame, key: str, order: Sequence[str],
                  existing: DataFrame | None = None) -> DataFrame:
     """``INSERT ... ON CONFLICT DO NOTHING``: the first row per key in
@@ -117,13 +126,17 @@ def dedupe_first(df: DataFrame, key: str, order: Sequence[str],
     return first
 
 
-def request_stats(df: DataFrame, created: str = "created_at") -> DataFrame:
-    """Totals of a loaded ``requests`` table in one aggregate."""
-    c = F.col(created)
+def request_stats(df: DataFrame, created: str | None = "created_at") -> DataFrame:
+    """Totals of a loaded ``requests`` table in one aggregate: rows, those with a
+    vector, a cluster and a place in the plot where the columns exist, and the
+    span of dates."""
     extra = []
+    if "x_2d" in df.columns:
+        extra.append(F.count_if(F.col("x_2d").isNotNull()).alias("with_projection"))
     if "embedding" in df.columns:
         extra.append(F.count_if(F.col("embedding").isNotNull()).alias("with_embedding"))
     if "top_cluster_id" in df.columns:
         extra.append(F.count_if(F.col("top_cluster_id").isNotNull()).alias("with_clusters"))
-    return df.agg(F.count(F.lit(1)).alias("total"), *extra,
-                  F.min(c).alias("min_date"), F.max(c).alias("max_date"))
+    if created is not None:
+        extra += [F.min(created).alias("min_date"), F.max(created).alias("max_date")]
+    return df.agg(F.count(F.lit(1)).alias("total"), *extra)

@@ -133,6 +133,13 @@ def parse(df: DataFrame, col: str = "metric") -> DataFrame:
     return out.withColumn("label", label(t, F.col("metric_type"), F.col("value"), F.col("unit")))
 
 
+def grouped(parsed: DataFrame) -> DataFrame:
+    """Each metric under its type and category, one row per metric, so a group
+    of any size stays spread over rows."""
+    return parsed.select(F.coalesce("metric_type", F.lit("unknown")).alias("metric_type"),
+                         F.coalesce("category", F.lit("Other")).alias("category"), "metric", "value", "unit")
+
+
 def group_by_type(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy(F.coalesce("metric_type", F.lit("unknown")).alias("metric_type")).agg(
         F.count(F.lit(1)).alias("n_metrics"))

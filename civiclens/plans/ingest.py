@@ -177,6 +177,19 @@ def q_clean(spark, sf_dir):
     return cleaned(spark, sf_dir)
 
 
+@register("ing_counts", with_requests(RAW_CTE) + f"""
+SELECT count(*) AS total,
+       count(*) FILTER (WHERE "Service Request ID" <> '' AND "Service Type" <> ''
+                          AND {parse_date_sql('"Date Created"')} IS NOT NULL) AS accepted,
+       count(*) FILTER (WHERE NOT coalesce("Service Request ID" <> '' AND "Service Type" <> '', false)) AS skipped_missing,
+       count(*) FILTER (WHERE "Service Request ID" <> '' AND "Service Type" <> ''
+                          AND {parse_date_sql('"Date Created"')} IS NULL) AS skipped_date
+FROM raw""")
+def q_clean_counts(spark, sf_dir):
+    """Raw rows accepted by the cleaning and skipped, by reason."""
+    return I.clean_counts(_raw(spark, sf_dir))
+
+
 @register("ing_dedupe", with_requests(RAW_CTE, CLEAN_CTE) + """
 SELECT * EXCLUDE (id) FROM loaded
 WHERE service_request_id NOT IN (SELECT service_request_id FROM clean WHERE created_at < DATE '1996-01-01')""")

@@ -261,6 +261,14 @@ def q_qualitative(spark, sf_dir):
     return d.select("doc_id", RP.qualitative("text").alias("qualitative"))
 
 
+@register("met_grouped", _MS + """
+SELECT coalesce(metric_type, 'unknown') AS metric_type, coalesce(category, 'Other') AS category, metric, value, unit
+FROM pm""")
+def q_met_grouped(spark, sf_dir):
+    """The metrics themselves under their type and category."""
+    return M.grouped(parsed(spark, sf_dir))
+
+
 @register("agg_priority_top_volume", with_requests(f"""
 pb AS (SELECT * FROM requests WHERE service_level_1 IS NOT NULL)""") + """
 SELECT service_level_1 AS "group", count(*) AS request_count FROM pb GROUP BY 1

@@ -62,6 +62,25 @@ sizes AS (SELECT top_cluster_id AS parent_cluster_id, sub_cluster_id AS cluster_
           FROM pts GROUP BY 1, 2)"""
 
 
+_CLUSTERS = _PTS + """,
+l1 AS (SELECT cluster_id, CAST(NULL AS INTEGER) AS parent_cluster_id, 1 AS level, count(p.id) AS size
+       FROM range(0, 10) r(cluster_id) LEFT JOIN pts p ON p.top_cluster_id = r.cluster_id GROUP BY 1),
+l2 AS (SELECT CAST(r.i % 4 AS INTEGER) AS cluster_id, CAST(r.i // 4 AS INTEGER) AS parent_cluster_id,
+              2 AS level, count(p.id) AS size
+       FROM range(0, 40) r(i) LEFT JOIN pts p
+         ON p.top_cluster_id = r.i // 4 AND p.sub_cluster_id = r.i % 4 GROUP BY 1, 2),
+cl AS (SELECT CAST(cluster_id AS INTEGER) AS cluster_id, parent_cluster_id, level, size FROM l1
+       UNION ALL SELECT * FROM l2)"""
+
+
+_CLUSTER_ROWS_SQL = _CLUSTERS + """
+SELECT cl.level, cl.parent_cluster_id, cl.cluster_id, cl.size,
+       coalesce(len(CASE WHEN cl.level = 1 THEN c1v.centroid ELSE c2v.centroid END), -1)::INTEGER AS dims,
+       (CASE WHEN cl.level = 1 THEN c1v.centroid ELSE c2v.centroid END)[1] AS first_value
+FROM cl LEFT JOIN c1v ON cl.level = 1 AND c1v.cluster_id = cl.cluster_id
+LEFT JOIN c2v ON cl.level = 2 AND c2v.cluster_id = cl.cluster_id AND c2v.parent_cluster_id = cl.parent_cluster_id"""
+
+
 def _cos(a, b):
     a, b = f"CAST({a} AS DOUBLE[])", f"CAST({b} AS DOUBLE[])"
     na, nb = f"sqrt(list_dot_product({a}, {a}))", f"sqrt(list_dot_product({b}, {b}))"
@@ -78,6 +97,35 @@ def q_centroid_l2(spark, sf_dir):
     return long_form(sub_centroids(points(spark, sf_dir)), ["parent_cluster_id", "cluster_id"])
 
 
+@register("km_centroid_parent", _PTS + """
+SELECT cluster_id, CAST(dim AS BIGINT) AS dim, value FROM c2 WHERE parent_cluster_id = 1""")
+def q_centroid_parent(spark, sf_dir):
+    """Sub-cluster centroids of one parent (the operator's argument)."""
+    mine = points(spark, sf_dir).filter(F.col("top_cluster_id") == 1)
+    return long_form(sub_centroids(mine), ["cluster_id"])
+
+
+@register("km_rows_centroids", _CLUSTER_ROWS_SQL)
+def q_rows_centroids(spark, sf_dir):
+    """Cluster rows with their centroids (none for an empty cluster)."""
+    rows = V.cluster_sizes(points(spark, sf_dir), k1=10, k2=4, vec="embedding")
+    return rows.select("level", "parent_cluster_id", "cluster_id", "size", F.coalesce(F.size("centroid"), F.lit(-1)).alias("dims"),
+                       F.get("centroid", F.lit(0)).alias("first_value"))
+
+
+@register("st_vector_stats", """
+SELECT count(*) AS total, count(e.embedding) AS with_embedding, count(e.label) AS with_clusters
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
+def q_vector_stats(spark, sf_dir):
+    """Table totals with the embedded and the clustered rows."""
+    from civiclens.operators import ingest as I
+    configure(spark)
+    d = read_table(spark, sf_dir, "documents", ["doc_id"])
+    e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+    rows = d.join(e, d.doc_id == e.vec_id, "left").withColumnRenamed("label", "top_cluster_id")
+    return I.request_stats(rows, created=None)
+
+
 @register("prj_parse_vector", """
 SELECT vec_id, CAST(dim - 1 AS BIGINT) AS dim, CAST(v AS DOUBLE) AS value FROM (
   SELECT vec_id, unnest(generate_series(1, len(p))) AS dim, unnest(p) AS v
@@ -172,17 +220,6 @@ def q_threshold(spark, sf_dir):
     return V.low_confidence(a).select("query_id", "child_similarity", "low_confidence")
 
 
-_CLUSTERS = _PTS + """,
-l1 AS (SELECT cluster_id, CAST(NULL AS INTEGER) AS parent_cluster_id, 1 AS level, count(p.id) AS size
-       FROM range(0, 10) r(cluster_id) LEFT JOIN pts p ON p.top_cluster_id = r.cluster_id GROUP BY 1),
-l2 AS (SELECT CAST(r.i % 4 AS INTEGER) AS cluster_id, CAST(r.i // 4 AS INTEGER) AS parent_cluster_id,
-              2 AS level, count(p.id) AS size
-       FROM range(0, 40) r(i) LEFT JOIN pts p
-         ON p.top_cluster_id = r.i // 4 AND p.sub_cluster_id = r.i % 4 GROUP BY 1, 2),
-cl AS (SELECT CAST(cluster_id AS INTEGER) AS cluster_id, parent_cluster_id, level, size FROM l1
-       UNION ALL SELECT * FROM l2)"""
-
-
 def cluster_table(spark, sf_dir):
     """Cluster rows for k1 = 10 labels x k2 = 4 sub ids (sub id 3 is always
     empty, so sizes of 0 appear as in a real table)."""
