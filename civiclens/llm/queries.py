@@ -205,7 +205,7 @@ def op9(spark, sf_dir):
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(fold != 1)
-    model = toxicity.train(docs.join(labels, "doc_id"))
+    model = toxicity.train(docs, labels)
     scored = toxicity.score(docs, model)
     return scored.select(
         "doc_id", (fold == 1).alias("held_out"), "score",
