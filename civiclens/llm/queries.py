@@ -127,7 +127,7 @@ l AS (SELECT *, (budget - coalesce(sum(source_size * 3) OVER (ORDER BY source_si
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                 / sum(weight) OVER (ORDER BY source_size * 3 / weight, rank
                    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT *, least(weight * (SELECT min(level) FROM l WHERE level <= source_size * 3 / weight),
+t AS (SELECT *, least(weight * (SELECT max(level) FROM l WHERE level <= source_size * 3 / weight),
                       (source_size * 3)::DOUBLE) AS target FROM l),
 c AS (SELECT d.*, rank, weight, source_size, target,
              sum(size) OVER (PARTITION BY rank ORDER BY k, doc_id, size
