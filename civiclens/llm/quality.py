@@ -36,15 +36,16 @@ def _solid(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), WHITESPACE, "")
 
 
-def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+# Every measure takes the text and its words, which are split once for all.
+def n_words(text: Column, found: Column) -> Column:
+    return F.size(found).cast("long")
 
 
-def word_chars(text: Column) -> Column:
+def word_chars(text: Column, found: Column) -> Column:
     return F.length(_solid(text)).cast("long")
 
 
-def n_symbols(text: Column) -> Column:
+def n_symbols(text: Column, found: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     return (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long")
 
@@ -55,16 +56,16 @@ def _lines(text: Column) -> Column:
                     lambda x: F.translate(x, WHITESPACE, "") != "")
 
 
-def n_lines(text: Column) -> Column:
+def n_lines(text: Column, found: Column) -> Column:
     return F.size(_lines(text)).cast("long")
 
 
-def n_dup_lines(text: Column) -> Column:
+def n_dup_lines(text: Column, found: Column) -> Column:
     """Lines with a word that equal an earlier line."""
     return let(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def n_repeat_words(text: Column, width: int = WINDOW) -> Column:
+def n_repeat_words(text: Column, found: Column, width: int = WINDOW) -> Column:
     """Words lying in a window of ``width`` words that occurs twice or more in
     the text (the first occurrence counts too).
 
@@ -93,15 +94,15 @@ def n_repeat_words(text: Column, width: int = WINDOW) -> Column:
         return let(hashed, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0))
                    .otherwise(covered(g)))
 
-    return let(F.transform(words(text), lambda w: F.xxhash64(w)), windows).cast("long")
+    return let(F.transform(found, lambda w: F.xxhash64(w)), windows).cast("long")
 
 
-def upper_words(text: Column) -> Column:
+def upper_words(text: Column, found: Column) -> Column:
     """Words with a letter and no lower-case letter."""
-    return F.size(F.filter(words(text), lambda w: (F.upper(w) == w) & (F.lower(w) != w))).cast("long")
+    return F.size(F.filter(found, lambda w: (F.upper(w) == w) & (F.lower(w) != w))).cast("long")
 
 
-MEASURES: dict[str, Callable[[Column], Column]] = {
+MEASURES: dict[str, Callable[[Column, Column], Column]] = {
     "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_lines": n_lines,
     "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words, "upper_words": upper_words,
 }
@@ -130,29 +131,35 @@ RULES = BASE_RULES + (
 )
 
 
+def _values(text: Column, names: Sequence[str]) -> Column:
+    """The named measures of a text as one struct."""
+    return let(words(text), lambda w: F.struct(*[MEASURES[n](text, w).alias(n) for n in names]))
+
+
 def measure(docs: DataFrame, names: Sequence[str], text: str = "text") -> DataFrame:
     """``docs`` with the named measures as columns."""
-    t = F.col("row").getField(text)
-    df = pack_row(docs).select("row", *[MEASURES[n](t).alias(n) for n in names])
-    return unpack_row(df, docs.columns, **{n: F.col(n) for n in names})
+    df = pack_row(docs, _values(F.col(f"`{text}`"), names).alias("m"))
+    return unpack_row(df, docs.columns, **{n: F.col(f"m.{n}") for n in names})
 
 
-def rank_rules(docs: DataFrame, rules: Sequence[Rule], value: Callable[[str], Column],
-               sample_rows: int = 1000, seed: int = 42) -> list[Rule]:
+def rank_rules(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = 1000,
+               seed: int = 42) -> list[Rule]:
     """Rules by rejections per second on a sample of about ``sample_rows`` rows.
 
     The sample only sets the order of evaluation.
     """
     total = docs.count()
     share = min(1.0, sample_rows / total) if total else 1.0
-    sample = docs.sample(False, share, seed).repartition(docs.sparkSession.sparkContext
-                                                         .defaultParallelism).persist()
+    t = F.col("text")
+    sample = (docs.select(F.col(f"`{text}`").alias("text")).sample(False, share, seed)
+              .repartition(docs.sparkSession.sparkContext.defaultParallelism).persist())
     try:
         size = max(1, sample.count())
         scored = []
         for position, rule in enumerate(rules):
+            hits = ~verdict(t, [rule])["kept"]
             began = time.perf_counter()
-            hit = sample.select(F.count_if(rule.rejects(value)).alias("n")).first()["n"]
+            hit = sample.select(F.count_if(hits).alias("n")).first()["n"]
             cost = max(time.perf_counter() - began, 1e-6) / size
             scored.append((-(hit / size) / cost, position, rule))
     finally:
@@ -160,26 +167,37 @@ def rank_rules(docs: DataFrame, rules: Sequence[Rule], value: Callable[[str], Co
     return [rule for _, _, rule in sorted(scored, key=lambda x: x[:2])]
 
 
-def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text",
-            measured: Sequence[str] = (), sample_rows: int = 1000) -> DataFrame:
-    """``docs`` with ``kept``: no rule rejects the text.
+def verdict(text: Column, rules: Sequence[Rule], measures: Sequence[str] = ()) -> Column:
+    """A struct of the named measures and ``kept``: no rule rejects the text.
 
-    Measures listed in ``measured`` are read from columns of that name; every
-    other one is computed inside its rule, so a text rejected early never pays
-    for the later rules' measures.
+    Rules are tried in order up to the first that rejects.  A measure is
+    computed inside its rule, so a text rejected early never pays for the later
+    rules' measures; those in ``measures`` are wanted anyway and are computed
+    once before.
     """
-    def value(name: str) -> Column:
-        return F.col(name) if name in measured else MEASURES[name](F.col(text))
+    def judged(found: Column, known: Column | None) -> Column:
+        out = F.lit(True)
+        for rule in reversed(rules):
+            rejects = rule.rejects(lambda n: known[n] if n in measures else MEASURES[n](text, found))
+            out = F.when(rejects, F.lit(False)).otherwise(out)
+        return F.struct(*[known[n].alias(n) for n in measures], out.alias("kept"))
 
-    ordered = rank_rules(docs, rules, value, sample_rows)
-    verdict = F.lit(True)
-    for rule in reversed(ordered):
-        verdict = F.when(rule.rejects(value), F.lit(False)).otherwise(verdict)
-    return docs.withColumn("kept", verdict)
+    if not measures:
+        return let(words(text), lambda w: judged(w, None))
+    return let(words(text), lambda w: let(F.struct(*[MEASURES[n](text, w).alias(n) for n in measures]),
+                                          lambda m: judged(w, m)))
+
+
+def cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text",
+            measures: Sequence[str] = (), sample_rows: int = 1000) -> DataFrame:
+    """``docs`` with the named measures and ``kept``, the rules in the order that
+    a sample suggests."""
+    ordered = rank_rules(docs, rules, text, sample_rows)
+    df = pack_row(docs, verdict(F.col(f"`{text}`"), ordered, measures).alias("v"))
+    return unpack_row(df, docs.columns, **{n: F.col(f"v.{n}") for n in (*measures, "kept")})
 
 
-def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """Rows that pass every rule, with the columns of ``docs``."""
-    name = "kept"
-    df = cascade(pack_row(docs, F.col(f"`{text}`").alias("text")))
-    return unpack_row(df.filter(F.col(name)), docs.columns)
+    ordered = rank_rules(docs, rules, text)
+    return docs.filter(verdict(F.col(f"`{text}`"), ordered)["kept"])

@@ -84,7 +84,7 @@ FROM b"""
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    judged = quality.cascade(quality.measure(docs, base), measured=base)
+    judged = quality.cascade(docs, measures=base)
     failed = (F.col("n_words") < quality.MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * quality.MAX_REPEAT_PERCENT)
     return judged.select("doc_id", *base, failed.alias("base_failed"), "kept")
