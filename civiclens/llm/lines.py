@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civiclens.llm.common import WHITESPACE, let, pack_row, unpack_row
+from civiclens.llm.common import WHITESPACE, let, pack_row, saved, unpack_row
 
 #: Sites a line may be on before it counts as boilerplate, the sketch's size
 #: (2^12 registers: 1.6 % standard error) and the share around the threshold
@@ -51,11 +51,12 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR) ->
     """Boilerplate lines: line hash, number of sites (estimated, or exact near
     the threshold), and the first place the line stands."""
     # HyperLogLog skips nulls; the hash of a null site is an ordinary value.
-    sketched = (lines.groupBy("line")
-                .agg(F.hll_sketch_agg(F.xxhash64("site"), F.lit(LG_REGISTERS)).alias("sketch"),
-                     F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc", "pos")).alias("first"))
-                .filter(F.col("rows") >= min_sites)
-                .select("line", "first", F.hll_sketch_estimate("sketch").alias("sites")))
+    sketched = saved(
+        lines.groupBy("line")
+        .agg(F.hll_sketch_agg(F.xxhash64("site"), F.lit(LG_REGISTERS)).alias("sketch"),
+             F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc", "pos")).alias("first"))
+        .filter(F.col("rows") >= min_sites)
+        .select("line", "first", F.hll_sketch_estimate("sketch").alias("sites")))
     low, high = min_sites * (1 - near) - 1, min_sites * (1 + near) + 1
     close = sketched.filter(F.col("sites").between(low, high)).select("line", "first")
     exact = (lines.select("line", "site").join(close.select("line"), "line", "left_semi")
@@ -70,7 +71,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text",
     """``docs`` with boilerplate lines cut from the text, plus n_lines (all
     lines of the input text) and n_removed."""
     lines = line_table(docs, text, site, key)
-    cut = (lines.join(spread(lines, min_sites).select("line", "first"), "line")
+    cut = (lines.join(saved(spread(lines, min_sites).select("line", "first")), "line")
            .filter(F.struct("doc", "pos") != F.col("first"))
            .groupBy("doc").agg(F.collect_set("pos").alias("cut")))
     rows = pack_row(docs, F.struct(F.col(f"`{key}`").alias("id"), _hash(F.col(f"`{text}`")).alias("h")).alias("doc"))
