@@ -32,7 +32,7 @@ from civiclens.llm.common import pack_row, saved, unpack_row, words
 #: rows that one window sorts, about.
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
-WINDOW_ROWS = 20_000
+WINDOW_ROWS = 2_000
 
 
 def shuffle_key(key: Column, text: Column) -> Column:
