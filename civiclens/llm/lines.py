@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from civiclens.llm.common import WHITESPACE, let, pack_row, saved, unpack_row
 
-#: Sites a line may be on before it counts as boilerplate, the sketch's size
-#: (2^12 registers: 1.6 % standard error) and the share around the threshold
-#: that is counted exactly.
-MIN_SITES = 10
+#: Sites from which on a line counts as boilerplate (one more than the 2 or 3
+#: that groups of near copies reach), the sketch's size (2^12 registers: 1.6 %
+#: standard error) and the share around the threshold that is counted exactly.
+MIN_SITES = 4
 LG_REGISTERS = 12
 NEAR = 0.25
 

@@ -111,7 +111,8 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id AND d.h = g.h"""
 @query("op10_line_dedup", _LINES_SQL)
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    return lines.dedup_lines(docs).select(
+    # The oracle counts from 10 sites on; the pipeline takes lines.MIN_SITES.
+    return lines.dedup_lines(docs, 10).select(
         "doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"),
         F.md5("text").alias("text_md5"))
 

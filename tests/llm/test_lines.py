@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from civiclens.llm import lines as L
-from tests.llm.helpers import docs, empty
+from tests.llm.helpers import docs, empty, prose
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -53,3 +54,15 @@ def test_repeated_rows_empty_table_clashing_columns(spark):
     df = docs(spark, rows).withColumn("doc", F.lit(1)).withColumn("a", F.lit(2)).withColumn("cut", F.lit(3)).withColumn("n_removed", F.lit("x"))
     got = L.dedup_lines(df, 10)
     assert got.columns == [*df.columns, "n_lines"] and got.filter("n_removed = 1 AND cut = 3 AND a = 2").count() == 1
+
+
+def test_pipeline_cuts_passages_of_few_sites_and_of_a_hot_source(spark):
+    rows, passage = [], {n: prose(55, 1000 + n) for n in (3, 5, 7, 9, 40)}
+    for n in (3, 5, 7, 9):  # one document a source
+        rows += [(100 * n + i, f"own {n} {i}\n{passage[n]}", f"s{i}") for i in range(n)]
+    rows += [(5000 + i, f"own hot {i}\n{passage[40]}", "hot" if i < 36 else f"s{i - 36}") for i in range(40)]
+    got = corpus_pipeline.line_dedup(spark, docs(spark, rows), None).collect()
+    held = {n: sum(p in r["text"] for r in got) for n, p in passage.items()}
+    # Copies on three sources are left to the near-duplicate search.
+    assert held == {3: 3, 5: 1, 7: 1, 9: 1, 40: 1} and len(got) == len(rows)
+    assert all(r["text"].startswith("own") for r in got)
