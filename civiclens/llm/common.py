@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,12 +43,46 @@ def unpack_row(df: DataFrame, columns: list[str], **replaced: Column) -> DataFra
     return df.select(*kept, *[v.alias(k) for k, v in replaced.items()])
 
 
+def carried(df: DataFrame, without: list[str]) -> tuple[Column, list[str]]:
+    """The other columns of ``df`` as one struct with fields named by position
+    (so no name can clash, and it is never empty), and their names."""
+    kept = [c for c in df.columns if c.lower() not in {w.lower() for w in without}]
+    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
+    return F.struct(F.lit(0).alias("none"), *fields).alias("row"), kept
+
+
+def restored(df: DataFrame, kept: list[str], *more: str) -> DataFrame:
+    """The columns taken by ``carried`` and those named."""
+    back = [F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(kept) if c.lower() not in more]
+    return df.select(*back, *more)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder: smaller than a
+    checkpoint, and read back by column."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def flat_lists(flat: np.ndarray, length: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists number ``code`` of a flat array, joined, and their lengths."""
+    start = np.cumsum(length) - length
+    n = length[code]
+    total = int(n.sum())
+    if not total:
+        return flat[:0], n
+    shift = np.repeat(start[code] - (np.cumsum(n) - n), n)
+    return flat[shift + np.arange(total)], n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

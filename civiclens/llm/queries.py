@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclens.llm import chat, lines, lm, mixing, packing, quality, search, sharding, simhash, toxicity
+from civiclens.llm import chat, lines, lm, mixing, packing, quality, search, sharding, simhash, toxicity, wordpieces
 from civiclens.llm.common import table
 from civiclens.session import configure
 
@@ -223,3 +223,14 @@ def op4(spark, sf_dir):
     return lm.score(docs, model, counts).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
         "base_score", "score")
+
+
+@query("op13_sentencepiece")
+def op13(spark, sf_dir):
+    import public_tokenizers
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    coded = wordpieces.decode(wordpieces.encode(docs, model), model)
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
