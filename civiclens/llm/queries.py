@@ -230,7 +230,7 @@ def op13(spark, sf_dir):
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    coded = wordpieces.decode(wordpieces.encode(docs, model), model)
+    coded = wordpieces.decode(wordpieces.encode(docs, model, stable=True), model)
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))

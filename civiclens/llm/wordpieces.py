@@ -5,9 +5,10 @@ of its marked words (a run of markers with the word behind it), one after the
 other.  So three jobs do the work:
 
 1. ``numbered`` cuts the texts at the markers.  A slice is a run of texts with
-   at most ``CHUNKS`` different marked words; it leaves its texts as the
-   numbers of their words and its words in blocks by hash.  This is written
-   once, so slices stay as they are when a task is run again.
+   about ``CHUNKS`` different marked words; it leaves its texts as the numbers
+   of their words and its words in blocks by hash.  Both come from the same
+   rows in the same order, so texts that are not read from files are written
+   out first, and a slice carries a check sum of its words.
 2. ``segmented`` gathers the blocks by hash and segments every distinct word of
    the corpus once.
 3. ``encode`` brings a slice's texts and the ids of its words together and
@@ -29,9 +30,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +44,7 @@ from civiclens.llm.common import carried, flat_lists, restored, written
 #: The white-space marker (fixed value).
 MARK = "▁"
 #: Distinct words of a slice, and bytes of text whose words share a block hash.
-CHUNKS = 1 << 16
+CHUNKS = 1 << 18
 BLOCK_BYTES = 64 << 20
 
 
@@ -95,6 +98,16 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, byte by byte of their place and compressed."""
+    return zstandard.compress(numbers.astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    plain = np.frombuffer(zstandard.decompress(data), "u1")
+    return np.ascontiguousarray(plain.reshape(4, -1).T).view("<u4").ravel()
+
+
 class Numbering(dict):
     """Numbers keys in the order of their first look-up."""
 
@@ -104,7 +117,7 @@ class Numbering(dict):
 
 
 def _slice_columns(row: T.StructType) -> T.StructType:
-    return (T.StructType().add("slice", "long").add("row", row).add("numbers", "binary").add("wide", "boolean")
+    return (T.StructType().add("slice", "long").add("check", "long").add("row", row).add("numbers", "binary")
             .add("bucket", "integer").add("keys", "binary").add("lengths", "binary"))
 
 
@@ -121,23 +134,28 @@ def _slice(number: int, rows: pa.Array, parts: list[np.ndarray], seen: Numbering
     order = np.argsort(block, kind="stable")
     place = np.empty(len(keys), "<u4")
     place[order] = np.arange(len(keys), dtype="<u4")
-    wide = len(keys) > 1 << 16
-    numbers = [place[p].astype("<u4" if wide else "<u2").tobytes() for p in parts]
+    numbers = [packed(place[p]) for p in parts]
     cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
     blocks = []
     for at, to in zip(cuts, [*cuts[1:], len(keys)], strict=True):
         mine = [keys[i] for i in order[at:to]]
-        blocks.append((int(block[order[at]]), b"".join(mine), np.array([len(k) for k in mine], "<u4").tobytes()))
+        sizes = np.fromiter(map(len, mine), np.int64, len(mine))
+        blocks.append((int(block[order[at]]), zstandard.compress(b"".join(mine), 1), packed(sizes)))
     n, m = len(parts), len(blocks)
     bucket, joined, lengths = zip(*blocks, strict=True) if blocks else ((), (), ())
     none = pa.nulls(m, schema.field("row").type)
-    columns = [pa.array(np.full(n + m, number)), pa.concat_arrays([rows, none]),
-               pa.array([*numbers, *[None] * m], pa.binary()), pa.array([wide] * n + [None] * m, pa.bool_()),
+    check = zlib.crc32(b" ".join(keys))
+    columns = [pa.array(np.full(n + m, number)), pa.array(np.full(n + m, check)), pa.concat_arrays([rows, none]),
+               pa.array([*numbers, *[None] * m], pa.binary()),
                pa.array([None] * n + list(bucket), pa.int32()), pa.array([None] * n + list(joined), pa.binary()),
                pa.array([None] * n + list(lengths), pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, "<u4")
+
+
 def numbered(docs: DataFrame, model: str, text: str, buckets: int, chunks: int) -> DataFrame:
     """Texts as word numbers and words in blocks (``bucket`` is not null)."""
     packed = docs.select(carried(docs, [text])[0], F.col(f"`{text}`").cast("string").alias("text"))
@@ -145,17 +163,17 @@ def numbered(docs: DataFrame, model: str, text: str, buckets: int, chunks: int)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        names = pa.schema([("slice", pa.int64()), ("row", pa.null()), ("numbers", pa.binary()), ("wide", pa.bool_()),
+        names = pa.schema([("slice", pa.int64()), ("check", pa.int64()), ("row", pa.null()), ("numbers", pa.binary()),
                            ("bucket", pa.int32()), ("keys", pa.binary()), ("lengths", pa.binary())])
         coder, number = pieces_of(model), TaskContext.get().partitionId() << 36
         for batch in batches:
             rows, texts = batch.column(0), batch.column(1).to_pylist()
-            schema_here = names.set(1, pa.field("row", rows.type))
+            schema_here = names.set(2, pa.field("row", rows.type))
             seen, parts, start = Numbering(), [], 0
             for i, t in enumerate(texts):
                 words = coder.chunks(t or "")
                 parts.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))
-                if len(seen) > chunks // 2 or i == len(texts) - 1:
+                if len(seen) >= chunks or i == len(texts) - 1:
                     number += 1
                     yield _slice(number, rows.slice(start, len(parts)), parts, seen, buckets, schema_here)
                     seen, parts, start = Numbering(), [], i + 1
@@ -166,46 +184,47 @@ def numbered(docs: DataFrame, model: str, text: str, buckets: int, chunks: int)
 def segmented(blocks: DataFrame, model: str) -> DataFrame:
     """Blocks of words as blocks of ids: (slice, bucket, lengths, ids)."""
     def segment(group: pa.Table) -> pa.Table:
-        data = [b.as_py() for b in group.column("keys")]
-        sizes = [np.frombuffer(b.as_py(), "<u4") for b in group.column("lengths")]
-        ends = np.cumsum(np.concatenate(sizes), dtype=np.int64)
-        offsets = np.concatenate([[0], ends]).astype(np.int64)
-        words = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(offsets.tobytes()),
-                                                 pa.py_buffer(b"".join(data)))
+        data = b"".join([zstandard.decompress(b) for b in group.column("keys").to_pylist()])
+        sizes = [unpacked(b) for b in group.column("lengths").to_pylist()]
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)]).astype(np.int64)
+        words = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
         coded = words.dictionary_encode()
         ids = pieces_of(model).segment(coded.dictionary.to_pylist())
-        code = coded.indices.to_numpy()
         length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for one in ids for i in one), "<u4", int(length.sum()))
-        taken, n = flat_lists(flat, length, code)
+        flat = np.fromiter(chain.from_iterable(ids), "<u4", int(length.sum()))
+        taken, n = flat_lists(flat, length, coded.indices.to_numpy())
         upto = np.concatenate([[0], np.cumsum(n)])
         cuts = np.concatenate([[0], np.cumsum([len(s) for s in sizes])])
+        spans = list(zip(cuts, cuts[1:], strict=False))
         return pa.table({
-            "slice": group.column("slice"), "bucket": group.column("bucket"),
-            "lengths": pa.array([n[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)],
-                                pa.binary()),
-            "ids": pa.array([taken[upto[a]:upto[b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)],
-                            pa.binary())})
+            "slice": group.column("slice"), "check": group.column("check"), "bucket": group.column("bucket"),
+            "lengths": pa.array([packed(n[a:b]) for a, b in spans], pa.binary()),
+            "ids": pa.array([packed(taken[upto[a]:upto[b]]) for a, b in spans], pa.binary())})
 
-    return (blocks.groupBy("bucket").applyInArrow(segment, "slice long, bucket int, lengths binary, ids binary"))
+    return blocks.groupBy("bucket").applyInArrow(
+        segment, "slice long, check long, bucket int, lengths binary, ids binary")
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", chunks: int = CHUNKS,
-           block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns of ``docs`` but the text, with ``ids`` (array of int)."""
+           block_bytes: int = BLOCK_BYTES, stable: bool = False) -> DataFrame:
+    """The columns of ``docs`` but the text, with ``ids`` (array of int).
+    ``stable``: a scan of files, whose rows come in one order however often
+    they are read; other frames are written out first."""
+    docs = docs if stable else written(docs)
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
-    cut = written(numbered(docs, model, text, max(8, -(-size // block_bytes)), chunks))
-    ids = segmented(cut.filter("bucket is not null").select("slice", "bucket", "keys", "lengths"), model)
-    texts = cut.filter("bucket is null").select("slice", "row", "numbers", "wide")
+    cut = numbered(docs, model, text, max(8, -(-size // block_bytes)), chunks)
+    ids = segmented(cut.filter("bucket is not null").select("slice", "check", "bucket", "keys", "lengths"), model)
+    texts = cut.filter("bucket is null").select("slice", "check", "row", "numbers")
     row = texts.schema["row"].dataType
 
     def join(rows: pa.Table, found: pa.Table) -> pa.Table:
         found = found.sort_by("bucket")
-        length = np.frombuffer(b"".join(found.column("lengths").to_pylist()), "<u4").astype(np.int64)
-        flat = np.frombuffer(b"".join(found.column("ids").to_pylist()), "<u4").astype(np.int32)
-        wide = rows.num_rows and rows.column("wide")[0].as_py()
-        numbers = [np.frombuffer(b, "<u4" if wide else "<u2") for b in rows.column("numbers").to_pylist()]
-        code = np.concatenate(numbers).astype(np.int64) if numbers else np.zeros(0, np.int64)
+        if len({*rows.column("check").to_pylist(), *found.column("check").to_pylist()}) > 1:
+            raise ValueError("the texts came in another order when read again: write them out first")
+        length = _joined([unpacked(b) for b in found.column("lengths").to_pylist()]).astype(np.int64)
+        flat = _joined([unpacked(b) for b in found.column("ids").to_pylist()]).astype(np.int32)
+        numbers = [unpacked(b) for b in rows.column("numbers").to_pylist()]
+        code = _joined(numbers)
         values, n = flat_lists(flat, length, code)
         upto = np.concatenate([[0], np.cumsum(n)])
         offsets = upto[np.concatenate([[0], np.cumsum([len(p) for p in numbers])]).astype(np.int64)]
@@ -225,9 +244,9 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces_of(model)
         for b in batches:
-            ids = b.column(1).to_pylist()
-            there = iter(coder.decode([i for i in ids if i is not None]))
-            out = pa.array([None if i is None else next(there) for i in ids], pa.string())
+            flat, ends = b.column(1).values.to_numpy().tolist(), b.column(1).offsets.to_pylist()
+            texts = coder.decode([flat[a:z] for a, z in zip(ends, ends[1:], strict=False)])
+            out = pa.array(texts, pa.string(), mask=b.column(1).is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([b.column(0), out], names=["row", "decoded"])
 
     text = packed.mapInArrow(read, T.StructType().add("row", packed.schema["row"].dataType).add("decoded", "string"))

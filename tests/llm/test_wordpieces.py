@@ -37,7 +37,7 @@ def test_a_word_is_segmented_once(spark, tmp_path, monkeypatch):
     cut = wordpieces.numbered(df, MODEL, "text", 8, 4).filter("bucket is not null")
     buckets = cut.select("bucket", F.xxhash64("keys")).distinct().groupBy("bucket").count().collect()
     assert buckets  # every word of one hash meets in one group
-    ids = wordpieces.segmented(cut.select("slice", "bucket", "keys", "lengths"), MODEL)
+    ids = wordpieces.segmented(cut.select("slice", "check", "bucket", "keys", "lengths"), MODEL)
     assert ids.select("slice").distinct().count() == cut.select("slice").distinct().count()
 
 
