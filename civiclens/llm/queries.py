@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclens.llm import chat, lines, lm, mixing, packing, quality, search, sharding, simhash, toxicity, wordpieces
+from civiclens.llm import chat, lines, lm, mixing, packing, quality, repair, search, sharding, simhash, toxicity, wordpieces
 from civiclens.llm.common import table
 from civiclens.session import configure
 
@@ -234,3 +234,40 @@ def op13(spark, sf_dir):
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def damaged(turns):
+    """The contract's damage: nulls read as one blank; by the CRC-32 of
+    ``conv_id:turn`` a turn is dropped, emptied, stripped of its stops, doubled
+    or made the user's."""
+    def blank(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit(" "))
+
+    kind = F.crc32(F.concat_ws(":", blank("conv_id"), blank("turn"))) % 20
+    rows = turns.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), kind.alias("kind"))
+    copies = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.filter("kind <> 0").select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", ""))
+        .otherwise(F.col("text")).alias("text"), copies.alias("copy")).drop("copy")
+
+
+@query("op12_four_russians_repair")
+def op12(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    fixed = repair.repair(damaged(turns))
+    lines = F.transform("said", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    ordered = F.sort_array(F.collect_list(F.struct("n", "edits", lines.alias("lines"))))
+    span = F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")
+    done = fixed.groupBy("conv_id").agg(
+        F.coalesce(span, F.lit(0)).cast("long").alias("gaps"),
+        *[F.count_if(F.col("fault") == f).alias(f) for f in ("blank", "duplicate", "truncated")],
+        F.count_if("illegal").alias("illegal"), F.sum("cost").alias("cost"), ordered.alias("rows"))
+    done = done.select("*", F.array_join("rows.edits", "").alias("audit"),
+                       F.array_join(F.flatten("rows.lines"), "\n").alias("text")).drop("rows")
+    every = turns.select(F.col("conv_id").alias("id")).distinct()
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(done, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("repaired_sha256"))
