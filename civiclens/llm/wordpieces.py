@@ -6,9 +6,9 @@ other.  So three jobs do the work:
 
 1. ``numbered`` cuts the texts at the markers.  A slice is a run of texts with
    about ``CHUNKS`` different marked words; it leaves its texts as the numbers
-   of their words and its words in blocks by hash.  Both come from the same
-   rows in the same order, so texts that are not read from files are written
-   out first, and a slice carries a check sum of its words.
+   of their words and its words in blocks by hash.  The two are made apart,
+   from the same rows in the same order: texts that are not read from files are
+   written out first, and a slice carries a check sum of its words.
 2. ``segmented`` gathers the blocks by hash and segments every distinct word of
    the corpus once.
 3. ``encode`` brings a slice's texts and the ids of its words together and
@@ -43,9 +43,11 @@ from civiclens.llm.common import carried, flat_lists, restored, written
 
 #: The white-space marker (fixed value).
 MARK = "▁"
-#: Distinct words of a slice, and bytes of text whose words share a block hash.
+#: Distinct words of a slice, bytes of text whose words share a block hash, and
+#: words or texts handed to the library at once.
 CHUNKS = 1 << 18
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
+CALL = 1 << 13
 
 
 class Pieces:
@@ -88,8 +90,13 @@ class Pieces:
         first = MARK if self.by_word else ""
         return self.bare.encode([first + c for c in chunks], num_threads=1)
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.whole.decode(ids, num_threads=1) if ids else []
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[str]:
+        """Texts of the ids between one end and the next."""
+        for at in range(0, len(ends) - 1, CALL // 32):
+            here = ends[at:at + CALL // 32 + 1]
+            flat = ids[here[0]:here[-1]].tolist()
+            spans = (here - here[0]).tolist()
+            yield from self.whole.decode([flat[a:z] for a, z in zip(spans, spans[1:], strict=False)], num_threads=1)
 
 
 @lru_cache(maxsize=2)
@@ -116,69 +123,76 @@ class Numbering(dict):
         return n
 
 
-def _slice_columns(row: T.StructType) -> T.StructType:
-    return (T.StructType().add("slice", "long").add("check", "long").add("row", row).add("numbers", "binary")
-            .add("bucket", "integer").add("keys", "binary").add("lengths", "binary"))
-
-
 def _bucket(key: bytes, buckets: int) -> int:
     return zlib.crc32(key) % buckets
 
 
-def _slice(number: int, rows: pa.Array, parts: list[np.ndarray], seen: Numbering,
-           buckets: int, schema: pa.Schema) -> pa.RecordBatch:
-    """A slice's texts as numbers, and its words in blocks.  Words are numbered
+def _texts(rows: pa.Array, parts: list[np.ndarray], place: np.ndarray) -> dict[str, pa.Array]:
+    return {"row": rows, "numbers": pa.array([packed(place[p]) for p in parts], pa.binary())}
+
+
+def _blocks(keys: list[bytes], block: np.ndarray, order: np.ndarray) -> dict[str, pa.Array]:
+    cuts, out = np.flatnonzero(np.diff(block[order], prepend=-1)), []
+    for at, to in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+        mine = [keys[i] for i in order[at:to]]
+        sizes = np.fromiter(map(len, mine), np.int64, len(mine))
+        out.append((int(block[order[at]]), zstandard.compress(b"".join(mine), 1), packed(sizes)))
+    bucket, joined, lengths = zip(*out, strict=True) if out else ((), (), ())
+    return {"bucket": pa.array(bucket, pa.int32()), "keys": pa.array(joined, pa.binary()),
+            "lengths": pa.array(lengths, pa.binary())}
+
+
+def _slice(number: int, seen: dict[str, int], buckets: int, rows: pa.Array | None,
+           parts: list[np.ndarray]) -> pa.RecordBatch:
+    """A slice's texts as numbers, or its words in blocks.  Words are numbered
     by block, so that the blocks one after the other list them in order."""
     keys = [k.encode() for k in seen]
     block = np.fromiter((_bucket(k, buckets) for k in keys), np.int64, len(keys))
     order = np.argsort(block, kind="stable")
-    place = np.empty(len(keys), "<u4")
-    place[order] = np.arange(len(keys), dtype="<u4")
-    numbers = [packed(place[p]) for p in parts]
-    cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
-    blocks = []
-    for at, to in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-        mine = [keys[i] for i in order[at:to]]
-        sizes = np.fromiter(map(len, mine), np.int64, len(mine))
-        blocks.append((int(block[order[at]]), zstandard.compress(b"".join(mine), 1), packed(sizes)))
-    n, m = len(parts), len(blocks)
-    bucket, joined, lengths = zip(*blocks, strict=True) if blocks else ((), (), ())
-    none = pa.nulls(m, schema.field("row").type)
-    check = zlib.crc32(b" ".join(keys))
-    columns = [pa.array(np.full(n + m, number)), pa.array(np.full(n + m, check)), pa.concat_arrays([rows, none]),
-               pa.array([*numbers, *[None] * m], pa.binary()),
-               pa.array([None] * n + list(bucket), pa.int32()), pa.array([None] * n + list(joined), pa.binary()),
-               pa.array([None] * n + list(lengths), pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=schema.names)
+    if rows is None:
+        columns = _blocks(keys, block, order)
+    else:
+        place = np.empty(len(keys), "<u4")
+        place[order] = np.arange(len(keys), dtype="<u4")
+        columns = _texts(rows, parts, place)
+    n = len(next(iter(columns.values())))
+    head = {"slice": pa.array(np.full(n, number)), "check": pa.array(np.full(n, zlib.crc32(b" ".join(keys))))}
+    return pa.RecordBatch.from_pydict(head | columns)
 
 
 def _joined(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
 
-def numbered(docs: DataFrame, model: str, text: str, buckets: int, chunks: int) -> DataFrame:
-    """Texts as word numbers and words in blocks (``bucket`` is not null)."""
-    packed = docs.select(carried(docs, [text])[0], F.col(f"`{text}`").cast("string").alias("text"))
-    schema = _slice_columns(packed.schema["row"].dataType)
+def numbered(docs: DataFrame, model: str, text: str, buckets: int, chunks: int, blocks: bool) -> DataFrame:
+    """Texts as word numbers (slice, check, row, numbers), or the words of the
+    same slices in blocks (slice, check, bucket, keys, lengths)."""
+    row = F.lit(0).alias("row") if blocks else carried(docs, [text])[0]
+    packed_docs = docs.select(row, F.col(f"`{text}`").cast("string").alias("text"))
+    schema = T.StructType().add("slice", "long").add("check", "long")
+    if blocks:
+        schema = schema.add("bucket", "integer").add("keys", "binary").add("lengths", "binary")
+    else:
+        schema = schema.add("row", packed_docs.schema["row"].dataType).add("numbers", "binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        names = pa.schema([("slice", pa.int64()), ("check", pa.int64()), ("row", pa.null()), ("numbers", pa.binary()),
-                           ("bucket", pa.int32()), ("keys", pa.binary()), ("lengths", pa.binary())])
         coder, number = pieces_of(model), TaskContext.get().partitionId() << 36
         for batch in batches:
             rows, texts = batch.column(0), batch.column(1).to_pylist()
-            schema_here = names.set(2, pa.field("row", rows.type))
             seen, parts, start = Numbering(), [], 0
             for i, t in enumerate(texts):
                 words = coder.chunks(t or "")
-                parts.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))
+                if blocks:
+                    seen.update(dict.fromkeys(words))
+                else:
+                    parts.append(np.fromiter(map(seen.__getitem__, words), np.uint32, len(words)))
                 if len(seen) >= chunks or i == len(texts) - 1:
                     number += 1
-                    yield _slice(number, rows.slice(start, len(parts)), parts, seen, buckets, schema_here)
+                    yield _slice(number, seen, buckets, None if blocks else rows.slice(start, len(parts)), parts)
                     seen, parts, start = Numbering(), [], i + 1
 
-    return packed.mapInArrow(cut, schema)
+    return packed_docs.mapInArrow(cut, schema)
 
 
 def segmented(blocks: DataFrame, model: str) -> DataFrame:
@@ -189,9 +203,12 @@ def segmented(blocks: DataFrame, model: str) -> DataFrame:
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)]).astype(np.int64)
         words = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
         coded = words.dictionary_encode()
-        ids = pieces_of(model).segment(coded.dictionary.to_pylist())
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), "<u4", int(length.sum()))
+        lengths, flats = [], []
+        for at in range(0, len(coded.dictionary), CALL):
+            ids = pieces_of(model).segment(coded.dictionary.slice(at, CALL).to_pylist())
+            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flats.append(np.fromiter(chain.from_iterable(ids), "<u4", int(lengths[-1].sum())))
+        length, flat = np.concatenate(lengths), np.concatenate(flats)
         taken, n = flat_lists(flat, length, coded.indices.to_numpy())
         upto = np.concatenate([[0], np.cumsum(n)])
         cuts = np.concatenate([[0], np.cumsum([len(s) for s in sizes])])
@@ -212,9 +229,9 @@ def encode(docs: DataFrame, model: str, text: str = "text", chunks: int = CHUNKS
     they are read; other frames are written out first."""
     docs = docs if stable else written(docs)
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
-    cut = numbered(docs, model, text, max(8, -(-size // block_bytes)), chunks)
-    ids = segmented(cut.filter("bucket is not null").select("slice", "check", "bucket", "keys", "lengths"), model)
-    texts = cut.filter("bucket is null").select("slice", "check", "row", "numbers")
+    buckets = max(8, -(-size // block_bytes))
+    ids = segmented(numbered(docs, model, text, buckets, chunks, blocks=True), model)
+    texts = numbered(docs, model, text, buckets, chunks, blocks=False)
     row = texts.schema["row"].dataType
 
     def join(rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -244,8 +261,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces_of(model)
         for b in batches:
-            flat, ends = b.column(1).values.to_numpy().tolist(), b.column(1).offsets.to_pylist()
-            texts = coder.decode([flat[a:z] for a, z in zip(ends, ends[1:], strict=False)])
+            texts = list(coder.decode(b.column(1).values.to_numpy(), b.column(1).offsets.to_numpy()))
             out = pa.array(texts, pa.string(), mask=b.column(1).is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([b.column(0), out], names=["row", "decoded"])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from civiclens.llm import queries as Q
 from civiclens.llm import wordpieces
+from civiclens.llm.common import written
 from tests.llm.helpers import docs, empty, prose
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,13 +33,21 @@ def test_ids_and_text_as_the_library_gives_them(spark, chunks):
         assert (r["ids"], r["decoded"]) == expected(TEXTS[r["doc_id"]]), TEXTS[r["doc_id"]]
 
 
-def test_a_word_is_segmented_once(spark, tmp_path, monkeypatch):
-    df = docs(spark, [(i, f"common words common w{i % 3}") for i in range(40)]).repartition(4)
-    cut = wordpieces.numbered(df, MODEL, "text", 8, 4).filter("bucket is not null")
-    buckets = cut.select("bucket", F.xxhash64("keys")).distinct().groupBy("bucket").count().collect()
-    assert buckets  # every word of one hash meets in one group
-    ids = wordpieces.segmented(cut.select("slice", "check", "bucket", "keys", "lengths"), MODEL)
-    assert ids.select("slice").distinct().count() == cut.select("slice").distinct().count()
+def test_words_meet_by_hash_and_a_changed_order_is_noticed(spark):
+    df = written(docs(spark, [(i, f"common words common w{i % 3}") for i in range(40)]).repartition(4))
+    blocks = wordpieces.numbered(df, MODEL, "text", 8, 4, blocks=True)
+    texts = wordpieces.numbered(df, MODEL, "text", 8, 4, blocks=False)
+    # A slice closes with the text that reaches the limit of four words.
+    assert texts.count() == 40 and texts.select("slice").distinct().count() > 8
+    assert {tuple(r) for r in blocks.select("slice", "check").collect()} == {
+        tuple(r) for r in texts.select("slice", "check").collect()}
+    ids = wordpieces.segmented(blocks, MODEL)
+    assert sorted(map(tuple, ids.select("slice", "bucket").collect())) == sorted(
+        map(tuple, blocks.select("slice", "bucket").collect()))
+    unstable = docs(spark, [(i, f"word{i}") for i in range(400)]).mapInPandas(
+        lambda batches: (b.sample(frac=1) for b in batches), df.schema)
+    with pytest.raises(Exception, match="another order"):
+        wordpieces.encode(unstable, MODEL, chunks=8, stable=True).collect()
 
 
 def test_columns_of_any_name_and_an_empty_table(spark):
