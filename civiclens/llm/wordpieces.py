@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civiclens.llm.common import carried, flat_lists, restored, written
+from civiclens.llm.common import carried, flat_lists, packed, restored, unpacked, written
 
 #: The white-space marker (fixed value).
 MARK = "▁"
@@ -105,16 +105,6 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^32, byte by byte of their place and compressed."""
-    return zstandard.compress(numbers.astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), 1)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    plain = np.frombuffer(zstandard.decompress(data), "u1")
-    return np.ascontiguousarray(plain.reshape(4, -1).T).view("<u4").ravel()
-
-
 class Numbering(dict):
     """Numbers keys in the order of their first look-up."""
 
@@ -223,8 +213,9 @@ def segmented(blocks: DataFrame, model: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", chunks: int = CHUNKS,
-           block_bytes: int = BLOCK_BYTES, stable: bool = False) -> DataFrame:
-    """The columns of ``docs`` but the text, with ``ids`` (array of int).
+           block_bytes: int = BLOCK_BYTES, stable: bool = False, decoded: bool = False) -> DataFrame:
+    """The columns of ``docs`` but the text, with ``ids`` (array of int) and, if
+    asked, ``decoded``, the text that these ids give.
     ``stable``: a scan of files, whose rows come in one order however often
     they are read; other frames are written out first."""
     docs = docs if stable else written(docs)
@@ -246,11 +237,14 @@ def encode(docs: DataFrame, model: str, text: str = "text", chunks: int = CHUNKS
         upto = np.concatenate([[0], np.cumsum(n)])
         offsets = upto[np.concatenate([[0], np.cumsum([len(p) for p in numbers])]).astype(np.int64)]
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
-        return pa.table({"row": rows.column("row"), "ids": lists})
+        said = {"decoded": pa.array(pieces_of(model).decode(values, offsets), pa.string())} if decoded else {}
+        return pa.table({"row": rows.column("row"), "ids": lists, **said})
 
     both = texts.groupBy("slice").cogroup(ids.groupBy("slice"))
-    joined = both.applyInArrow(join, T.StructType().add("row", row).add("ids", T.ArrayType(T.IntegerType())))
-    return restored(joined, carried(docs, [text])[1], "ids")
+    schema, more = T.StructType().add("row", row).add("ids", T.ArrayType(T.IntegerType())), ["ids"]
+    if decoded:
+        schema, more = schema.add("decoded", "string"), ["ids", "decoded"]
+    return restored(both.applyInArrow(join, schema), carried(docs, [text])[1], *more)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:

@@ -26,8 +26,9 @@ def expected(text):
 @pytest.mark.parametrize("chunks", [2, 64, 1 << 16])
 def test_ids_and_text_as_the_library_gives_them(spark, chunks):
     df = docs(spark, list(enumerate(TEXTS)) + [(3, "  ")]).repartition(3)
-    coded = wordpieces.decode(wordpieces.encode(df, MODEL, chunks=chunks, block_bytes=50_000), MODEL)
+    coded = wordpieces.encode(df, MODEL, chunks=chunks, block_bytes=50_000, decoded=True)
     rows = coded.collect()
+    assert wordpieces.decode(coded.drop("decoded"), MODEL).exceptAll(coded).count() == 0
     assert sorted(r["doc_id"] for r in rows) == sorted([*range(len(TEXTS)), 3])
     for r in rows:
         assert (r["ids"], r["decoded"]) == expected(TEXTS[r["doc_id"]]), TEXTS[r["doc_id"]]
