@@ -57,9 +57,17 @@ class FileTokenizer:
         byte_of = {chr(b if b in PRINTED else next(others)): b for b in range(256)}
         ranks = {bytes(byte_of[c] for c in token): i
                  for token, i in self.exact.get_vocab().items() if token not in special}
+        self.ranks = ranks
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.blank = re.compile(r"\s{1000}").search
 
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each id; special tokens have none."""
+        out = [b""] * self.exact.get_vocab_size()
+        for token, i in self.ranks.items():
+            out[i] = token
+        return out
+
     def slow_ids(self, text: str) -> list[int]:
         return self.exact.encode(text, add_special_tokens=False).ids
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclens.llm import chat, lines, lm, mixing, packing, quality, repair, search, sharding, simhash, toxicity, wordpieces
+from civiclens.llm import align, chat, lines, lm, mixing, packing, quality, repair, search, sharding, simhash, toxicity, wordpieces
 from civiclens.llm.common import table
 from civiclens.session import configure
 
@@ -230,7 +230,7 @@ def op13(spark, sf_dir):
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    coded = wordpieces.decode(wordpieces.encode(docs, model, stable=True), model)
+    coded = wordpieces.encode(docs, model, stable=True, decoded=True)
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -271,3 +271,13 @@ def op12(spark, sf_dir):
         F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("repaired_sha256"))
+
+
+@query("op11_token_alignment")
+def op11(spark, sf_dir):
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("groups", 256))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best",
+                        "count_sum", digest.alias("groups_sha256"))

@@ -22,7 +22,7 @@ def test_entry_point_has_all_eleven():
     import __spark_entry__ as E
     names = set(E.queries())
     assert set(Q.QUERIES) <= names and "pipeline" in names
-    assert sorted({int(n[2:].split("_")[0]) for n in Q.QUERIES}) == [*range(1, 11), 12, 13]
+    assert sorted({int(n[2:].split("_")[0]) for n in Q.QUERIES}) == [*range(1, 14)]
 
 
 def test_pipeline_stages(spark):
