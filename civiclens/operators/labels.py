@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from civiclens.functions.ranking import rnd, top_k
 from civiclens.functions.text import is_simple, keyword_tokens, meaningful, shorten, strip, words
+from civiclens.sources.store import VersionedTable
 
 CLUSTER_KEYS = ("level", "parent_cluster_id", "cluster_id")
 
@@ -133,23 +134,34 @@ def type_distribution(reqs: DataFrame, top: str = "top_cluster_id", sub: str = "
         "pct", rnd(F.col("count") / F.col("cluster_total") * 100.0, digits))
 
 
+def usable_labels(updates: DataFrame) -> DataFrame:
+    """Rows of a label file that carry one: blank and "EMPTY" are skipped."""
+    return updates.filter(F.col("label").isNotNull() & (strip("label") != "") & (F.col("label") != "EMPTY"))
+
+
 def apply_label_updates(clusters: DataFrame, updates: DataFrame) -> DataFrame:
     """Labels from a label file merged on (cluster, parent null-safe, level);
     blank and "EMPTY" labels skipped; ``updated`` marks changed rows."""
-    u = updates.filter(F.col("label").isNotNull() & (strip("label") != "")
-                       & (F.col("label") != "EMPTY")).select(
-        *[F.col(k).alias("_u_" + k) for k in CLUSTER_KEYS], F.col("label").alias("_new"))
+    u = usable_labels(updates).select(*[F.col(k).alias("_u_" + k) for k in CLUSTER_KEYS],
+                                      F.col("label").alias("_new"))
     cond = None
     for k in CLUSTER_KEYS:
         c = clusters[k].eqNullSafe(u["_u_" + k])
         cond = c if cond is None else cond & c
-    j = clusters.join(F.broadcast(u), cond, "left")
+    j = clusters.join(u, cond, "left")
     old = F.col("label") if "label" in clusters.columns else F.lit(None).cast("string")
     return j.select(*[clusters[c] for c in clusters.columns if c != "label"],
                     F.coalesce(F.col("_new"), old).alias("label"),
                     F.col("_new").isNotNull().alias("updated"))
 
 
+def store_labels(clusters: VersionedTable, updates: DataFrame) -> dict[str, int]:
+    """A label file put into the stored cluster table; returns the clusters
+    ``updated`` and the rows ``skipped`` because their cluster is not there,
+    as the writing job counts them."""
+    return clusters.upsert(usable_labels(updates), insert=False)
+
+
 def labels_not_found(clusters: DataFrame, updates: DataFrame) -> DataFrame:
     cond = None
     for k in CLUSTER_KEYS:

@@ -47,12 +47,16 @@ STAGE_VERSION = 2  # bump when the raw rendering or the cleaning changes
 _STAGE_LOCK = threading.RLock()  # re-entrant: "loaded" builds on "raw"
 
 
+def _stage_path(spark, sf_dir, name):
+    return os.path.join(checkpoint_dir(spark), "civiclens", "staged",
+                        f"{name}-{STAGE_VERSION}-{fingerprint(spark, sf_dir)}")
+
+
 def _once(spark, sf_dir, name, build):
     """A staged table is written once, as Parquet under the shared folder, and
     read back by every later query with its own column pruning and filters.
     Keyed by the base files' fingerprint: changed files give a new table."""
-    path = os.path.join(checkpoint_dir(spark), "civiclens", "staged",
-                        f"{name}-{STAGE_VERSION}-{fingerprint(spark, sf_dir)}")
+    path = _stage_path(spark, sf_dir, name)
     with _STAGE_LOCK:
         if not path_exists(spark, os.path.join(path, "_SUCCESS")):
             build().write.mode("overwrite").parquet(path)
@@ -67,6 +71,12 @@ def staged_raw(spark, sf_dir):
     return _once(spark, sf_dir, "raw", lambda: _raw(spark, sf_dir))
 
 
+def landed_raw(spark, sf_dir):
+    """The folder the raw rows have landed in, for a file stream."""
+    staged_raw(spark, sf_dir)
+    return _stage_path(spark, sf_dir, "raw")
+
+
 def cleaned(spark, sf_dir):
     return as_ts(I.clean(staged_raw(spark, sf_dir), keep=KEYS))
 

@@ -14,7 +14,7 @@ from civiclens.functions.text import CONNECTORS, SKIP_PREFIXES, STOP_WORDS
 from civiclens.operators import labels as L
 from civiclens.operators import vectors as V
 from civiclens.plans.registry import register
-from civiclens.plans.vectors import points
+from civiclens.plans.vectors import CLUSTER_KEYS, points, stored
 from civiclens.sources.tables import read_table
 
 
@@ -256,4 +256,6 @@ def q_label_update(spark, sf_dir):
     """The generated label file merged into the cluster table."""
     cl = cluster_rows(spark, sf_dir)
     lt = L.label_table(cl, L.memberships(members_base(spark, sf_dir)))
-    return L.apply_label_updates(cl, lt.select("level", "parent_cluster_id", "cluster_id", "label"))
+    store = stored(cl.withColumn("label", F.lit(None).cast("string")), "labels", CLUSTER_KEYS, buckets=8)
+    L.store_labels(store, lt.select("level", "parent_cluster_id", "cluster_id", "label"))
+    return store.read().withColumn("updated", F.col("label").isNotNull())

@@ -8,14 +8,19 @@ compare plain doubles.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from civiclens.functions.vectors import cosine, parse_vector
 from civiclens.operators import clusters as K
 from civiclens.operators import sampling as S
 from civiclens.operators import vectors as V
+from civiclens.operators.labels import CLUSTER_KEYS
 from civiclens.plans.registry import register
 from civiclens.session import configure
+from civiclens.sources import files
+from civiclens.sources.store import VersionedTable
 from civiclens.sources.tables import read_table
 
 
@@ -258,23 +263,22 @@ SELECT o.* FROM cl o WHERE NOT EXISTS (
   SELECT 1 FROM newer n WHERE n.cluster_id = o.cluster_id AND n.level = o.level
     AND n.parent_cluster_id IS NOT DISTINCT FROM o.parent_cluster_id)""")
 def q_upsert(spark, sf_dir):
-    """Insert-or-update by (cluster, parent null-safe, level): new rows plus
-    the old rows no new row replaces (Parquet has no MERGE)."""
-    old = cluster_table(spark, sf_dir)
+    """Insert-or-update by (cluster, parent null-safe, level) in a versioned
+    table: only the buckets that new rows fall into are written again."""
     pts = points(spark, sf_dir)
     new = (pts.filter(F.col("top_cluster_id") < 5).groupBy(F.col("top_cluster_id").alias("cluster_id"))
               .agg((F.count(F.lit(1)) * 10).alias("size"))
               .select("cluster_id", F.lit(None).cast("int").alias("parent_cluster_id"),
                       F.lit(1).alias("level"), "size"))
-    return upsert(old, new)
+    store = stored(cluster_table(spark, sf_dir), "clusters", CLUSTER_KEYS, buckets=8)
+    store.upsert(new)
+    return store.read()
 
 
-def upsert(old, new, keys=("cluster_id", "parent_cluster_id", "level")):
-    cond = None
-    for k in keys:
-        c = old[k].eqNullSafe(new[k])
-        cond = c if cond is None else cond & c
-    return new.unionByName(old.join(new, cond, "left_anti"))
+def stored(df, name, keys, buckets=16):
+    """A versioned table of ``df`` in a scratch folder of its own."""
+    root = files.scratch_path(df.sparkSession, f"stores/{name}-{uuid.uuid4().hex}")
+    return VersionedTable.create(df, root, keys, buckets)
 
 
 @register("jn_semi_points", _CLUSTERS + """
@@ -307,7 +311,9 @@ def q_anti_prune(spark, sf_dir):
 SELECT vec_id AS id, CAST(NULL AS INTEGER) AS top_cluster_id, CAST(NULL AS INTEGER) AS sub_cluster_id
 FROM embeddings""")
 def q_red_clear(spark, sf_dir):
-    return S.clear_clusters(points(spark, sf_dir)).select("id", "top_cluster_id", "sub_cluster_id")
+    store = stored(points(spark, sf_dir).select("id", "top_cluster_id", "sub_cluster_id"), "points", ["id"])
+    store.set_columns(top_cluster_id=F.lit(None), sub_cluster_id=F.lit(None))
+    return store.read()
 
 
 @register("emb_pending", """
@@ -362,8 +368,9 @@ def q_emb_merge(spark, sf_dir):
     docs = _doc_table(spark, sf_dir)
     todo = V.pending(docs).withColumn("_t", V.embedding_text())
     new = V.hashing_encoder(todo.select("id", "_t"), "_t", dim=64).select("id", "embedding")
-    marked = docs.withColumn("was_pending", F.col("embedding").isNull())
-    return V.merge_vectors(marked, new).filter(F.col("embedding").isNotNull()).select(
+    store = stored(docs.select("id", F.col("embedding").isNull().alias("was_pending"), "embedding"), "vectors", ["id"])
+    store.upsert(new, how="fill", insert=False)  # vectors that are null leave the stored ones
+    return store.read().filter(F.col("embedding").isNotNull()).select(
         "id", "was_pending", F.size("embedding").alias("dims"), F.bround(V_norm("embedding"), 4).alias("norm"))
 
 

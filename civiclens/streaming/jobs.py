@@ -18,8 +18,8 @@ from civiclens.functions.columns import ROW_ORDER
 from civiclens.operators import ingest as I
 from civiclens.operators import vectors as V
 from civiclens.session import checkpoint_dir
-from civiclens.sources.raw import raw_requests
-from civiclens.sources.tables import is_folder, path_exists, table_path
+from civiclens.sources.store import VersionedTable
+from civiclens.sources.tables import is_folder, table_path
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -59,28 +59,54 @@ def run_volume(spark: SparkSession, sf_dir: str, days: int = 7) -> DataFrame:
     return spark.read.parquet(os.path.join(out, "data"))
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, target: str) -> None:
-    """One micro-batch of raw rows: clean, first-wins inside the batch, skip
-    keys already in the target (earlier batches win), write the batch's own
-    folder.  Rewriting ``batch=<id>`` on a retry keeps it idempotent."""
-    spark = batch.sparkSession
-    cleaned = I.clean(batch, keep=list(ROW_ORDER))
-    earlier = [os.path.join(target, f"batch={n}") for n in range(batch_id)]
-    written = [p for p in earlier if path_exists(spark, os.path.join(p, "_SUCCESS"))]
-    existing = spark.read.parquet(*written).select("service_request_id") if written else None
-    first = I.dedupe_first(cleaned, "service_request_id", list(ROW_ORDER), existing=existing)
-    first.write.mode("overwrite").parquet(os.path.join(target, f"batch={batch_id}"))
-
-
-def run_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _run_dir(spark, "ingest")
+def ingest_batch(batch: DataFrame, batch_id: int, root: str, buckets: int) -> None:
+    """One micro-batch of raw rows: clean, first-wins inside the batch, insert
+    the keys the target does not hold (earlier batches win).
+
+    Only the target's buckets that the batch's keys fall into are read and
+    rewritten.  The manifest notes the batch, so a batch that is run again after
+    a lost driver finds itself done, or nothing of it."""
+    store = VersionedTable(batch.sparkSession, root)
+    first = I.dedupe_first(I.clean(batch, keep=list(ROW_ORDER)), "service_request_id", list(ROW_ORDER))
+    notes = {"batch": str(batch_id)}
+    if not store.versions():
+        VersionedTable.create(first, root, ["service_request_id"], buckets, notes)
+    elif int(store.manifest().notes["batch"]) < batch_id:
+        store.upsert(first, update=False, notes=notes)
+    else:  # taken in before the driver was lost; its state is still to be kept
+        batch.write.format("noop").mode("overwrite").save()
+
+
+def raw_stream(spark: SparkSession, source: str, max_files: int | None = None,
+               redelivery: str | None = "1 day") -> DataFrame:
+    """Raw rows of a folder that files land in.
+
+    Rows delivered again within ``redelivery`` of their first arrival are
+    dropped by the state store, before any look-up in the target.  The event
+    time is the arrival, which only grows, so no row is ever late: a watermark
+    on the request's own date would drop old requests whole."""
+    reader = spark.readStream.schema(spark.read.parquet(source).schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    rows = reader.parquet(source)
+    if redelivery is None:
+        return rows
+    arrived = rows.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", redelivery)
+    return arrived.dropDuplicatesWithinWatermark(list(ROW_ORDER)).drop("_arrived")
+
+
+def run_ingest(spark: SparkSession, source: str, folder: str | None = None, max_files: int | None = None,
+               redelivery: str | None = "1 day", buckets: int = 16, on_batch=ingest_batch) -> DataFrame:
+    """Takes in what has landed in ``source`` and returns the target.  With the
+    same ``folder`` a later or repeated run goes on from its checkpoint."""
+    out = folder or _run_dir(spark, "ingest")
     target = os.path.join(out, "requests")
-    raw = raw_requests(spark, sf_dir, lineitem=stream_table(spark, sf_dir, "lineitem"))
-    q = (raw.writeStream.foreachBatch(lambda df, i: ingest_batch(df, i, target))
-            .option("checkpointLocation", os.path.join(out, "checkpoint"))
-            .trigger(availableNow=True).start())
+    q = (raw_stream(spark, source, max_files, redelivery)
+         .writeStream.foreachBatch(lambda df, i: on_batch(df, i, target, buckets))
+         .option("checkpointLocation", os.path.join(out, "checkpoint"))
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(target).drop("batch")
+    return VersionedTable(spark, target).read()
 
 
 def embed_batch(batch: DataFrame, batch_id: int, target: str, stored: DataFrame, dim: int) -> None:
