@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from civiclens.functions import columns as C
@@ -64,8 +64,8 @@ def enrich_features(features: DataFrame, geo: DataFrame) -> DataFrame:
 
     ``geo`` has one row per district; the planner (AQE) broadcasts it after
     measuring it, so no size is assumed here.  volume/unresolved as int, p90
-    as float, null when the district is unknown.  Columns ``has_district``/``updated`` give the
-    reference's two counters via a later ``agg`` or ``observe``.
+    as float, null when the district is unknown.  ``has_district`` and ``updated``
+    mark what ``write_geojson_lines`` counts as it writes.
     """
     m = geo.select(F.col("electoral_district").alias("_d"), "volume", "unresolved", "slow_p90")
     f = features.withColumn("_d", district_of())
@@ -95,5 +95,12 @@ def features_to_json(enriched: DataFrame) -> DataFrame:
         F.parse_json(F.col("geometry")).alias("geometry"))).alias("value"))
 
 
-def write_geojson_lines(enriched: DataFrame, path: str) -> None:
-    features_to_json(enriched).select("value").write.mode("overwrite").text(path)
+def write_geojson_lines(enriched: DataFrame, path: str) -> dict[str, int]:
+    """Writes the features; returns how many there were, with a district, and
+    updated with metrics, as counted by the writing job."""
+    seen = Observation()
+    watched = enriched.observe(seen, F.count(F.lit(1)).alias("features"),
+                               F.count_if("has_district").alias("with_district"),
+                               F.count_if("updated").alias("updated"))
+    features_to_json(watched).select("value").write.mode("overwrite").text(path)
+    return {k: int(v) for k, v in seen.get.items()}

@@ -4,8 +4,9 @@ cleaning into the ``requests`` schema, first-wins de-duplication, stats."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from civiclens.functions.text import strip
@@ -77,26 +78,56 @@ def location(district: str = "Electoral District", hood: str = "Neighbourhood")
     return F.nullif(F.concat_ws(", ", strip(q(district)), strip(q(hood))), F.lit(""))
 
 
-def clean(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def clean(raw: DataFrame, keep: Sequence[str] = (), seen: Observation | None = None) -> DataFrame:
     """Raw rows -> ``requests`` schema.  Skipped: missing/empty id or type,
     created date that does not parse.  ``keep`` passes extra columns through
-    (e.g. a stable row order for de-duplication)."""
+    (e.g. a stable row order for de-duplication).
+
+    With ``seen`` the job that uses the result also counts what it read,
+    accepted and skipped (the columns of ``clean_counts``), in the same pass."""
     sid, stype = q("Service Request ID"), q("Service Type")
-    ok = (sid.isNotNull() & (sid.cast("string") != "") & stype.isNotNull()
-          & (stype.cast("string") != ""))
+    named = (sid.isNotNull() & (sid.cast("string") != "") & stype.isNotNull()
+             & (stype.cast("string") != ""))
+    if seen is None:
+        rows, created = raw.filter(named), parse_date(q("Date Created"))
+    else:
+        marked = raw.withColumns({"_named": F.coalesce(named, F.lit(False)), "_created": parse_date(q("Date Created"))})
+        dated = F.col("_created").isNotNull()
+        rows = marked.observe(
+            seen, F.count(F.lit(1)).alias("total"), F.count_if(F.col("_named") & dated).alias("accepted"),
+            F.count_if(~F.col("_named")).alias("skipped_missing"),
+            F.count_if(F.col("_named") & ~dated).alias("skipped_date")).filter("_named")
+        created = F.col("_created")
     ref = q("Reference Number").cast("string")
-    out = raw.filter(ok).select(
+    out = rows.select(
         *[F.col(k) for k in keep],
         strip(sid.cast("string")).alias("service_request_id"),
         F.when(ref.isNull() | (ref == ""), F.lit(None)).otherwise(strip(ref)).alias("ref_number"),
         strip(stype.cast("string")).alias("service_type"),
         description().alias("description"),
-        parse_date(q("Date Created")).alias("created_at"),
+        created.alias("created_at"),
         parse_date(q("Date Closed")).alias("resolved_at"),
         location().alias("location"))
     return out.filter(F.col("created_at").isNotNull())
 
 
+def load_clean(raw: DataFrame, path: str, keep: Sequence[str] = ()) -> dict[str, int]:
+    """Writes the cleaned rows and returns the counts of that same job."""
+    seen = Observation()
+    clean(raw, keep, seen).write.mode("overwrite").parquet(path)
+    return {k: int(v) for k, v in seen.get.items()}
+
+
+def load_required(raw: DataFrame, path: str, subset: Sequence[str] = REQUIRED_VALUES) -> dict[str, int]:
+    """Writes the rows with all required values; ``total`` and ``dropped`` are
+    counted by the writing job."""
+    seen = Observation()
+    missing = ~F.coalesce(reduce(lambda a, b: a & b, [q(c).isNotNull() for c in subset]), F.lit(False))
+    watched = raw.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(missing).alias("dropped"))
+    required_rows(watched, subset).write.mode("overwrite").parquet(path)
+    return {k: int(v) for k, v in seen.get.items()}
+
+
 def clean_counts(raw: DataFrame) -> DataFrame:
     """What ``clean`` accepts and why it skips the rest, in one aggregate."""
     sid, stype = q("Service Request ID").cast("string"), q("Service Type").cast("string")

@@ -187,19 +187,43 @@ def q_clean(spark, sf_dir):
     return cleaned(spark, sf_dir)
 
 
-@register("ing_counts", with_requests(RAW_CTE) + f"""
+_COUNTS_SQL = with_requests(RAW_CTE) + f"""
 SELECT count(*) AS total,
        count(*) FILTER (WHERE "Service Request ID" <> '' AND "Service Type" <> ''
                           AND {parse_date_sql('"Date Created"')} IS NOT NULL) AS accepted,
        count(*) FILTER (WHERE NOT coalesce("Service Request ID" <> '' AND "Service Type" <> '', false)) AS skipped_missing,
        count(*) FILTER (WHERE "Service Request ID" <> '' AND "Service Type" <> ''
                           AND {parse_date_sql('"Date Created"')} IS NULL) AS skipped_date
-FROM raw""")
+FROM raw"""
+
+
+@register("ing_counts", _COUNTS_SQL)
 def q_clean_counts(spark, sf_dir):
     """Raw rows accepted by the cleaning and skipped, by reason."""
     return I.clean_counts(_raw(spark, sf_dir))
 
 
+def _one_row(spark, counts):
+    """Counts that a writing job observed, as a frame of one row."""
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts))
+
+
+@register("ing_load", _COUNTS_SQL)
+def q_load(spark, sf_dir):
+    """The cleaned rows written, with the counts of the same pass."""
+    path = files.scratch_path(spark, "cleaned/" + os.path.basename(sf_dir.rstrip("/")))
+    return _one_row(spark, I.load_clean(staged_raw(spark, sf_dir), path, KEYS))
+
+
+@register("ing_load_required", with_requests(RAW_CTE) + """
+SELECT count(*) AS total, count(*) FILTER (WHERE "Service Request ID" IS NULL OR "Service Type" IS NULL
+                                              OR "Date Created" IS NULL) AS dropped FROM raw""")
+def q_load_required(spark, sf_dir):
+    """Rows with all required values written, with the dropped ones counted."""
+    path = files.scratch_path(spark, "required/" + os.path.basename(sf_dir.rstrip("/")))
+    return _one_row(spark, I.load_required(staged_raw(spark, sf_dir), path))
+
+
 @register("ing_dedupe", with_requests(RAW_CTE, CLEAN_CTE) + """
 SELECT * EXCLUDE (id) FROM loaded
 WHERE service_request_id NOT IN (SELECT service_request_id FROM clean WHERE created_at < DATE '1996-01-01')""")

@@ -17,7 +17,7 @@ QUERIES: dict[str, Builder] = {}
 ORACLES: dict[str, str] = {}
 
 _MODULES = ("rankings", "analytics", "ingest", "vectors", "labels", "products", "points",
-            "reports", "streams")
+            "reports", "streams", "incremental")
 
 
 def register(name: str, sql: str | None = None):

@@ -34,7 +34,7 @@ class ConflictError(RuntimeError):
     """Another writer published this version first."""
 
 
-class _Files:
+class Files:
     """The few file operations a manifest needs, through Hadoop's file systems."""
 
     def __init__(self, spark: SparkSession, root: str):
@@ -94,7 +94,7 @@ class VersionedTable:
     """A keyed table under ``root``; see the module's text."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.files = spark, root.rstrip("/"), _Files(spark, root)
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
 
     @classmethod
     def create(cls, df: DataFrame, root: str, keys: Sequence[str], buckets: int = 64,

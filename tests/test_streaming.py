@@ -94,7 +94,7 @@ def test_ingest_stops_in_mid_run_and_goes_on(spark, tmp_path):
 
 def _flatten(folder):
     """Part files of several writes side by side, as files land."""
-    for name in sorted(os.listdir(folder)):
+    for name in sorted(n for n in os.listdir(folder) if os.path.isdir(os.path.join(folder, n))):
         for f in os.listdir(os.path.join(folder, name)):
             if f.endswith(".parquet"):
                 os.rename(os.path.join(folder, name, f), os.path.join(folder, f"{name}.parquet"))
