@@ -58,6 +58,22 @@ def restored(df: DataFrame, kept: list[str], *more: str) -> DataFrame:
     return df.select(*back, *more)
 
 
+def positional(df: DataFrame, text: str, *keys: str) -> tuple[DataFrame, list[str]]:
+    """The other columns named ``c0, c1, ...`` with ``text`` (and copies of
+    ``keys`` as ``key0, ...``) beside them, and their own names, for
+    ``renamed``: no input name can clash with a helper's."""
+    kept = [c for c in df.columns if c != text]
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)],
+                     *[F.col(f"`{k}`").alias(f"key{i}") for i, k in enumerate(keys)],
+                     F.col(f"`{text}`").alias("text")), kept
+
+
+def renamed(df: DataFrame, kept: list[str], *more: str) -> DataFrame:
+    """The columns of ``positional`` under their names, and those of ``more``,
+    which replace input columns so named."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept) if c not in more], *more)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civiclens.llm.common import saved
+from civiclens.llm.common import positional, renamed, saved
 
 #: Stands for a text's end; no word holds white space.
 END = b"\n"
@@ -135,16 +135,29 @@ class Model:
         shift = np.uint32(32 - BUCKETS.bit_length() + 1)
         return self.classes[joined[at].astype(np.int64)], np.stack([m >> shift for m in mixed]).astype(np.uint16)
 
-    def log_classes(self, buckets: np.ndarray) -> np.ndarray:
-        """Natural log of the class softmax, token by class."""
+    def _sums(self, buckets: np.ndarray) -> np.ndarray:
+        """Weights of each token's features by class, less the token's greatest."""
         z = self.weights[0].take(buckets[0], axis=0)
         for t in range(1, TEMPLATES):
             z += self.weights[t].take(buckets[t], axis=0)
         z += self.bias
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
 
+    def shares(self, buckets: np.ndarray) -> np.ndarray:
+        """The class softmax, token by class."""
+        z = self._sums(buckets)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return z
+
+    def log_class(self, buckets: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Natural log of each token's own class' share."""
+        z = self._sums(buckets)
+        own = z[np.arange(len(z)), classes]
+        np.exp(z, out=z)
+        return own - np.log(z.sum(axis=1))
+
 
 def known_words(counts: DataFrame) -> DataFrame:
     """The most frequent words, whole classes of equal count, at most KNOWN of
@@ -209,11 +222,13 @@ def step(w: np.ndarray, bias: np.ndarray, seen: np.ndarray, squares: np.ndarray,
          model: Model, classes: np.ndarray, buckets: np.ndarray) -> None:
     """One gradient update, in place, from one group of tokens."""
     model.weights, model.bias = w, bias
-    g = np.exp(model.log_classes(buckets))
+    g = model.shares(buckets)
     g[np.arange(len(classes)), classes] -= 1
     for t in range(TEMPLATES):
         order = np.argsort(buckets[t], kind="stable")
-        rows, first = np.unique(buckets[t][order], return_index=True)
+        ordered = buckets[t][order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        rows = ordered[first]
         total = np.add.reduceat(g.take(order, axis=0), first, axis=0)
         squares[t, rows] += (total * total).max(axis=1)
         w[t, rows] -= (RATE / np.sqrt(squares[t, rows] + 1e-2))[:, None] * total
@@ -299,7 +314,12 @@ _SCORED = "number long, n_tokens long, top double, base_top double, known long,
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, with n_tokens, n_known, base_score
-    and score."""
+    and score, which replace input columns so named."""
+    plain, kept = positional(docs, text)
+    return renamed(_scored(plain, model, counts, "text"), kept, "n_tokens", "n_known", "base_score", "score")
+
+
+def _scored(docs: DataFrame, model: Model, counts: DataFrame, text: str) -> DataFrame:
     kept = [c for c in docs.columns if c != text]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
 
@@ -316,19 +336,22 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
             logs = np.empty(len(classes))
             for at in range(0, len(classes), STEP):
                 part = slice(at, at + STEP)
-                z = model.log_classes(buckets[:, part])
-                logs[part] = z[np.arange(len(z)), classes[part]]
+                logs[part] = model.log_class(buckets[:, part], classes[part])
             joined = np.concatenate(symbols)
             starts = np.cumsum([0, *[len(s) for s in symbols[:-1]]])
             add = lambda x: np.add.reduceat(x, starts)
-            rare = [[{"word": w, "n": n} for w, n in Counter(r).items()] for _, r in numbered]
+            rare = [Counter(r) for _, r in numbered]
+            ends = np.cumsum([0, *map(len, rare)], dtype=np.int32)
+            each = pa.StructArray.from_arrays(
+                [pa.array([w for r in rare for w in r], pa.binary()),
+                 pa.array([n for r in rare for n in r.values()], pa.int32())], names=["word", "n"])
             origin = [pa.array([b.column(c)[r].as_py() for b, r, _ in group], group[0][0].schema.field(c).type)
                       for c in range(len(kept))]
             yield pa.RecordBatch.from_arrays(
                 [*origin, pa.array(np.arange(number, number + len(group))), pa.array([len(s) for s in symbols], pa.int64()),
                  pa.array(add(logs / math.log(10) + inside[joined])), pa.array(add(base[joined])),
                  pa.array(add((joined < known).astype(np.int64))),
-                 pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))],
+                 pa.ListArray.from_arrays(pa.array(ends), each)],
                 names=[*kept, "number", "n_tokens", "top", "base_top", "known", "rare"])
             number += len(group)
 

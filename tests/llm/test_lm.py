@@ -51,7 +51,8 @@ def test_probabilities_of_a_history_add_up_to_one(spark, rows):
     model, counts = lm.train(split(docs(spark, rows).select("doc_id", "text")))
     symbols, _ = model.numbers(lm.tokens("a1ax b2bx never-seen"))
     _, buckets = model.features([symbols])
-    assert np.allclose(np.exp(model.log_classes(buckets)).sum(axis=1), 1, atol=1e-4)
+    every = np.stack([np.exp(model.log_class(buckets, np.full(buckets.shape[1], c))) for c in range(lm.CLASSES)], axis=1)
+    assert np.allclose(every.sum(axis=1), 1, atol=1e-4) and np.allclose(every, model.shares(buckets), atol=1e-5)
     inside = [0.0] * lm.ENDINGS
     head = {w for w, i in model.ids.items() if i < lm.HEAD}
     singles = [0] * lm.ENDINGS
