@@ -16,7 +16,6 @@ TEXTS = [None, "", " ", "  two  spaces ", "a\n b", "a \nb", "tab\t x", "é ü 
 
 
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 
 
 def ids(text):
@@ -30,6 +29,12 @@ def test_ids_are_the_tokenizer_files():
         assert np.frombuffer(coder.encode(t or ""), "<u4").tolist() == ids(t)
 
 
+def test_a_marked_text_gets_the_plain_calls_ids():
+    coder, text = P.FileTokenizer(PATH), "x<|endoftext|> y"
+    assert 50256 in ids(text) and np.frombuffer(coder.encode(text), "<u4").tolist() == ids(text)
+    assert 50256 not in coder.ids(text)  # as ordinary text, for the alignment
+
+
 def test_ids_of_random_texts():
     r = random.Random(1)
     coder = P.FileTokenizer(PATH)
