@@ -26,6 +26,10 @@ from civiclens.llm.common import WHITESPACE, let, pack_row, saved, unpack_row
 MIN_SITES = 4
 LG_REGISTERS = 12
 NEAR = 0.25
+#: A line on more rows than this, and than one in MOST_HOT of all boilerplate
+#: rows, is hot: there are fewer than MOST_HOT such lines at any size.
+HOT_ROWS = 1_000
+MOST_HOT = 50_000
 
 
 def _hash(*cols: Column) -> Column:
@@ -47,19 +51,36 @@ def line_table(docs: DataFrame, text: str = "text", site: str = "source", key: s
             .select("doc", "site", "pos", _hash(F.col("line")).alias("line")))
 
 
+def _meet(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``lines`` whose line is in ``found`` (line, rows, value), with
+    that value.  Hot lines are looked up where they are read, in a broadcast of
+    fewer than MOST_HOT rows; their rows then go to any task, the others to
+    that of their line."""
+    total = found.agg(F.sum("rows")).first()[0] or 0
+    hot = F.col("rows") > max(HOT_ROWS, total // MOST_HOT)
+    here = found.filter(hot).select(F.col("line").alias("hot_line"), F.col("value").alias("hot_value"))
+    there = found.filter(~hot).select(F.col("line").alias("cold_line"), F.col("value").alias("cold_value"))
+    marked = lines.join(F.broadcast(here), F.col("line") == F.col("hot_line"), "left")
+    at = F.when(F.col("hot_line").isNull(), F.col("line")).otherwise(_hash(F.col("doc"), F.col("pos")))
+    both = marked.withColumn("at", at).join(there, F.col("at") == F.col("cold_line"), "left")
+    return both.filter("hot_line is not null or cold_line is not null").select(
+        *lines.columns, F.when(F.col("hot_line").isNotNull(), F.col("hot_value")).otherwise(
+            F.col("cold_value")).alias("value"))
+
+
 def spread(lines: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR) -> DataFrame:
     """Boilerplate lines: line hash, number of sites (estimated, or exact near
-    the threshold), and the first place the line stands."""
+    the threshold), rows, and the first place the line stands."""
     # HyperLogLog skips nulls; the hash of a null site is an ordinary value.
     sketched = saved(
         lines.groupBy("line")
         .agg(F.hll_sketch_agg(F.xxhash64("site"), F.lit(LG_REGISTERS)).alias("sketch"),
              F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc", "pos")).alias("first"))
         .filter(F.col("rows") >= min_sites)
-        .select("line", "first", F.hll_sketch_estimate("sketch").alias("sites")))
+        .select("line", "rows", "first", F.hll_sketch_estimate("sketch").alias("sites")))
     low, high = min_sites * (1 - near) - 1, min_sites * (1 + near) + 1
-    close = sketched.filter(F.col("sites").between(low, high)).select("line", "first")
-    exact = (lines.select("line", "site").join(close.select("line"), "line", "left_semi")
+    close = sketched.filter(F.col("sites").between(low, high)).select("line", "rows", "first")
+    exact = (_meet(lines, close.select("line", "rows", F.lit(True).alias("value")))
              .groupBy("line", "site").agg(F.lit(1).alias("one"))
              .groupBy("line").agg(F.count(F.lit(1)).alias("sites")))
     return (sketched.filter(F.col("sites") > high)
@@ -71,8 +92,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text",
     """``docs`` with boilerplate lines cut from the text, plus n_lines (all
     lines of the input text) and n_removed."""
     lines = line_table(docs, text, site, key)
-    cut = (lines.join(saved(spread(lines, min_sites).select("line", "first")), "line")
-           .filter(F.struct("doc", "pos") != F.col("first"))
+    found = saved(spread(lines, min_sites).select("line", "rows", F.col("first").alias("value")))
+    cut = (_meet(lines, found).filter(F.struct("doc", "pos") != F.col("value"))
            .groupBy("doc").agg(F.collect_set("pos").alias("cut")))
     rows = pack_row(docs, F.struct(F.col(f"`{key}`").alias("id"), _hash(F.col(f"`{text}`")).alias("h")).alias("doc"))
     cut = cut.select(F.col("doc.h.a").alias("a"), F.col("doc.h.b").alias("b"), F.col("doc.id").alias("id"), "cut")

@@ -66,3 +66,13 @@ def test_pipeline_cuts_passages_of_few_sites_and_of_a_hot_source(spark):
     # Copies on three sources are left to the near-duplicate search.
     assert held == {3: 3, 5: 1, 7: 1, 9: 1, 40: 1} and len(got) == len(rows)
     assert all(r["text"].startswith("own") for r in got)
+
+
+def test_hot_lines_meet_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(L, "HOT_ROWS", 20)
+    rows = [(i, f"own {i}\nhot line\nmid {i % 6}\nhot line", f"site{i % 9}") for i in range(80)]
+    rows += [(200 + i, "hot near the threshold", f"n{i % 4}") for i in range(50)]
+    for k in (4, 5, 9):
+        assert run(docs(spark, rows), k) == brute(rows, k), k
+    found = L.spread(L.line_table(docs(spark, rows)), 4)
+    assert found.filter("rows > 20").count() == 2
