@@ -48,7 +48,7 @@ def segments(turns: DataFrame, chunk: int = 1024) -> DataFrame:
     role, text = escape(F.col("role")), escape(F.col("text"))
     head = F.concat(F.lit(OPEN), role, F.lit("\n"))
     rendered = turns.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("said"),
         F.floor(F.col("turn") / chunk).alias("chunk"),
         F.concat(head, text, F.lit(CLOSE)).alias("segment"),
         F.length(head).cast("long").alias("text_start"),
@@ -57,7 +57,7 @@ def segments(turns: DataFrame, chunk: int = 1024) -> DataFrame:
     counted = rendered.select("*", F.length("segment").cast("long").alias("chars"),
                               target.alias("is_target"), target.cast("long").alias("hit"))
     inside = (Window.partitionBy("conv_id", "chunk")
-              .orderBy(F.asc_nulls_first("turn"), "role", "segment")
+              .orderBy(F.asc_nulls_first("turn"), "role", "said")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     before = (Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("chunk"))
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -77,10 +77,10 @@ def segments(turns: DataFrame, chunk: int = 1024) -> DataFrame:
 
 
 def examples(segs: DataFrame) -> DataFrame:
-    """One row per assistant turn: where its context ends, its trainable span
-    and its length."""
+    """One row per assistant turn: where its context ends, the reply's own
+    rendered text, its trainable span and its length."""
     return segs.filter("is_target").select(
-        "conv_id", "example_no", "turn_no", F.col("seg_start").alias("context_end"),
+        "conv_id", "example_no", "turn_no", F.col("seg_start").alias("context_end"), F.col("segment").alias("reply"),
         (F.col("seg_start") + F.col("text_start")).alias("loss_start"),
         (F.col("seg_start") + F.col("text_end")).alias("loss_end"),
         (F.col("seg_start") + F.length("segment")).alias("n_chars"))
@@ -99,25 +99,27 @@ def materialize(segs: DataFrame) -> DataFrame:
                     (F.col("seg_start") + F.col("text_end")).alias("loss_end")))
 
 
-def read_back(segs: DataFrame) -> DataFrame:
-    """Per conversation, from the formatted output alone: turns, their digest,
-    the text under the loss mask and its digest, formatted length."""
-    def between(start: Column, end: Column) -> Column:
-        return unescape(F.substring(F.col("segment"), (start + 1).cast("int"), (end - start).cast("int")))
+def read_back(segs: DataFrame, told: DataFrame) -> DataFrame:
+    """Per conversation, from the formatted output alone: turns, their digest
+    and formatted length from the segments; the text under the loss mask and
+    its digest from the spans of its examples ``told``."""
+    def between(whole: str, start: Column, end: Column) -> Column:
+        return unescape(F.substring(F.col(whole), (start + 1).cast("int"), (end - start).cast("int")))
 
-    opened = F.lit(len(OPEN))
     parsed = segs.select(
         "conv_id", F.length("segment").cast("long").alias("chars"),
-        F.struct("turn_no", between(opened, F.col("text_start") - 1).alias("role"),
-                 between(F.col("text_start"), F.col("text_end")).alias("text"),
-                 F.col("is_target").alias("loss")).alias("t"))
+        F.struct("turn_no", between("segment", F.lit(len(OPEN)), F.col("text_start") - 1).alias("role"),
+                 between("segment", F.col("text_start"), F.col("text_end")).alias("text")).alias("t"))
     whole = parsed.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"),
                                           F.sum("chars").alias("formatted_chars"))
     said = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("t", lambda x: x["loss"]), lambda x: x["text"]), "")
-    joined = whole.select("conv_id", F.size("t").cast("long").alias("n_turns"), said.alias("said"),
-                          loss.alias("loss"), "formatted_chars")
-    return joined.select(
-        "conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
-        "formatted_chars")
+    start = F.col("context_end")
+    masked = told.select("conv_id", F.struct("example_no", between(
+        "reply", F.col("loss_start") - start, F.col("loss_end") - start).alias("text")).alias("x"))
+    loss = (masked.groupBy(F.col("conv_id").alias("x_id")).agg(F.sort_array(F.collect_list("x")).alias("x"))
+            .select("x_id", F.array_join("x.text", "").alias("loss")))
+    joined = whole.join(loss, F.col("conv_id").eqNullSafe(F.col("x_id")), "left").select(
+        "conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.coalesce("loss", F.lit("")).alias("loss"), "formatted_chars")
+    return joined.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"),
+                         F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civiclens.llm import align, chat, lines, lm, mixing, packing, quality, repair, search, sharding, simhash, toxicity, wordpieces
-from civiclens.llm.common import table
+from civiclens.llm.common import saved, table
 from civiclens.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,7 +51,8 @@ def op3(spark, sf_dir):
     probe = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat.read_back(chat.segments(turns.unionByName(probe)))
+    segs = saved(chat.segments(turns.unionByName(probe)))
+    return chat.read_back(segs, chat.examples(segs))
 
 
 _QUALITY_SQL = r"""
@@ -97,7 +98,7 @@ l AS (SELECT doc_id, h, source, unnest(string_split(text, chr(10))) AS raw,
 k AS (SELECT DISTINCT doc_id, h, source, pos, raw,
              trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
 s AS (SELECT line, min((doc_id, pos)) AS first FROM k WHERE line <> ''
-      GROUP BY line HAVING count(DISTINCT coalesce('s' || source, '')) >= 10),
+      GROUP BY line HAVING count(DISTINCT coalesce('s' || source, '')) >= 4),
 x AS (SELECT k.*, s.line IS NOT NULL AND s.first <> (k.doc_id, k.pos) AS removed
       FROM k LEFT JOIN s ON k.line = s.line),
 g AS (SELECT doc_id, h, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed,
@@ -111,8 +112,7 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id AND d.h = g.h"""
 @query("op10_line_dedup", _LINES_SQL)
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    # The oracle counts from 10 sites on; the pipeline takes lines.MIN_SITES.
-    return lines.dedup_lines(docs, 10).select(
+    return lines.dedup_lines(docs).select(
         "doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"),
         F.md5("text").alias("text_md5"))
 
@@ -203,7 +203,7 @@ def op7(spark, sf_dir):
 
 @query("op9_toxicity_cnn")
 def op9(spark, sf_dir):
-    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3
     docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(fold != 1)
     model = toxicity.train(docs, labels)

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civiclens.llm.common import pack_row, saved, unpack_row
+from civiclens.llm.common import pack_row, positional, renamed, saved, unpack_row
 
 #: Contract values: words in a shingle, largest distance, hash seed.
 SHINGLE = 3
@@ -222,16 +222,16 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
             distance: int = DISTANCE) -> DataFrame:
     """The columns of ``docs`` but the text, with fp, root (names the
     component) and component_id: the smallest key reachable over links, the
-    row's own included."""
-    kept = [c for c in docs.columns if c != text]
-    marked = saved(fingerprints(docs, text, shingle))
-    first = saved(marked.groupBy("fp").agg(F.min(key).alias("first")))
+    row's own included; input columns of these names are replaced."""
+    plain, kept = positional(docs, text, key)
+    marked = saved(fingerprints(plain, "text", shingle))
+    first = saved(marked.groupBy("fp").agg(F.min("key0").alias("first")))
     roots = components(links(first.select("fp"), distance))
     placed = first.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(lowest, "root").select(F.col("fp").alias("f"), "root", "component_id")
-    return marked.join(named, F.col("fp") == F.col("f")).select(*kept, "fp", "root", "component_id")
+    return renamed(marked.join(named, F.col("fp") == F.col("f")), kept, "fp", "root", "component_id")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,

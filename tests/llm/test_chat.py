@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from civiclens.llm import chat
 from tests.llm.helpers import records
 
@@ -31,7 +33,7 @@ def rows():
 def test_turns_come_back(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     for chunk in (4, 1024):
-        got = records(chat.read_back(chat.segments(df, chunk)).drop("formatted_chars"))
+        got = records(back(df, chunk).drop("formatted_chars"))
         assert got == brute(rows())
 
 
@@ -53,12 +55,30 @@ def test_examples_are_prefixes_with_one_trainable_reply(spark):
 
 def test_empty_table_and_extra_columns(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
-    assert chat.read_back(chat.segments(df.limit(0))).count() == 0
+    assert back(df.limit(0)).count() == 0
     extra = df.selectExpr("*", "'x' AS chunk", "1 AS rn", "2 AS segment", "3 AS t", "'l' AS lang")
-    assert records(chat.read_back(chat.segments(extra))) == records(chat.read_back(chat.segments(df)))
+    assert records(back(extra)) == records(back(df))
 
 
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
-    plan = chat.read_back(chat.segments(df))._jdf.queryExecution().executedPlan().toString()
+    plan = back(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def back(df, chunk=1024):
+    segs = chat.segments(df, chunk)
+    return chat.read_back(segs, chat.examples(segs))
+
+
+def test_ties_go_by_the_raw_text_and_the_loss_by_the_examples(spark, monkeypatch):
+    rows = [(1, 0, "user", t) for t in ("x!", "x", "<a", "<|", "x")] + [(1, 1, "assistant", t) for t in ("b!", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = back(df).first()
+    texts = sorted(t for _, n, _, t in rows if n == 0)
+    said = "".join(f"user\n{t}\n" for t in texts) + "assistant\nb\nassistant\nb!\n"
+    assert got["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert got["loss_sha256"] == hashlib.sha256(b"bb!").hexdigest()
+    segs = chat.segments(df)
+    wrong = chat.examples(segs).withColumn("loss_end", F.col("loss_end") - 1)
+    assert chat.read_back(segs, wrong).first()["loss_sha256"] != got["loss_sha256"]
