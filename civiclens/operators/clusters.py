@@ -1,159 +1,303 @@
-"""Two-level k-means: Spark ML for the top level, a joint Lloyd loop for the
-sub level (every parent advances in the same pass; no driver loop per parent).
+"""Two-level k-means in DataFrame passes.
 
-Per round only the centroid table (at most k1*k2 rows) returns to the
-driver; the points are read from a reliable checkpoint, so the loop's
-lineage does not grow and a lost executor recomputes one round at most.
+All parents and all starts advance together.  A pass compares every point with
+the current centres of its parent, for each start, in numpy on Arrow's flat
+buffers; a task hands on one mean, count and cost per centre, and ``Summarizer``
+averages them with partial aggregation.  So a pass moves tasks x centres rows
+and not the points, and only centres (starts x parents x k rows) reach the
+driver.
+
+* Seeds: k-means||.  Each round draws points of every parent with a chance in
+  proportion to their squared distance from the seeds so far, over all points
+  (the smallest of ``-log(u) / d2`` with ``u`` from a hash of the id), so a
+  small group far from the rest is found.  The candidates, weighted by the
+  points nearest to them, are reduced to k on the driver.
+* Top level: mini-batches.  Points are written once in folders by a hash; a
+  step reads one folder, and every centre moves by its own learning rate.  The
+  cheapest start (one full pass for all of them) is polished by Lloyd rounds.
+* Sub level: Lloyd rounds over all parents, the cheapest start of each parent.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiclens.session import checkpoint_dir
 
+#: Starts advanced together, rounds of k-means||, candidates a round for each
+#: centre, folders of mini-batches.
+STARTS = 5
+DRAWS = 4
+OVER = 2
+FOLDERS = 16
 
-def fit_top(points: DataFrame, k: int = 25, seed: int = 42, max_iter: int = 100,
-            vec: str = "embedding", id_col: str = "id", restarts: int = 5):
-    """``pyspark.ml`` k-means on the vectors, the best of ``restarts`` starts by
-    within-cluster cost; returns (assignments, centroids).  Labels equal the reference's only up to a permutation (different solver)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    data = points.select(id_col, array_to_vector(F.col(vec)).alias("features"))
-    models = [KMeans(k=k, seed=seed + n, maxIter=max_iter, featuresCol="features",
-                     predictionCol="top_cluster_id").fit(data) for n in range(restarts)]
-    model = min(models, key=lambda m: m.summary.trainingCost)
-    assigned = model.transform(data).select(id_col, F.col("top_cluster_id").cast("int"))
-    spark = points.sparkSession
-    cents = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "cluster_id int, centroid array<double>")
-    return assigned, cents
+Centres = dict[tuple[int, int], np.ndarray]  # (start, parent) -> centres
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix, without a copy per row."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1).astype(np.float64)
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    d = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :]
+    return np.maximum(d, 0)
+
+
+def _by_parent(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(parent, row numbers, vectors) of a batch with columns id, parent, vec."""
+    parents, x = batch.column(1).to_numpy(), _matrix(batch.column(2))
+    for p in np.unique(parents):
+        rows = np.flatnonzero(parents == p)
+        yield int(p), rows, x[rows]
 
 
-def _sub_means(pts: DataFrame, vec: str) -> DataFrame:
+def _gather(points: DataFrame, centres: Centres) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """One pass: per start and parent the means, counts and costs by centre."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
-    g = (pts.select("top_cluster_id", "sub_cluster_id", array_to_vector(F.col(vec)).alias("_v"))
-            .groupBy("top_cluster_id", "sub_cluster_id")
-            .agg(Summarizer.mean(F.col("_v")).alias("_m"), F.count(F.lit(1)).alias("size")))
-    return g.select("top_cluster_id", "sub_cluster_id", vector_to_array("_m").alias("centroid"), "size")
-
-
-def _assign_sub(pts: DataFrame, cents: dict, vec: str, id_col: str,
-                keep_vec: bool = False) -> DataFrame:
-    """Nearest sub-centroid (squared Euclidean) within each point's parent;
-    ``cents`` maps parent -> {sub id: centroid} (at most k1*k2 entries)."""
-    mats = {p: (np.asarray([v[k] for k in sorted(v)], dtype=np.float64), np.asarray(sorted(v)))
-            for p, v in cents.items()}
-
-    def run(it):
-        for pdf in it:
-            sub = np.zeros(len(pdf), dtype=np.int32)
-            tops = pdf["top_cluster_id"].to_numpy()
-            for p in np.unique(tops):
-                if p not in mats:
-                    continue
-                rows = np.nonzero(tops == p)[0]
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec].iloc[rows]])
-                m, ids = mats[p]
-                d = (x * x).sum(1)[:, None] - 2 * x @ m.T + (m * m).sum(1)[None, :]
-                sub[rows] = ids[np.argmin(d, axis=1)]
-            out = {id_col: pdf[id_col], "top_cluster_id": tops, "sub_cluster_id": sub}
-            if keep_vec:
-                out[vec] = pdf[vec]
-            yield pd.DataFrame(out)
-    schema = f"{id_col} long, top_cluster_id int, sub_cluster_id int"
-    if keep_vec:
-        schema += f", {vec} array<float>"
-    return pts.select(id_col, "top_cluster_id", vec).mapInPandas(run, schema)
-
-
-def _collect_means(pts: DataFrame, vec: str) -> dict:
-    """{parent: {sub: mean}}; at most k1*k2 rows reach the driver."""
-    out: dict = {}
-    for r in _sub_means(pts, vec).collect():
-        out.setdefault(r["top_cluster_id"], {})[r["sub_cluster_id"]] = np.asarray(r["centroid"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts, costs = {}, {}, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for p, _, x in _by_parent(batch):
+                for key, c in centres.items():
+                    if key[1] != p:
+                        continue
+                    d = _distances(x, c)
+                    near = d.argmin(1)
+                    if key not in sums:
+                        sums[key], counts[key], costs[key] = np.zeros_like(c), np.zeros(len(c)), np.zeros(len(c))
+                    np.add.at(sums[key], near, x)
+                    counts[key] += np.bincount(near, minlength=len(c))
+                    costs[key] += np.bincount(near, d[np.arange(len(x)), near], minlength=len(c))
+        rows = [(s, p, i, sums[s, p][i] / n, n, costs[s, p][i])
+                for s, p in sums for i, n in enumerate(counts[s, p]) if n]
+        start, parent, centre, mean, n, cost = zip(*rows, strict=True) if rows else [()] * 6
+        yield pa.RecordBatch.from_pydict({
+            "start": pa.array(start, pa.int32()), "parent": pa.array(parent, pa.int32()),
+            "centre": pa.array(centre, pa.int32()), "mean": pa.array(mean, pa.list_(pa.float64())),
+            "n": pa.array(n, pa.float64()), "cost": pa.array(cost, pa.float64())})
+
+    parts = points.mapInArrow(run, "start int, parent int, centre int, mean array<double>, n double, cost double")
+    total = (parts.groupBy("start", "parent", "centre")
+             .agg(Summarizer.mean(array_to_vector("mean"), F.col("n")).alias("m"), F.sum("n").alias("n"),
+                  F.sum("cost").alias("cost"))
+             .select("start", "parent", "centre", vector_to_array("m").alias("mean"), "n", "cost"))
+    out = {key: (c.copy(), np.zeros(len(c)), np.zeros(len(c))) for key, c in centres.items()}
+    for r in total.collect():  # at most one row a centre
+        means, counts, costs = out[r["start"], r["parent"]]
+        means[r["centre"]], counts[r["centre"]], costs[r["centre"]] = r["mean"], r["n"], r["cost"]
     return out
 
 
-def _seed_means(big: DataFrame, k2: int, seed: int, vec: str, id_col: str,
-                oversample: int = 8) -> dict:
-    """k-means++ start per parent over its ``oversample * k2`` points with the
-    smallest id hash, whatever the parent's size: k1 * oversample * k2 rows
-    reach the driver.
-
-    A threshold on the 64-bit hash leaves about four times as many points per
-    parent; only those are ranked, so no parent is sorted whole.
-    """
-    want = oversample * k2
-    h = F.xxhash64(F.col(id_col), F.lit(seed + 1))
-    share = (h.cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
-    near = big.filter(share < F.lit(4.0 * want + 100.0) / F.col("_n"))
-    order = Window.partitionBy("top_cluster_id").orderBy(h, id_col)
-    rows = (near.select("top_cluster_id", id_col, vec, F.row_number().over(order).alias("_rank"))
-            .filter(F.col("_rank") <= want).collect())
-    groups: dict = {}
-    for r in rows:
-        groups.setdefault(r["top_cluster_id"], []).append((r[id_col], r[vec]))
-    cents: dict = {}
-    for p, pts in groups.items():
-        pts.sort(key=lambda t: t[0])
-        x = np.asarray([v for _, v in pts], dtype=np.float64)
-        rng = np.random.default_rng(seed + int(p))
-        chosen = [int(rng.integers(len(x)))]
-        d2 = ((x - x[chosen[0]]) ** 2).sum(1)
-        while len(chosen) < min(k2, len(x)):
-            tot = d2.sum()
-            nxt = int(rng.choice(len(x), p=d2 / tot)) if tot > 0 else int(rng.integers(len(x)))
-            chosen.append(nxt)
-            d2 = np.minimum(d2, ((x - x[nxt]) ** 2).sum(1))
-        cents[p] = {k: x[i] for k, i in enumerate(chosen)}
-    return cents
+def _draw(points: DataFrame, seeds: Centres, many: int, salt: int) -> list:
+    """``many`` points of each start and parent, drawn in proportion to their
+    squared distance from its seeds (alike while there are none)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chance = batch.column(3).to_numpy()
+            for p, rows, x in _by_parent(batch):
+                for key, c in seeds.items():
+                    if key[1] != p:
+                        continue
+                    d = _distances(x, c).min(1) if len(c) else np.ones(len(x))
+                    # A start's own uniform number of the point, from its hash.
+                    u = np.modf(chance[rows] * (1 + 7919.0 * (key[0] + 1)))[0]
+                    with np.errstate(divide="ignore"):
+                        rank = np.where(d > 1e-12, -np.log(np.maximum(u, 1e-300)) / d, np.inf)
+                    first = np.argsort(rank, kind="stable")[:many]
+                    first = first[np.isfinite(rank[first])]
+                    old = best.get(key, (np.zeros(0), np.zeros((0, x.shape[1]))))
+                    ranks, vectors = np.concatenate([old[0], rank[first]]), np.concatenate([old[1], x[first]])
+                    keep = np.argsort(ranks, kind="stable")[:many]
+                    best[key] = ranks[keep], vectors[keep]
+        rows = [(s, p, r, v) for (s, p), (ranks, vectors) in best.items() for r, v in zip(ranks, vectors, strict=True)]
+        start, parent, rank, vec = zip(*rows, strict=True) if rows else [()] * 4
+        yield pa.RecordBatch.from_pydict({
+            "start": pa.array(start, pa.int32()), "parent": pa.array(parent, pa.int32()),
+            "rank": pa.array(rank, pa.float64()), "vec": pa.array(vec, pa.list_(pa.float64()))})
+
+    from pyspark.sql import Window
+    bits = F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = points.withColumn("chance", bits).mapInArrow(run, "start int, parent int, rank double, vec array<double>")
+    order = Window.partitionBy("start", "parent").orderBy("rank")
+    return drawn.select("*", F.row_number().over(order).alias("at")).filter(F.col("at") <= many).collect()
+
+
+def _reduced(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k of the weighted candidates by k-means++, then a few weighted rounds."""
+    if len(candidates) <= k:
+        return candidates
+    chosen = [int(rng.choice(len(candidates), p=weights / weights.sum()))]
+    d = _distances(candidates, candidates[chosen])[:, 0]
+    while len(chosen) < k:
+        w = weights * d
+        chosen.append(int(rng.choice(len(candidates), p=w / w.sum()) if w.sum() > 0 else rng.integers(len(candidates))))
+        d = np.minimum(d, _distances(candidates, candidates[chosen[-1:]])[:, 0])
+    centres = candidates[chosen].copy()
+    for _ in range(10):
+        near = _distances(candidates, centres).argmin(1)
+        for i in np.unique(near):
+            mine = near == i
+            if weights[mine].sum():
+                centres[i] = np.average(candidates[mine], axis=0, weights=weights[mine])
+    return centres
+
+
+def seeds(points: DataFrame, parents: list[int], k: int, seed: int, starts: int = STARTS, draws: int = DRAWS,
+          over: int = OVER) -> Centres:
+    """k-means|| for every start and parent at once: ``draws`` + 2 passes."""
+    width = points.select(F.size("vec")).first()[0]
+    found: Centres = {(s, p): np.zeros((0, width)) for s in range(starts) for p in parents}
+    for n in range(draws + 1):
+        rows = _draw(points, found, 1 if n == 0 else over * k, seed * 1009 + n)
+        more: dict = {}
+        for r in rows:
+            more.setdefault((r["start"], r["parent"]), []).append(r["vec"])
+        found = {key: np.concatenate([c, np.array(more[key])]) if key in more else c for key, c in found.items()}
+    weights = _gather(points, found)
+    rng = np.random.default_rng(seed)
+    return {key: _reduced(c, weights[key][1], k, rng) for key, c in found.items()}
+
+
+def lloyd(points: DataFrame, centres: Centres, max_iter: int, tol: float = 1e-6) -> tuple[Centres, dict]:
+    """Full rounds until no mean moves; a start and parent that stands still is
+    left out of the later passes.  Returns the centres and their costs."""
+    costs, moving = {}, dict(centres)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        for key, (means, counts, cost) in _gather(points, moving).items():
+            costs[key] = cost.sum()
+            still = np.abs(means - moving[key]).max(initial=0) <= tol
+            centres[key] = means  # a centre without points stays
+            if still:
+                del moving[key]
+            else:
+                moving[key] = means
+    return centres, costs
+
+
+def _cheapest(centres: Centres, costs: dict) -> dict[int, np.ndarray]:
+    """Per parent the centres of its cheapest start."""
+    best: dict = {}
+    for (s, p), c in centres.items():
+        cost = (costs.get((s, p), np.inf), s)
+        if p not in best or cost < best[p][0]:
+            best[p] = cost, c
+    return {p: c for p, (_, c) in best.items()}
+
+
+def minibatch(points: DataFrame, centres: Centres, max_iter: int, folders: int = FOLDERS, tol: float = 1e-3) -> Centres:
+    """Steps over one folder of points each.  A centre's rate is the share of
+    this step's points among all it has had; steps end when a whole round of
+    folders moves no centre by more than ``tol`` of the vectors' spread."""
+    spark = points.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "civiclens", "batches", uuid.uuid4().hex)
+    points.withColumn("folder", F.pmod(F.xxhash64("id", F.lit(97)), F.lit(folders))).write.partitionBy("folder").parquet(path)
+    stored = spark.read.schema("id long, parent int, vec array<float>, folder int").parquet(path)
+    had = {key: np.zeros(len(c)) for key, c in centres.items()}
+    spread = max(float(np.concatenate(list(centres.values())).std()), 1e-12)
+    moved = []
+    for n in range(max_iter):
+        found = _gather(stored.filter(F.col("folder") == n % folders).drop("folder"), centres)
+        most = 0.0
+        for key, (means, counts, _) in found.items():
+            had[key] += counts
+            rate = np.divide(counts, had[key], out=np.zeros_like(counts), where=had[key] > 0)[:, None]
+            step = rate * (means - centres[key])
+            centres[key] = centres[key] + step
+            most = max(most, float(np.abs(step).max(initial=0)))
+        moved.append(most)
+        if len(moved) >= 4 and max(moved[-4:]) <= tol * spread * 10:
+            break
+    return centres
+
+
+def _assign(points: DataFrame, centres: dict[int, np.ndarray], id_col: str) -> DataFrame:
+    """(id, parent, centre): the nearest centre, the lowest of equals."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.zeros(batch.num_rows, np.int32)
+            if batch.num_rows:
+                for p, rows, x in _by_parent(batch):
+                    near[rows] = _distances(x, centres[p]).argmin(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)],
+                                             names=["id", "parent", "centre"])
+    return points.mapInArrow(run, "id long, parent int, centre int").select(F.col("id").alias(id_col), "parent", "centre")
+
+
+def _points(df: DataFrame, id_col: str, vec: str, parent) -> DataFrame:
+    """Points read over and over, cut from their lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.select(F.col(id_col).cast("long").alias("id"), parent.cast("int").alias("parent"),
+                     F.col(vec).cast("array<float>").alias("vec")).checkpoint(eager=True)
+
+
+def fit_top(points: DataFrame, k: int = 25, seed: int = 42, max_iter: int = 100,
+            vec: str = "embedding", id_col: str = "id", restarts: int = STARTS):
+    """Mini-batch k-means, the best of ``restarts`` starts by cost, polished by
+    full rounds; returns (assignments, centroids).  Labels equal the
+    reference's only up to a permutation (different draws)."""
+    spark = points.sparkSession
+    base = _points(points, id_col, vec, F.lit(0))
+    schema = "cluster_id int, centroid array<double>"
+    if base.isEmpty():
+        return (points.select(id_col, F.lit(None).cast("int").alias("top_cluster_id")).limit(0),
+                spark.createDataFrame([], schema))
+    centres = minibatch(base, seeds(base, [0], k, seed, restarts), max_iter)
+    cost = {key: c.sum() for key, (_, _, c) in _gather(base, centres).items()}
+    best = _cheapest(centres, cost)
+    polished, _ = lloyd(base, {(0, 0): best[0]}, min(max_iter, 10))
+    final = polished[0, 0]
+    assigned = _assign(base, {0: final}, id_col).select(id_col, F.col("centre").alias("top_cluster_id"))
+    return assigned, spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(final)], schema)
 
 
 def fit_sub(points: DataFrame, k2: int = 10, max_iter: int = 100, seed: int = 42,
-            vec: str = "embedding", id_col: str = "id", tol: float = 1e-6):
+            vec: str = "embedding", id_col: str = "id", tol: float = 1e-6, restarts: int = STARTS):
     """Sub-clusters inside every top cluster at once; returns
     (assignments(id, top, sub), centroid table).
 
     Parents with fewer than ``k2`` points keep everything in sub-cluster 0
-    (centroid = their mean).  Start: k-means++ seeds drawn per parent from a
-    bounded hash sample (``_seed_means``).  Each Lloyd round is
-    one scan of the points: assign every point to the nearest current mean
-    of its parent (Arrow batches, numpy) and aggregate the new means from
-    that output with ``Summarizer`` (partial aggregation, so a hot parent is
-    combined map-side).  A sub-cluster that empties keeps its previous mean.
-    Stops when no mean moves more than ``tol`` or after ``max_iter`` rounds.
-    """
+    (centroid = their mean).  All parents and starts share each pass, and every
+    parent takes its own cheapest start.  A sub-cluster that empties keeps its
+    previous mean."""
     spark = points.sparkSession
-    checkpoint_dir(spark)
-    counts = points.groupBy("top_cluster_id").agg(F.count(F.lit(1)).alias("_n"))  # k1 rows
-    base = (points.select(id_col, "top_cluster_id", vec).join(F.broadcast(counts), "top_cluster_id")
-                  .checkpoint(eager=True))
-    small = F.col("_n") < k2
-    big = base.filter(~small)
-    cents = _seed_means(big, k2, seed, vec, id_col)
-    for _ in range(max_iter):
-        new = _collect_means(_assign_sub(big, cents, vec, id_col, keep_vec=True), vec)
-        shift = 0.0
-        for p, subs in new.items():
-            for k, c in subs.items():
-                shift = max(shift, float(np.linalg.norm(c - cents.get(p, {}).get(k, c + np.inf))))
-        for p, subs in new.items():
-            cents.setdefault(p, {}).update(subs)
-        if shift <= tol:
-            break
-    final = _assign_sub(big, cents, vec, id_col, keep_vec=True).unionByName(
-        base.filter(small).select(id_col, "top_cluster_id", F.lit(0).alias("sub_cluster_id"), vec))
-    final = final.checkpoint(eager=True)
-    sub_cents = _sub_means(final, vec).select(
-        F.col("top_cluster_id").alias("parent_cluster_id"), F.col("sub_cluster_id").alias("cluster_id"),
-        "centroid", "size")
-    return final.select(id_col, "top_cluster_id", "sub_cluster_id"), sub_cents
+    base = _points(points, id_col, vec, F.col("top_cluster_id"))
+    sizes = {r["parent"]: r["n"] for r in base.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).collect()}  # k1 rows
+    schema = "parent_cluster_id int, cluster_id int, centroid array<double>, size long"
+    if not sizes:
+        return (points.select(id_col, "top_cluster_id", F.lit(0).alias("sub_cluster_id")).limit(0),
+                spark.createDataFrame([], schema))
+    large = [p for p, n in sizes.items() if n >= k2]
+    width = base.select(F.size("vec")).first()[0]
+    centres = {p: np.zeros((1, width)) for p in sizes}
+    if large:
+        big = base.filter(F.col("parent").isin(large))
+        centres |= _cheapest(*lloyd(big, seeds(big, large, k2, seed, restarts), max_iter, tol))
+    counted = _gather(base, {(0, p): c for p, c in centres.items()})
+    for p in set(sizes) - set(large):
+        centres[p] = counted[0, p][0]
+    rows = [(p, i, [float(x) for x in c], int(n)) for p in sorted(centres)
+            for i, (c, n) in enumerate(zip(centres[p], counted[0, p][1], strict=True)) if n]
+    assigned = _assign(base, centres, id_col).select(
+        id_col, F.col("parent").alias("top_cluster_id"), F.col("centre").alias("sub_cluster_id"))
+    return assigned, spark.createDataFrame(rows, schema)
 
 
 def hierarchical(points: DataFrame, k1: int = 25, k2: int = 10, seed: int = 42,

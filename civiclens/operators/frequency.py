@@ -25,15 +25,20 @@ def frequency_long(df: DataFrame, group: str = C.LEVEL1) -> DataFrame:
 
 
 def frequency_pivot(df: DataFrame, group: str = C.LEVEL1,
-                    values: Sequence[str] | None = None) -> DataFrame:
+                    values: Sequence[str] | None = None, other: str = "Other") -> DataFrame:
     """Month rows x category columns, missing cells 0, no calendar densify
     (a month without any row is absent, T14).
 
-    ``values`` names the columns, and the fact table is scanned once.  Without
-    it Spark looks the categories up first, at most
+    ``values`` names the columns, and the fact table is scanned once; requests
+    of all other categories are summed in the column ``other``, so every request
+    is counted.  Without it Spark looks the categories up first, at most
     ``spark.sql.pivotMaxValues`` of them.
     """
     long = frequency_long(df, group)
+    if values:
+        named = F.col(group).isin(*[v for v in values if v != other])
+        long = long.withColumn(group, F.when(named, F.col(group)).otherwise(F.lit(other)))
+        values = [*[v for v in values if v != other], other]
     grouped = long.groupBy("Time")
     grouped = grouped.pivot(group, list(values)) if values else grouped.pivot(group)
     wide = grouped.agg(F.sum("frequency"))

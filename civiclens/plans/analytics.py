@@ -240,6 +240,7 @@ lg AS (SELECT strftime(date_created, '%Y-%m') AS "Time", service_level_1, count(
 PIVOT_VALUES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 PIVOT_SQL = ", ".join(
     f"""coalesce(CAST(sum(frequency) FILTER (service_level_1 = '{v}') AS BIGINT), 0) AS "{v}\"""" for v in PIVOT_VALUES)
+PIVOT_SQL += f""", coalesce(CAST(sum(frequency) FILTER (service_level_1 NOT IN {PIVOT_VALUES}) AS BIGINT), 0) AS "Other\""""
 
 
 @register("agg_frequency_long", with_requests(_LONG) + "SELECT * FROM lg")

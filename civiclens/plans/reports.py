@@ -23,9 +23,9 @@ from civiclens.sources.requests import fact_requests, latest_created
 from civiclens.sources.tables import read_table
 
 
-def metric_strings(spark, sf_dir):
+def metric_strings(spark, sf_dir, days=30):
     configure(spark)
-    t = R.trending_counts(fact_requests(spark, sf_dir), as_of=latest_created(spark, sf_dir)).withColumn(
+    t = R.trending_counts(fact_requests(spark, sf_dir), days, days, as_of=latest_created(spark, sf_dir)).withColumn(
         "g", R.growth_rate())
     cat = F.initcap(F.lower(F.col(C.LEVEL1)))
     s1 = t.select(F.format_string("%s%% growth in %s", F.col("g").cast("string"), cat).alias("metric"),
@@ -37,8 +37,8 @@ def metric_strings(spark, sf_dir):
     return s1.unionByName(s2).unionByName(s3)
 
 
-def parsed(spark, sf_dir):
-    return M.parse(metric_strings(spark, sf_dir))
+def parsed(spark, sf_dir, days=30):
+    return M.parse(metric_strings(spark, sf_dir, days))
 
 
 def _initcap(x):
@@ -183,12 +183,16 @@ def q_share_band(spark, sf_dir):
     return RP.share_band(_volumes(parsed(spark, sf_dir)))
 
 
-@register("rep_hot_and_big", _VOL + """
+# Sentences on the last day against the day before: there growth passes 50 %.
+_DAY_VOL = _VOL.replace("INTERVAL 30 DAY", "INTERVAL 1 DAY").replace("INTERVAL 60 DAY", "INTERVAL 2 DAY")
+
+
+@register("rep_hot_and_big", _DAY_VOL + """
 SELECT g.category, g.growth, coalesce(v.volume > 300, false) AS high_volume
-FROM gr g LEFT JOIN vol v ON g.category = v.category WHERE abs(g.growth) > 0.5""")
+FROM gr g LEFT JOIN vol v ON g.category = v.category WHERE abs(g.growth) > 50""")
 def q_hot_and_big(spark, sf_dir):
-    p = parsed(spark, sf_dir)
-    return RP.hot_and_big(RP.growth_reconcile(p), _volumes(p), hot=0.5)
+    p = parsed(spark, sf_dir, days=1)
+    return RP.hot_and_big(RP.growth_reconcile(p), _volumes(p))
 
 
 @register("rep_positive_growth", _RECON + """
@@ -202,8 +206,7 @@ def q_positive_growth(spark, sf_dir):
 pq AS (SELECT electoral_district AS "group", count(*) AS request_count FROM requests
        WHERE electoral_district IS NOT NULL GROUP BY 1),
 t AS (SELECT * FROM pq ORDER BY request_count DESC, "group" LIMIT 15)
-SELECT *, round_even(request_count / sum(request_count) OVER () * 100.0, 2) AS share_of_shown FROM t""".replace(
-    "WITH requests AS", "WITH requests AS", 1))
+SELECT *, round_even(request_count / sum(request_count) OVER () * 100.0, 2) AS share_of_shown FROM t""")
 def q_top15(spark, sf_dir):
     configure(spark)
     pq = (fact_requests(spark, sf_dir).filter(F.col(C.DISTRICT).isNotNull()).groupBy(F.col(C.DISTRICT).alias("group"))
@@ -233,13 +236,16 @@ SELECT "Time",
        coalesce(CAST(sum(frequency) FILTER (service_level_1 = 'LARGE') AS BIGINT), 0) AS "LARGE",
        coalesce(CAST(sum(frequency) FILTER (service_level_1 = 'MEDIUM') AS BIGINT), 0) AS "MEDIUM",
        coalesce(CAST(sum(frequency) FILTER (service_level_1 = 'PROMO') AS BIGINT), 0) AS "PROMO",
-       coalesce(CAST(sum(frequency) FILTER (service_level_1 = 'SMALL') AS BIGINT), 0) AS "SMALL"
+       coalesce(CAST(sum(frequency) FILTER (service_level_1 = 'SMALL') AS BIGINT), 0) AS "SMALL",
+       coalesce(CAST(sum(frequency) FILTER (service_level_1 NOT IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL'))
+                AS BIGINT), 0) AS "Other"
 FROM lg GROUP BY "Time" ORDER BY "Time" DESC LIMIT 15""")
 def q_last15(spark, sf_dir):
-    """Last 15 months of the frequency pivot, first five category columns."""
+    """Last 15 months of the frequency pivot: the first five category columns,
+    and all other categories in one."""
     configure(spark)
     names = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL")
-    return RP.last_periods(FQ.frequency_pivot(fact_requests(spark, sf_dir), values=names))
+    return RP.last_periods(FQ.frequency_pivot(fact_requests(spark, sf_dir), values=names), n_cols=len(names) + 1)
 
 
 _BAND = ("CASE WHEN CAST(replace(pcts[i], '%', '') AS DOUBLE) > 50 THEN 'substantial growth' "

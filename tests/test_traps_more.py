@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from civiclens.functions import columns as C
 from civiclens.functions.text import keyword_tokens
 from civiclens.operators import closing as CL
 from civiclens.operators import frequency as FQ
@@ -84,3 +85,13 @@ def test_t21_keyword_words_are_unicode_aware(spark):
     df = spark.createDataFrame([("Café naïve road_work 3abc abc trees the Trees",)], "text string")
     got = df.select(keyword_tokens("text").alias("k")).collect()[0].k
     assert got == ["abc", "trees", "trees"]
+
+
+def test_pivot_counts_a_category_it_does_not_name(spark):
+    import datetime as dt
+    day = dt.datetime(2024, 1, 5)
+    rows = [(c, day) for c in ("a", "a", "b", "seventh", "seventh", None)] + [("a", None), ("b", dt.datetime(2024, 2, 1))]
+    df = spark.createDataFrame(rows, f"{C.LEVEL1} string, {C.CREATED} timestamp")
+    wide = FQ.frequency_pivot(df, values=("a", "b"))
+    assert wide.columns == ["Time", "a", "b", "Other"]
+    assert [tuple(r) for r in wide.collect()] == [("2024-01", 2, 1, 2), ("2024-02", 0, 1, 0)]
