@@ -136,27 +136,36 @@ class Model:
         return self.classes[joined[at].astype(np.int64)], np.stack([m >> shift for m in mixed]).astype(np.uint16)
 
     def _sums(self, buckets: np.ndarray) -> np.ndarray:
-        """Weights of each token's features by class, less the token's greatest."""
+        """Weights of each token's features by class."""
         z = self.weights[0].take(buckets[0], axis=0)
         for t in range(1, TEMPLATES):
             z += self.weights[t].take(buckets[t], axis=0)
         z += self.bias
-        z -= z.max(axis=1, keepdims=True)
         return z
 
+    def _powers(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+        """Powers of e, their sums, and what was taken off ``z`` first: nothing,
+        or each token's greatest where a power would leave the range."""
+        with np.errstate(over="ignore", under="ignore"):
+            powers = np.exp(z)
+            total = powers @ np.ones(CLASSES, np.float32)
+        if np.isfinite(total).all() and total.min(initial=1) > 1e-30:
+            return powers, total, 0.0
+        most = z.max(axis=1)
+        powers = np.exp(z - most[:, None])
+        return powers, powers.sum(axis=1), most
+
     def shares(self, buckets: np.ndarray) -> np.ndarray:
         """The class softmax, token by class."""
-        z = self._sums(buckets)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
+        powers, total, _ = self._powers(self._sums(buckets))
+        powers /= total[:, None]
+        return powers
 
     def log_class(self, buckets: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Natural log of each token's own class' share."""
         z = self._sums(buckets)
-        own = z[np.arange(len(z)), classes]
-        np.exp(z, out=z)
-        return own - np.log(z.sum(axis=1))
+        _, total, off = self._powers(z)
+        return z[np.arange(len(z)), classes] - off - np.log(total)
 
 
 def known_words(counts: DataFrame) -> DataFrame:
