@@ -32,11 +32,14 @@ from pyspark.sql import functions as F
 from civiclens.session import checkpoint_dir
 
 #: Starts advanced together, rounds of k-means||, candidates a round for each
-#: centre, folders of mini-batches.
+#: centre, points of a mini-batch about, most folders they are dealt to, full
+#: rounds that polish the cheapest start.
 STARTS = 5
-DRAWS = 4
-OVER = 2
-FOLDERS = 16
+DRAWS = 3
+OVER = 3
+BATCH = 50_000
+FOLDERS = 1024
+POLISH = 12
 
 Centres = dict[tuple[int, int], np.ndarray]  # (start, parent) -> centres
 
@@ -202,10 +205,13 @@ def _cheapest(centres: Centres, costs: dict) -> dict[int, np.ndarray]:
     return {p: c for p, (_, c) in best.items()}
 
 
-def minibatch(points: DataFrame, centres: Centres, max_iter: int, folders: int = FOLDERS, tol: float = 1e-3) -> Centres:
-    """Steps over one folder of points each.  A centre's rate is the share of
-    this step's points among all it has had; steps end when a whole round of
-    folders moves no centre by more than ``tol`` of the vectors' spread."""
+def minibatch(points: DataFrame, centres: Centres, max_iter: int, batch: int = BATCH, tol: float = 1e-3) -> Centres:
+    """Steps over one folder of points each, two rounds of the folders and at
+    most ``max_iter`` steps, so a large table is not read whole.  A centre's
+    rate is the share of this step's points among all it has had; steps end
+    early when the last few moved no centre by more than ``tol`` of the
+    vectors' spread."""
+    folders = max(1, min(FOLDERS, points.count() // batch))
     spark = points.sparkSession
     path = os.path.join(checkpoint_dir(spark), "civiclens", "batches", uuid.uuid4().hex)
     points.withColumn("folder", F.pmod(F.xxhash64("id", F.lit(97)), F.lit(folders))).write.partitionBy("folder").parquet(path)
@@ -213,7 +219,7 @@ def minibatch(points: DataFrame, centres: Centres, max_iter: int, folders: int =
     had = {key: np.zeros(len(c)) for key, c in centres.items()}
     spread = max(float(np.concatenate(list(centres.values())).std()), 1e-12)
     moved = []
-    for n in range(max_iter):
+    for n in range(min(max_iter, max(4, 2 * folders))):
         found = _gather(stored.filter(F.col("folder") == n % folders).drop("folder"), centres)
         most = 0.0
         for key, (means, counts, _) in found.items():
@@ -223,7 +229,7 @@ def minibatch(points: DataFrame, centres: Centres, max_iter: int, folders: int =
             centres[key] = centres[key] + step
             most = max(most, float(np.abs(step).max(initial=0)))
         moved.append(most)
-        if len(moved) >= 4 and max(moved[-4:]) <= tol * spread * 10:
+        if len(moved) >= 4 and max(moved[-4:]) <= tol * spread:
             break
     return centres
 
@@ -262,7 +268,7 @@ def fit_top(points: DataFrame, k: int = 25, seed: int = 42, max_iter: int = 100,
     centres = minibatch(base, seeds(base, [0], k, seed, restarts), max_iter)
     cost = {key: c.sum() for key, (_, _, c) in _gather(base, centres).items()}
     best = _cheapest(centres, cost)
-    polished, _ = lloyd(base, {(0, 0): best[0]}, min(max_iter, 10))
+    polished, _ = lloyd(base, {(0, 0): best[0]}, min(max_iter, POLISH))
     final = polished[0, 0]
     assigned = _assign(base, {0: final}, id_col).select(id_col, F.col("centre").alias("top_cluster_id"))
     return assigned, spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(final)], schema)

@@ -30,7 +30,9 @@ def full_batch(x, k, rng):
     return best
 
 
-def test_top_level_is_as_cheap_as_full_batch(spark):
+@pytest.mark.parametrize("batch", [50_000, 100])
+def test_top_level_is_as_cheap_as_full_batch(spark, monkeypatch, batch):
+    monkeypatch.setattr(K.minibatch, "__defaults__", (batch, 1e-3))
     df, x, _ = blobs(spark, [120] * 10, noise=1.5)
     assigned, cents = K.fit_top(df, k=8, seed=1)
     c = np.array([r["centroid"] for r in cents.orderBy("cluster_id").collect()])
