@@ -388,11 +388,11 @@ def q_km_fit_nearest(spark, sf_dir):
     apart from the fit)."""
     pts = points(spark, sf_dir).drop("top_cluster_id", "sub_cluster_id")
     assigned, cents = K.fit_top(pts, k=25, seed=42, max_iter=100)
-    every = cents.agg(F.collect_list(F.struct("cluster_id", "centroid")).alias("cents"))  # 25 rows
+    every = cents.select(F.collect_list(F.struct("cluster_id", "centroid"))).scalar()  # 25 centres
     def distance(c):
         return F.aggregate(F.zip_with("embedding", c["centroid"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, d: a + d)
     far = F.transform("cents", lambda c: F.struct(distance(c).alias("d"), c["cluster_id"].alias("cluster_id")))
-    both = pts.join(assigned, "id").join(F.broadcast(every)).withColumn("far", far)
+    both = pts.join(assigned, "id").withColumn("cents", every).withColumn("far", far)
     mine = F.filter("far", lambda c: c["cluster_id"] == F.col("top_cluster_id"))[0]["d"]
     return both.select("id", F.size("cents").alias("centres"), (mine <= F.array_min("far")["d"] + 1e-9).alias("nearest"))
 
