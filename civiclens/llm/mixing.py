@@ -70,19 +70,32 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def _sum_before(value: str, groups: Sequence[str], order: str) -> Column:
+    """Sum of the earlier rows of the group (none: 0)."""
+    earlier = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(earlier), F.lit(0))
+
+
 def finish_times(sized: DataFrame, targets: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     """Every copy with its virtual finish time.  Running sums are taken in
-    slices of the hash order (about WINDOW_ROWS rows each) and then over the
-    slices, so a source that holds most rows is spread over many tasks."""
+    slices of the hash order (about WINDOW_ROWS rows each), over the slices of a
+    block (WINDOW_ROWS slices) and over the blocks, so a source that holds most
+    rows is spread over many tasks and no window sees more rows than that."""
     t = targets.select(F.col("source").alias("t_source"), "rank", "weight", "source_size",
                        F.ceil(F.col("rows") / WINDOW_ROWS).alias("slices"))
     rows = (sized.join(t, _same(F.col("source"), F.col("t_source")))
             .select("rank", "weight", "source_size", "k", "id", "size",
                     F.floor(F.col("k") / F.lit(float(1 << 60)) * F.col("slices")).alias("slice")))
     slices = rows.groupBy("rank", "slice").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("rank").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(F.col("rank").alias("s_rank"), F.col("slice").alias("s_slice"),
-                           F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
+    block = F.floor(F.col("slice") / WINDOW_ROWS)
+    slices = slices.select("*", block.alias("block"))
+    blocks = slices.groupBy("rank", "block").agg(F.sum("words").alias("words"))
+    blocks = blocks.select(F.col("rank").alias("b_rank"), F.col("block").alias("b_block"),
+                           _sum_before("words", ["rank"], "block").alias("b_before"))
+    slices = (slices.select("*", _sum_before("words", ["rank", "block"], "slice").alias("in_block"))
+              .join(blocks, (F.col("rank") == F.col("b_rank")) & (F.col("block") == F.col("b_block")))
+              .select(F.col("rank").alias("s_rank"), F.col("slice").alias("s_slice"),
+                      (F.col("b_before") + F.col("in_block")).alias("before")))
     inside = (Window.partitionBy("rank", "slice").orderBy("k", "id", "size")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     run = rows.select("*", F.sum("size").over(inside).alias("upto"))

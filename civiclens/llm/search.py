@@ -7,9 +7,11 @@ into dense score arrays, one row per query.  A partition select keeps the best
 k of each array, a task keeps a running best over its blocks, and the tasks'
 lists merge by rank.
 
-The queries are a stated set, taken in blocks of at most ``QUERY_BYTES``; each
-block is one pass over the candidates, so neither the driver nor a task ever
-holds more of them, whatever their number.
+The queries are a stated set.  Equal query rows are asked once, and the set is
+written down in blocks of about ``QUERY_BYTES`` by hash.  Each block is one pass
+over the candidates whose lists are merged and written before the next block is
+read, so neither the driver nor a task ever holds more than one block, and the
+plan of the result is one scan, whatever their number.
 
 Components become ``floor(1024 * x)``.  Scores are exact integers: 64-bit when
 the largest possible sum fits, Python integers else (scores past the range of
@@ -31,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from civiclens.llm.common import table_path, written
+
 TOP = 10
 SCALE = 1024
 #: Bytes of the queries of one pass; queries and rows scored at a time.
@@ -38,6 +42,9 @@ QUERY_BYTES = 16 << 20
 QUERY_BLOCK = 256
 ROW_BLOCK = 4096
 
+LISTS = "number long, times long, query_id long, vec_id long, score long"
+FOUND = "query_id long, rank int, vec_id long, score long"
+
 Block = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -104,8 +111,14 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return scores[order], ids[order]
 
 
-def _pass(queries: Block, k: int):
-    """Scores a task's candidates against one block of queries."""
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    """A column of at most one chunk as an array."""
+    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
+
+
+def _pass(queries: Block, times: np.ndarray, k: int):
+    """Scores a task's candidates against one block of queries, each asked
+    ``times`` times."""
     q_ids, term, row, weight = queries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +143,8 @@ def _pass(queries: Block, k: int):
         for n, (s, i) in enumerate(top):
             if len(s):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(s), n)), pa.array(np.full(len(s), q_ids[n])), pa.array(i), pa.array(s)],
-                    names=["number", "query_id", "vec_id", "score"])
+                    [pa.array(np.full(len(s), x)) for x in (n, times[n], q_ids[n])] + [pa.array(i), pa.array(s)],
+                    names=["number", "times", "query_id", "vec_id", "score"])
     return run
 
 
@@ -139,20 +152,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, key: str = "vec_
           vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score for every query row against every
     row of ``vectors``."""
-    asked = usable(queries, key, vector)
+    spark = vectors.sparkSession
     rows = usable(vectors, key, vector)
-    count, size = asked.agg(F.count(F.lit(1)), F.sum(F.size("vec") * 16 + 64)).first()
-    passes = max(1, math.ceil((size or 0) / QUERY_BYTES))
-    lists = None
+    asked = written(usable(queries, key, vector).groupBy("id", "vec").agg(F.count(F.lit(1)).alias("times")))
+    size = asked.agg(F.sum(F.size("vec") * 16 + 64)).first()[0] or 0
+    passes = max(1, math.ceil(size / QUERY_BYTES))
+    path = table_path(spark)
+    ranks = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     for n in range(passes):
-        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == n) if passes > 1 else asked
-        got = part.toArrow().combine_chunks()
-        ids, vecs = (got.column(c).combine_chunks() for c in ("id", "vec"))
-        block = postings(*(x.chunk(0) if isinstance(x, pa.ChunkedArray) and x.num_chunks else x for x in (ids, vecs))
-                         ) if len(ids) else (np.empty(0, np.int64),) * 4
-        found = (rows.mapInArrow(_pass(block, k), "number long, query_id long, vec_id long, score long")
-                 .withColumn("pass", F.lit(n)))
-        lists = found if lists is None else lists.unionByName(found)
-    order = Window.partitionBy("pass", "number").orderBy(F.desc("score"), "vec_id")
-    return (lists.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+        part = asked.filter(F.pmod(F.xxhash64("id", "vec"), F.lit(passes)) == n).toArrow().combine_chunks()
+        ids, vecs, times = (_whole(part.column(c)) for c in ("id", "vec", "times"))
+        lists = rows.mapInArrow(_pass(postings(ids, vecs), times.to_numpy(), k), LISTS)
+        (lists.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= k)
+         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+         .write.mode("append").parquet(path))
+    return spark.read.schema(FOUND).parquet(path)

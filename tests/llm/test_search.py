@@ -43,6 +43,20 @@ def test_many_passes(spark, monkeypatch):
     assert run(spark, rows()) == brute(rows())
 
 
+def test_the_plan_does_not_grow_with_the_passes(spark, monkeypatch):
+    """Passes are written one after another: the result is one scan."""
+    df = spark.createDataFrame(rows(2000, 3) + [(100, [1.0, 2.0, 3.0])] * 40, SCHEMA)
+    monkeypatch.setattr(S, "QUERY_BYTES", 100)
+    held = []
+    postings = S.postings
+    monkeypatch.setattr(S, "postings", lambda ids, vecs: held.append(len(ids)) or postings(ids, vecs))
+    out = S.top_k(df, df.filter("vec_id % 100 = 0"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    assert len(held) > 15 and max(held) < 10 and sum(held) == 21
+    assert out.filter("query_id = 100").count() == 41 * 10
+
+
 def test_ties_go_to_the_smaller_id_and_few_candidates_give_all(spark):
     same = [(i, [1.0, -0.3]) for i in range(300)]
     assert run(spark, same) == brute(same)
