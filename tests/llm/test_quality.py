@@ -40,6 +40,28 @@ def test_cheap_selective_rules_come_first(spark):
     assert first.name in ("too_few_words", "word_length")
 
 
+def test_order_by_rejections_per_cost_is_stable(spark):
+    """The order equals a plain count over the rows, in every call."""
+    rows = [(i, prose(3 + i % 90, i) + (" #$%" * (i % 7))) for i in range(300)] + [(i, "a b c d e " * 9) for i in range(300, 340)]
+    df = docs(spark, rows)
+    names = {r.name: r for r in Q.RULES}
+    rates = {}
+    measured = Q.measure(df, tuple(Q.MEASURES))
+    for position, (name, rule) in enumerate(names.items()):
+        hits = measured.filter(rule.rejects(F.col)).count()
+        chars, n_words = sum(len(t) for _, t in rows), sum(len(t.split()) for _, t in rows)
+        amount = {"row": len(rows), "char": chars, "word": n_words}
+        used = {"too_few_words": ["n_words"], "repeated_words": ["n_repeat_words", "n_words"], "symbols": ["n_symbols", "n_words"],
+                "repeated_lines": ["n_dup_lines", "n_lines"], "word_length": ["word_chars", "n_words"],
+                "capitals": ["n_words", "upper_words"]}[name]
+        cost = sum(Q.UNIT_NS[m][1] * amount[Q.UNIT_NS[m][0]] for m in ["rule", *used])
+        rates[name] = (-hits / cost, position)
+    want = sorted(rates, key=rates.get)
+    for _ in range(10):
+        assert [r.name for r in Q.rank_rules(df, Q.RULES)] == want
+    assert want[0] == "too_few_words"
+
+
 def test_empty_table_extra_and_clashing_columns(spark):
     assert Q.keep_good(empty(spark)).count() == 0
     df = docs(spark, [(None, prose(50)), (1, prose(50, 1)), (1, prose(50, 1)), (2, "x")]).withColumn("kept", F.lit(7)).withColumn("row", F.lit("r")).withColumn("n_words", F.lit(-1))
