@@ -2,24 +2,28 @@
 
 Scoring many vectors against the cluster centroids uses Arrow batches and
 numpy (``mapInPandas``) with the centroid table shipped to the tasks: the
-table is bounded by the number of clusters (k1 + k1*k2, a parameter, checked
-in bytes below), never by the data.  Everything else is DataFrame aggregation.
+table is bounded by the number of clusters (k1 + k1*k2, a parameter), never by
+the data; its bytes are checked below, and a larger one is taken in blocks.  Everything else is DataFrame aggregation.
 """
 
 from __future__ import annotations
 
+import math
+import os
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from civiclens.functions.ranking import rnd
 from civiclens.functions.text import strip
+from civiclens.session import checkpoint_dir
 
-CENTROID_BYTES = 256 << 20  # bound of the centroid table shipped to tasks
+CENTROID_BYTES = 256 << 20  # centroids shipped to tasks at a time; more go in blocks
 
 
 # ---------------------------------------------------------------- text and vectors
@@ -158,19 +162,23 @@ def level1_ids(clusters: DataFrame, limit: int = 25) -> DataFrame:
 
 
 # ---------------------------------------------------------------- similarity
-def _bounded_rows(df: DataFrame, what: str):
-    """Rows of a cluster table, whose size is checked before they are read."""
+def _table_bytes(df: DataFrame) -> int:
     width = F.size("centroid") if "centroid" in df.columns else F.lit(0)
-    size = df.select(F.sum(width.cast("long") * 8 + 32)).first()[0] or 0
-    if size > CENTROID_BYTES:
-        raise ValueError(f"{what}: {size} bytes; at most {CENTROID_BYTES} are shipped to tasks")
-    return df.collect()
+    return df.select(F.sum(width.cast("long") * 8 + 32)).first()[0] or 0
+
+
+def _rows_within_bound(*tables: DataFrame):
+    """Rows of the cluster tables, or None when they exceed ``CENTROID_BYTES``
+    together (their size is checked before any row is read)."""
+    if sum(_table_bytes(t) for t in tables) > CENTROID_BYTES:
+        return None
+    return [t.collect() for t in tables]
 
 
 def _matrix(vectors) -> tuple[np.ndarray, np.ndarray]:
     m = np.asarray([np.asarray(v, dtype=np.float64) for v in vectors], dtype=np.float64)
     if m.ndim == 1:
-        m = m.reshape(len(vectors), -1)
+        m = m.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
     n = np.linalg.norm(m, axis=1) if len(m) else np.zeros(0)
     return m, n
 
@@ -194,11 +202,124 @@ def _queries(pdf: pd.DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray, np.nd
     return ok, q, np.linalg.norm(q, axis=1) if len(q) else np.zeros(0)
 
 
+# Centroid tables beyond the bound: blocks of centroids against all queries.
+def _staged(df: DataFrame) -> DataFrame:
+    """Written once to the shared folder and read back."""
+    spark = df.sparkSession
+    path = _new_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _new_folder(spark) -> str:
+    return os.path.join(checkpoint_dir(spark), "civiclens", "blocks", uuid.uuid4().hex)
+
+
+def _numbered(queries: DataFrame, id_col: str, vec: str) -> DataFrame:
+    """(_row, id, _vec): written down, so that every pass sees the same rows under
+    the same numbers, repeated ids too."""
+    return _staged(queries.select(F.monotonically_increasing_id().alias("_row"), id_col, F.col(vec).alias("_vec")))
+
+
+def _scored(numbered: DataFrame, cents: DataFrame, cid: str, pick: Callable) -> DataFrame:
+    """(_row, cid, _s): what ``pick`` takes of every block of centroids for every
+    query row.
+
+    Blocks hold about ``CENTROID_BYTES``, split by a hash of the vector, so equal
+    centroids are scored by the same product and tie exactly.  A pass is written
+    before the next block is read: the driver holds one block at a time.
+    """
+    spark = numbered.sparkSession
+    cents = _staged(cents.filter(F.col("centroid").isNotNull()))
+    n = max(1, math.ceil(_table_bytes(cents) / CENTROID_BYTES))
+    schema, path = f"_row long, {cid} long, _s double", _new_folder(spark)
+    for i in range(n):
+        block = cents.filter(F.pmod(F.xxhash64("centroid"), F.lit(n)) == i).collect()
+        if block or i == 0:
+            numbered.mapInPandas(_block_pass(sorted(block, key=lambda r: tuple(r)[:-1]), cid, pick),
+                                 schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _block_pass(block, cid: str, pick: Callable):
+    ids = np.asarray([r[cid] for r in block], dtype=np.int64)
+    parents = np.asarray([r["parent_cluster_id"] for r in block]) if block and "parent_cluster_id" in block[0] else None
+    m, mn = _matrix([r["centroid"] for r in block])
+
+    def run(it):
+        for pdf in it:
+            ok, q, qn = _queries(pdf, "_vec")
+            if not len(ids) or not ok.any():
+                continue
+            at = pdf["_row"].to_numpy()[ok]
+            if parents is None:
+                groups = [(slice(None), slice(None))]
+            else:
+                mine = pdf["_parent"].to_numpy()[ok]
+                groups = [(np.nonzero(mine == p)[0], np.nonzero(parents == p)[0])
+                          for p in np.intersect1d(mine, parents)]
+            for rows, cols in groups:
+                s = _cos_batch(q[rows], qn[rows], m[cols], mn[cols])
+                n, j = pick(s)
+                yield pd.DataFrame({"_row": at[rows][n], cid: ids[cols][j], "_s": s[n, j]})
+    return run
+
+
+def _all_of_block(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every query (row) with every centroid (column)."""
+    return np.repeat(np.arange(s.shape[0]), s.shape[1]), np.tile(np.arange(s.shape[1]), s.shape[0])
+
+
+def _first_of_block(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each query's highest centroid, the first of equals."""
+    return np.arange(s.shape[0]), np.argmax(s, axis=1)
+
+
+def _best(numbered: DataFrame, cents: DataFrame, cid: str) -> DataFrame:
+    """(_row, cid, _s): the highest similarity over all blocks, ties to the smaller
+    id; with ``parent_cluster_id`` in ``cents`` only those of the row's ``_parent``."""
+    first = F.max_by(F.struct(cid, "_s"), F.struct("_s", -F.col(cid)))
+    return _scored(numbered, cents, cid, _first_of_block).groupBy("_row").agg(first.alias("b")).select("_row", "b.*")
+
+
+def _assign_blocks(queries: DataFrame, top_cents: DataFrame, sub_cents: DataFrame, sizes: DataFrame,
+                   id_col: str, vec: str, digits: int) -> DataFrame:
+    """``assign`` with centroid tables of any size: best parent of all, best parent
+    with a candidate child, best child of that parent, each over blocks."""
+    pair = ["parent_cluster_id", "cluster_id"]
+    full = sizes.filter(F.col("size") > 0).select(*pair).distinct()
+    tops = top_cents.select("cluster_id", "centroid")
+    parent_ids = tops.select(F.col("cluster_id").alias("parent_cluster_id"))
+    cand = (sub_cents.select(*pair, "centroid").join(full, pair, "left_semi")
+            .join(parent_ids, "parent_cluster_id", "left_semi"))
+    childless = (parent_ids.join(sub_cents, "parent_cluster_id", "left_anti")
+                 .join(full.filter("cluster_id = 0"), "parent_cluster_id", "left_semi").distinct())
+    numbered = _numbered(queries, id_col, vec)
+    ids = numbered.select("_row", id_col)
+    special = (_best(numbered, tops, "cluster_id").withColumnRenamed("cluster_id", "parent_cluster_id")
+               .join(childless, "parent_cluster_id", "left_semi"))
+    special = special.select("_row", "parent_cluster_id", F.lit(0).cast("long").alias("child_cluster_id"),
+                             F.col("_s").alias("ps"), F.lit(0.0).alias("cs"))
+    having = tops.join(cand.select(F.col("parent_cluster_id").alias("cluster_id")), "cluster_id", "left_semi")
+    parent = _best(numbered, having, "cluster_id").select("_row", F.col("cluster_id").alias("_parent"), F.col("_s").alias("ps"))
+    others = _staged(numbered.join(special, "_row", "left_anti").join(parent, "_row"))
+    child = _best(others, cand, "cluster_id").select("_row", F.col("cluster_id").alias("child_cluster_id"), F.col("_s").alias("cs"))
+    found = others.join(child, "_row").select("_row", F.col("_parent").alias("parent_cluster_id"), "child_cluster_id", "ps", "cs")
+    return (special.unionByName(found).join(ids, "_row")
+            .select(id_col, "parent_cluster_id", "child_cluster_id", F.bround("ps", digits).alias("parent_similarity"),
+                    F.bround("cs", digits).alias("child_similarity")))
+
+
 def nearest(queries: DataFrame, cents: DataFrame, id_col: str = "query_id", vec: str = "embedding",
             cid: str = "cluster_id", digits: int = 6) -> DataFrame:
     """Best centroid per query: highest cosine, lowest id on ties (ids are
     scanned ascending and only a strictly greater similarity replaces)."""
-    rows = sorted(_bounded_rows(cents.select(cid, "centroid"), "centroids"), key=lambda r: r[0])
+    within = _rows_within_bound(cents.select(cid, "centroid"))
+    if within is None:
+        numbered = _numbered(queries, id_col, vec)
+        return (numbered.select("_row", id_col).join(_best(numbered, cents.select(cid, "centroid"), cid), "_row", "left")
+                .select(id_col, cid, F.bround("_s", digits).alias("similarity")))
+    rows = sorted(within[0], key=lambda r: r[0])
     ids = np.asarray([r[0] for r in rows])
     m, mn = _matrix([r[1] for r in rows])
 
@@ -222,8 +343,17 @@ def ranked(queries: DataFrame, cents: DataFrame, id_col: str = "query_id", vec:
            cid: str = "cluster_id", exclude: tuple = (), digits: int = 6) -> DataFrame:
     """Every centroid per query by similarity desc (id asc on ties), minus
     ``exclude``; the per-query list is bounded by the number of clusters."""
-    rows = sorted((r for r in _bounded_rows(cents.select(cid, "centroid"), "centroids")
-                   if r[0] not in set(exclude)), key=lambda r: r[0])
+    if exclude:
+        cents = cents.filter(~F.col(cid).isin(*exclude))
+    within = _rows_within_bound(cents.select(cid, "centroid"))
+    if within is None:
+        numbered = _numbered(queries, id_col, vec)
+        order = Window.partitionBy("_row").orderBy(F.desc("_s"), cid)
+        return (_scored(numbered, cents.select(cid, "centroid"), cid, _all_of_block)
+                .withColumn("rank", F.row_number().over(order).cast("long"))
+                .join(numbered.select("_row", id_col), "_row")
+                .select(id_col, cid, F.bround("_s", digits).alias("similarity"), "rank"))
+    rows = sorted(within[0], key=lambda r: r[0])
     ids = np.asarray([r[0] for r in rows])
     m, mn = _matrix([r[1] for r in rows])
 
@@ -256,14 +386,17 @@ def assign(queries: DataFrame, top_cents: DataFrame, sub_cents: DataFrame, sizes
 
     ``top_cents`` (cluster_id, centroid), ``sub_cents`` (parent_cluster_id,
     cluster_id, centroid), ``sizes`` (parent_cluster_id, cluster_id, size):
-    all bounded by the cluster count.
+    all bounded by the cluster count; beyond ``CENTROID_BYTES`` they are taken
+    in blocks (``_assign_blocks``).
     """
-    tops = sorted(_bounded_rows(top_cents.select("cluster_id", "centroid"), "top centroids"),
-                  key=lambda r: r[0])
-    subs = sorted(_bounded_rows(sub_cents.select("parent_cluster_id", "cluster_id", "centroid"),
-                                "sub centroids"), key=lambda r: (r[0], r[1]))
-    nonempty = {(r[0], r[1]) for r in _bounded_rows(
-        sizes.filter(F.col("size") > 0).select("parent_cluster_id", "cluster_id"), "sizes")}
+    within = _rows_within_bound(top_cents.select("cluster_id", "centroid"),
+                                sub_cents.select("parent_cluster_id", "cluster_id", "centroid"),
+                                sizes.filter(F.col("size") > 0).select("parent_cluster_id", "cluster_id"))
+    if within is None:
+        return _assign_blocks(queries, top_cents, sub_cents, sizes, id_col, vec, digits)
+    tops = sorted(within[0], key=lambda r: r[0])
+    subs = sorted(within[1], key=lambda r: (r[0], r[1]))
+    nonempty = {(r[0], r[1]) for r in within[2]}
     t_ids = np.asarray([r[0] for r in tops])
     tm, tn = _matrix([r[1] for r in tops])
     s_par = np.asarray([r[0] for r in subs])

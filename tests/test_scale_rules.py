@@ -34,15 +34,6 @@ def test_clusters_beyond_the_stated_range_keep_their_rows(spark):
     assert sum(r["level"] == 1 for r in got) == 11
 
 
-def test_centroid_tables_are_checked_in_bytes(spark, monkeypatch):
-    cents = spark.createDataFrame([(i, [1.0] * 8) for i in range(10)], "cluster_id int, centroid array<double>")
-    queries = spark.createDataFrame([(1, [1.0] * 8)], "query_id long, embedding array<double>")
-    assert V.nearest(queries, cents).count() == 1
-    monkeypatch.setattr(V, "CENTROID_BYTES", 500)
-    with pytest.raises(ValueError, match="bytes"):
-        V.nearest(queries, cents)
-
-
 def test_seeds_are_as_many_for_large_and_small_parents(spark):
     pts = spark.range(3000).select(F.col("id"), F.when(F.col("id") < 2900, 0).otherwise(1).alias("top_cluster_id"),
                                    F.array(F.col("id").cast("float"), F.lit(0.0).cast("float")).alias("embedding"))
