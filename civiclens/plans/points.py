@@ -9,6 +9,7 @@ from civiclens.functions.binning import CLOSE_EDGES, CLOSE_LABELS, bin_label
 from civiclens.functions.predicates import is_open
 from civiclens.functions.timecalc import floor_days, minus_days, resolve_as_of, year_month
 from civiclens.operators import geo as G
+from civiclens.operators import paging as PG
 from civiclens.operators import points as PT
 from civiclens.operators import priority as P
 from civiclens.operators import rankings as R
@@ -203,6 +204,19 @@ def q_tbl_page(spark, sf_dir):
                    filters={C.SERVICE_TYPE: "Brand#1"})
 
 
+@register("tbl_page_seek", with_requests() + f"""
+SELECT {_K}, service_type FROM requests
+ORDER BY service_type DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey
+LIMIT 100 OFFSET (SELECT count(*) // 200 * 100 FROM requests)""")
+def q_tbl_page_seek(spark, sf_dir):
+    """The page of 100 rows in the middle of all, from a stored order."""
+    r = _req(spark, sf_dir).select(C.REQUEST_ID, *KEYS, C.SERVICE_TYPE)
+    order = [F.desc(C.SERVICE_TYPE), *[F.asc(k) for k in KEYS]]
+    path = PG.new_folder(spark)
+    PG.store_pages(r, order, path)
+    return PG.read_page(spark, path, r.schema, order, PG.total_rows(spark, path) // 200, size=100)
+
+
 @register("tbl_facets", with_requests() + """
 SELECT 'status_type' AS "column", status_type AS value, count(*) AS count FROM requests GROUP BY 2
 UNION ALL SELECT 'first_call_resolution', first_call_resolution, count(*) FROM requests GROUP BY 2

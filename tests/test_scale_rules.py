@@ -37,9 +37,8 @@ def test_clusters_beyond_the_stated_range_keep_their_rows(spark):
 def test_seeds_are_as_many_for_large_and_small_parents(spark):
     pts = spark.range(3000).select(F.col("id"), F.when(F.col("id") < 2900, 0).otherwise(1).alias("top_cluster_id"),
                                    F.array(F.col("id").cast("float"), F.lit(0.0).cast("float")).alias("embedding"))
-    sizes = pts.groupBy("top_cluster_id").agg(F.count(F.lit(1)).alias("_n"))
-    seeds = K._seed_means(pts.join(sizes, "top_cluster_id"), 3, 1, "embedding", "id")
-    assert {p: len(c) for p, c in seeds.items()} == {0: 3, 1: 3}
+    seeds = K.seeds(K._points(pts, "id", "embedding", F.col("top_cluster_id")), [0, 1], 3, 1)
+    assert {key: len(c) for key, c in seeds.items()} == {(s, p): 3 for s in range(K.STARTS) for p in (0, 1)}
 
 
 def test_every_point_lies_with_its_nearest_centroid(spark):
