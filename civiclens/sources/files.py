@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from civiclens.session import checkpoint_dir
+from civiclens.sources import splits
 
 SNAPSHOT_TTL_HOURS = 24
 
@@ -20,22 +21,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "civiclens", name)
 
 
+# Quotes inside values are doubled, as in the source's files.
+_CSV = {"multiLine": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """CSV with a header; an explicit schema avoids the inference pass.  Values
-    may hold line ends, so a file is read by one task; writers make many files."""
-    r = (spark.read.option("header", True).option("multiLine", True)
-         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
-    if schema is not None:
-        return r.schema(schema).csv(path)
-    return r.option("inferSchema", True).csv(path)
+    """CSV with a header.  With a schema one file is read by many tasks, also
+    where values hold line ends (``splits.csv_records``); without one the
+    schema is inferred in a pass of its own, one task per file."""
+    if schema is None:
+        return spark.read.options(header=True, inferSchema=True, **_CSV).csv(path)
+    if isinstance(schema, StructType):
+        schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+    records = splits.csv_records(spark, path).filter("_record > 1")  # the first is the header
+    return records.select(F.from_csv("_text", schema, _CSV).alias("_row")).select("_row.*")
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """Product sink.  ``single_file`` (one CSV for a small product) coalesces
     to one partition; never use it for row-level tables."""
     out = df.coalesce(1) if single_file else df
-    (out.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False)
-     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    out.write.mode("overwrite").options(header=True, **_CSV).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -78,19 +84,21 @@ def cached_snapshot(spark: SparkSession, build, root: str, ttl_hours: int = SNAP
 
 
 def read_geojson(spark: SparkSession, path: str, line_delimited: bool = False) -> DataFrame:
-    """Features as rows: ``feature_idx``, ``properties`` (map<string,string>)
-    and ``geometry`` (JSON text).  A FeatureCollection document is read with
-    ``multiLine``; line-delimited GeoJSON (one Feature per line, what
-    ``write_geojson`` produces) is read in parallel splits."""
+    """Features as rows: ``feature_idx``, ``properties`` (map<string,string>,
+    without nulls) and ``geometry`` (JSON text).  A FeatureCollection document
+    is cut into its features by many tasks (``splits.json_features``);
+    line-delimited GeoJSON (one Feature per line, what ``write_geojson``
+    produces) is read in Spark's own splits."""
     if line_delimited:
         raw = spark.read.json(path)
         feats = raw.select(F.monotonically_increasing_id().alias("_mid"), F.struct(*raw.columns).alias("f"))
         feats = feats.select(F.col("f.feature_idx").alias("feature_idx") if "feature_idx" in raw.columns
                              else F.col("_mid").alias("feature_idx"), "f")
-    else:
-        raw = spark.read.option("multiLine", True).json(path)
-        feats = raw.select(F.posexplode("features").alias("feature_idx", "f"))
-    return feats.select(
-        F.col("feature_idx").cast("long").alias("feature_idx"),
-        F.from_json(F.to_json("f.properties"), "map<string,string>").alias("properties"),
-        F.to_json("f.geometry").alias("geometry"))
+        return feats.select(
+            F.col("feature_idx").cast("long").alias("feature_idx"),
+            F.from_json(F.to_json("f.properties"), "map<string,string>").alias("properties"),
+            F.to_json("f.geometry").alias("geometry"))
+    parsed = F.from_json("_text", "type string, properties map<string,string>, geometry string")
+    feats = splits.json_features(spark, path).select("feature_idx", parsed.alias("f")).filter("f.type = 'Feature'")
+    return feats.select("feature_idx", F.map_filter("f.properties", lambda _, v: v.isNotNull()).alias("properties"),
+                        F.col("f.geometry").alias("geometry"))
