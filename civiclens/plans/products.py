@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from civiclens.operators import products as PR
 from civiclens.operators import vectors as V
 from civiclens.plans.oracle import with_requests
-from civiclens.plans import analytics, rankings  # noqa: F401 - their oracles of the products
+from civiclens.plans import analytics, labels, rankings, vectors  # noqa: F401 - their oracles of the products
 from civiclens.plans.registry import ORACLES, register
 from civiclens.session import configure
 from civiclens.sources.requests import fact_requests
@@ -93,7 +93,15 @@ def q_sum_all(spark, sf_dir):
     return out
 
 
-@register("jn_cluster_labels")
+@register("jn_cluster_labels", f"""
+SELECT a.*, nullif(trim(p.label), '') AS parent_label, nullif(trim(c.label), '') AS child_label,
+       coalesce(s.size, 0) AS record_count
+FROM ({ORACLES['sim_assign']}) a
+LEFT JOIN ({ORACLES['lbl_table']}) p ON p.level = 1 AND p.cluster_id = a.parent_cluster_id
+LEFT JOIN ({ORACLES['lbl_table']}) c ON c.level = 2 AND c.cluster_id = a.child_cluster_id
+ AND c.parent_cluster_id = a.parent_cluster_id
+LEFT JOIN (SELECT label AS top, vec_id % 3 AS sub, count(*) AS size FROM embeddings GROUP BY 1, 2) s
+ ON s.top = a.parent_cluster_id AND s.sub = a.child_cluster_id""")
 def q_cluster_labels(spark, sf_dir):
     """Assigned (parent, child) pairs with their labels and record counts."""
     from civiclens.operators import labels as L
@@ -120,18 +128,19 @@ def q_cat_many(spark, sf_dir):
 @register("sim_assign_text")
 def q_assign_text(spark, sf_dir):
     """The prediction path for a batch of texts: every conversation turn is
-    encoded (default hashing encoder, 64 dims to match the stored vectors),
-    assigned to a parent and child cluster with the non-empty fallback, and
-    given the cluster labels and record count."""
+    encoded, assigned to a parent and child cluster with the non-empty
+    fallback, and given the cluster labels and record count.  The clusters'
+    centroids are means of their members' texts by the same encoder."""
     from civiclens.operators import labels as L
     from civiclens.plans.labels import cluster_rows, members_base
-    from civiclens.plans.vectors import pair_sizes, points, sub_centroids, top_centroids
+    from civiclens.plans.vectors import pair_sizes, sub_centroids, top_centroids
     from civiclens.sources.tables import read_table
     conv = read_table(spark, sf_dir, "conversations")
     q = V.hashing_encoder(conv.select((F.col("conv_id") * F.lit(1 << 32) + F.col("turn")).alias("query_id"), "text"),
-                          "text", dim=64)
-    pts = points(spark, sf_dir)
+                          "text", dim=384)
+    members = members_base(spark, sf_dir)
+    pts = V.hashing_encoder(members.select("id", "top_cluster_id", "sub_cluster_id", "description"), "description", dim=384)
     a = V.assign(q, top_centroids(pts), sub_centroids(pts), pair_sizes(pts))
-    lt = L.label_table(cluster_rows(spark, sf_dir), L.memberships(members_base(spark, sf_dir)))
+    lt = L.label_table(cluster_rows(spark, sf_dir), L.memberships(members))
     return V.low_confidence(V.with_labels(a, lt.select("level", "parent_cluster_id", "cluster_id", "label"),
                                           pair_sizes(pts)))

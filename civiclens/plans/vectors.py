@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from civiclens.functions.vectors import cosine, parse_vector
 from civiclens.operators import clusters as K
+from civiclens.operators import layout as N
 from civiclens.operators import sampling as S
 from civiclens.operators import vectors as V
 from civiclens.operators.labels import CLUSTER_KEYS
@@ -408,3 +409,26 @@ def q_km_hier(spark, sf_dir):
 def q_prj_2d(spark, sf_dir):
     pts = points(spark, sf_dir)
     return K.project(S.every_nth(pts, "id", 6), k=2)
+
+
+@register("prj_neighbours", """
+SELECT vec_id AS id, least(15, count(*) OVER () - 1) AS neighbours, true AS others, true AS distances
+FROM embeddings WHERE vec_id % 6 = 0""")
+def q_prj_neighbours(spark, sf_dir):
+    """The neighbour graph of the sampled points, one row for each: 15
+    neighbours, all different and none itself, at distances computed apart."""
+    pts = S.every_nth(points(spark, sf_dir), "id", 6)
+    edges = N.neighbours(pts)
+    vecs = pts.select("id", "embedding")
+    both = edges.join(vecs, "id").join(vecs.select(F.col("id").alias("other"), F.col("embedding").alias("theirs")), "other")
+    right = F.abs(1 - cosine("embedding", "theirs") - F.col("d")) < 1e-5
+    return both.groupBy("id").agg(
+        F.count(F.lit(1)).alias("neighbours"),
+        ((F.count_distinct("other") == F.count(F.lit(1))) & F.every(F.col("id") != F.col("other"))).alias("others"),
+        F.every(right).alias("distances"))
+
+
+@register("prj_layout")
+def q_prj_layout(spark, sf_dir):
+    """The 2-D layout of the sampled points that keeps their neighbour graph."""
+    return N.layout(S.every_nth(points(spark, sf_dir), "id", 6))

@@ -6,7 +6,7 @@ from civiclens.plans import registry
 from tests.oracle_tools import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"km_fit", "km_hierarchical", "prj_2d"}
+SLOW = {"km_fit", "km_hierarchical", "prj_2d", "prj_layout"}
 
 
 def _names():
@@ -21,7 +21,7 @@ def con():
 @pytest.mark.parametrize("name", _names())
 def test_query_matches_oracle(spark, con, name):
     if name in SLOW:
-        pytest.skip("iterative; see test_scale_rules and test_clusters")
+        pytest.skip("iterative; see test_scale_rules, test_clusters and test_layout")
     ok, msg = compare(spark, name, registry.queries()[name], registry.oracle_sql().get(name), SF, con)
     assert ok, msg
 
