@@ -3,10 +3,12 @@ predicate, and profiles (row/column counts plus first or last rows)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civiclens.operators import backlog as B
@@ -46,7 +48,7 @@ CATALOG: dict[str, Product] = {p.product_id: p for p in (
             metrics=("volume", "unresolved", "slow_p90"), order=("electoral_district",)),
     Product("priority_quadrant", "Volume vs time-to-close quadrant",
             lambda df: P.categorize(P.priority(df)), metrics=("request_count",), order=("group",)),
-    Product("seasonality_heatmap", "Average requests per calendar month", FQ.seasonality,
+    Product("seasonality_heatmap", "Average requests per calendar month", FQ.seasonality, time_series=True,
             order=("service_category",)),
     Product("time_to_close", "Time-to-close histogram with percentiles", CL.close_product,
             order=("service_level_1", "time_bin")),
@@ -94,3 +96,56 @@ def profile(df: DataFrame, order, max_rows: int = 20, from_end: bool = False) ->
     total = df.select(F.count(F.lit(1))).scalar()   # scalar subquery, no collect
     return rows.select(F.lit(len(cols)).alias("column_count"), F.lit(", ".join(cols)).alias("columns"),
                        total.alias("row_count"), "row_json")
+
+
+#: One row per product; ``rows`` holds at most ``max_rows`` rows as JSON text.
+PROFILE = ("status string, description string, predicate string, use_cases array<string>, metrics array<string>, "
+           "row_count long, columns array<string>, rows array<string>, product_id string")
+
+
+def write_profiles(reqs: DataFrame, root: str, ids: Iterable[str] | None = None, max_rows: int = 50) -> None:
+    """Profiles of the named products (default: all) in the table ``root``,
+    by product: counts, column names, and the first rows, or the last of a time
+    series.  Only the named products' rows are replaced.
+
+    A product is computed and written once, and its slices are read from it.
+    One that fails keeps its place with the error as its status.
+    """
+    spark, built, rows = reqs.sparkSession, {}, []
+    for pid in ids if ids is not None else CATALOG:
+        p = CATALOG[pid]
+        try:
+            if p.build not in built:
+                path = f"{root}_products/{pid}-{uuid.uuid4().hex}"
+                p.build(reqs).write.parquet(path)
+                built[p.build] = spark.read.parquet(path)
+            df = built[p.build]
+            rows.append(_profile_row(df.filter(p.predicate) if p.predicate else df, p, max_rows))
+        except PySparkException as e:
+            failed = (f"failed: {type(e).__name__}", p.description, p.predicate, list(p.use_cases), list(p.metrics),
+                      None, None, None, pid)
+            rows.append(spark.createDataFrame([failed], PROFILE))
+    if not rows:
+        return
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    (out.repartition("product_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("product_id").parquet(root))
+
+
+def read_profiles(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(PROFILE).parquet(root)
+
+
+def _profile_row(df: DataFrame, p: Product, max_rows: int) -> DataFrame:
+    order = [F.desc(c) if p.time_series else F.asc(c) for c in p.order]
+    few = df.orderBy(*order).limit(max_rows)
+    few = few.select(F.row_number().over(Window.orderBy(*order)).alias("place"),  # max_rows rows
+                     F.to_json(F.struct(*df.columns)).alias("json"))
+    listed = few.select(F.array_sort(F.collect_list(F.struct("place", "json")))["json"]).scalar()
+    texts = [F.array(*map(F.lit, v)).cast("array<string>") for v in (p.use_cases, p.metrics, df.columns)]
+    return df.agg(F.count(F.lit(1)).alias("row_count")).select(
+        F.lit("ok").alias("status"), F.lit(p.description).alias("description"),
+        F.lit(p.predicate).cast("string").alias("predicate"), texts[0].alias("use_cases"), texts[1].alias("metrics"),
+        "row_count", texts[2].alias("columns"), listed.alias("rows"), F.lit(p.product_id).alias("product_id"))

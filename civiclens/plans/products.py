@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from civiclens.operators import products as PR
@@ -10,6 +12,7 @@ from civiclens.plans.oracle import with_requests
 from civiclens.plans import analytics, labels, rankings, vectors  # noqa: F401 - their oracles of the products
 from civiclens.plans.registry import ORACLES, register
 from civiclens.session import configure
+from civiclens.sources import files
 from civiclens.sources.requests import fact_requests
 
 
@@ -69,28 +72,36 @@ def _rows_sql(pid):
     f"SELECT '{p}' AS product_id, 'ok' AS status, {_rows_sql(p)} AS rows, {_PRODUCT_SQL.get(p, (0, 9))[1]} AS columns"
     for p in [*_PRODUCT_SQL, *_SLICES]))
 def q_sum_all(spark, sf_dir):
-    """Every catalogued product profiled over the request table: a
-    table of (product, status, rows, columns); a product whose plan fails
-    to build is reported as failed instead of stopping the run."""
+    """Every catalogued product profiled over the request table and the
+    profiles kept as a table: (product, status, rows, columns); a product that
+    fails is reported as failed instead of stopping the run."""
+    configure(spark)
+    return _profiles(spark, sf_dir).select("product_id", "status", F.col("row_count").alias("rows"),
+                                           F.size("columns").alias("columns"))
+
+
+def _profiles(spark, sf_dir):
+    root = files.scratch_path(spark, f"profiles/{uuid.uuid4().hex}")
+    PR.write_profiles(fact_requests(spark, sf_dir), root)
+    return PR.read_profiles(spark, root)
+
+
+@register("sum_rows", " UNION ALL ".join(f"""
+SELECT '{p}' AS product_id, CAST(row_number() OVER (ORDER BY {key} {way} NULLS {nulls}) AS INTEGER) AS place, {key} AS shown
+FROM ({ORACLES[sql]}) QUALIFY place <= 50""" for p, sql, key, way, nulls in (
+    ("frequency_over_time", "agg_frequency_pivot", '"Time"', "DESC", "LAST"),
+    ("seasonality_heatmap", "agg_seasonality", "service_category", "DESC", "LAST"),
+    ("fcr_by_category", "agg_fcr", "category", "ASC", "FIRST"),
+    ("geographic_hot_spots", "agg_geo_metrics", "electoral_district", "ASC", "FIRST"))))
+def q_sum_rows(spark, sf_dir):
+    """The rows that the kept profiles of four products show, in their order."""
     configure(spark)
-    reqs = fact_requests(spark, sf_dir)
-    frames, failed = [], []
-    for pid in PR.CATALOG:
-        try:
-            df = PR.load(spark, sf_dir, pid, reqs)
-            frames.append(df.agg(F.count(F.lit(1)).alias("rows")).select(
-                F.lit(pid).alias("product_id"), F.lit("ok").alias("status"), "rows",
-                F.lit(len(df.columns)).alias("columns")))
-        except Exception as e:  # noqa: BLE001 - reported as a row
-            failed.append((pid, f"failed: {type(e).__name__}"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    if failed:
-        out = out.unionByName(spark.createDataFrame(
-            [(p, st, None, None) for p, st in failed],
-            "product_id string, status string, rows long, columns int"))
-    return out
+    keys = {"frequency_over_time": "Time", "seasonality_heatmap": "service_category", "fcr_by_category": "category",
+            "geographic_hot_spots": "electoral_district"}
+    rows = _profiles(spark, sf_dir).filter(F.col("product_id").isin(*keys)).select(
+        "product_id", F.posexplode("rows").alias("place", "row"))
+    shown = F.coalesce(*[F.when(F.col("product_id") == p, F.get_json_object("row", f"$.{k}")) for p, k in keys.items()])
+    return rows.select("product_id", (F.col("place") + 1).alias("place"), shown.alias("shown"))
 
 
 @register("jn_cluster_labels", f"""
