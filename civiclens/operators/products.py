@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
@@ -98,6 +99,8 @@ def profile(df: DataFrame, order, max_rows: int = 20, from_end: bool = False) ->
                        total.alias("row_count"), "row_json")
 
 
+#: Products whose jobs run side by side.
+AT_ONCE = 4
 #: One row per product; ``rows`` holds at most ``max_rows`` rows as JSON text.
 PROFILE = ("status string, description string, predicate string, use_cases array<string>, metrics array<string>, "
            "row_count long, columns array<string>, rows array<string>, product_id string")
@@ -108,23 +111,34 @@ def write_profiles(reqs: DataFrame, root: str, ids: Iterable[str] | None = None,
     by product: counts, column names, and the first rows, or the last of a time
     series.  Only the named products' rows are replaced.
 
-    A product is computed and written once, and its slices are read from it.
-    One that fails keeps its place with the error as its status.
+    A product is computed and written once, and its slices are read from it;
+    ``AT_ONCE`` products are under way together.  One that fails keeps its
+    place with the error as its status.
     """
-    spark, built, rows = reqs.sparkSession, {}, []
-    for pid in ids if ids is not None else CATALOG:
-        p = CATALOG[pid]
+    spark = reqs.sparkSession
+    ids = list(CATALOG if ids is None else ids)
+    builds = {CATALOG[pid].build: pid for pid in reversed(ids)}
+
+    def written(build):
+        path = f"{root}_products/{builds[build]}-{uuid.uuid4().hex}"
         try:
-            if p.build not in built:
-                path = f"{root}_products/{pid}-{uuid.uuid4().hex}"
-                p.build(reqs).write.parquet(path)
-                built[p.build] = spark.read.parquet(path)
-            df = built[p.build]
-            rows.append(_profile_row(df.filter(p.predicate) if p.predicate else df, p, max_rows))
+            build(reqs).write.parquet(path)
+            return spark.read.parquet(path)
         except PySparkException as e:
-            failed = (f"failed: {type(e).__name__}", p.description, p.predicate, list(p.use_cases), list(p.metrics),
+            return e
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        built = dict(zip(builds, pool.map(written, builds), strict=True))
+    rows = []
+    for pid in ids:
+        p = CATALOG[pid]
+        df = built[p.build]
+        if isinstance(df, PySparkException):
+            failed = (f"failed: {type(df).__name__}", p.description, p.predicate, list(p.use_cases), list(p.metrics),
                       None, None, None, pid)
             rows.append(spark.createDataFrame([failed], PROFILE))
+        else:
+            rows.append(_profile_row(df.filter(p.predicate) if p.predicate else df, p, max_rows))
     if not rows:
         return
     out = rows[0]
