@@ -82,3 +82,23 @@ def test_repeated_doc_ids_neither_displace_rows_nor_multiply(spark, monkeypatch)
     marks = {X.bucket(str(i)) for i in clean}
     seen = set().union(*({b for b in t.tolist()} for t, k in zip(texts, y, strict=True) if not k)) & marks
     assert len(seen) >= len(clean) - held  # a fifth calibrates
+
+
+def test_every_labelled_row_counts_beyond_the_first_sample(spark, rows, monkeypatch):
+    monkeypatch.setattr(X, "MAX_NEGATIVE", 30)
+    monkeypatch.setattr(X, "MAX_POSITIVE", 30)
+    monkeypatch.setattr(X, "SHARD_ROWS", 100)
+    seen = {}
+    calibrate = X._calibrate
+    monkeypatch.setattr(X, "_calibrate", lambda r, *rest: seen.update(held=r.count()) or calibrate(r, *rest))
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, toxic int")
+    texts = docs(spark, [r[:4] for r in rows])
+    model = X.train(texts, labels)
+    assert 120 < seen["held"] < 240  # about a fifth of 900 rows, not of 60
+    words = [set(X.buckets(r[1]).tolist()) for r in rows]
+    often = {b for b in set().union(*words) if sum(b in w for w in words) > 100}
+    assert often <= set(model.rows.tolist())
+    again = X.train(texts, labels)
+    assert (again.emb == model.emb).all() and again.thresholds == model.thresholds
+    out = {r["doc_id"]: r["score"] >= X.DECISION for r in X.score(texts, model).collect()}
+    assert np.mean([out[r[0]] == bool(r[4]) for r in rows]) > 0.97
