@@ -68,3 +68,19 @@ def test_fact_table_written_once_and_equal_to_derivation(spark):
     derived = requests(spark, SF)
     assert a.columns == derived.columns
     assert a.exceptAll(derived).count() == 0 and derived.exceptAll(a).count() == 0
+
+
+def test_fact_rows_are_shuffled_before_their_texts_are_made(spark, monkeypatch, tmp_path):
+    """The derived texts are made after the shuffle by month, of the same rows."""
+    from civiclens.functions import columns as C
+    from civiclens.sources import requests as R
+    given = []
+    write = R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, *rest: given.append(df) or write(df, *rest))
+    monkeypatch.setattr(R, "fact_path", lambda *_: str(tmp_path / "fact"))
+    stored = R.fact_requests(spark, SF)
+    (df,) = given
+    assert not {C.REQUEST_ID, C.SERVICE_TYPE, C.NEIGHBOURHOOD, C.STATUS, C.FCR} & set(df.columns)
+    derived = R.requests(spark, SF)
+    assert stored.columns == derived.columns
+    assert stored.exceptAll(derived).isEmpty() and derived.exceptAll(stored).isEmpty()
