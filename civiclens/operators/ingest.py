@@ -144,14 +144,16 @@ def dedupe_first(df: DataFrame, key: str, order: Sequence[str],
 
     ``min_by`` over a struct is a declarative aggregate, so each map task
     keeps one row per key before the shuffle: a key holding a large share of
-    the rows costs one row per task, not one giant group.  The anti join
-    against ``existing`` only needs its key column.
+    the rows costs one row per task, not one giant group.  The key is not moved
+    a second time inside the row.  The anti join against ``existing`` only
+    needs its key column.
     """
-    cols = [c for c in df.columns]
-    first = (df.groupBy(key)
-               .agg(F.min_by(F.struct(*[F.col(c) for c in cols]),
-                             F.struct(*[F.col(c) for c in order])).alias("_r"))
-               .select("_r.*"))
+    place = F.struct(*[F.col(c) for c in order])
+    rest = [c for c in df.columns if c != key and c not in order]
+    row = F.struct(*[F.col(c) for c in rest]) if rest else F.lit(True)
+    first = (df.groupBy(key).agg(F.min(place).alias("_at"), F.min_by(row, place).alias("_r"))
+               .select(*[key if c == key else F.col(f"_at.{c}") if c in order else F.col(f"_r.{c}")
+                         for c in df.columns]))
     if existing is not None:
         first = first.join(existing.select(key).distinct(), key, "left_anti")
     return first

@@ -43,7 +43,7 @@ def as_ts(df, cols=("created_at", "resolved_at")):
     return df
 
 
-STAGE_VERSION = 2  # bump when the raw rendering or the cleaning changes
+STAGE_VERSION = 3  # bump when the raw rendering or the cleaning changes
 _STAGE_LOCK = threading.RLock()  # re-entrant: "loaded" builds on "raw"
 
 
@@ -59,7 +59,7 @@ def _once(spark, sf_dir, name, build):
     path = _stage_path(spark, sf_dir, name)
     with _STAGE_LOCK:
         if not path_exists(spark, os.path.join(path, "_SUCCESS")):
-            build().write.mode("overwrite").parquet(path)
+            build().write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -84,3 +84,37 @@ def test_fact_rows_are_shuffled_before_their_texts_are_made(spark, monkeypatch,
     derived = R.requests(spark, SF)
     assert stored.columns == derived.columns
     assert stored.exceptAll(derived).isEmpty() and derived.exceptAll(stored).isEmpty()
+
+
+def test_fact_rows_move_one_number_for_line_status_and_flag(spark, tmp_path):
+    """Line numbers (null and negative too), status and flags come back from one
+    number, and a line's ship date is dropped before the join unless it counts."""
+    from itertools import product
+    from civiclens.sources import requests as R
+    flags, states, numbers = ["A", "R", "N", "X", None], ["F", "O", "P", "Y", None], [-3, 0, 7, 2 ** 31 - 1, None]
+    lines = [(i, n, f) for i, _ in enumerate(states) for n, f in product(numbers, flags)]
+    for name, rows, schema in (
+            ("lineitem", [(o, 1, 2, n, f, "F" if o % 2 else "O", "1995-01-02") for o, n, f in lines],
+             "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, "
+             "l_linestatus string, ship string"),
+            ("orders", [(i, 5, s, "1994-01-02") for i, s in enumerate(states)],
+             "o_orderkey long, o_custkey long, o_orderstatus string, day string"),
+            ("part", [(1, "SMALL", "Brand#1")], "p_partkey long, p_type string, p_brand string"),
+            ("customer", [(5, 3, "BUILDING")], "c_custkey long, c_nationkey int, c_mktsegment string"),
+            ("nation", [(3, "NATION_3")], "n_nationkey int, n_name string")):
+        df = spark.createDataFrame(rows, schema)
+        for text, date in (("ship", "l_shipdate"), ("day", "o_orderdate")):
+            if text in df.columns:
+                df = df.withColumn(date, df[text].cast("timestamp_ntz")).drop(text)
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    moved = R.joined(spark, str(tmp_path))
+    assert not {"l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate", "o_orderstatus"} & set(moved.columns)
+    got = sorted(repr((r.l_orderkey, r.l_linenumber, r.status_type, r.first_call_resolution, r.date_closed is None))
+                 for r in R.requests(spark, str(tmp_path)).collect())
+
+    def status(state, flag):
+        if state == "P":
+            return "In Progress" if flag not in ("N", None) else None
+        return {"F": "Solved", "O": "Unresolved"}.get(state)
+    assert got == sorted(repr((o, n, status(states[o], f), {"A": "Yes", "R": "No"}.get(f), o % 2 == 0))
+                         for o, n, f in lines)

@@ -57,6 +57,16 @@ def test_dedupe_first_wins(spark, rows):
     assert got == dict(zip(exp["k"], exp["o"]))
 
 
+def test_dedupe_moves_the_key_once_and_keeps_the_columns_order(spark):
+    rows = [("a", 2, None, "x"), ("a", 1, None, None), (None, 4, 1, "z"), (None, 3, 2, "y"), ("b", None, 5, "w"), ("b", 0, 6, "v")]
+    df = spark.createDataFrame(rows, "k string, o int, n int, payload string").select("payload", "o", "k", "n")
+    first = I.dedupe_first(df, "k", ["o"])
+    assert first.columns == df.columns
+    assert sorted(first.collect(), key=repr) == sorted([(None, 1, "a", None), ("y", 3, None, 2), ("w", None, "b", 5)], key=repr)
+    assert "AS k" not in first._jdf.queryExecution().optimizedPlan().toString()
+    assert "k, k#" not in first._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_share_cut_with_a_hot_date_is_exact_and_balanced(spark):
     from civiclens.session import checkpoint_dir
     checkpoint_dir(spark)
