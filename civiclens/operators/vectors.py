@@ -169,7 +169,9 @@ def _table_bytes(df: DataFrame) -> int:
 
 def _rows_within_bound(*tables: DataFrame):
     """Rows of the cluster tables, or None when they exceed ``CENTROID_BYTES``
-    together (their size is checked before any row is read)."""
+    together (their size is checked before any row is read).  Each is computed
+    once, for its size and its rows."""
+    tables = [staged(t) for t in tables]
     if sum(_table_bytes(t) for t in tables) > CENTROID_BYTES:
         return None
     return [t.collect() for t in tables]
@@ -203,11 +205,11 @@ def _queries(pdf: pd.DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 # Centroid tables beyond the bound: blocks of centroids against all queries.
-def _staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame) -> DataFrame:
     """Written once to the shared folder and read back."""
     spark = df.sparkSession
     path = _new_folder(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -218,7 +220,7 @@ def _new_folder(spark) -> str:
 def _numbered(queries: DataFrame, id_col: str, vec: str) -> DataFrame:
     """(_row, id, _vec): written down, so that every pass sees the same rows under
     the same numbers, repeated ids too."""
-    return _staged(queries.select(F.monotonically_increasing_id().alias("_row"), id_col, F.col(vec).alias("_vec")))
+    return staged(queries.select(F.monotonically_increasing_id().alias("_row"), id_col, F.col(vec).alias("_vec")))
 
 
 def _scored(numbered: DataFrame, cents: DataFrame, cid: str, pick: Callable) -> DataFrame:
@@ -230,7 +232,7 @@ def _scored(numbered: DataFrame, cents: DataFrame, cid: str, pick: Callable) ->
     before the next block is read: the driver holds one block at a time.
     """
     spark = numbered.sparkSession
-    cents = _staged(cents.filter(F.col("centroid").isNotNull()))
+    cents = staged(cents.filter(F.col("centroid").isNotNull()))
     n = max(1, math.ceil(_table_bytes(cents) / CENTROID_BYTES))
     schema, path = f"_row long, {cid} long, _s double", _new_folder(spark)
     for i in range(n):
@@ -302,7 +304,7 @@ def _assign_blocks(queries: DataFrame, top_cents: DataFrame, sub_cents: DataFram
                              F.col("_s").alias("ps"), F.lit(0.0).alias("cs"))
     having = tops.join(cand.select(F.col("parent_cluster_id").alias("cluster_id")), "cluster_id", "left_semi")
     parent = _best(numbered, having, "cluster_id").select("_row", F.col("cluster_id").alias("_parent"), F.col("_s").alias("ps"))
-    others = _staged(numbered.join(special, "_row", "left_anti").join(parent, "_row"))
+    others = staged(numbered.join(special, "_row", "left_anti").join(parent, "_row"))
     child = _best(others, cand, "cluster_id").select("_row", F.col("cluster_id").alias("child_cluster_id"), F.col("_s").alias("cs"))
     found = others.join(child, "_row").select("_row", F.col("_parent").alias("parent_cluster_id"), "child_cluster_id", "ps", "cs")
     return (special.unionByName(found).join(ids, "_row")

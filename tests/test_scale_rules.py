@@ -166,3 +166,18 @@ def test_geojson_metrics_are_numbers(spark):
     got = {r["feature_idx"]: json.loads(r["value"]) for r in G.features_to_json(extra).collect()}
     assert got[0]["properties"] == {"Electoral District": "A", "volume": 5, "unresolved": 2, "slow_p90": 1.5}
     assert got[1]["properties"] == {"x": "1"} and got[2]["properties"] == {"volume": 5, "unresolved": 2, "slow_p90": 1.5}
+
+
+def test_texts_of_members_are_joined_once(spark, monkeypatch):
+    """The text assignment joins members to their texts once and computes each
+    centroid table once: both are written, and what follows reads them."""
+    from civiclens.operators import vectors as V
+    from civiclens.plans import products
+    written, staged = [], V.staged
+    monkeypatch.setattr(V, "staged", lambda df: written.append(df.columns) or staged(df))
+    got = products.q_assign_text(spark, SF)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents.parquet" not in "".join(got.inputFiles()) and "lang#" not in plan
+    assert [c for c in written if "description" in c] == [["id", "top_cluster_id", "sub_cluster_id", "service_type", "description"]]
+    assert sum("centroid" in c for c in written) == 2
+    assert got.count() > 0
