@@ -94,3 +94,34 @@ def test_the_24_most_frequent_words_have_classes_of_their_own(spark):
     df = docs(spark, [(i, " ".join(f"w{k}" for k in range(40 - i))) for i in range(40)]).select("doc_id", "text")
     model = lm.start_model(lm.count_words(df.select("text")))
     assert model.classes[:24].tolist() == list(range(24)) and model.classes[24:].min() == 24
+
+
+def test_runs_are_summed_number_for_number_as_by_reduceat():
+    rng = np.random.default_rng(5)
+    for n, kinds in ((1, 1), (7, 1), (8, 1), (9, 1), (400, 3), (900, 200), (3000, 2000), (500, 10 ** 6)):
+        rows = (rng.normal(size=(n, lm.CLASSES)) * 10.0 ** rng.integers(-6, 6, (n, 1))).astype(np.float32)
+        keys = rng.integers(0, kinds, n).astype(np.uint32)
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        assert (lm.sum_runs(rows, order, first) == np.add.reduceat(rows[order], first, axis=0)).all()
+
+
+def test_a_step_sums_short_runs_without_a_loop_per_column(monkeypatch):
+    """Only runs of more than 8 rows go through ``reduceat``."""
+    runs = []
+    whole = np.add.reduceat
+
+    class Add:
+        @staticmethod
+        def reduceat(a, at, axis=0):
+            runs.extend(np.diff(at, append=len(a)))
+            return whole(a, at, axis=axis)
+    rng = np.random.default_rng(6)
+    buckets = np.minimum(rng.zipf(1.5, (lm.TEMPLATES, 2000)), lm.BUCKETS - 1).astype(np.uint16)
+    m = lm.Model()
+    shape = m.weights.shape[:2]
+    monkeypatch.setattr(lm.np, "add", Add)
+    lm.step(m.weights.copy(), m.bias.copy(), np.zeros(shape, np.int64), np.zeros(shape, np.float32), np.zeros_like(m.bias),
+            m, rng.integers(0, lm.CLASSES, 2000).astype(np.int32), buckets)
+    assert runs and min(runs) > 8
