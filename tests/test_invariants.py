@@ -118,3 +118,31 @@ def test_fact_rows_move_one_number_for_line_status_and_flag(spark, tmp_path):
         return {"F": "Solved", "O": "Unresolved"}.get(state)
     assert got == sorted(repr((o, n, status(states[o], f), {"A": "Yes", "R": "No"}.get(f), o % 2 == 0))
                          for o, n, f in lines)
+
+
+def test_nations_are_looked_up_after_the_shuffle(spark, tmp_path):
+    """The shuffled rows hold a nation's number with the status (numbers may be
+    negative or null), not its name, and no segment that is not shown."""
+    from civiclens.sources import requests as R
+    nations, segments = [-3, 0, 24, 99, None], ["BUILDING", "AUTO", None]
+    custs = [(i * 3 + j, n, s) for i, n in enumerate(nations) for j, s in enumerate(segments)]
+    for name, rows, schema in (
+            ("lineitem", [(c, 1, 2, 1, "A", "F") for c, _, _ in custs],
+             "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string"),
+            ("orders", [(c, c, "FOP"[c % 3]) for c, _, _ in custs], "o_orderkey long, o_custkey long, o_orderstatus string"),
+            ("part", [(1, "SMALL", "Brand#1")], "p_partkey long, p_type string, p_brand string"),
+            ("customer", custs, "c_custkey long, c_nationkey int, c_mktsegment string"),
+            ("nation", [(-3, "minus"), (0, "zero"), (24, None), (None, "none")], "n_nationkey int, n_name string")):
+        df = spark.createDataFrame(rows, schema)
+        for date in {"lineitem": ["l_shipdate"], "orders": ["o_orderdate"]}.get(name, []):
+            df = df.selectExpr("*", f"timestamp_ntz'1994-01-02' AS {date}")
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    moved = R.joined(spark, str(tmp_path))
+    assert not {"n_name", "status", "c_mktsegment"} & set(moved.columns)
+    assert "BUILDING" not in {r.segment for r in moved.collect()}
+    names, states = {-3: "minus", 0: "zero", 24: None}, ("Solved", "Unresolved", "In Progress")
+    want = [(c, names[n], "/".join(x for x in (names[n], s) if x) if s == "AUTO" else None, states[c % 3])
+            for c, n, s in custs if n in names]
+    got = [(r.l_orderkey, r.electoral_district, r.neighbourhood, r.status_type)
+           for r in R.requests(spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
