@@ -17,6 +17,8 @@ REQUIRED_COLUMNS = ("Service Request ID", "Reference Number", "Service Type", "D
                     "Date Closed", "Electoral District", "Neighbourhood")
 REQUIRED_VALUES = ("Service Request ID", "Service Type", "Date Created")
 LEVEL_COLUMNS = tuple(f"Service Level {i}" for i in range(1, 6))
+# Raw columns that ``clean`` reads.
+CLEAN_COLUMNS = (*REQUIRED_COLUMNS, *LEVEL_COLUMNS)
 
 
 class MissingColumnsError(ValueError):
@@ -142,18 +144,21 @@ def dedupe_first(df: DataFrame, key: str, order: Sequence[str],
     """``INSERT ... ON CONFLICT DO NOTHING``: the first row per key in
     ``order`` wins, and keys already in ``existing`` are left out.
 
-    ``min_by`` over a struct is a declarative aggregate, so each map task
-    keeps one row per key before the shuffle: a key holding a large share of
-    the rows costs one row per task, not one giant group.  The key is not moved
-    a second time inside the row.  The anti join against ``existing`` only
-    needs its key column.
+    ``min`` over a struct is a declarative aggregate, so each map task keeps
+    one row per key before the shuffle: a key holding a large share of the rows
+    costs one row per task, not one giant group.  The struct begins with
+    ``order`` and holds each column once; rows alike in ``order`` go by the
+    columns after it, so a rerun takes the same one.  Columns without an order
+    (maps) are taken by ``min_by``, which moves ``order`` twice.  The anti join
+    against ``existing`` only needs its key column.
     """
-    place = F.struct(*[F.col(c) for c in order])
     rest = [c for c in df.columns if c != key and c not in order]
-    row = F.struct(*[F.col(c) for c in rest]) if rest else F.lit(True)
-    first = (df.groupBy(key).agg(F.min(place).alias("_at"), F.min_by(row, place).alias("_r"))
-               .select(*[key if c == key else F.col(f"_at.{c}") if c in order else F.col(f"_r.{c}")
-                         for c in df.columns]))
+    row = F.struct(*[F.col(c) for c in [*order, *rest]])
+    unordered = any("map<" in df.schema[c].dataType.simpleString() or "variant" in df.schema[c].dataType.simpleString()
+                    for c in rest)
+    winner = F.min_by(row, F.struct(*[F.col(c) for c in order])) if unordered else F.min(row)
+    first = df.groupBy(key).agg(winner.alias("_r")).select(
+        *[key if c == key else F.col(f"_r.{c}") for c in df.columns])
     if existing is not None:
         first = first.join(existing.select(key).distinct(), key, "left_anti")
     return first

@@ -181,3 +181,24 @@ def test_texts_of_members_are_joined_once(spark, monkeypatch):
     assert [c for c in written if "description" in c] == [["id", "top_cluster_id", "sub_cluster_id", "service_type", "description"]]
     assert sum("centroid" in c for c in written) == 2
     assert got.count() > 0
+
+
+def test_first_rows_hold_each_column_once(spark):
+    """The de-duplication moves one struct a row, and rows alike in the order's
+    columns give the same winner however they are spread."""
+    rows = [("k", 1, "b"), ("k", 1, "a"), ("k", 2, "0"), ("l", None, "y"), ("l", 0, "x"), (None, 5, None)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "id string, at int, text string").coalesce(1)
+        first = ingest.I.dedupe_first(df, "id", ["at"])
+        assert "min_by" not in plan(first)
+        assert {tuple(r) for r in first.collect()} == {("k", 1, "a"), ("l", None, "y"), (None, 5, None)}
+    maps = df.select("id", "at", F.create_map("at", "text").alias("m")).filter("at IS NOT NULL")
+    assert {r.id for r in ingest.I.dedupe_first(maps, "id", ["at"]).collect()} == {"k", "l", None}
+
+
+def test_dates_with_the_day_first(spark):
+    texts = ["13/1/2024", "31/12/2024", "1/2/2024", "01/13/2024", "12/31/2024", "2/30/2024", "30/2/2024", "0/5/2024", "5/0/2024", "32/1/2024"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] and r[0].isoformat() for r in df.select(parse_date("t")).collect()]
+    assert got == ["2024-01-13", "2024-12-31", "2024-01-02", "2024-01-13", "2024-12-31", None, None, None, None, None]
+    assert "^(0?[1-9]|1[0-2])/" in plan(df.select(parse_date("t")))
