@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from civiclens.functions import columns as C
+from civiclens.operators import ingest as I
 from civiclens.plans.ingest import landed_raw
 from civiclens.plans.oracle import CLEAN_CTE, RAW_CTE, with_requests
 from civiclens.plans.registry import register
@@ -25,7 +27,7 @@ def q_str_volume(spark, sf_dir):
 @register("str_ingest", with_requests(RAW_CTE, CLEAN_CTE) + "SELECT * EXCLUDE (id) FROM loaded")
 def q_str_ingest(spark, sf_dir):
     configure(spark)
-    out = jobs.run_ingest(spark, landed_raw(spark, sf_dir))
+    out = jobs.run_ingest(spark, landed_raw(spark, sf_dir), columns=[*C.ROW_ORDER, *I.CLEAN_COLUMNS])
     for c in ("created_at", "resolved_at"):
         out = out.withColumn(c, F.col(c).cast("timestamp_ntz"))
     return out

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,8 +79,9 @@ def ingest_batch(batch: DataFrame, batch_id: int, root: str, buckets: int) -> No
 
 
 def raw_stream(spark: SparkSession, source: str, max_files: int | None = None,
-               redelivery: str | None = "1 day") -> DataFrame:
-    """Raw rows of a folder that files land in.
+               redelivery: str | None = "1 day", columns: Sequence[str] | None = None) -> DataFrame:
+    """Raw rows of a folder that files land in, or some of their columns: each
+    goes through the shuffle before the state store.
 
     Rows delivered again within ``redelivery`` of their first arrival are
     dropped by the state store, before any look-up in the target.  The event
@@ -89,6 +91,8 @@ def raw_stream(spark: SparkSession, source: str, max_files: int | None = None,
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     rows = reader.parquet(source)
+    if columns is not None:
+        rows = rows.select(*[F.col(f"`{c}`") for c in columns])
     if redelivery is None:
         return rows
     arrived = rows.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", redelivery)
@@ -96,12 +100,14 @@ def raw_stream(spark: SparkSession, source: str, max_files: int | None = None,
 
 
 def run_ingest(spark: SparkSession, source: str, folder: str | None = None, max_files: int | None = None,
-               redelivery: str | None = "1 day", buckets: int = 16, on_batch=ingest_batch) -> DataFrame:
+               redelivery: str | None = "1 day", buckets: int = 16, on_batch=ingest_batch,
+               columns: Sequence[str] | None = None) -> DataFrame:
     """Takes in what has landed in ``source`` and returns the target.  With the
-    same ``folder`` a later or repeated run goes on from its checkpoint."""
+    same ``folder`` a later or repeated run goes on from its checkpoint.
+    ``columns`` are those of ``source`` that ``on_batch`` gets (default: all)."""
     out = folder or _run_dir(spark, "ingest")
     target = os.path.join(out, "requests")
-    q = (raw_stream(spark, source, max_files, redelivery)
+    q = (raw_stream(spark, source, max_files, redelivery, columns)
          .writeStream.foreachBatch(lambda df, i: on_batch(df, i, target, buckets))
          .option("checkpointLocation", os.path.join(out, "checkpoint"))
          .trigger(availableNow=True).start())

@@ -113,3 +113,20 @@ def test_a_later_run_takes_only_what_is_new(spark, tmp_path):
     after = VersionedTable(spark, os.path.join(folder, "requests")).manifest()
     kept = [b for b in before.folders if before.folders[b] == after.folders.get(b)]
     assert len(kept) >= len(before.folders) - 3 or len(before.folders) <= 2
+
+
+def test_only_the_columns_a_batch_reads_reach_the_state_store(spark, tmp_path):
+    from civiclens.functions.columns import ROW_ORDER
+    from civiclens.operators import ingest as I
+    source, seen = str(tmp_path / "raw"), []
+    _land(spark, source, "part-0", [("a", "first", 1), ("b", "b", 2)])
+    _flatten(source)
+    columns = [*ROW_ORDER, *I.CLEAN_COLUMNS]
+
+    def batch(df, i, target, buckets):
+        seen.append(df.columns)
+        jobs.ingest_batch(df, i, target, buckets)
+    wide = spark.read.parquet(source).selectExpr("*", "'x' AS `Status Type`")
+    wide.write.parquet(str(tmp_path / "wide"))
+    out = jobs.run_ingest(spark, str(tmp_path / "wide"), columns=columns, on_batch=batch)
+    assert {r.service_request_id for r in out.collect()} == {"a", "b"} and all(c == columns for c in seen)
