@@ -132,11 +132,11 @@ def q_src_cached(spark, sf_dir):
 SELECT * REPLACE (nullif("Reference Number", '') AS "Reference Number", nullif("Service Type", '') AS "Service Type")
 FROM raw""")
 def q_src_csv(spark, sf_dir):
-    """Raw rows written as CSV (the source format) and read back with an
-    explicit schema; an empty value is a missing one there."""
+    """Raw rows written as CSV (the source format, compressed) and read back
+    with an explicit schema; an empty value is a missing one there."""
     raw = _raw(spark, sf_dir)
     path = files.scratch_path(spark, "raw_csv/" + os.path.basename(sf_dir.rstrip("/")))
-    files.write_csv(raw, path)
+    files.write_csv(raw, path, compressed=True)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raw.schema.fields)
     return files.read_csv(spark, path, schema)
 

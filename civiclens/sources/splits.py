@@ -5,11 +5,15 @@ which deals byte ranges ("blocks") of one file to different tasks.  Whether a
 piece begins inside a quoted value, and how deep it lies in braces, follows from
 sums over all pieces before it: a running sum inside its block, and one row per
 block carried along the file.  A block is at most
-``spark.sql.files.maxPartitionBytes`` long, which bounds every window here.
+``spark.sql.files.maxPartitionBytes`` long, which bounds every window here (a
+compressed file is one block; the CSV lines go through no window).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,27 +53,68 @@ def _joined(mark: str) -> Column:
     return F.array_join(F.transform(parts, lambda p: p["_text"]), mark)
 
 
+def _lines_joined(lines: DataFrame) -> DataFrame:
+    """Records of lines that come in file order, ``_header`` from their first
+    line.  Every task's lines begin and end outside quotes."""
+    def joined(batches):
+        held, inside = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            quotes = pc.count_substring(batch.column("_text"), '"').to_numpy(zero_copy_only=False)
+            after = (np.cumsum(quotes) + inside) % 2
+            inside, ends = after[-1], np.flatnonzero(after == 0) + 1
+            if not len(ends):
+                held.append(batch)
+                continue
+            bounds = np.concatenate([[0], ends + sum(b.num_rows for b in held)])
+            whole = pa.concat_batches([*held, batch.slice(0, ends[-1])])
+            held = [batch.slice(ends[-1])]
+            texts = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), whole.column("_text"))
+            yield pa.record_batch([whole.column("_header").take(pa.array(bounds[:-1])), pc.binary_join(texts, "\n")],
+                                  ["_header", "_text"])
+        if inside:
+            raise ValueError("a block's lines end inside quotes")
+
+    return lines.select("_header", "_text").mapInArrow(joined, "_header boolean, _text string")
+
+
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
-    """``_file``, ``_record`` (from 1, the header) and ``_text`` of every CSV
-    record.  Line ends inside quoted values are kept, empty lines between
+    """``_header`` (whether it is its file's first record) and ``_text`` of every
+    CSV record.  Line ends inside quoted values are kept, empty lines between
     records are left out.  Quotes are paired: a value that holds one is quoted
-    and doubles it, as writers do."""
+    and doubles it, as writers do.
+
+    A first pass notes one row a block; every task gets these rows.  A record
+    inside a block is put together by the task that reads it, and only the lines
+    of records that go over a block's end are shuffled.  The passes must cut the
+    files alike: a line that the first one saw elsewhere fails the job.
+    """
+    lines, n = _pieces(spark, path, "\n"), F.col("_n")
     empty = F.col("_text").isin("", "\r")
-    lines = _pieces(spark, path, "\n").withColumn("_q", F.regexp_count("_text", F.lit('"')) % 2)
-    lines = lines.withColumn("_odd", _before("_q") % 2)
-    for quoted in (0, 1):
-        begins = ((F.col("_odd") == quoted) & ~empty).cast("long")
-        lines = lines.withColumn(f"_begins{quoted}", begins).withColumn(f"_so_far{quoted}", _before(begins))
-    blocks = lines.groupBy(*_AT).agg((F.sum("_q") % 2).alias("_q"), F.sum("_begins0").alias("_begins0"),
-                                     F.sum("_begins1").alias("_begins1"))
+    odd = (F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit('"')))) % 2 == 1
+    blocks = lines.groupBy(*_AT).agg(
+        F.min("_n").alias("_from"), F.max("_n").alias("_to"), (F.count_if(odd) % 2).alias("_q"),
+        F.min(F.when(odd, n)).alias("_first_odd"), F.max(F.when(odd, n)).alias("_last_odd"),
+        F.min(F.when(~empty, n)).alias("_first"))
     blocks = blocks.withColumn("_quoted", _carried("_q") % 2)
-    blocks = blocks.select(*_AT, "_quoted", _carried(_either("_quoted", "_begins")).alias("_earlier"))
-    outside = F.col("_odd") == F.col("_quoted")
-    record = F.col("_earlier") + _either("_quoted", "_so_far") + _either("_quoted", "_begins")
-    lines = lines.join(blocks, _AT).filter(~(outside & empty)).select(
-        *_AT, "_n", "_text", record.alias("_record"), (outside & (F.col("_q") == 0)).alias("_whole"))
-    long = lines.filter(~F.col("_whole")).groupBy("_file", "_record").agg(_joined("\n").alias("_text"))
-    records = lines.filter("_whole").select("_file", "_record", "_text").unionByName(long)
+    leaves_open = (F.col("_quoted") != F.col("_q")) & F.col("_last_odd").isNotNull()
+    blocks = blocks.select(
+        *_AT, "_from", "_to",
+        F.when(F.col("_quoted") == 1, F.coalesce("_first_odd", "_to")).alias("_lead"),  # of an earlier block's record
+        F.when(leaves_open, F.col("_last_odd")).alias("_tail"),                         # of one that goes on
+        _carried(leaves_open.cast("long")).alias("_left_open"),
+        F.when(_carried(F.col("_first").isNotNull().cast("long")) == 0, F.col("_first")).alias("_head"))
+    header = F.coalesce(n == F.col("_head"), F.lit(False)).alias("_header")
+    lead, tail = (F.coalesce(c, F.lit(False)) for c in (n <= F.col("_lead"), n >= F.col("_tail")))
+
+    seen = F.coalesce(n.between(F.col("_from"), F.col("_to")), F.lit(False))
+    outer = F.when(seen, lead | tail).otherwise(F.raise_error(F.lit(f"{path} was cut in two ways")))
+    short = _lines_joined(lines.join(F.broadcast(blocks), _AT, "left").filter(~outer).select(header, "_text"))
+    over = lines.join(F.broadcast(blocks.filter("_lead is not null or _tail is not null")), _AT).filter(outer)
+    over = over.select(*_AT, "_n", "_text", header, (F.col("_left_open") + tail.cast("int")).alias("_record"))
+    long = over.groupBy("_file", "_record").agg(F.max("_header").alias("_header"), _joined("\n").alias("_text"))
+    records = short.filter(~empty).unionByName(long.select("_header", "_text"))
     return records.withColumn("_text", F.regexp_replace("_text", "\r\\z", ""))
 
 

@@ -64,6 +64,81 @@ def test_csv_round_trip_of_awkward_values(spark, folder):
     assert sorted(tuple(r) for r in got) == rows
 
 
+def shuffled(plan):
+    """Bytes that the shuffles of an executed plan wrote."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleBytesWritten").value() if kind == "ShuffleExchangeExec" else 0
+    children = plan.children()
+    return own + sum(shuffled(children.apply(i)) for i in range(children.size()))
+
+
+def test_records_inside_a_block_are_not_shuffled(spark, folder):
+    path = os.path.join(folder, "narrow")
+    text = F.concat(F.md5(F.col("id").cast("string")), F.lit('\n"'), F.sha2(F.col("id").cast("string"), 512))
+    files.write_csv(spark.range(0, 20_000, 1, 2).select("id", text.alias("v")), path)
+    got = files.read_csv(spark, path, "id long, v string")
+    assert len({r.v for r in got.collect()}) == 20_000
+    assert 0 < shuffled(got._jdf.queryExecution().executedPlan()) < 20_000
+
+
+@pytest.mark.parametrize("size", SIZES)
+def test_compressed_files_hold_few_rows_and_read_back(spark, folder, size, monkeypatch):
+    monkeypatch.setattr(files, "COMPRESSED_ROWS", 3)
+    rows = [(i, v) for i, v in enumerate(["a\nb", 'say "x"', "c,d", None, "f\r\ng", '"', "\n\n", "z" * 300])]
+    path = os.path.join(folder, f"gz{size}")
+    files.write_csv(spark.createDataFrame(rows, "i int, v string").coalesce(1), path, compressed=True)
+    names = [n for n in os.listdir(path) if n.startswith("part-")]
+    assert len(names) == 3 and all(n.endswith(".csv.gz") for n in names)
+    with blocks_of(spark, size):
+        got = files.read_csv(spark, path, "i int, v string").collect()
+    assert sorted(tuple(r) for r in got) == rows
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3, 7])
+def test_csv_records_go_over_arrow_batches(spark, folder, batch):
+    path = os.path.join(folder, f"batch{batch}.csv")
+    with open(path, "w", newline="") as f:
+        f.write("\n\r\n" + CSV)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = [files.read_csv(spark, path, "k int, v string, w string").collect()]
+        with blocks_of(spark, 64):
+            got.append(files.read_csv(spark, path, "k int, v string, w string").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for rows in got:
+        assert sorted(r.k for r in rows) == [1, 2, 3, 4, 5, 6]
+        by_key = {r.k: r.v for r in rows}
+        assert by_key[2] == 'a, "b"\n\n\nend' and by_key[5] == "é\n{}"
+
+
+def test_an_open_quote_keeps_the_rest_of_the_file_in_one_record(spark, folder):
+    path = os.path.join(folder, "open.csv")
+    with open(path, "w") as f:
+        f.write('k,v\n1,a\n2,"b\n3,c\n\n4,d\n')
+    for size in SIZES:
+        with blocks_of(spark, size):
+            got = splits.csv_records(spark, path).collect()
+        assert sorted((r._header, r._text) for r in got) == [
+            (False, "1,a"), (False, '2,"b\n3,c\n\n4,d'), (True, "k,v")]
+
+
+def test_files_cut_in_two_ways_fail(spark, folder, monkeypatch):
+    path = os.path.join(folder, "twice.csv")
+    with open(path, "w") as f:
+        f.write("k,v\n1,a\n")
+    other = F.udf(lambda: int.from_bytes(os.urandom(4)), "long").asNondeterministic()
+    pieces = splits._pieces
+    monkeypatch.setattr(splits, "_pieces", lambda *a: pieces(*a).withColumn("_block", other()))
+    with pytest.raises(Exception, match="cut in two ways"):
+        files.read_csv(spark, path, "k int, v string").collect()
+
+
 def collection():
     features = [{"type": "Feature", "properties": {"n": i, "name": name, "none": None, "in": {"x": {"y": 1}}},
                  "geometry": {"type": "Point", "coordinates": [i, 0.5]} if i % 3 else None}
